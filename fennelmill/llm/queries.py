@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fennelmill.llm import bpe, quality, transducer
+from fennelmill.llm import bpe, quality, sketch_dedup, transducer
 from fennelmill.llm.common import table
 
 
@@ -29,9 +29,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query functions by name."""
-    return {f.__name__: f for f in (op2_quality_rules, op6_bpe_encode, op7_token_counts)}
+    return {f.__name__: f for f in (op2_quality_rules, op6_bpe_encode, op7_token_counts, op8_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
