@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fennelmill.llm import bpe, quality, sketch_dedup, transducer
+from fennelmill.llm import bpe, pii, quality, sketch_dedup, transducer
 from fennelmill.llm.common import table
 
 
@@ -33,9 +33,13 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query functions by name."""
-    return {f.__name__: f for f in (op2_quality_rules, op6_bpe_encode, op7_token_counts, op8_minhash_dedup)}
+    return {f.__name__: f for f in (op2_quality_rules, op6_bpe_encode, op7_token_counts, op8_minhash_dedup, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
