@@ -129,7 +129,7 @@ def sketch_table(docs: DataFrame) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text", 1 << 18):
             sets = _shingler()(part.column("text").to_pylist())
             some = [i for i, s in enumerate(sets) if len(s)]
             bands = [np.zeros(0, np.int64)] * len(sets)
@@ -146,7 +146,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text", 1 << 18):
             yield pa.RecordBatch.from_arrays([part.column("id"), _lists(_shingler()(part.column("text").to_pylist()))], ["id", "items"])
 
     return docs.mapInArrow(run, f"id {kind}, items array<long>")
