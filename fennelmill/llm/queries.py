@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fennelmill.llm import bpe, pii, quality, sketch_dedup, transducer
+from fennelmill.llm import bpe, chat, mixing, pii, quality, secrets, sketch_dedup, transducer
 from fennelmill.llm.common import table
 
 
@@ -17,10 +17,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.summary(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -37,11 +45,19 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+#: In the order of their numbers.
+_ALL = (op1_chat_format, op2_quality_rules, op4_mixing, op6_bpe_encode, op7_token_counts, op8_minhash_dedup, op9_pii, op10_secrets)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query functions by name."""
-    return {f.__name__: f for f in (op2_quality_rules, op6_bpe_encode, op7_token_counts, op8_minhash_dedup, op9_pii)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {}
+    return {"op1_chat_format": chat.ORACLE}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +12,18 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:bigint,end:bigint,value:string,part:string,gap:string>>"
 
 
-def add_matches(df: DataFrame, column: str, text: str, pattern: str, group: int = 0, needs: str | None = None, gaps: bool = False) -> DataFrame:
+def add_matches(df: DataFrame, column: str, text: str, pattern: str, group: int = 0, needs: str | tuple[str, ...] | None = None, gaps: bool = False) -> DataFrame:
     """Add the leftmost non-overlapping matches of ``pattern`` in column ``text``, as an array of :data:`SPAN`.
 
     The gaps between matches come from splitting at the pattern and the matches from extracting it; both use the same
-    search, so the lengths of both add up to positions. Texts without the string ``needs`` are not searched, those
-    without matches not split. ``gap`` is filled only on request. A pattern must not match the empty string; a NULL
+    search, so the lengths of both add up to positions. Texts without any of the strings ``needs`` are not searched,
+    those without matches not split. ``gap`` is filled only on request. A pattern must not match the empty string; a NULL
     text has no matches.
     """
+    needs = (needs,) if isinstance(needs, str) else needs
     found, parts, between = f"{column}__found", f"{column}__parts", f"{column}__between"
     searched = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    df = df.withColumn(found, F.coalesce(F.when(F.contains(text, F.lit(needs)), searched) if needs else searched, F.array().cast("array<string>")))
+    df = df.withColumn(found, F.coalesce(F.when(reduce(or_, (F.contains(F.col(text), F.lit(x)) for x in needs)), searched) if needs else searched, F.array().cast("array<string>")))
     some = F.size(found) > 0
     df = df.withColumn(between, F.when(some, F.split(text, pattern, -1)))
     df = df.withColumn(parts, F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))) if group else F.col(found))
