@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fennelmill.llm import bpe, chat, mixing, pii, quality, secrets, sketch_dedup, transducer
+from fennelmill.llm import bpe, chat, htmltext, mixing, pii, quality, rpforest, secrets, sketch_dedup, transducer
 from fennelmill.llm.common import table
 
 
@@ -25,10 +25,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.summary(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpforest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -50,7 +58,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: In the order of their numbers.
-_ALL = (op1_chat_format, op2_quality_rules, op4_mixing, op6_bpe_encode, op7_token_counts, op8_minhash_dedup, op9_pii, op10_secrets)
+_ALL = (op1_chat_format, op2_quality_rules, op3_html_text, op4_mixing, op5_embedding_dedup, op6_bpe_encode, op7_token_counts, op8_minhash_dedup, op9_pii, op10_secrets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
