@@ -102,10 +102,24 @@ def assess(df: DataFrame, rules: LineRules = LineRules(), id_column: str = "doc_
     give repeated results; other columns are not read, whatever their names; an empty table gives no rows; very long
     texts and lines are judged whole; a loss of exactly the allowed share is kept.
     """
-    source = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
+    return _judged(df, rules, text_column, [id_column])
+
+
+def clean(df: DataFrame, rules: LineRules = LineRules(), text_column: str = "text") -> DataFrame:
+    """The rows of ``df`` that :func:`assess` keeps, with cleaned texts and all columns; ``n_chars``, if there, is set anew."""
+    out = _judged(df, rules, text_column, list(df.columns)).where("__kept")
+    fresh = {text_column: F.col("__cleaned")} | ({"n_chars": F.length("__cleaned").cast(df.schema["n_chars"].dataType)} if "n_chars" in df.columns else {})
+    return out.select(*(fresh.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns))
+
+
+def _judged(df: DataFrame, rules: LineRules, text_column: str, carried: list[str]) -> DataFrame:
+    prefix = "" if len(carried) == 1 and carried[0] != text_column else "__"
+    source = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)), F.col(f"`{text_column}`").cast("string").alias("text"))
+    schema = ", ".join(f"c{i} {source.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(carried)))
     longs = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines_removed", "chars_lost", "chars_seen")
 
+    names = [*(f"c{i}" for i in range(len(carried))), *longs, "base_failed", "kept", "cleaned"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(rules)
         for part in slices(batches, "text"):
@@ -131,6 +145,8 @@ def assess(df: DataFrame, rules: LineRules = LineRules(), id_column: str = "doc_
                 kept.append(not bad and lost <= rules.loss * seen)
                 cleaned.append("\n".join(stays) if removed else text)
             columns = [pa.array(x, pa.int64()) for x in zip(*numbers)]
-            yield pa.RecordBatch.from_arrays([part.column("id"), *columns, pa.array(failed), pa.array(kept), pa.array(cleaned, pa.string())], ["id", *longs, "base_failed", "kept", "cleaned"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns, pa.array(failed), pa.array(kept), pa.array(cleaned, pa.string())], names)
 
-    return source.mapInArrow(run, f"id {kind}, {', '.join(f'{x} long' for x in longs)}, base_failed boolean, kept boolean, cleaned string").withColumnRenamed("id", id_column)
+    out = source.mapInArrow(run, f"{schema}, {', '.join(f'{x} long' for x in longs)}, base_failed boolean, kept boolean, cleaned string")
+    added = (*longs, "base_failed", "kept", "cleaned")
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carried)), *(F.col(x).alias(prefix + x) for x in added))

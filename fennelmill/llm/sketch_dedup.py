@@ -223,6 +223,12 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_column: str = "doc_id",
     return named.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def drop_duplicates(df: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``df`` whose ids :func:`near_duplicates` keeps, and all rows without an id."""
+    lost = near_duplicates(df, percent, id_column, text_column).where("not kept").select(F.col(id_column).alias("__lost")).distinct()
+    return df.join(materialise(lost, "lost"), F.col(f"`{id_column}`") == F.col("__lost"), "left_anti")
+
+
 def _unsettled(buckets: DataFrame, found: DataFrame) -> DataFrame:
     """Rows ``(id, key, component)`` of buckets that hold several components."""
     named = buckets.join(found, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
