@@ -1,11 +1,63 @@
-"""Pipeline over ``documents``; stages are added as operators land."""
+"""The training-data pipeline over ``documents``: each stage works on all that its predecessor kept.
 
-STAGES: list = []
+Quality rules, MinHash near-duplicates, personal data, mixing to target weights, byte-pair encoding. All stages but the
+last return the columns of ``documents``; each result is written as Parquet and read again for the next. Rows with NULLs,
+empty and very long texts, ties, repeated rows, empty tables and extra columns go through each stage as the operator it
+calls says; extra columns are carried along.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+from fennelmill.llm import bpe, mixing, pii, quality, sketch_dedup
+from fennelmill.llm.common import materialise
+from fennelmill.llm.queries import tokenizer_path
+
+#: No SQL can express the stages that score context, sketch sets or encode pairs; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep, without the lines that fail."""
+    return quality.clean(docs)
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    return sketch_dedup.drop_duplicates(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed stream: each document as often as its source's weight asks, at least once."""
+    return mixing.mix(docs).drop("mix_pass", "mix_slot", "mix_order", "mix_weight")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each document of the stream, and what they decode to, as digests."""
+    return bpe.digests(bpe.encode_decode(docs, tokenizer_path()))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", minhash_dedup),
+    ("PII", personal_data),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the ``documents`` of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialise(docs, f"stage{i}")
     return docs
