@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fennelmill.llm.common import materialise, slices
@@ -25,9 +25,8 @@ from fennelmill.llm.components import components
 #: band with a probability of about (1 - 0.75^4)^32 = 5e-6.
 WORDS, BINS, BANDS = 5, 128, 32
 _ROWS = BINS // BANDS
-#: Candidates of different components are compared one with one when there are at most so many for each document, or after
-#: so many rounds of pivots.
-_FEW, _MOST_ROUNDS = 4, 6
+#: Members of a component that is compared in a join; members and seekers that one group compares.
+_SMALL, _GROUP = 8, 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -160,7 +159,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, percent: int)
     n_a, n_b = sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b"))
     pairs = materialise(pairs.join(n_a, "a").join(n_b, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"), "pairs")
     named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialise(shingle_sets(docs.join(named, "id", "left_semi")), "sets")
+    sets = materialise(shingle_sets(docs.join(named, "id", "left_semi").dropDuplicates(["id"])), "sets")
     of_a, of_b = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
     common = F.size(F.array_intersect("items_a", "items_b"))
     return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "n_a", "n_b", common.alias("c")).where(f"100 * c >= {percent} * (n_a + n_b - c)").select("a", "b")
@@ -174,9 +173,9 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_column: str = "doc_id",
     ``100 * intersection >= percent * union`` of their whole sets; a component is named by its smallest id, which is kept.
 
     Documents of equal sets are one class, and work goes on with a class's smallest id. In a bucket of a band all members
-    are compared with a pivot; buckets that then still hold several components get further pivots, and what few
-    candidates of different components are left are compared one with one. So a group of mutual copies costs a number of
-    comparisons in proportion to its size, while no candidate pair of different components goes unexamined.
+    are compared with a pivot, so a group of mutual copies costs comparisons in proportion to its size. Documents of
+    buckets that then still hold several components are joined exactly, by rare shingles, so that no candidate pair of
+    different components goes unexamined.
 
     Edge cases: a NULL or empty text, or one without words, has an empty set and links with nothing; a row with a NULL id
     has a NULL component and is kept; rows that repeat an id are one vertex and all get its result; other columns are
@@ -196,28 +195,11 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_column: str = "doc_id",
     tested = materialise(buckets.select(F.col("pivot").alias("a"), F.col("id").alias("b")).where("a < b").distinct(), "tested")
     links = materialise(verified(tested, docs, sizes, percent).union(copies), "links")
     found = components(links)
-    buckets = buckets.select("id", "key")
-    few = _FEW * made.count()
-    for turn in range(1, _MOST_ROUNDS + 1):
-        open_rows = _unsettled(buckets, found)
-        buckets = open_rows.select("id", "key")
-        pairs = _load(open_rows)
-        if not pairs:
-            break
-        if turn == _MOST_ROUNDS or pairs <= few:
-            other = open_rows.select(F.col("id").alias("b"), F.col("component").alias("of_b"), "key")
-            fresh = open_rows.join(other, "key").where("id < b and component != of_b").select(F.col("id").alias("a"), "b").distinct()
-        else:
-            pivots = open_rows.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("pivot"))
-            fresh = open_rows.join(pivots, "key").where("component != pivot.component").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
-        fresh = materialise(fresh.join(tested, ["a", "b"], "left_anti"), "tested")
-        tested = tested.union(fresh)
-        more = materialise(verified(fresh, docs, sizes, percent), "links")
+    rest = _unsettled(buckets.select("id", "key"), found)
+    if not rest.isEmpty():
+        more = materialise(_rest_links(rest, docs, percent), "links")
         if not more.isEmpty():
-            links = links.union(more)
-            found = components(links)
-        if pairs <= few:
-            break
+            found = components(links.union(more))
     named = member.join(found.select(F.col("id").alias("head"), "component"), "head", "left")
     component = F.coalesce("component", "head")
     return named.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
@@ -230,14 +212,82 @@ def drop_duplicates(df: DataFrame, percent: int = 75, id_column: str = "doc_id",
 
 
 def _unsettled(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows ``(id, key, component)`` of buckets that hold several components."""
+    """``(id, component)`` of documents that share a bucket with one of another component."""
     named = buckets.join(found, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
     several = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    return materialise(named.join(several, "key", "left_semi"), "buckets")
+    return materialise(named.join(several, "key", "left_semi").select("id", "component").distinct(), "rest")
+
+
+def _prefixes(items: DataFrame, percent: int) -> DataFrame:
+    """``(id, n, item)``: of each set the items, rarest first, of which a set that links shares one at least.
+
+    With all sets ordered alike these are the first ``n - ceil(percent * n / 100) + 1``; those that no other set holds
+    are counted but not returned. In order of rarity a passage that many documents hold comes last, so it brings
+    together only documents that hold little else.
+    """
+    common = items.groupBy("item").agg(F.count("*").alias("f")).where("f > 1")
+    by_id = Window.partitionBy("id")
+    ranked = items.join(common, "item").select("id", "n", "item", F.row_number().over(by_id.orderBy("f", "item")).alias("r"), F.count("*").over(by_id).alias("m"))
+    return ranked.where(F.col("r") + F.col("n") - F.col("m") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("id", "n", "item")
 
 
-def _load(rows: DataFrame) -> int:
-    """How many pairs of different components share a bucket: sums over counts, no pairs are made."""
-    each = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
-    by_key = each.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-    return int(by_key.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0))).first()[0])
+def _rest_links(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of some documents: of each document to each larger component one, if there is any.
+
+    Documents meet components, not their members, through shared prefix items, the smaller component's documents looking
+    for the larger ones. What has met is compared in full sets: with small components in a join, with large ones by
+    groups of bounded numbers of members and seekers, which return at most one link for a seeker.
+    """
+    kind = rest.schema["id"].dataType.simpleString()
+    large = rest.groupBy("component").agg(F.count("*").alias("size"))
+    rest = materialise(rest.join(large, "component").select("id", "component", "size"), "rest")
+    sets = materialise(shingle_sets(docs.join(rest.select("id"), "id", "left_semi").dropDuplicates(["id"])), "sets")
+    first = _prefixes(sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item")), percent)
+    first = materialise(first.join(rest, "id").select("id", "item", F.struct("size", "component").alias("own")), "prefixes")
+    mixed = first.groupBy("item").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x < y").select("item")
+    first = first.join(mixed, "item", "left_semi")
+    goals = first.select("item", F.col("own").alias("goal")).distinct()
+    met = materialise(first.join(goals, "item").where("own < goal").select("id", "goal").distinct().select("id", F.col("goal.component").alias("component"), F.col("goal.size").alias("size")), "met")
+    members = rest.select(F.col("id").alias("b"), "component", "size")
+    of_b = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
+    n, m, common = F.size("items"), F.size("items_b"), F.size(F.array_intersect("items", "items_b"))
+    alike = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * common >= percent * (n + m - common))
+    few = met.where(F.col("size") <= _SMALL).select("id", "component").join(members.select("b", "component"), "component").select("id", "b")
+    in_small = few.join(sets, "id").join(of_b, "b").where(alike).select(F.col("id").alias("a"), "b")
+    many = met.where(F.col("size") > _SMALL)
+    seekers = many.groupBy("component").agg(F.count("*").alias("seekers"))
+    parts = lambda c: F.ceil(F.col(c) / _GROUP).cast("int")
+    part_of = lambda c, n: F.pmod(F.xxhash64(c), parts(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    from_a = many.join(seekers, "component").select("id", "component", part_of("id", "seekers").alias("part"), every("size").alias("chunk")).join(sets, "id").select("component", "part", "chunk", "id", "items")
+    to_b = members.join(seekers, "component").select("b", "component", part_of("b", "size").alias("chunk"), every("seekers").alias("part")).join(of_b, "b").select("component", "part", "chunk", F.col("b").alias("id"), F.col("items_b").alias("items"))
+
+    def seek(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = [np.array(x.as_py(), np.int64) for x in right.column("items")]
+        ids, found = right.column("id").to_pylist(), []
+        if own:
+            item = np.concatenate(own)
+            owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            order = np.argsort(item, kind="stable")
+            item, owner, sizes = item[order], owner[order], np.array([len(x) for x in own])
+            for a, x in zip(left.column("id").to_pylist(), left.column("items")):
+                x = np.array(x.as_py(), np.int64)
+                at, to = np.searchsorted(item, x, "left"), np.searchsorted(item, x, "right")
+                run = to - at
+                hits = np.arange(run.sum()) + np.repeat(at - np.cumsum(run) + run, run)
+                common = np.bincount(owner[hits], minlength=len(own))
+                if len(ok := np.flatnonzero(100 * common >= percent * (len(x) + sizes - common))):
+                    found.append((a, ids[ok[0]]))
+        return pa.table({"a": [a for a, _ in found], "b": [b for _, b in found]}, schema=schema)
+
+    schema = pa.schema([("a", _arrow_type(rest)), ("b", _arrow_type(rest))])
+    group = ["component", "part", "chunk"]
+    in_large = from_a.groupBy(*group).cogroup(to_b.groupBy(*group)).applyInArrow(seek, f"a {kind}, b {kind}")
+    return in_small.union(in_large)
+
+
+def _arrow_type(df: DataFrame) -> pa.DataType:
+    """The Arrow type of the ids."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema["id"].dataType)
