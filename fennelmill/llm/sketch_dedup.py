@@ -219,16 +219,18 @@ def _unsettled(buckets: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _prefixes(items: DataFrame, percent: int) -> DataFrame:
-    """``(id, n, item)``: of each set the items, rarest first, of which a set that links shares one at least.
+    """``(id, n, item, rare)``: of each set the items, rarest first, of which a set that links shares one at least.
 
-    With all sets ordered alike these are the first ``n - ceil(percent * n / 100) + 1``; those that no other set holds
-    are counted but not returned. In order of rarity a passage that many documents hold comes last, so it brings
-    together only documents that hold little else.
+    With all sets ordered alike, two sets that link share one of the first ``n - ceil(percent * n / 100) + 1`` items of
+    the larger and of the first ``n - ceil(2 * percent * n / (100 + percent)) + 1`` of the smaller; ``rare`` marks the
+    latter. Items that no other set holds are counted but not returned. In order of rarity a passage that many documents
+    hold comes last, so it brings together only documents that hold little else.
     """
     common = items.groupBy("item").agg(F.count("*").alias("f")).where("f > 1")
     by_id = Window.partitionBy("id")
-    ranked = items.join(common, "item").select("id", "n", "item", F.row_number().over(by_id.orderBy("f", "item")).alias("r"), F.count("*").over(by_id).alias("m"))
-    return ranked.where(F.col("r") + F.col("n") - F.col("m") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("id", "n", "item")
+    ranked = items.join(common, "item").select("id", "n", "item", (F.row_number().over(by_id.orderBy("f", "item")) + F.col("n") - F.count("*").over(by_id)).alias("place"))
+    upto = lambda over, under: f"n - (n * {over} + {under - 1}) div {under} + 1"
+    return ranked.where(f"place <= {upto(percent, 100)}").select("id", "n", "item", F.expr(f"place <= {upto(2 * percent, 100 + percent)}").alias("rare"))
 
 
 def _rest_links(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -243,11 +245,12 @@ def _rest_links(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     rest = materialise(rest.join(large, "component").select("id", "component", "size"), "rest")
     sets = materialise(shingle_sets(docs.join(rest.select("id"), "id", "left_semi").dropDuplicates(["id"])), "sets")
     first = _prefixes(sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item")), percent)
-    first = materialise(first.join(rest, "id").select("id", "item", F.struct("size", "component").alias("own")), "prefixes")
+    first = materialise(first.join(rest, "id").select("id", "n", "item", "rare", F.struct("size", "component").alias("own")), "prefixes")
     mixed = first.groupBy("item").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x < y").select("item")
     first = first.join(mixed, "item", "left_semi")
-    goals = first.select("item", F.col("own").alias("goal")).distinct()
-    met = materialise(first.join(goals, "item").where("own < goal").select("id", "goal").distinct().select("id", F.col("goal.component").alias("component"), F.col("goal.size").alias("size")), "met")
+    goals = first.groupBy("item", F.col("own").alias("goal")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min(F.when(F.col("rare"), F.col("n"))).alias("rare_from"))
+    sizes_fit = f"100 * n >= {percent} * least and {percent} * n <= 100 * most"
+    met = materialise(first.join(goals, "item").where(f"own < goal and {sizes_fit} and ((rare and most >= n) or coalesce(rare_from <= n, false))").select("id", "goal").distinct().select("id", F.col("goal.component").alias("component"), F.col("goal.size").alias("size")), "met")
     members = rest.select(F.col("id").alias("b"), "component", "size")
     of_b = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
     n, m, common = F.size("items"), F.size("items_b"), F.size(F.array_intersect("items", "items_b"))
