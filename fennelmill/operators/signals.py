@@ -34,7 +34,7 @@ def arrivals(feed: DataFrame, history: DataFrame, announced: str = ANNOUNCED, co
     rows = rows.withColumn("is_new", is_new).withColumn("is_announced", S.matches("title", announced)).withColumn("is_collaboration", S.matches("title", collaboration)).where("is_new or is_announced")
     score = F.col("is_new").cast("int") * NEW + F.col("is_announced").cast("int") * ANNOUNCED_SCORE + F.col("is_collaboration").cast("int") * COLLABORATION_SCORE
     kind = F.when(F.col("is_new"), "new_arrival").otherwise("preorder")
-    return rows.select(kind.alias("type"), "item_code", "title", "url", "image", "price", F.lit(None).cast("int").alias("jump"), score.cast("double").alias("score"), F.lit(0).alias("branch"), F.col("pos").cast("int").alias("pos"))
+    return rows.select(kind.alias("type"), "item_code", "title", "url", "image", "price", F.lit(None).cast("int").alias("jump"), score.cast("double").alias("score"), F.lit(0).alias("branch"), F.col("pos").cast("long").alias("pos"))
 
 
 def rank_jumps(ranking: DataFrame, last: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def rank_jumps(ranking: DataFrame, last: DataFrame) -> DataFrame:
     was = F.coalesce("last_rank", F.lit(UNRANKED))
     jump = was - F.col("rank")
     rows = rows.withColumn("jump", jump.cast("int")).where((jump > LEAST_JUMP) | ((was == UNRANKED) & (F.col("rank") <= TOP_RANK)))
-    return rows.select(F.lit("sudden_jump").alias("type"), "item_code", "title", "url", "image", "price", "jump", (F.col("jump") * 0.5 + 5).alias("score"), F.lit(1).alias("branch"), F.col("pos").cast("int").alias("pos"))
+    return rows.select(F.lit("sudden_jump").alias("type"), "item_code", "title", "url", "image", "price", "jump", (F.col("jump") * 0.5 + 5).alias("score"), F.lit(1).alias("branch"), F.col("pos").cast("long").alias("pos"))
 
 
 def standard_signal(spark: SparkSession, title: str) -> DataFrame:

@@ -6,11 +6,13 @@ import json
 from dataclasses import dataclass
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fennelmill.functions.scalars import stem
+from fennelmill.schemas import struct
 
 _BROKEN = "_corrupt_record"
 
@@ -21,7 +23,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     """No rows of a schema."""
     return spark.createDataFrame([], schema)
 
@@ -34,8 +36,9 @@ class Scan:
     rejects: DataFrame
 
 
-def scan_json(spark: SparkSession, folder: str, schema: T.StructType) -> Scan:
+def scan_json(spark: SparkSession, folder: str, schema: str | T.StructType) -> Scan:
     """Every ``*.json`` of a folder as one row with its ``stem``; unreadable files go to the rejects; no folder, no rows."""
+    schema = struct(schema)
     wide = T.StructType([*schema.fields, T.StructField(_BROKEN, T.StringType())])
     rejects = "stem STRING, content STRING"
     if not exists(spark, folder):
@@ -46,8 +49,9 @@ def scan_json(spark: SparkSession, folder: str, schema: T.StructType) -> Scan:
     return Scan(parsed.where(~broken).select("stem", *(F.col(f"doc.`{f.name}`").alias(f.name) for f in schema.fields)), parsed.where(broken).select("stem", "content"))
 
 
-def read_json_or(spark: SparkSession, path: str, schema: T.StructType, default: DataFrame | None = None) -> DataFrame:
+def read_json_or(spark: SparkSession, path: str, schema: str | T.StructType, default: DataFrame | None = None) -> DataFrame:
     """A JSON document by schema, or the default (no rows) where there is none or it can't be read."""
+    schema = struct(schema)
     default = empty(spark, schema) if default is None else default
     if not exists(spark, path):
         return default
@@ -66,7 +70,7 @@ def file_stems(spark: SparkSession, folder: str, pattern: str = "*.json") -> Dat
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(stem("path").alias("stem")).orderBy("stem")
 
 
-def read_state(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+def read_state(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
     """A state document as two keyed tables: history and last rankings."""
     state = read_json_or(spark, path, schema)
     history = state.select(F.explode("history").alias("item_code", "v")).select("item_code", F.to_timestamp_ntz("v.seen_at").alias("seen_at"), "v.title")
@@ -75,8 +79,6 @@ def read_state(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Da
 
 def read_posts(spark: SparkSession, folder: str) -> DataFrame:
     """``(name, front_matter, body)`` of Markdown files; the header is a map of texts, lists as JSON. A file without a header has NULL."""
-    import pandas as pd
-
     @F.pandas_udf("map<string,string>")
     def parsed(header: pd.Series) -> pd.Series:
         import yaml
@@ -122,8 +124,8 @@ class Snapshots:
     when the new snapshot is complete, and a run that is repeated writes its folder again.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType) -> None:
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, root: str, schema: str | T.StructType) -> None:
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), struct(schema)
 
     def current(self) -> str | None:
         pointer = f"{self.root}/_current"

@@ -6,6 +6,7 @@ import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,8 +121,6 @@ _LINKS = "array<struct<title:string,url:string>>"
 
 
 def _by_batch(function, html: Column, *more: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf(_LINKS)
     def run(pages: pd.Series, *rest: pd.Series) -> pd.Series:
         return pd.Series([function(p, *r) if p else [] for p, *r in zip(pages, *rest)])
@@ -141,8 +140,6 @@ def related_links(html: Column | str, container: str = "article", heading: str =
 
 def resolved(url: Column | str, base: Column | str) -> Column:
     """A link resolved against the address of its page."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def join(u: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else urljoin(y or "", x) for x, y in zip(u, b)])
