@@ -44,7 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Signals ----------------------------------------------------------------------------------------------------------
 
 #: The bindings of the arrival patterns to part names.
-_ANNOUNCED, _COLLABORATION = "(ECONOMY|PROMO)", "(BRASS|STEEL)"
+_ANNOUNCED, _COLLABORATION = "(ECONOMY|PROMO)", "(ring|gear)"
 _FROM, _TO = "1995-02-01", "1995-03-01"
 
 
@@ -118,7 +118,7 @@ def f9_top_signal_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH old AS (SELECT user_id, max(ts) AS seen_at, arg_max(event_type, (ts, event_id)) AS title FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1),"
-    " fresh AS (SELECT user_id, arg_max(event_type, event_id) AS title FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND event_type <> 'refund' GROUP BY 1)"
+    " fresh AS (SELECT user_id, arg_max(event_type, event_id) AS title FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND event_type <> 'error' GROUP BY 1)"
     " SELECT CAST(coalesce(f.user_id, o.user_id) AS VARCHAR) AS item_code, CASE WHEN f.user_id IS NULL THEN o.seen_at ELSE TIMESTAMP '2024-02-01' END AS seen_at, CASE WHEN f.user_id IS NULL THEN o.title ELSE f.title END AS title FROM old o FULL JOIN fresh f ON f.user_id = o.user_id"
 )
 def d4_history_rollforward(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,7 @@ def d4_history_rollforward(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.lit("2024-01-15").cast("timestamp_ntz")
     code = F.col("user_id").cast("string").alias("item_code")
     old = events.where(F.col("ts") < cut).groupBy(code).agg(F.max("ts").alias("seen_at"), F.max_by("event_type", F.struct("ts", "event_id")).alias("title"))
-    feed = events.where((F.col("ts") >= cut) & (F.col("event_type") != "refund")).select(code, F.col("event_type").alias("title"), F.col("event_id").alias("pos"))
+    feed = events.where((F.col("ts") >= cut) & (F.col("event_type") != "error")).select(code, F.col("event_type").alias("title"), F.col("event_id").alias("pos"))
     return signals.next_history(old, feed, datetime(2024, 2, 1))
 
 
@@ -176,9 +176,9 @@ def j3_history_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(known, F.col("c_custkey") == F.col("k"), "left").select("c_custkey", F.col("k").isNull().alias("is_new"))
 
 
-@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_shipdate < TIMESTAMP '1993-01-01')")
+@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_shipdate < TIMESTAMP '1995-01-15')")
 def u5_not_in_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shipped = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.lit("1993-01-01").cast("timestamp_ntz")).select(F.col("l_partkey").alias("p_partkey"))
+    shipped = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.lit("1995-01-15").cast("timestamp_ntz")).select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, sf_dir, "part").select("p_partkey").join(shipped, "p_partkey", "left_anti")
 
 
@@ -223,21 +223,21 @@ def _counted_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT p_partkey, round(least(3.8::DOUBLE + CASE WHEN p_size > 3 THEN 0.5 ELSE 0.0 END::DOUBLE + CASE WHEN contains(p_type, 'ECONOMY') OR contains(p_type, 'STEEL') THEN 0.4 ELSE 0.0 END::DOUBLE"
-    " + CASE WHEN p_retailprice > 1500 THEN -0.2 ELSE 0.0 END::DOUBLE + CASE WHEN coalesce(n, 0) > 30 THEN 0.3 ELSE 0.0 END::DOUBLE, 5.0), 1) AS score"
+    "SELECT p_partkey, round(least(3.8::DOUBLE + CASE WHEN p_size > 3 THEN 0.5 ELSE 0.0 END::DOUBLE + CASE WHEN contains(p_type, 'ECONOMY') OR contains(p_type, 'SMALL') THEN 0.4 ELSE 0.0 END::DOUBLE"
+    " + CASE WHEN p_retailprice > 950 THEN -0.2 ELSE 0.0 END::DOUBLE + CASE WHEN coalesce(n, 0) > 30 THEN 0.3 ELSE 0.0 END::DOUBLE, 5.0), 1) AS score"
     " FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey"
 )
 def d5_rule_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = articles.rule_score_from(F.col("p_size") > 3, S.contains_any("p_type", ["ECONOMY", "STEEL"]), F.col("p_retailprice") > 1500, F.coalesce("n", F.lit(0)) > 30)
+    score = articles.rule_score_from(F.col("p_size") > 3, S.contains_any("p_type", ["ECONOMY", "SMALL"]), F.col("p_retailprice") > 950, F.coalesce("n", F.lit(0)) > 30)
     return _counted_parts(spark, sf_dir).select("p_partkey", score.alias("score"))
 
 
 @query(
-    "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'well rated, a standard choice' ELSE array_to_string([p_brand, p_type][1:least(p_size % 4, 2)], ', ') END AS pros, CASE WHEN p_retailprice * 10 > 10000 THEN 'rather costly' ELSE 'nothing in particular' END AS cons FROM part"
+    "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'well rated, a standard choice' ELSE array_to_string([p_brand, p_type][1:least(p_size % 4, 2)], ', ') END AS pros, CASE WHEN p_retailprice * 10.5 > 10000 THEN 'rather costly' ELSE 'nothing in particular' END AS cons FROM part"
 )
 def d6_pros_cons(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = F.slice(F.array("p_brand", "p_type", "p_name"), F.lit(1), F.col("p_size") % 4)
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(articles.pros_of(features), ", ").alias("pros"), F.array_join(articles.cons_of(F.col("p_retailprice") * 10), ", ").alias("cons"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(articles.pros_of(features), ", ").alias("pros"), F.array_join(articles.cons_of(F.col("p_retailprice") * 10.5), ", ").alias("cons"))
 
 
 @query(
@@ -312,11 +312,11 @@ def a6_collect_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("p_brand", F.posexplode("ids").alias("pos", "p_partkey"))
 
 
-@query("SELECT p_brand, min(CASE WHEN p_retailprice > 0 THEN p_retailprice END) AS min_price, arg_max(p_partkey, (p_retailprice, -p_partkey)) AS dearest, bool_or(contains(p_type, 'STEEL')) AS any_steel, count(*) AS n FROM part GROUP BY 1")
+@query("SELECT p_brand, min(CASE WHEN p_retailprice > 0 THEN p_retailprice END) AS min_price, arg_max(p_partkey, (p_retailprice, -p_partkey)) AS dearest, bool_or(contains(p_type, 'SMALL')) AS any_steel, count(*) AS n FROM part GROUP BY 1")
 def a1_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("p_retailprice")
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(
-        F.min(F.when(price > 0, price)).alias("min_price"), F.max_by("p_partkey", F.struct("p_retailprice", -F.col("p_partkey"))).alias("dearest"), F.bool_or(F.contains("p_type", F.lit("STEEL"))).alias("any_steel"), F.count("*").alias("n")
+        F.min(F.when(price > 0, price)).alias("min_price"), F.max_by("p_partkey", F.struct("p_retailprice", -F.col("p_partkey"))).alias("dearest"), F.bool_or(F.contains("p_type", F.lit("SMALL"))).alias("any_steel"), F.count("*").alias("n")
     )
 
 
@@ -465,9 +465,9 @@ def s14_xml_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.col("i.title").alias("title"), F.col("i.link").alias("url"), F.col("i.pubDate").alias("published"))
 
 
-@query("SELECT event_id, CASE WHEN value > 90 THEN 'high' WHEN event_type = 'refund' THEN 'kind' END AS rule FROM events WHERE value > 90 AND event_type <> 'refund' OR value <= 90 AND event_type = 'refund' UNION ALL SELECT event_id, unnest(['high', 'kind']) FROM events WHERE value > 90 AND event_type = 'refund'")
+@query("SELECT event_id, CASE WHEN value > 90 THEN 'high' WHEN event_type = 'error' THEN 'kind' END AS rule FROM events WHERE value > 90 AND event_type <> 'error' OR value <= 90 AND event_type = 'error' UNION ALL SELECT event_id, unnest(['high', 'kind']) FROM events WHERE value > 90 AND event_type = 'error'")
 def d14_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.constraint_violations(table(spark, sf_dir, "events").where("value is not null and event_type is not null"), "event_id", {"high": F.col("value") <= 90, "kind": F.col("event_type") != "refund"})
+    return validate.constraint_violations(table(spark, sf_dir, "events").where("value is not null and event_type is not null"), "event_id", {"high": F.col("value") <= 90, "kind": F.col("event_type") != "error"})
 
 
 @query("SELECT p_partkey, 'price' AS path, 'type' AS rule FROM part WHERE p_size % 3 = 0 UNION ALL SELECT p_partkey, 'title', 'required' FROM part WHERE p_size % 5 = 0")
@@ -498,10 +498,10 @@ def d18_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH w AS (SELECT p_partkey, lower(p_type) AS t, list_filter(regexp_split_to_array(lower(p_type), '[^a-z0-9]+'), lambda x: len(x) >= 2 AND abs(len(x) - 5) <= 0.4 * greatest(len(x), 5)) AS ws FROM part),"
-    " d AS (SELECT p_partkey, CASE WHEN contains(t, 'steal') THEN 0.0 ELSE coalesce(list_min(list_transform(ws, lambda x: levenshtein(x, 'steal') / greatest(len(x), 5))), 1.0) END AS distance FROM w) SELECT p_partkey, round(distance, 6) AS distance FROM d WHERE distance <= 0.4"
+    " d AS (SELECT p_partkey, CASE WHEN contains(t, 'medum') THEN 0.0 ELSE coalesce(list_min(list_transform(ws, lambda x: levenshtein(x, 'medum') / greatest(len(x), 5))), 1.0) END AS distance FROM w) SELECT p_partkey, round(distance, 6) AS distance FROM d WHERE distance <= 0.4"
 )
 def d17_fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.fuzzy_search(table(spark, sf_dir, "part"), "Steal", ["p_type"]).select("p_partkey", F.round("distance", 6).alias("distance"))
+    return matching.fuzzy_search(table(spark, sf_dir, "part"), "Medum", ["p_type"]).select("p_partkey", F.round("distance", 6).alias("distance"))
 
 
 @query("SELECT p_partkey, p_name AS title, CASE WHEN p_size % 2 = 0 THEN 'https://referral.example/go?sid=s&pid=p&vc_url=' || url_encode('https://c.example/' || p_partkey) ELSE 'https://referral.example/x' END AS url, p_brand AS image, CASE WHEN p_size % 3 = 0 THEN 'c' ELSE p_type END AS shop FROM part WHERE p_size % 4 <> 0")
