@@ -83,6 +83,15 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows of ids that may be sent to every executor: some 64 MB there. More are shuffled instead.
+MOST_BROADCAST_IDS = 4_000_000
+
+
+def if_small(ids: DataFrame, most: int = MOST_BROADCAST_IDS) -> DataFrame:
+    """``ids``, marked for broadcast if they are counted to be no more than ``most``; a larger table is left to a shuffled join."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a slice holds about ``most_bytes`` of text, or one row that is longer."""
     for batch in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fennelmill.llm.common import materialise, slices
+from fennelmill.llm.common import if_small, materialise, slices
 from fennelmill.llm.components import components
 
 #: Words of a shingle; coordinates of a sketch; bands and coordinates of a band. Two sets of similarity 0.75 meet in no
@@ -151,6 +151,11 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, items array<long>")
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each of the ids; texts of others are not shuffled while the ids are few enough to broadcast."""
+    return docs.join(if_small(ids), "id", "left_semi").dropDuplicates(["id"])
+
+
 def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose whole shingle sets have ``100 * intersection >= percent * union``.
 
@@ -158,8 +163,8 @@ def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, percent: int)
     """
     n_a, n_b = sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b"))
     pairs = materialise(pairs.join(n_a, "a").join(n_b, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"), "pairs")
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialise(shingle_sets(docs.join(named, "id", "left_semi").dropDuplicates(["id"])), "sets")
+    named = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "named")
+    sets = materialise(shingle_sets(_texts_of(docs, named)), "sets")
     of_a, of_b = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
     common = F.size(F.array_intersect("items_a", "items_b"))
     return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "n_a", "n_b", common.alias("c")).where(f"100 * c >= {percent} * (n_a + n_b - c)").select("a", "b")
@@ -208,7 +213,7 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_column: str = "doc_id",
 def drop_duplicates(df: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``df`` whose ids :func:`near_duplicates` keeps, and all rows without an id."""
     lost = near_duplicates(df, percent, id_column, text_column).where("not kept").select(F.col(id_column).alias("__lost")).distinct()
-    return df.join(materialise(lost, "lost"), F.col(f"`{id_column}`") == F.col("__lost"), "left_anti")
+    return df.join(if_small(materialise(lost, "lost")), F.col(f"`{id_column}`") == F.col("__lost"), "left_anti")
 
 
 def _unsettled(buckets: DataFrame, found: DataFrame) -> DataFrame:
@@ -243,7 +248,7 @@ def _rest_links(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     kind = rest.schema["id"].dataType.simpleString()
     large = rest.groupBy("component").agg(F.count("*").alias("size"))
     rest = materialise(rest.join(large, "component").select("id", "component", "size"), "rest")
-    sets = materialise(shingle_sets(docs.join(rest.select("id"), "id", "left_semi").dropDuplicates(["id"])), "sets")
+    sets = materialise(shingle_sets(_texts_of(docs, rest.select("id"))), "sets")
     first = _prefixes(sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item")), percent)
     first = materialise(first.join(rest, "id").select("id", "n", "item", "rare", F.struct("size", "component").alias("own")), "prefixes")
     mixed = first.groupBy("item").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x < y").select("item")
