@@ -99,7 +99,7 @@ def plan(docs: DataFrame, entropy_share: float, repeat_limit: float) -> DataFram
     each = each.withColumn("upto", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     slot = F.when(F.col("all_tokens") > 0, (F.col("pass") * F.col("all_tokens") + F.col("upto")) / (F.col("repeats") * F.col("all_tokens"))).otherwise(0.0)
     partial = F.col("pass") == F.col("passes")
-    each = each.withColumn("slot", slot).withColumn("whole", partial & (F.col("upto") + F.col("tokens") <= F.col("budget"))).withColumn("left", F.when(partial & (F.col("upto") < F.col("budget")) & ~F.col("whole"), F.col("budget") - F.col("upto")))
+    each = each.withColumn("slot", slot).withColumn("whole", partial & (F.col("budget") > 0) & (F.col("upto") + F.col("tokens") <= F.col("budget"))).withColumn("left", F.when(partial & (F.col("upto") < F.col("budget")) & ~F.col("whole"), F.col("budget") - F.col("upto")))
     by_block = materialise(
         each.groupBy("skey", "block").agg(
             F.max("weight").alias("weight"), F.max("passes").alias("passes"), F.transform(F.array_sort(F.collect_list(F.struct("pass", "slot"))), lambda s: s["slot"]).alias("slots"), F.bool_or("whole").alias("whole"), F.max("left").alias("left")
