@@ -83,13 +83,17 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-#: Rows of ids that may be sent to every executor: some 64 MB there. More are shuffled instead.
-MOST_BROADCAST_IDS = 4_000_000
+#: Rows of ids, or of spans, that may be sent to every executor: some 64 MB there. More are shuffled instead.
+MOST_BROADCAST = 3_000_000
 
 
-def if_small(ids: DataFrame, most: int = MOST_BROADCAST_IDS) -> DataFrame:
-    """``ids``, marked for broadcast if they are counted to be no more than ``most``; a larger table is left to a shuffled join."""
-    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+def if_small(df: DataFrame, values: str = "1", most: int = MOST_BROADCAST) -> DataFrame:
+    """``df``, marked for broadcast if it is counted to hold no more than ``most`` values; a larger table is left to a shuffled join.
+
+    ``values`` is SQL for how many values a row holds.
+    """
+    held = df.agg(F.sum(F.expr(values))).first()[0] or 0
+    return F.broadcast(df) if held <= most else df
 
 
 def slices(batches: Iterator[pa.RecordBatch], text_column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fennelmill.llm.common import materialise
+from fennelmill.llm.common import if_small, materialise
 from fennelmill.llm.spans import add_matches, tagged, written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -148,7 +148,7 @@ def redact(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     spans = find_personal_data(df, id_column=id_column, text_column=text_column)
     every = F.concat("base", "found")
     hit = spans.where(F.size("base") + F.size("found") > 0).select(F.col(id_column).alias("__of_id"), F.col("text_hash").alias("__of_hash"), F.array_sort(every).alias("__spans"))
-    hit = materialise(hit.dropDuplicates(["__of_id", "__of_hash"]), "redactions")
+    hit = if_small(materialise(hit.dropDuplicates(["__of_id", "__of_hash"]), "redactions"), "2 + 3 * size(__spans)")
     text = F.col(f"`{text_column}`")
     joined = df.withColumn("__hash", F.xxhash64(text.cast("string"))).join(hit, F.col(f"`{id_column}`").eqNullSafe(F.col("__of_id")) & (F.col("__hash") == F.col("__of_hash")), "left")
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
