@@ -18,12 +18,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fennelmill.llm.common import slices
+from fennelmill.llm.common import slices, small_batches
 
 #: Fixed value: the split pattern of the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens kept by a worker, and the longest kept; beyond them encoding is repeated, never skipped.
-KEPT_WORDS, KEPT_CHARS = 800_000, 64
+KEPT_WORDS, KEPT_CHARS = 400_000, 64
 _SHIFT = 20
 
 
@@ -177,10 +177,11 @@ def encode_decode(df: DataFrame, tokenizer_path: str, id_column: str = "doc_id",
     """
     source = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(tokenizer_path)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 2 << 20):
             coded = tool.encode([t or "" for t in part.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(coded, pa.binary()), pa.array(map(tool.decode, coded), pa.string())], ["id", "ids", "decoded"])
 

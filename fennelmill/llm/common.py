@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -32,16 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
-    """While a job runs, hand rows to Python workers in batches that stay small even where texts are long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Hand rows to this session's Python workers in batches that stay small even where texts are long.
+
+    Spark's default of 10,000 rows makes batches of many megabytes, which both sides of the pipe hold several times. A
+    session that sets another number keeps it.
+    """
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, rows)
 
 
 _made: list[tuple[SparkSession, str]] = []
@@ -68,8 +68,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    with small_batches(spark):
-        df.write.parquet(path)
+    small_batches(spark)
+    df.write.parquet(path)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -109,6 +109,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_column: str, most_bytes: int
                 start, held = i, 0
             held += n
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def words_count(text) -> "F.Column":

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fennelmill.llm.common import SEPARATORS, slices
+from fennelmill.llm.common import SEPARATORS, slices, small_batches
 
 #: The characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -116,6 +116,7 @@ def _judged(df: DataFrame, rules: LineRules, text_column: str, carried: list[str
     prefix = "" if len(carried) == 1 and carried[0] != text_column else "__"
     source = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)), F.col(f"`{text_column}`").cast("string").alias("text"))
     schema = ", ".join(f"c{i} {source.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(carried)))
+    small_batches(df.sparkSession)
     longs = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines_removed", "chars_lost", "chars_seen")
 
     names = [*(f"c{i}" for i in range(len(carried))), *longs, "base_failed", "kept", "cleaned"]

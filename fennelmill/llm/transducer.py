@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fennelmill.llm.bpe import Vocabulary
-from fennelmill.llm.common import slices
+from fennelmill.llm.common import slices, small_batches
 
 _NEVER = 1 << 30
 #: States that a worker keeps; when there are more, those not in use are forgotten and made again when reached.
@@ -368,6 +368,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, limit: int = 512, id_column
     counted whole, as a slice of its own.
     """
     source = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    small_batches(df.sparkSession)
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
