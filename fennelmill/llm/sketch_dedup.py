@@ -173,6 +173,9 @@ def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, percent: int)
 def near_duplicates(df: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` for each row of documents.
 
+    Sides of joins that are sums over a key are written before they are joined, so that both sides come straight from a
+    shuffle and adaptive execution can split a hot key's rows.
+
     Words are runs of other characters than the space and \\t \\n \\v \\f \\r, with A-Z in lower case; a set holds the
     distinct five-word shingles as 64-bit hashes, or the whole sequence where there are fewer words. Documents link if
     ``100 * intersection >= percent * union`` of their whole sets; a component is named by its smallest id, which is kept.
@@ -188,12 +191,14 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_column: str = "doc_id",
     """
     docs = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     made = materialise(sketch_table(docs), "sketches")
-    classes = made.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("head"))
-    member = materialise(made.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("head", "id")).alias("head")), "members")
-    heads = classes.select(F.col("head").alias("id"))
-    sizes = made.select("id", "n").where("id is not null").join(heads, "id", "left_semi").groupBy("id").agg(F.max("n").alias("n"))
-    rows = made.select("id", F.explode("bands").alias("key")).where("id is not null").join(heads, "id", "left_semi").distinct()
-    crowded = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot < most").select("key", "pivot")
+    copied = made.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last")
+    classes = materialise(copied.select("digest", "head"), "classes")
+    named = made.join(classes, "digest", "left").withColumn("head", F.when(F.col("id").isNotNull(), F.coalesce("head", "id")))
+    member = materialise(named.select("id", "n", "head", F.when(F.col("head") == F.col("id"), F.col("bands")).alias("bands")), "members")
+    first = member.where("head = id and n > 0")
+    sizes = first.select("id", "n").groupBy("id").agg(F.max("n").alias("n"))
+    rows = first.select("id", F.explode("bands").alias("key"))
+    crowded = materialise(rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot < most").select("key", "pivot"), "crowded")
     buckets = materialise(rows.join(crowded, "key"), "buckets")
     sizes = materialise(sizes, "sizes")
     copies = member.where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b"))
@@ -220,7 +225,7 @@ def _unsettled(buckets: DataFrame, found: DataFrame) -> DataFrame:
     """``(id, component)`` of documents that share a bucket with one of another component."""
     named = buckets.join(found, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
     several = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    return materialise(named.join(several, "key", "left_semi").select("id", "component").distinct(), "rest")
+    return materialise(named.join(materialise(several, "crowded"), "key", "left_semi").select("id", "component").distinct(), "rest")
 
 
 def _prefixes(items: DataFrame, percent: int) -> DataFrame:
@@ -231,7 +236,7 @@ def _prefixes(items: DataFrame, percent: int) -> DataFrame:
     latter. Items that no other set holds are counted but not returned. In order of rarity a passage that many documents
     hold comes last, so it brings together only documents that hold little else.
     """
-    common = items.groupBy("item").agg(F.count("*").alias("f")).where("f > 1")
+    common = materialise(items.groupBy("item").agg(F.count("*").alias("f")).where("f > 1"), "common")
     by_id = Window.partitionBy("id")
     ranked = items.join(common, "item").select("id", "n", "item", (F.row_number().over(by_id.orderBy("f", "item")) + F.col("n") - F.count("*").over(by_id)).alias("place"))
     upto = lambda over, under: f"n - (n * {over} + {under - 1}) div {under} + 1"
@@ -252,8 +257,8 @@ def _rest_links(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     first = _prefixes(sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item")), percent)
     first = materialise(first.join(rest, "id").select("id", "n", "item", "rare", F.struct("size", "component").alias("own")), "prefixes")
     mixed = first.groupBy("item").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x < y").select("item")
-    first = first.join(mixed, "item", "left_semi")
-    goals = first.groupBy("item", F.col("own").alias("goal")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min(F.when(F.col("rare"), F.col("n"))).alias("rare_from"))
+    first = materialise(first.join(materialise(mixed, "mixed"), "item", "left_semi"), "prefixes")
+    goals = materialise(first.groupBy("item", F.col("own").alias("goal")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min(F.when(F.col("rare"), F.col("n"))).alias("rare_from")), "goals")
     sizes_fit = f"100 * n >= {percent} * least and {percent} * n <= 100 * most"
     met = materialise(first.join(goals, "item").where(f"own < goal and {sizes_fit} and ((rare and most >= n) or coalesce(rare_from <= n, false))").select("id", "goal").distinct().select("id", F.col("goal.component").alias("component"), F.col("goal.size").alias("size")), "met")
     members = rest.select(F.col("id").alias("b"), "component", "size")
