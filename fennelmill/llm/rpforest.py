@@ -123,7 +123,7 @@ def links_of(classes: DataFrame, cosine: float, rules: Forest) -> DataFrame:
 
     dealt = materialise(classes.select("head", "label", "d", "embedding").mapInArrow(deal, f"tree int, leaf int, label {classes.schema['label'].dataType.simpleString()}, d int, head {kind}, embedding array<float>"), "leaves")
     group = ["tree", "leaf", "label", "d"]
-    sizes = dealt.groupBy(*group).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / rules.block).cast("int"))
+    sizes = materialise(dealt.groupBy(*group).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / rules.block).cast("int")), "sizes")
     placed = dealt.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("head"), F.col("blocks")).cast("int"))
     # every pair of a large leaf's blocks is one group: a row goes to as many as there are blocks
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
