@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fennelmill.llm.common import slices
+from fennelmill.llm.common import slices, small_batches
 
 #: Frequent words of the languages expected, lower case.
 STOP_WORDS = frozenset(
@@ -36,11 +36,16 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in a class, id or role that name a region without main text.
 _REGION = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising|orial)?|sponsor(?:ed|s)?|promo(?:tion|ted)?|banner|sidebar|side-bar|menu|nav(?:bar|igation)?|breadcrumbs?|footer|foot|masthead|topbar|toolbar|pagination|pager"
+    r"(?:^|[\s_-])(?<!\bhas-)(?<!\bno-)(?<!\bwith-)(?<!\bwithout-)(?:ads?|advert(?:s|isement|ising|orial)?|sponsor(?:ed|s)?|promo(?:tion|ted)?|banner|sidebar|side-bar|menu|nav(?:bar|igation)?|breadcrumbs?|footer|foot|masthead|topbar|toolbar|pagination|pager"
     r"|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|comments?|commentlist|respond|replies|reply|disqus|discussion|related|recommended|recommendations|trending|popular"
-    r"|share|sharing|social|widgets?|tags|toc|search|skip|copyright|legal|complementary|contentinfo|search)(?:$|[\s_-])",
+    r"|share|sharing|social|widgets?|tags|toc|search|skip|copyright|legal|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
+#: The same outside articles only, and for article elements themselves, whose classes often name topics.
+_PAGE_HEAD = re.compile(r"(?:^|[\s_-])(?:header|head|hero|branding)(?:$|[\s_-])", re.I)
+_OTHER_ARTICLE = re.compile(r"(?:^|\s)(?:comments?(?:-\S+)?|repl(?:y|ies)|related\S*|ads?|advert\S*|sponsor\S*|promo\S*|teaser\S*|recommended\S*)(?:$|\s)", re.I)
+#: Names of the element that holds the article on pages without an article element.
+_CONTENT = re.compile(r"(?:^|\s)(?:main|content|main[_-]?content|page[_-]content|article|article[_-](?:body|content|text)|post|post[_-](?:body|content|text)|entry|entry[_-]content|story|story[_-]body|blog[_-]post|text)(?:$|\s)", re.I)
 _PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden))", re.I)
@@ -67,6 +72,7 @@ class Block:
     heading: bool
     container: int
     region: bool
+    marked: bool = False
     label: str = ""
 
 
@@ -75,9 +81,10 @@ def blocks_of(html: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, whether each bars text, article it opens
+    stack: list[tuple[str, bool, list[int] | None]] = []  # open elements: name, whether each bars text, surroundings it opens
     barred = articles = link = heading = breaks = 0
-    container: list[int] = []
+    marked: list[int] = []  # articles open by element, and by name
+    named: list[int] = []
 
     def flush() -> None:
         nonlocal breaks
@@ -85,7 +92,7 @@ def blocks_of(html: str) -> list[Block]:
         text = " ".join(unescape("".join(parts)).split()) if parts else ""
         if text:
             size = len(" ".join(unescape(" ".join(linked)).split())) if linked else 0
-            out.append(Block(text, size, heading > 0, container[-1] if container else 0, barred > 0))
+            out.append(Block(text, size, heading > 0, (marked or named or [0])[-1], barred > 0, bool(marked)))
         parts.clear()
         linked.clear()
 
@@ -96,8 +103,8 @@ def blocks_of(html: str) -> list[Block]:
             barred -= bars
             link -= name == "a"
             heading -= name in HEADINGS
-            if article:
-                container.pop()
+            if article is not None:
+                article.pop()
 
     at, size = 0, len(html)
     while at < size:
@@ -157,15 +164,20 @@ def blocks_of(html: str) -> list[Block]:
                     break
                 if stack[i][0] in BLOCK_TAGS:
                     break
-        inside = bool(container)
+        inside = bool(marked or named)
         bars = name in REGION_TAGS or (name == "header" and not inside)
-        if attributes and not bars and name not in ("html", "body", "article", "main"):
-            bars = any(_REGION.search(next(filter(None, x.groups()), "")) for x in _NAMED.finditer(attributes)) or bool(_HIDDEN.search(attributes))
-        article = 0
-        if name in ("article", "main") and not barred:
+        names = " ".join(next(filter(None, x.groups()), "") for x in _NAMED.finditer(attributes)) if attributes else ""
+        if attributes and not bars and name not in ("html", "body", "main"):
+            bars = bool(_HIDDEN.search(attributes) or names and (_OTHER_ARTICLE if name == "article" else _REGION).search(names) or names and not inside and name in ("div", "section") and _PAGE_HEAD.search(names))
+        article = None
+        if not barred and not bars:
+            if name in ("article", "main"):
+                article = marked
+            elif name in ("div", "section", "td") and names and _CONTENT.search(names):
+                article = named
+        if article is not None:
             articles += 1
-            article = articles
-            container.append(article)
+            article.append(articles)
         barred += bars
         link += name == "a"
         heading += name in HEADINGS
@@ -224,8 +236,10 @@ def second_pass(blocks: list[Block]) -> None:
 def main_text(html: str, rules: BlockRules = BlockRules()) -> str:
     """The page's main text: its good blocks in order, one to a line."""
     blocks = blocks_of(html)
-    if any(b.container for b in blocks):
-        blocks = [b for b in blocks if b.container or b.region]
+    if any(b.marked and not b.region for b in blocks):
+        blocks = [b for b in blocks if b.marked]
+    elif any(b.container and not b.region for b in blocks):
+        blocks = [b for b in blocks if b.container]
     for b in blocks:
         b.label = first_pass(b, rules)
     second_pass(blocks)
@@ -243,6 +257,7 @@ def extract(df: DataFrame, rules: BlockRules = BlockRules(), html_column: str =
     """
     kept = [c for c in df.columns if c not in (html_column, "text", "n_chars")]
     source = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(f"`{html_column}`").cast("string").alias("html"))
+    small_batches(df.sparkSession)
     schema = ", ".join(f"c{i} {source.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(kept)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
