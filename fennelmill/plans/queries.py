@@ -241,22 +241,27 @@ def d6_pros_cons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH base AS (SELECT item_id AS pos, text FROM benchmark), b AS (SELECT doc_id AS pos, text FROM documents WHERE doc_id % 2 = 0), c AS (SELECT doc_id AS pos, text FROM documents WHERE doc_id % 2 = 1),"
+    f"WITH base AS (SELECT item_id AS pos, text FROM benchmark), b AS (SELECT doc_id AS pos, text FROM documents), c AS (SELECT conv_id * 1000 + turn AS pos, text FROM conversations),"
     f" lt AS (SELECT pos, unnest({_TOKENS_SQL.format(c='text')}) AS k FROM base), bt AS (SELECT pos, unnest({_TOKENS_SQL.format(c='text')}) AS k FROM b), ct AS (SELECT pos, unnest({_TOKENS_SQL.format(c='text')}) AS k FROM c),"
     " mb AS (SELECT l, arg_max(r, (n, -r)) AS m FROM (SELECT lt.pos AS l, bt.pos AS r, count(*) AS n FROM lt JOIN bt USING (k) GROUP BY ALL HAVING count(*) >= 2) GROUP BY 1), mc AS (SELECT l, arg_max(r, (n, -r)) AS m FROM (SELECT lt.pos AS l, ct.pos AS r, count(*) AS n FROM lt JOIN ct USING (k) GROUP BY ALL HAVING count(*) >= 2) GROUP BY 1)"
-    " SELECT pos, 'a' || pos AS link_a, coalesce('d' || mb.m, '') AS link_b, coalesce('d' || mc.m, '') AS link_c, 3.8::DOUBLE AS score FROM base LEFT JOIN mb ON mb.l = pos LEFT JOIN mc ON mc.l = pos"
+    " SELECT pos, 'a' || pos AS link_a, coalesce('d' || mb.m, '') AS link_b, coalesce('c' || mc.m, '') AS link_c, 3.8::DOUBLE AS score FROM base LEFT JOIN mb ON mb.l = pos LEFT JOIN mc ON mc.l = pos"
 )
 def d7_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing = F.lit(None).cast("string")
     base = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("title"), F.lit(0).cast("long").alias("price"), F.concat(F.lit("a"), F.col("item_id")).alias("url"), nothing.alias("image"), F.lit(None).cast("array<string>").alias("features"))
-    pool = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("title"), F.concat(F.lit("d"), F.col("doc_id")).alias("url"))
-    return articles.enriched(base, pool.where("pos % 2 = 0"), pool.where("pos % 2 = 1")).select("pos", "link_a", "link_b", "link_c", "score")
+    pool = lambda df, key, mark: df.select(key.alias("pos"), F.col("text").alias("title"), F.concat(F.lit(mark), key).alias("url"))
+    pool_b = pool(table(spark, sf_dir, "documents"), F.col("doc_id"), "d")
+    pool_c = pool(table(spark, sf_dir, "conversations"), F.col("conv_id") * 1000 + F.col("turn"), "c")
+    return articles.enriched(base, pool_b, pool_c).select("pos", "link_a", "link_b", "link_c", "score")
+
+
+_FIVE = "t AS (SELECT *, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS place FROM part QUALIFY place <= 5)"
 
 
 @query(
-    "WITH p AS (SELECT p_partkey AS k, p_name, p_size, CAST(floor(p_retailprice) AS BIGINT) AS price, round(least(3.8::DOUBLE + CASE WHEN p_size % 5 > 3 THEN 0.5 ELSE 0.0 END::DOUBLE, 5.0), 1) AS score FROM part WHERE p_partkey BETWEEN 1 AND 5)"
-    " SELECT 'building-blocks' AS slug, 'First seen: ' || left((SELECT p_name FROM part WHERE p_partkey = 1), 15) || '... and what it offers' AS title, '2024-02-01T09:30:00+09:00' AS date, 'new_arrival' AS signal_type, 'new' AS signal_type_label,"
-    " (SELECT string_agg(CAST(k AS VARCHAR), ',' ORDER BY score DESC, k) FROM p) AS products, (SELECT string_agg(p_name, ',' ORDER BY k) FROM p WHERE k <= 3) AS books, 'ブロック,guide,comparison' AS tags"
+    f"WITH {_FIVE}, p AS (SELECT p_partkey AS k, place, p_name, round(least(3.8::DOUBLE + CASE WHEN p_size % 5 > 3 THEN 0.5 ELSE 0.0 END::DOUBLE, 5.0), 1) AS score FROM t)"
+    " SELECT 'building-blocks' AS slug, 'First seen: ' || left((SELECT p_name FROM p WHERE place = 1), 15) || '... and what it offers' AS title, '2024-02-01T09:30:00+09:00' AS date, 'new_arrival' AS signal_type, 'new' AS signal_type_label,"
+    " (SELECT string_agg(CAST(k AS VARCHAR), ',' ORDER BY score DESC, place) FROM p) AS products, (SELECT string_agg(p_name, ',' ORDER BY place) FROM p WHERE place <= 3) AS books, 'ブロック,guide,comparison' AS tags"
 )
 def d8_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = _article(spark, sf_dir)
@@ -265,8 +270,9 @@ def d8_article(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _article(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An article of a few parts, which stand in for all feeds."""
-    part = table(spark, sf_dir, "part").where("p_partkey BETWEEN 1 AND 5").withColumn("pos", F.col("p_partkey") - 1)
+    """An article of the five dearest parts, which stand in for all feeds."""
+    top = relational.top_rows(table(spark, sf_dir, "part"), 5, F.desc("p_retailprice"), "p_partkey")
+    part = relational.numbered(top, F.desc("p_retailprice"), "p_partkey").withColumn("pos", F.col("place") - 1)
     nothing = F.lit(None).cast("string")
     features = F.slice(F.array(*[F.lit(f"feature {i}") for i in range(5)]), F.lit(1), F.col("p_size") % 5)
     base = part.select("pos", F.col("p_partkey").cast("string").alias("item_id"), F.col("p_name").alias("title"), F.floor("p_retailprice").alias("price"), F.concat(F.lit("https://a.example/"), "p_partkey").alias("url"), nothing.alias("image"), features.alias("features"))
@@ -279,14 +285,13 @@ def _article(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT '# First seen: ' || left((SELECT p_name FROM part WHERE p_partkey = 1), 15) || '... and what it offers' AS first_line, 1::BIGINT AS n, 5::BIGINT AS sections, 3::BIGINT AS videos,"
-    " (SELECT count(*) FROM part WHERE p_partkey BETWEEN 1 AND 5 AND floor(p_retailprice) = (SELECT min(floor(p_retailprice)) FROM part WHERE p_partkey BETWEEN 1 AND 5)) AS lowest"
+    f"WITH {_FIVE} SELECT '# First seen: ' || left((SELECT p_name FROM t WHERE place = 1), 15) || '... and what it offers' AS first_line, 5::BIGINT AS sections, 3::BIGINT AS videos, (SELECT count(*) FROM t WHERE floor(p_retailprice) = (SELECT min(floor(p_retailprice)) FROM t)) AS lowest"
 )
 def d10_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = render.rendered(_article(spark, sf_dir), "2024-02-01")
     text = F.col("content")
     return page.select(
-        F.regexp_extract(text, r"(?m)^(# .*)$", 1).alias("first_line"), F.lit(1).cast("long").alias("n"), F.regexp_count(text, F.lit(r"(?m)^#### Features")).cast("long").alias("sections"),
+        F.regexp_extract(text, r"(?m)^(# .*)$", 1).alias("first_line"), F.regexp_count(text, F.lit(r"(?m)^#### Features")).cast("long").alias("sections"),
         F.regexp_count(text, F.lit("<iframe")).cast("long").alias("videos"), F.regexp_count(text, F.lit(r"\(lowest\)")).cast("long").alias("lowest"),
     )
 
