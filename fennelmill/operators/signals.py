@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fennelmill import schemas
@@ -23,15 +23,16 @@ def arrivals(feed: DataFrame, history: DataFrame, announced: str = ANNOUNCED, co
     """Signals of items that are new or announced, from ``(pos, item_code, title, url, image, price)``.
 
     An item is new if its code is neither in the history nor on an earlier row of the feed; rows without a code are
-    always new. A NULL title matches nothing. The history side of the join holds one row for each known code, so its
-    size is the join's to judge: adaptive execution broadcasts it only while it is small.
+    always new. A NULL title matches nothing. First positions are a map-side minimum, known codes leave by an anti-join
+    of one row a code, and the flag comes back by code *and* position: no code, and no lack of one, makes a hot group.
     """
     code = S.truthy("item_code")
-    nth = F.row_number().over(Window.partitionBy("item_code").orderBy("pos"))
-    known = history.select(F.col("item_code").alias("known_code")).distinct()
-    rows = feed.withColumn("nth", nth).join(known, code == F.col("known_code"), "left")
-    is_new = code.isNull() | (F.col("known_code").isNull() & (F.col("nth") == 1))
-    rows = rows.withColumn("is_new", is_new).withColumn("is_announced", S.matches("title", announced)).withColumn("is_collaboration", S.matches("title", collaboration)).where("is_new or is_announced")
+    coded, uncoded = feed.where(code.isNotNull()), feed.where(code.isNull())
+    known = history.select(F.col("item_code").alias("code")).where("code is not null").distinct()
+    fresh = coded.groupBy(F.col("item_code").alias("code")).agg(F.min("pos").alias("first")).join(known, "code", "left_anti")
+    flagged = coded.join(fresh, (F.col("item_code") == F.col("code")) & (F.col("pos") == F.col("first")), "left").withColumn("is_new", F.col("code").isNotNull())
+    rows = flagged.select(*feed.columns, "is_new").unionByName(uncoded.withColumn("is_new", F.lit(True)))
+    rows = rows.withColumn("is_announced", S.matches("title", announced)).withColumn("is_collaboration", S.matches("title", collaboration)).where("is_new or is_announced")
     score = F.col("is_new").cast("int") * NEW + F.col("is_announced").cast("int") * ANNOUNCED_SCORE + F.col("is_collaboration").cast("int") * COLLABORATION_SCORE
     kind = F.when(F.col("is_new"), "new_arrival").otherwise("preorder")
     return rows.select(kind.alias("type"), "item_code", "title", "url", "image", "price", F.lit(None).cast("int").alias("jump"), score.cast("double").alias("score"), F.lit(0).alias("branch"), F.col("pos").cast("long").alias("pos"))
