@@ -158,3 +158,8 @@ def text(c: Column | str) -> Column:
 def page_of(place: Column | str, size: int = 10) -> Column:
     """The page, from 1, on which the row with this place, from 1, stands."""
     return (F.floor((col(place) - 1) / size) + 1).cast("int")
+
+
+def map_value(c: Column | str, key: Column | str, default: object = None) -> Column:
+    """A map's value, or the default where the key is missing or NULL stands under it."""
+    return path(F.try_element_at(col(c), col(key) if isinstance(key, Column) else F.lit(key)), default)

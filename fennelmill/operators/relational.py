@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -69,6 +69,12 @@ def collected(df: DataFrame, keys: Sequence[str], order: Sequence[Column], eleme
     return df.groupBy(*keys).agg(F.transform(rows, lambda r: r["element"]).alias(name))
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """``df`` and an observation of its row count, taken as it is written: no second pass."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
 def tag_counts(df: DataFrame, tags: str) -> DataFrame:
     """How many rows carry each tag (an extension of tag listings)."""
     return df.select(F.explode(F.array_distinct(tags)).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))

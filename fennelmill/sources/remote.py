@@ -14,8 +14,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
-from fennelmill.functions import scalars  # noqa: F401  (shipped with the package)
-
 
 @dataclass
 class Request:
@@ -144,6 +142,7 @@ ENDPOINTS = {
     "hits_c": Endpoint("/c/search", "hits", {"in_stock": "true"}, {"keyword": ("query", ""), "results": ("results", 5, 1, 50), "sort": ("sort", "-score"), "image_size": ("image_size", 300, 76, 600)}),
     "books": Endpoint("/books", "items", {"maxResults": 3, "orderBy": "relevance"}, {"keyword": ("q", "")}, "empty_5xx"),
     "videos": Endpoint("/videos", "items", {"part": "snippet", "maxResults": 5, "type": "video"}, {"keyword": ("q", "")}, "empty"),
+    "catalogue_a": Endpoint("/a", "items", {}),
 }
 
 
@@ -156,13 +155,27 @@ def int_option(raw: str | None, default: int, low: int, high: int) -> int:
 
 
 def parameters(name: str, options: dict) -> dict:
-    """The parameters of a request, with options in their bounds."""
+    """The parameters of a request, with options in their bounds. Option ``suffix`` follows a keyword, as with video searches."""
     endpoint, out = ENDPOINTS[name], dict(ENDPOINTS[name].fixed)
     for option, (parameter, default, *bounds) in endpoint.options.items():
         out[parameter] = int_option(options.get(option), default, *bounds) if bounds else options.get(option) or default
+        if option == "keyword" and options.get("suffix"):
+            out[parameter] = f"{out[parameter]} {options['suffix']}".strip()
     return out
 
 
+def catalogue(transport: Transport, options: dict) -> dict:
+    """The items of a lookup (option ``ids``, by commas), a search (option ``keyword``), or both; ``resources`` asks for fewer fields."""
+    client = CatalogueClient(transport, "", options.get("application", "app"), options.get("credential", "id"), options.get("secret", ""), options.get("tag", ""), token_url="/token", new_token_url="/token")
+    resources = [r for r in options.get("resources", "").split(",") if r] or None
+    items: list = []
+    if options.get("ids"):
+        items += (client.get_items(options["ids"].split(","), resources).get("itemsResult") or {}).get("items") or []
+    if options.get("keyword"):
+        items += (client.search_items(options["keyword"], count=int_option(options.get("results"), 10, 1, 10), resources=resources).get("searchResult") or {}).get("items") or []
+    return {"items": items}
+
+
 def fetch(name: str, transport: Transport, options: dict, base: str = "") -> dict:
     """An endpoint's response, or an empty one where its failure is not fatal."""
     endpoint = ENDPOINTS[name]
@@ -234,7 +247,8 @@ class FeedReader(DataSourceReader):
             items = [{"title": "mock item", "name": "mock item"}] if self.options.get("mock") == "true" else []
             response = {endpoint.items: items}
         else:
-            response = fetch(name, Recorded(json.loads(self.options["recorded"])), self.options | ({"keyword": self.keyword} if self.keyword else {}))
+            transport, options = Recorded(json.loads(self.options["recorded"])), self.options | ({"keyword": self.keyword} if self.keyword else {})
+            response = catalogue(transport, options) if name == "catalogue_a" else fetch(name, transport, options)
         yield name, self.keyword, json.dumps(response, ensure_ascii=False)
 
 

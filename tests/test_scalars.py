@@ -79,3 +79,16 @@ def test_tokens_and_encoding_agree_with_python(spark, texts):
 
 def test_null_safe_text(spark):
     assert one(spark, None, F.concat(S.text("x"), F.lit("!"))) == "!"
+
+
+def test_map_value(spark):
+    df = spark.createDataFrame([({"a": 3, "n": None},), (None,)], "m map<string,int>")
+    assert [tuple(r) for r in df.select(S.map_value("m", "a", 101).alias("a"), S.map_value("m", "b", 101).alias("b"), S.map_value("m", "n", 101).alias("n")).collect()] == [(3, 101, 101), (101, 101, 101)]
+
+
+def test_counts_are_observed(spark):
+    from fennelmill.operators.relational import counted
+
+    df, seen = counted(spark.range(7), "rows_written")
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get["rows"] == 7

@@ -154,6 +154,44 @@ def test_feed_source(spark):
     assert remote.fetch("ranking_b", remote.Recorded({}), {}) == {"Items": []}
 
 
+def test_catalogue_source(spark):
+    remote.register(spark)
+    item = lambda i: {"asin": i, "itemInfo": {"title": {"displayValue": f"t{i}"}}}
+    recorded = {"/token": {"status": 200, "body": {"access_token": "t"}}, "/getItems": {"status": 200, "body": {"itemsResult": {"items": [item("A")]}}}, "/searchItems": {"status": 404, "body": {}}}
+    got = spark.read.format("feed").options(feed="catalogue_a", recorded=json.dumps(recorded), ids="A", keyword="k").load().select(F.from_json("response", schemas.RESPONSE_A).alias("r")).select("r.*")
+    from fennelmill.operators import offers
+
+    assert [(r.item_id, r.title) for r in offers.catalogue_a(got).collect()] == [("A", "tA")]
+    assert remote.parameters("videos", {"keyword": "k", "suffix": "review"})["q"] == "k review"
+
+
+def test_daily_run(spark, tmp_path):
+    from fennelmill.plans import daily
+
+    at = [str(tmp_path / n) for n in ("raw", "state", "articles", "posts", "queue", "topics")]
+    layout = daily.Layout(*at)
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    put = lambda name, doc: (raw / f"{name}.json").write_text(json.dumps(doc))
+    put("search_b", {"items": [{"title": "red toy x", "item_code": "c1", "url": "ub", "price": 5}, {"title": "限定 toy", "item_code": "c2", "url": "u2", "price": 6}]})
+    put("ranking_b", {"items": [{"title": "r", "item_code": "c9", "rank": 90}]})
+    put("catalogue_a", {"items": [{"item_id": "A", "title": "toy red", "price": 7, "features": ["f"], "url": "ua"}]})
+    put("trends", {"top_queries": [{"query": "a b", "traffic": "5+"}]})
+    when = datetime(2024, 2, 1, 8)
+    assert [(r.type, r.item_code, r.score) for r in daily.detect(spark, layout, "r1", when).collect()] == [("new_arrival", "c2", 7.0)]
+    put("ranking_b", {"items": [{"title": "r", "item_code": "c9", "rank": 60}]})
+    assert [(r.type, r.jump) for r in daily.detect(spark, layout, "r2", datetime(2024, 2, 2, 8)).collect()] == [("sudden_jump", 30)]
+    topic = daily.next_topic(spark, layout, "r2", when)
+    assert topic.first().keyword == "toys"
+    doc = daily.write_article(spark, layout, topic, spark.createDataFrame([], "pos int, title string, url string"), when).first()
+    assert (doc.slug, doc.signal_type, [(p.item_id, p.link_b) for p in doc.products]) == ("baby-toy", "sudden_jump", [("A", "ub")])
+    posts = daily.render_posts(spark, layout, when)
+    assert [r.name for r in posts.collect()] == ["baby-toy"] and "### toy red" in spark.read.text(str(tmp_path / "posts"), wholetext=True).first().value
+    (tmp_path / "items").mkdir()
+    (tmp_path / "items" / "B1.json").write_text("{}")
+    assert daily.plan_task(spark, layout, str(tmp_path / "items"), when).first().item_ids == ["B1"]
+
+
 def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     events = spark.createDataFrame([("a", datetime(2024, 1, 1, 0, 5)), ("a", datetime(2024, 1, 1, 0, 6)), ("b", datetime(2024, 1, 1, 1, 5))], "k string, t timestamp_ntz").withColumn("t", F.col("t").cast("timestamp"))
