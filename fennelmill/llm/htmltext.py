@@ -46,7 +46,7 @@ _PAGE_HEAD = re.compile(r"(?:^|[\s_-])(?:header|head|hero|branding)(?:$|[\s_-])"
 _OTHER_ARTICLE = re.compile(r"(?:^|\s)(?:comments?(?:-\S+)?|repl(?:y|ies)|related\S*|ads?|advert\S*|sponsor\S*|promo\S*|teaser\S*|recommended\S*)(?:$|\s)", re.I)
 #: Names of the element that holds the article on pages without an article element.
 _CONTENT = re.compile(r"(?:^|\s)(?:main|content|main[_-]?content|page[_-]content|article|article[_-](?:body|content|text)|post|post[_-](?:body|content|text)|entry|entry[_-]content|story|story[_-]body|blog[_-]post|text)(?:$|\s)", re.I)
-_PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden))", re.I)
 _EDGES = re.compile(r"^\W+|\W+$")
@@ -120,11 +120,11 @@ def blocks_of(html: str) -> list[Block]:
         if m is None:
             break
         at = m.end()
-        name = m.group(2)
+        slash, name, attributes = m.group(1, 2, 3) if m.group(2) is not None else m.group(4, 5, 6)  # the latter: a quote never closes
         if name is None:
             continue
         name = name.lower()
-        if m.group(1):
+        if slash:
             if name in BLOCK_TAGS:
                 flush()
             for i in range(len(stack) - 1, -1, -1):
@@ -134,7 +134,6 @@ def blocks_of(html: str) -> list[Block]:
                 if stack[i][0] in ("article", "main", "body", "td", "th", "li") and name not in BLOCK_TAGS:
                     break
             continue
-        attributes = m.group(3)
         if name in RAW_TAGS and not attributes.endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             if name not in ("svg", "math") and end is None:

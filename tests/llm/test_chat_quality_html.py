@@ -90,6 +90,7 @@ def test_page_text(spark):
         5: ("<article><p>open <b>never closed<p>next", "open never closed\nnext"),
         6: ("<!-- <p>x</p> --><main><p style='display:none'>h</p><table><tr><td>a</td><td>b</td></tr></table><ul><li>i<li>j</ul></main>", "a b\ni\nj"),
         7: ("plain words only", ""),
+        11: ("<ARTICLE><P TITLE=\"x>Open quote</P><P data-x='a>b'>closed one</P></ARTICLE>", "Open quote\nclosed one"),
         9: ("<div class='page has-sidebar'><div class='site-header'>Site name</div><div id=content><h1>T</h1><p>Short text.</p><div class='notice'>n</div><section id='comments'><p>c</p></section></div><div class='sidebar'>s</div></div>", "T\nShort text."),
         10: ("<article class='post tags-x'><p>Main words.</p></article><article class='comment'><p>I agree.</p></article><article class='related-post'>r</article>", "Main words."),
         8: ("<article><header><h1>Title</h1></header><p>" + "w" * 100_000 + "</p></article>", "Title\n" + "w" * 100_000),
