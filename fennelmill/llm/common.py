@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -44,15 +46,18 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(_BATCH, rows)
 
 
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _sweep() -> None:
-    for spark, path in _made:
+    for path, spark in _made.items():
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended: what is left lies in the scratch folder
             return
 
@@ -63,24 +68,25 @@ atexit.register(_sweep)
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    The plan above starts from files that every executor can read, so losing an executor costs a re-read and
-    never a recomputation of what lies below. The files go when the driver's process ends.
+    The plan above starts from files that every executor can read, so losing an executor costs a re-read and never a
+    recomputation of what lies below. The files go by :func:`discard`, or when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     small_batches(spark)
     df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _made[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`materialise` when nothing reads it any more."""
-    spark = df.sparkSession
-    wanted = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for path in [p for _, p in _made if any(w.endswith(p.split(":", 1)[-1].lstrip("/")) for w in wanted)]:
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`materialise` that no plan reads any more; others are left alone."""
+    for table in tables:
+        path = getattr(table, "_scratch_path", None)
+        if path in _made:
+            _delete(_made.pop(path), path)
 
 
 #: Rows of ids, or of spans, that may be sent to every executor: some 64 MB there. More are shuffled instead.
@@ -96,6 +102,19 @@ def if_small(df: DataFrame, values: str = "1", most: int = MOST_BROADCAST) -> Da
     return F.broadcast(df) if held <= most else df
 
 
+@cache
+def _trim():
+    """The C library's call that returns free pages, where there is one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return memory that a Python worker has freed to the system: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a slice holds about ``most_bytes`` of text, or one row that is longer."""
     for batch in batches:
@@ -109,7 +128,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_column: str, most_bytes: int
                 start, held = i, 0
             held += n
         yield batch.slice(start)
-    pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def words_count(text) -> "F.Column":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fennelmill.llm.common import materialise
+from fennelmill.llm.common import discard, materialise
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,21 +19,25 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = materialise(
         links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") < F.col("b"))).distinct(), "edges"
     )
-    found = None
+    found = kept = None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("v")).agg(F.least("v", F.min("b")).alias("p"))
-        least = materialise(least, "pointers")
+        least = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least("v", F.min("b")).alias("p")), "pointers")
         further = least.select(F.col("v").alias("p"), F.col("p").alias("q"))
         step = materialise(least.join(further, "p").select("v", F.col("q").alias("p")), "pointers")
         if found is None:
-            found = step.select(F.col("v").alias("id"), F.col("p").alias("component"))
+            found, kept = step.select(F.col("v").alias("id"), F.col("p").alias("component")), step
         else:
             moved = step.select(F.col("v").alias("component"), F.col("p").alias("to"))
             found = materialise(found.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "components")
+            discard(kept)
+            kept = found
         left, right = step.select(F.col("v").alias("a"), F.col("p").alias("x")), step.select(F.col("v").alias("b"), F.col("p").alias("y"))
         ends = edges.join(left, "a").join(right, "b")
-        edges = materialise(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "edges")
+        fewer = materialise(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "edges")
+        discard(edges, least, *([] if kept is step else [step]))
+        edges = fewer
     if found is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    discard(edges)
     return found

@@ -13,7 +13,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fennelmill.llm.common import if_small, materialise
+from fennelmill.llm.common import discard, if_small, materialise
 from fennelmill.llm.spans import add_matches, tagged, written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -96,9 +96,11 @@ def pattern_scores(occurrences: DataFrame, rounds: int = 3) -> DataFrame:
     for _ in range(rounds):
         known = edges.join(scores, "value", "left") if scores is not None else edges.select("*", *(F.lit(0.0).alias(f"s_{k}") for k in KINDS))
         sums = known.groupBy("context").agg(F.count("*").alias("n"), *(F.sum(held(k)).alias(k) for k in KINDS), *(F.sum((F.col("seed") == k).cast("long")).alias(f"n_{k}") for k in KINDS))
-        patterns = materialise(sums.select("context", *((F.col(k) / (F.col("n") + 1)).alias(f"c_{k}") for k in KINDS), *(f"n_{k}" for k in KINDS)), "patterns")
+        before, patterns = patterns, materialise(sums.select("context", *((F.col(k) / (F.col("n") + 1)).alias(f"c_{k}") for k in KINDS), *(f"n_{k}" for k in KINDS)), "patterns")
         unseen = edges.where("seed is null").join(patterns, "context")
-        scores = materialise(unseen.groupBy("value").agg(*((1 - F.exp(F.sum(F.log(1 - F.col(f"c_{k}"))))).alias(f"s_{k}") for k in KINDS)), "scores")
+        old, scores = scores, materialise(unseen.groupBy("value").agg(*((1 - F.exp(F.sum(F.log(1 - F.col(f"c_{k}"))))).alias(f"s_{k}") for k in KINDS)), "scores")
+        discard(*filter(None, (before, old)))
+    discard(edges, scores)
     each = F.array(*(F.struct(F.col(f"c_{k}").alias("confidence"), F.coalesce(F.col(f"n_{k}"), F.lit(0)).alias("support"), F.lit(k).alias("kind")) for k in KINDS))
     best = F.array_max(each)
     return patterns.select("context", best["kind"].alias("kind"), best["confidence"].alias("confidence"), best["support"].alias("support"))

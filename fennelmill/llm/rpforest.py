@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fennelmill.llm.common import materialise
+from fennelmill.llm.common import discard, materialise
 from fennelmill.llm.components import components
 
 
@@ -147,7 +147,9 @@ def links_of(classes: DataFrame, cosine: float, rules: Forest) -> DataFrame:
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     found = placed.groupBy(*group, "one", "two").applyInArrow(compare, f"a {kind}, b {kind}")
-    return materialise(found.distinct(), "links")
+    links = materialise(found.distinct(), "links")
+    discard(dealt, sizes)
+    return links
 
 
 def near_duplicates(df: DataFrame, cosine: float = 0.98, rules: Forest = Forest(), id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fennelmill.llm.common import if_small, materialise, slices
+from fennelmill.llm.common import discard, if_small, materialise, slices
 from fennelmill.llm.components import components
 
 #: Words of a shingle; coordinates of a sketch; bands and coordinates of a band. Two sets of similarity 0.75 meet in no
@@ -167,7 +167,10 @@ def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, percent: int)
     sets = materialise(shingle_sets(_texts_of(docs, named)), "sets")
     of_a, of_b = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
     common = F.size(F.array_intersect("items_a", "items_b"))
-    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "n_a", "n_b", common.alias("c")).where(f"100 * c >= {percent} * (n_a + n_b - c)").select("a", "b")
+    alike = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "n_a", "n_b", common.alias("c")).where(f"100 * c >= {percent} * (n_a + n_b - c)")
+    links = materialise(alike.select("a", "b"), "links")
+    discard(pairs, named, sets)
+    return links
 
 
 def near_duplicates(df: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -203,13 +206,14 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_column: str = "doc_id",
     sizes = materialise(sizes, "sizes")
     copies = member.where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b"))
     tested = materialise(buckets.select(F.col("pivot").alias("a"), F.col("id").alias("b")).where("a < b").distinct(), "tested")
-    links = materialise(verified(tested, docs, sizes, percent).union(copies), "links")
+    links = verified(tested, docs, sizes, percent).union(copies)
     found = components(links)
     rest = _unsettled(buckets.select("id", "key"), found)
     if not rest.isEmpty():
-        more = materialise(_rest_links(rest, docs, percent), "links")
+        more = _rest_links(rest, docs, percent)
         if not more.isEmpty():
             found = components(links.union(more))
+    discard(made, classes, crowded, buckets, sizes, tested, rest)
     named = member.join(found.select(F.col("id").alias("head"), "component"), "head", "left")
     component = F.coalesce("component", "head")
     return named.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
@@ -296,7 +300,9 @@ def _rest_links(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     schema = pa.schema([("a", _arrow_type(rest)), ("b", _arrow_type(rest))])
     group = ["component", "part", "chunk"]
     in_large = from_a.groupBy(*group).cogroup(to_b.groupBy(*group)).applyInArrow(seek, f"a {kind}, b {kind}")
-    return in_small.union(in_large)
+    links = materialise(in_small.union(in_large), "links")
+    discard(rest, sets, first, goals, met)
+    return links
 
 
 def _arrow_type(df: DataFrame) -> pa.DataType:
