@@ -23,7 +23,7 @@ from fennelmill.llm.common import slices, small_batches
 #: Fixed value: the split pattern of the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens kept by a worker, and the longest kept; beyond them encoding is repeated, never skipped.
-KEPT_WORDS, KEPT_CHARS = 400_000, 64
+KEPT_WORDS, KEPT_CHARS = 250_000, 64
 _SHIFT = 20
 
 
