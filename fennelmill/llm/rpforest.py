@@ -25,14 +25,14 @@ from fennelmill.llm.components import components
 class Forest:
     """Parameters of the index."""
 
-    trees: int = 8
+    trees: int = 6
     #: Vectors the splits are fitted on, at most; those with the smallest hashes of their ids.
     sample: int = 16_384
     #: Vectors a leaf should hold, and sample vectors a node must hold to be split.
     leaf: int = 512
     least: int = 16
     #: Half the width of the spill, as a multiple of a linked pair's expected projected distance.
-    spill: float = 1.2
+    spill: float = 0.6
     #: Rows of a leaf compared with each other by one task at most; larger leaves are dealt in blocks.
     block: int = 2_048
     seed: int = 7
