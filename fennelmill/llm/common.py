@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import pyarrow as pa
@@ -46,6 +47,18 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(_BATCH, rows)
 
 
+@contextmanager
+def _few_files(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, let adaptive execution join small shuffle partitions up to its advisory size."""
+    name = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _made: dict[str, SparkSession] = {}
 
 
@@ -74,7 +87,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     small_batches(spark)
-    df.write.parquet(path)
+    with _few_files(spark):
+        df.write.parquet(path)
     _made[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
