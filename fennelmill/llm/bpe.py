@@ -142,8 +142,9 @@ class Codec:
         split = self.vocabulary.split.findall
         parts = [[(split(t), special) for t, special in self.vocabulary.segments(text)] for text in texts]
         known = self.known
-        if len(known) > KEPT_WORDS:
-            known.clear()
+        if len(known) > KEPT_WORDS:  # what this slice has again is frequent, and stays
+            again = {w for segments in parts for words, _ in segments for w in words if w in known}
+            known = self.known = {w: known[w] for w in again}
         fresh = list({w for segments in parts for words, _ in segments for w in words if w not in known})
         for w, ids in zip(fresh, apply_pairs([w.encode() for w in fresh], self.vocabulary)):
             known[w] = b"".join(i.to_bytes(4, "little") for i in ids)
