@@ -69,7 +69,7 @@ class Shingler:
         upto = np.searchsorted(starts, np.cumsum(sizes)).tolist()
         n = len(words)
         full = words * self.places[-1, 0]
-        for k in range(1, WORDS):
+        for k in range(1, min(WORDS, n)):
             full[: n - k] += words[k:] * self.places[-1, k]
         full = _mix(full)
         out, at = [], 0

@@ -91,6 +91,22 @@ def test_rest_is_exact_without_pivots(spark):
     assert roots([i for i, _ in rows], links) == want
 
 
+def test_slices_of_few_words(spark):
+    """A slice may hold any number of words in all: one short text, or a short one that slices() yields alone."""
+    shingler, words = sketch_dedup.Shingler(), "one two three four five six".split()
+    for n in range(7):
+        text = " ".join(words[:n])
+        alone, among = shingler([text]), shingler([text, "a much longer text that follows the short one"])
+        assert len(alone[0]) == len(shingles(text)) and alone[0].tolist() == among[0].tolist()
+    long = " ".join(f"w{i}" for i in range(40000))
+    assert len(long) > 1 << 18
+    for texts in (["one two"], ["one two three"], [f"{long} a", "one two", f"{long} b"], [f"{long} a", "One two three", "", f"{long} b"]):
+        df = spark.createDataFrame([(i, t, 1, "own") for i, t in enumerate(texts)], DOC).coalesce(1)
+        sets, want = brute(list(enumerate(texts)))
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in sketch_dedup.near_duplicates(df).collect()}
+        assert got == {i: (len(sets[i]), want[i]) for i in sets}
+
+
 def test_sketch_similarity_is_that_of_the_sets():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
