@@ -8,7 +8,8 @@ identifiers that no fixed pattern describes.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +28,15 @@ PATTERNS = {
 }
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})?+"
 _IP = rf"^(?:{_PART}\.){{3}}{_PART}$"
-#: Identifier-like tokens: a telephone number, grouped digits, or a word with a digit or an at sign.
-_TOKEN = r"\+[0-9][ ().0-9-]+[0-9]|(?<!\S)(?:[0-9](?:(?![ -](?![0-9]))[0-9 -])++(?!\S)|[^\s0-9@]*+[0-9@]\S*+)"
-#: Letters and digits, and digits among them, that a new identifier has at least.
-_LEAST_LENGTH, _LEAST_DIGITS = 6, 3
+#: An at sign written in brackets, with or without spaces around.
+_AT = r"\x20?+[(\[{<]\x20?+(?i:at)\x20?+[)\]}>]\x20?+"
+#: Identifier-like tokens: a telephone number, grouped digits, words joined by an at sign in brackets, or a word with a
+#: digit or an at sign.
+_TOKEN = rf"\+[0-9][ ().0-9-]+[0-9]|(?<!\S)(?:[0-9](?:(?![ -](?![0-9]))[0-9 -])++(?!\S)|[(\[{{<]*+[^\s@(\[{{<]++{_AT}[^\s@]\S*+|[^\s0-9@]*+[0-9@]\S*+)"
+#: What makes a token an address behind an e-mail pattern, without any digit: an at sign between other characters.
+_ADDRESS = rf"[^\s@]@[^\s@]|[^\s@]{_AT}[^\s@]"
+#: Letters and digits, and digits among them, that a new identifier of each kind has at least; addresses need neither.
+LEAST = {"email": (6, 3), "ip": (6, 3), "card": (6, 3), "phone": (6, 3)}
 
 
 def _digits(value: Column) -> Column:
@@ -106,12 +112,17 @@ def pattern_scores(occurrences: DataFrame, rounds: int = 3) -> DataFrame:
     return patterns.select("context", best["kind"].alias("kind"), best["confidence"].alias("confidence"), best["support"].alias("support"))
 
 
-def find_personal_data(df: DataFrame, confidence: float = 0.8, support: int = 4, rounds: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def find_personal_data(df: DataFrame, confidence: float = 0.8, support: int = 4, rounds: int = 3, id_column: str = "doc_id", text_column: str = "text", least: dict[str, tuple[int, int]] = LEAST) -> DataFrame:
     """``(id, text_hash, base, found)`` for each row: tagged base spans and tagged spans that context found.
 
     Patterns with at least the given confidence and support find the identifier-like tokens they stand before; a token
     that overlaps a base span of its document is not found anew. Spans are in code points, the end exclusive.
 
+    Bounds: a token is a telephone number, grouped digits, a word with a digit or an at sign, or two words around an at
+    sign in brackets. Behind an e-mail pattern a token with an at sign of either form between other characters is found
+    whatever else it holds; any other token needs ``least[kind]``: so many letters and digits, so many digits among them.
+    An address without any at sign or digit ('jane at example dot com') is no candidate: nothing tells it from prose.
+
     Edge cases: a NULL or empty text has no spans; rows that repeat an id keep their own spans, as rows are told apart by
     id and text; a NULL id stays NULL; other columns are not read, whatever their names; an empty table gives no rows; a
     very long text is searched whole; values at the beginning of a text have no context and induce no pattern.
@@ -124,11 +135,12 @@ def find_personal_data(df: DataFrame, confidence: float = 0.8, support: int = 4,
     rows = materialise(spans.select("id", F.xxhash64("text").alias("text_hash"), base.alias("base"), tokens.alias("tokens")), "personal")
     occurrences = rows.select("id", "text_hash", "base", F.explode("tokens").alias("t")).select("id", "text_hash", "base", "t.*")
     patterns = pattern_scores(occurrences, rounds).where((F.col("confidence") >= confidence) & (F.col("support") >= support)).select("context", "kind")
-    likely = (F.length(F.regexp_replace("value", "[^a-z0-9]", "")) >= _LEAST_LENGTH) & (F.length(_digits(F.col("value"))) >= _LEAST_DIGITS)
+    n, digits = F.length(F.regexp_replace("value", "[^a-z0-9]", "")), F.length(_digits(F.col("value")))
+    likely = reduce(or_, ((F.col("kind") == k) & (n >= least[k][0]) & (digits >= least[k][1]) for k in KINDS), (F.col("kind") == "email") & F.col("value").rlike(_ADDRESS))
     free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     lead = F.length(F.regexp_extract("raw", r"^[^A-Za-z0-9+@]*+", 0))
     trail = F.length(F.regexp_extract("raw", r"[^A-Za-z0-9]++$", 0))
-    new = occurrences.where(F.col("seed").isNull() & likely & free).join(patterns, "context")
+    new = occurrences.where(F.col("seed").isNull() & free).join(patterns, "context").where(likely)
     new = new.select("id", "text_hash", (F.col("start") + lead).alias("start"), (F.col("end") - trail).alias("end"), "kind").distinct()
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     each = new.groupBy(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(F.array_sort(F.collect_list(F.struct("start", place.alias("place"), "end", "kind"))).alias("found"))

@@ -66,6 +66,22 @@ def test_context_finds_unseen_identifiers(spark):
     assert got[13].spans == "" and got[0].n_found == 0
 
 
+def test_context_finds_addresses_without_digits(spark):
+    unseen = ["bob@localhost", "jane.doe@intranet", "a@b", "jane(at)example.com", "jane [ AT ] example.com", "(jane[at]example.com)", "room-1234"]
+    prose = ["tomorrow", "@home", "b2b", "look"]
+    texts = [f"you may write to: user{chr(97 + i % 26)}{chr(97 + i // 26)}@mail.example soon" for i in range(60)] + [f"you may write to: {x}, soon" for x in unseen + prose] + ["it was bob@localhost once", "look (at) this"]
+    got = {r.doc_id: r for r in pii.digests(pii.find_personal_data(frame(spark, texts))).collect()}
+    for i, x in enumerate(unseen, 60):
+        inner = x.strip("()")
+        a = texts[i].index(inner)
+        assert got[i].spans == f"email:{a}:{a + len(inner)}" and got[i].n_found == 1 and got[i].n_email == 0, x
+    assert all(got[i].spans == "" for i in range(60 + len(unseen), len(texts)))
+    left = {r.text for r in pii.redact(frame(spark, texts)).collect()}
+    assert "you may write to: [EMAIL], soon" in left and not any(x in t for x in unseen[:2] for t in left if t.startswith("you"))
+    few = {**pii.LEAST, "email": (3, 1)}
+    assert {r.doc_id: r.n_found for r in pii.find_personal_data(frame(spark, texts), least=few).selectExpr("doc_id", "size(found) n_found").collect()}[60 + len(unseen) + 2] == 1
+
+
 def test_redaction(spark):
     texts = ["mail a@b.cc, now", None, "none", "+1 938 555-0822, 4111111111111111", "mail a@b.cc, now"]
     df = spark.createDataFrame([(i if i else None, t, 9, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, __hash string")
