@@ -27,6 +27,17 @@ def best_match(left: DataFrame, pool: DataFrame, left_key: str, left_text: str,
     return left.select(left_key).join(best, left_key, "left")
 
 
+def overlaps(left: DataFrame, right: DataFrame, left_key: str, left_text: str, right_key: str, right_text: str) -> DataFrame:
+    """``(left_key, right_key, shared)``: the number of distinct tokens that the texts of two rows share, if any.
+
+    All rows of both sides meet by an equi-join on tokens, so the result has as many rows as pairs share a token. Keys
+    have to be unique.
+    """
+    a = left.select(left_key, F.explode(S.token_set(left_text)).alias("token"))
+    b = right.select(right_key, F.explode(S.token_set(right_text)).alias("token"))
+    return a.join(b, "token").groupBy(left_key, right_key).agg(F.count("*").cast("int").alias("shared"))
+
+
 def fuzzy_search(df: DataFrame, query: str, columns: list[str], threshold: float = 0.4, least: int = 2) -> DataFrame:
     """Rows whose best column is close to the query, with ``distance`` from 0 to 1 (an extension).
 

@@ -331,6 +331,15 @@ def a3_token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(d, F.col("item_id") == F.col("doc_id")).select("item_id", "doc_id", S.overlap("a", "text").alias("shared"))
 
 
+@query(
+    f"WITH b AS (SELECT item_id, unnest({_TOKENS_SQL.format(c='text')}) AS k FROM benchmark), d AS (SELECT doc_id, unnest({_TOKENS_SQL.format(c='text')}) AS k FROM documents)"
+    " SELECT item_id, doc_id, CAST(count(*) AS INTEGER) AS shared FROM b JOIN d USING (k) GROUP BY ALL"
+)
+def a3_token_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlap of every item with every document that shares a token with it; other pairs share none."""
+    return matching.overlaps(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
+
+
 @query("SELECT user_id AS item_code, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY 1")
 def a7_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("item_code")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))

@@ -33,6 +33,15 @@ def test_best_match_agrees_with_a_plain_loop(spark, left, pool):
     assert [got[i] for i in range(len(left))] == plain_match(left, pool)
 
 
+def test_overlaps_meet_all_rows_of_both_sides(spark):
+    a = spark.createDataFrame([(0, "red toy red"), (1, "blue"), (2, None)], "i int, t string")
+    b = spark.createDataFrame([(7, "toy red x1"), (8, "red"), (9, "block"), (1, "toy"), (10, "")], "k int, u string")
+    got = {(r.i, r.k): r.shared for r in matching.overlaps(a, b, "i", "t", "k", "u").collect()}
+    assert got == {(0, 7): 2, (0, 8): 1, (0, 1): 1}
+    plan = matching.overlaps(a, b, "i", "t", "k", "u")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_best_match_plan_is_an_equi_join(spark):
     a = spark.createDataFrame([(1, "a b")], "k int, t string")
     plan = matching.best_match(a, a, "k", "t", "k", "t")._jdf.queryExecution().executedPlan().toString()
