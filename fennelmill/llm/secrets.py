@@ -1,7 +1,7 @@
 """Secrets by fixed patterns, judged by who else holds them: corpus-wide ownership in DataFrame operations only.
 
 Every candidate is reduced to a hash, and the hash is counted over distinct repositories and owners of the whole corpus.
-What many owners hold is an example that was copied; what one owner holds and looks random is a live credential. On
+What many of either hold is an example that was copied; what few hold and looks random is a live credential. On
 that ground generic high-entropy strings, which no fixed pattern describes, are reported as well.
 """
 
@@ -36,12 +36,13 @@ def looks_live(value: Column, bits: float) -> Column:
     return (entropy(value) >= bits) & ~value.rlike(_STAND_IN)
 
 
-def find_secrets(df: DataFrame, owner: Column | str = "source", repository: Column | str | None = None, copied_from: int = 3, bits: float = 3.0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def find_secrets(df: DataFrame, owner: Column | str = "source", repository: Column | str | None = None, copied_from: int = 3, bits: float = 3.0, id_column: str = "doc_id", text_column: str = "text", copied_in: int = 5) -> DataFrame:
     """``(id, text_hash, base, found, n_live, n_copied)`` for each row.
 
     ``base`` holds the tagged spans of the fixed patterns, whatever their owners; ``found`` the spans of generic
-    candidates that look live and that one owner alone holds. ``n_live`` and ``n_copied`` count the row's candidates of
-    either sort that look live and have one owner, and those with ``copied_from`` owners or more. The repository is the
+    candidates that look live and are not copied. A candidate is copied if ``copied_from`` owners or more hold it, or
+    ``copied_in`` repositories or more, be it of one owner. ``n_live`` and ``n_copied`` count the row's candidates of
+    either sort that look live and are not copied, and those that are copied. The repository is the
     owner with the language unless given. Distinct owners are counted after a map-side distinct of (hash, repository,
     owner), so a secret that a third of all rows hold costs no task more than its repositories.
 
@@ -65,7 +66,8 @@ def find_secrets(df: DataFrame, owner: Column | str = "source", repository: Colu
     each = rows.select("id", "text_hash", "owner", "repository", "base", F.explode("candidates").alias("c")).select("id", "text_hash", "owner", "repository", "base", "c.*")
     holders = each.select("hash", "repository", "owner").distinct().groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
     owners = materialise(holders.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")), "owners")
-    judged_rows = each.join(owners, "hash").select("id", "text_hash", "start", "place", "end", "kind", "base", (F.col("live") & (F.col("owners") == 1)).alias("live"), (F.col("owners") >= copied_from).alias("copied"))
+    copied = (F.col("owners") >= copied_from) | (F.col("repositories") >= copied_in)
+    judged_rows = each.join(owners, "hash").select("id", "text_hash", "start", "place", "end", "kind", "base", (F.col("live") & ~copied).alias("live"), copied.alias("copied"))
     free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     kept = judged_rows.where(F.col("live") | F.col("copied")).select("id", "text_hash", "start", "place", "end", "kind", "live", "copied", ((F.col("kind") == "generic") & F.col("live") & free).alias("new")).distinct()
     by_row = kept.groupBy(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(

@@ -109,3 +109,11 @@ def test_owners_tell_live_secrets_from_copied_examples(spark):
     assert got[0].spans == f"generic:4:{4 + len(live)}" and got[0].n_live == 1 and got[1].n_live == 1
     assert got[2].spans == "" and got[2].n_copied == 1 and got[2].n_live == 0
     assert got[9].n_assign == 1 and got[9].n_live == 0 and got[10].spans == ""
+
+
+def test_no_gap_between_live_and_copied_and_repositories_count(spark):
+    two, wide = "Zk3vQ9xLp2Wm8RtYb5Nc", "Hq7Bd1Kf6Ps4Gj0Vw9Xa"
+    rows = [(i, f"key {two} here", f"s{i}", "en") for i in range(2)] + [(2 + i, f"try {wide} now", "s0", f"l{i}") for i in range(5)]
+    got = {r.doc_id: r for r in secrets.digests(secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"))).collect()}
+    assert all(got[i].spans == f"generic:4:{4 + len(two)}" and (got[i].n_live, got[i].n_copied) == (1, 0) for i in range(2))
+    assert all(got[i].spans == "" and (got[i].n_live, got[i].n_copied) == (0, 1) for i in range(2, 7))
