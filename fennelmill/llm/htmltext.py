@@ -1,9 +1,10 @@
 """Main text of web pages by two passes of block rules.
 
-The first pass judges each block alone by link density, length and stop-word density; what is too short to judge, or in
-between, stays open. The second pass gives open blocks the label of their nearest decided neighbours. Where a page marks
-its article, the blocks inside it are judged with the article as their surroundings, so that headings and short
-paragraphs go with it. Regions that markup names as navigation, forms, notices, adverts or comments hold no main text.
+The first pass judges each block alone by link density, length and stop-word density, with the same rules for all blocks;
+what is too short to judge, in between, or without any sign of prose stays open. The second pass gives open blocks the
+label of their nearest decided neighbours. Where a page marks its article, the article is the surroundings of the blocks
+inside it: their neighbours are sought within it, its edges count as good, and what lies outside of it is no main text.
+Regions that markup names as navigation, forms, notices, adverts or comments hold no main text either.
 """
 
 from __future__ import annotations
@@ -46,15 +47,21 @@ _PAGE_HEAD = re.compile(r"(?:^|[\s_-])(?:header|head|hero|branding)(?:$|[\s_-])"
 _OTHER_ARTICLE = re.compile(r"(?:^|\s)(?:comments?(?:-\S+)?|repl(?:y|ies)|related\S*|ads?|advert\S*|sponsor\S*|promo\S*|teaser\S*|recommended\S*)(?:$|\s)", re.I)
 #: Names of the element that holds the article on pages without an article element.
 _CONTENT = re.compile(r"(?:^|\s)(?:main|content|main[_-]?content|page[_-]content|article|article[_-](?:body|content|text)|post|post[_-](?:body|content|text)|entry|entry[_-]content|story|story[_-]body|blog[_-]post|text)(?:$|\s)", re.I)
-_PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden))", re.I)
 _EDGES = re.compile(r"^\W+|\W+$")
+_RIGHTS = re.compile(r"(?:©|\(c\)\s)", re.I)
+
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOPS_TAG = re.compile(r"[>\"']")
+#: Inline end tags do not reach beyond these.
+_BARRIERS = frozenset("article main body td th li".split())
 
 
 @dataclass(frozen=True)
 class BlockRules:
-    """Thresholds of the first pass."""
+    """Thresholds of the first pass: characters, share of linked characters, and shares of stop words."""
 
     short: int = 70
     long: int = 200
@@ -65,180 +72,278 @@ class BlockRules:
 
 @dataclass
 class Block:
-    """A run of text between block elements."""
+    """A run of text between block elements; ``article`` numbers the article it stands in, 0 is the page."""
 
     text: str
     linked: int
     heading: bool
-    container: int
-    region: bool
-    marked: bool = False
+    article: int
     label: str = ""
 
 
-def blocks_of(html: str) -> list[Block]:
-    """The page's blocks in order, with their links, the article they stand in (0: none) and whether a region bars them."""
-    out: list[Block] = []
-    parts: list[str] = []
-    linked: list[str] = []
-    stack: list[tuple[str, bool, list[int] | None]] = []  # open elements: name, whether each bars text, surroundings it opens
-    barred = articles = link = heading = breaks = 0
-    marked: list[int] = []  # articles open by element, and by name
-    named: list[int] = []
-
-    def flush() -> None:
-        nonlocal breaks
-        breaks = 0
-        text = " ".join(unescape("".join(parts)).split()) if parts else ""
+class Scanner:
+    """Text pieces and tags of a page in one forward pass: no part of a page is searched more often than a fixed number of times.
+
+    A quoted attribute value may hold ``>``. Where a quote of a tag never closes, the tag ends at its first ``>``; where no
+    ``>`` follows, the rest of the page is text; a comment that never closes takes the rest of the page.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.last = {c: html.rfind(c) for c in ">\"'"}
+        self.never: set[int] = set()  # quotes from which no end of a tag is reached
+        self.no_end: set[str] = set()  # raw elements that no end tag follows
+
+    def _tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose attributes begin here; one must follow."""
+        html, passed, p = self.html, [], at
+        while (m := _STOPS_TAG.search(html, p)) is not None:
+            c, q = m.group(), m.start()
+            if c == ">":
+                return q
+            if q in self.never or self.last[c] <= q:
+                break
+            passed.append(q)
+            p = html.index(c, q + 1) + 1
+        self.never.update(passed)
+        return html.index(">", at)
+
+    def raw_end(self, name: str, at: int) -> int | None:
+        """Where a raw element that is open here ends, or None."""
+        if name in self.no_end:
+            return None
+        m = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(self.html, at)
+        if m is None:
+            self.no_end.add(name)
+            return None
+        return m.end()
+
+    def pieces(self) -> Iterator[tuple[str, str, str, str]]:
+        """``(text, slash, name, attributes)``: a piece of text and the tag behind it; the name is empty behind the last.
+
+        What a raw element holds is skipped; of script, style, textarea and title without an end it is the rest of the page.
+        """
+        html, size, at, begun = self.html, len(self.html), 0, 0
+        held: list[str] = []
+        while (at := html.find("<", at)) >= 0:
+            m = _TAG.match(html, at)
+            if m is not None and self.last[">"] > at:
+                held.append(html[begun:at])
+                end = self._tag_end(m.end())
+                slash, name, attributes = m.group(1), m.group(2).lower(), html[m.end() : end]
+                yield "".join(held), slash, name, attributes
+                held.clear()
+                at = end + 1
+                if not slash and name in RAW_TAGS and not attributes.endswith("/"):
+                    to = self.raw_end(name, at)
+                    at = to if to is not None else size if name in ("script", "style", "textarea", "title") else at
+                begun = at
+                continue
+            for opens, closes in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")):
+                if html.startswith(opens, at):
+                    held.append(html[begun:at])
+                    to = html.find(closes, at + len(opens))
+                    if to < 0 and closes == ">":
+                        held.append(html[at:])
+                    begun = at = size if to < 0 else to + len(closes)
+                    break
+            else:
+                at += 1
+        yield "".join(held) + html[begun:], "", "", ""
+
+
+class Reader:
+    """Builds blocks out of pieces. Open elements are counted by name, so that an end tag costs only what it closes."""
+
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        self.parts: list[str] = []
+        self.linked: list[str] = []
+        self.open: list[tuple[str, bool, list[int] | None, bool]] = []  # name, bars text, article list it opens, is a barrier
+        self.counts: dict[str, int] = {}
+        self.scopes: list[dict[str, int]] = [{}]  # counts since each open barrier
+        self.block_at: list[int] = []  # places of open block elements
+        self.barred = self.link = self.heading = self.breaks = self.articles = 0
+        self.marked: list[int] = []  # open articles by element, and by name
+        self.named: list[int] = []
+        self.by_element: set[int] = set()
+
+    def text(self, piece: str) -> None:
+        if self.barred:
+            return
+        piece = unescape(piece)
+        self.parts.append(piece)
+        if self.link:
+            self.linked.append(piece)
+        if self.breaks and not piece.isspace():
+            self.breaks = 0
+
+    def flush(self) -> None:
+        self.breaks = 0
+        text = " ".join("".join(self.parts).split()) if self.parts else ""
         if text:
-            size = len(" ".join(unescape(" ".join(linked)).split())) if linked else 0
-            out.append(Block(text, size, heading > 0, (marked or named or [0])[-1], barred > 0, bool(marked)))
-        parts.clear()
-        linked.clear()
-
-    def close(index: int) -> None:
-        nonlocal barred, link, heading
-        while len(stack) > index:
-            name, bars, article = stack.pop()
-            barred -= bars
-            link -= name == "a"
-            heading -= name in HEADINGS
+            size = len(" ".join(" ".join(self.linked).split())) if self.linked else 0
+            self.blocks.append(Block(text, size, self.heading > 0, (self.marked or self.named or [0])[-1]))
+        self.parts.clear()
+        self.linked.clear()
+
+    def close(self, index: int) -> None:
+        """End all elements from this place on."""
+        while len(self.open) > index:
+            name, bars, article, barrier = self.open.pop()
+            self.counts[name] -= 1
+            if barrier:
+                self.scopes.pop()
+            else:
+                self.scopes[-1][name] -= 1
+            if self.block_at and self.block_at[-1] == len(self.open):
+                self.block_at.pop()
+            self.barred -= bars
+            self.link -= name == "a"
+            self.heading -= name in HEADINGS
             if article is not None:
                 article.pop()
 
-    at, size = 0, len(html)
-    while at < size:
-        m = _PIECE.search(html, at)
-        text = html[at : m.start() if m else size]
-        if text:
-            if not barred:
-                parts.append(text)
-                if link:
-                    linked.append(text)
-                if breaks and not text.isspace():
-                    breaks = 0
-        if m is None:
-            break
-        at = m.end()
-        slash, name, attributes = m.group(1, 2, 3) if m.group(2) is not None else m.group(4, 5, 6)  # the latter: a quote never closes
-        if name is None:
-            continue
-        name = name.lower()
-        if slash:
-            if name in BLOCK_TAGS:
-                flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
-                if stack[i][0] in ("article", "main", "body", "td", "th", "li") and name not in BLOCK_TAGS:
-                    break
-            continue
+    def end(self, name: str) -> None:
+        if name in BLOCK_TAGS:
+            self.flush()
+        reach = self.counts if name in BLOCK_TAGS or name in _BARRIERS else self.scopes[-1]
+        if reach.get(name):
+            i = len(self.open) - 1
+            while self.open[i][0] != name:
+                i -= 1
+            self.close(i)
+
+    def begin(self, name: str, attributes: str) -> None:
         if name in RAW_TAGS and not attributes.endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            if name not in ("svg", "math") and end is None:
-                end_at = size if name in ("script", "style", "textarea", "title") else at
-            else:
-                end_at = end.end() if end else at
-            at = end_at
             if name == "title":
-                flush()
-            continue
+                self.flush()
+            return
         if name == "br":
-            breaks += 1
-            parts.append(" ")
-            if breaks > 1:
-                flush()
-            continue
+            self.breaks += 1
+            self.parts.append(" ")
+            if self.breaks > 1:
+                self.flush()
+            return
         if name in BLOCK_TAGS:
-            flush()
-        elif name in ("td", "th", "img", "wbr"):
-            parts.append(" " if name != "wbr" else "")
+            self.flush()
+        elif name in ("td", "th", "img"):
+            self.parts.append(" ")
         if name in VOID_TAGS or attributes.endswith("/"):
-            continue
-        if name in ("p", *HEADINGS) or name == "li" or name in BLOCK_TAGS and stack and stack[-1][0] == "p":
-            for i in range(len(stack) - 1, -1, -1):  # an open paragraph ends where a block begins
-                if stack[i][0] == "p" or (name == "li" and stack[i][0] == "li"):
-                    close(i)
-                    break
-                if stack[i][0] in BLOCK_TAGS:
-                    break
-        inside = bool(marked or named)
+            return
+        if name in BLOCK_TAGS and self.block_at:  # an open paragraph ends where a block begins, an item where the next does
+            above = self.open[self.block_at[-1]][0]
+            if above == "p" or (name == "li" and above == "li"):
+                self.close(self.block_at[-1])
+        inside = bool(self.marked or self.named)
         bars = name in REGION_TAGS or (name == "header" and not inside)
         names = " ".join(next(filter(None, x.groups()), "") for x in _NAMED.finditer(attributes)) if attributes else ""
         if attributes and not bars and name not in ("html", "body", "main"):
             bars = bool(_HIDDEN.search(attributes) or names and (_OTHER_ARTICLE if name == "article" else _REGION).search(names) or names and not inside and name in ("div", "section") and _PAGE_HEAD.search(names))
         article = None
-        if not barred and not bars:
+        if not self.barred and not bars:
             if name in ("article", "main"):
-                article = marked
+                article = self.marked
             elif name in ("div", "section", "td") and names and _CONTENT.search(names):
-                article = named
+                article = self.named
         if article is not None:
-            articles += 1
-            article.append(articles)
-        barred += bars
-        link += name == "a"
-        heading += name in HEADINGS
-        stack.append((name, bars, article))
-    flush()
-    return out
+            self.articles += 1
+            article.append(self.articles)
+            if article is self.marked:
+                self.by_element.add(self.articles)
+        if name in BLOCK_TAGS:
+            self.block_at.append(len(self.open))
+        self.barred += bars
+        self.link += name == "a"
+        self.heading += name in HEADINGS
+        self.counts[name] = self.counts.get(name, 0) + 1
+        if barrier := name in _BARRIERS:
+            self.scopes.append({})
+        else:
+            self.scopes[-1][name] = self.scopes[-1].get(name, 0) + 1
+        self.open.append((name, bars, article, barrier))
 
 
-def first_pass(block: Block, rules: BlockRules) -> str:
-    """good, bad, near or short, by the block alone."""
+def blocks_of(html: str) -> list[Block]:
+    """The page's blocks in order, without those of barred regions.
+
+    A page that marks articles by element gives only the blocks inside them; else one that marks them by name.
+    """
+    reader = Reader()
+    for text, slash, name, attributes in Scanner(html).pieces():
+        if text:
+            reader.text(text)
+        if slash:
+            reader.end(name)
+        elif name:
+            reader.begin(name, attributes)
+    reader.flush()
+    inside = [b for b in reader.blocks if b.article in reader.by_element] or [b for b in reader.blocks if b.article]
+    return inside or reader.blocks
+
+
+def first_pass(block: Block, rules: BlockRules = BlockRules()) -> str:
+    """``good``, ``bad``, ``near`` or ``short``, by the block alone; the two latter stay open.
+
+    A block is bad if links hold too much of it (headings link as a whole, and stay open) or it opens with a copyright
+    sign, good if it is long and dense in stop words. Between the densities it is near; a block that is short or sparse in stop words says nothing by itself.
+    """
     n = len(block.text)
-    density = block.linked / n
-    if block.region or density > rules.links and not (block.heading and block.container):
+    if block.linked > rules.links * n and not block.heading or _RIGHTS.match(block.text):
         return "bad"
     if n < rules.short:
-        return "short" if block.container or not block.linked else "bad"
-    words = [_EDGES.sub("", w) for w in block.text.lower().split()]
-    stops = sum(w in STOP_WORDS for w in words) / len(words)
-    if stops >= rules.stops_high:
+        return "short"
+    words = block.text.lower().split()
+    stops = sum(_EDGES.sub("", w) in STOP_WORDS for w in words)
+    if stops >= rules.stops_high * len(words):
         return "good" if n > rules.long else "near"
-    if stops >= rules.stops_low:
-        return "near"
-    return "short" if block.container else "bad"
+    return "near" if stops >= rules.stops_low * len(words) else "short"
 
 
 def second_pass(blocks: list[Block]) -> None:
-    """Open blocks take the label of their nearest decided neighbours within their surroundings.
+    """Open blocks inherit the label of their nearest decided neighbours: first those that are near, then the short ones.
 
-    Outside articles the page's edges count as bad; a ``near`` block needs one good neighbour, a ``short`` one two, or if
-    it is a heading a good one below. Inside an article its edges count as good: ``near`` blocks stay, and ``short`` ones
-    unless both neighbours are bad.
+    The surroundings of a block are its article, whose ends are good, or the page, whose ends are bad. A ``near`` block
+    needs one good neighbour. A ``short`` one, for which near blocks now count as decided, takes the label of the closer
+    neighbour and is good if two equally close ones differ; a heading takes the label of what follows; within an article
+    one good neighbour is enough. Where a page without any article has no good block at all, its near blocks are good.
     """
-    before: list[str | None] = []
-    seen: dict[int, str] = {}
-    for b in blocks:
-        before.append(seen.get(b.container))
-        if b.label in ("good", "bad") and not b.region:
-            seen[b.container] = b.label
-    seen, after = {}, [None] * len(blocks)
-    for i in range(len(blocks) - 1, -1, -1):
-        after[i] = seen.get(blocks[i].container)
-        if blocks[i].label in ("good", "bad") and not blocks[i].region:
-            seen[blocks[i].container] = blocks[i].label
-    for b, x, y in zip(blocks, before, after):
-        if b.label in ("near", "short"):
-            edge = "good" if b.container else "bad"
-            around = (x or edge, y or edge)
-            if b.container:
-                b.label = "good" if b.label == "near" or "good" in around else "bad"
-            elif b.label == "near":
-                b.label = "good" if "good" in around else "bad"
-            else:
-                b.label = "good" if around[1] == "good" and (b.heading or around[0] == "good") else "bad"
+    if not any(b.label == "good" or b.article for b in blocks):
+        for b in blocks:
+            b.label = "good" if b.label == "near" else b.label
+    for turn in ("near", "short"):
+        above, below = _decided(blocks, 1), _decided(blocks, -1)
+        labels = {}
+        for i, b in enumerate(blocks):
+            if b.label == turn:
+                (x, far_x), (y, far_y) = above[i], below[i]
+                some = "good" in (x, y)
+                if turn == "near" or (b.article and some):
+                    labels[i] = some
+                else:
+                    labels[i] = y == "good" if b.heading else some and (x == y or (x == "good") == (far_x <= far_y) or far_x == far_y)
+        for i, good in labels.items():
+            blocks[i].label = "good" if good else "bad"
+
+
+def _decided(blocks: list[Block], step: int) -> list[tuple[str, int]]:
+    """For each block the nearest decided label on one side within its surroundings, and how many blocks away it is."""
+    out: list[tuple[str, int]] = [("", 0)] * len(blocks)
+    seen: dict[int, tuple[str, int]] = {}
+    passed: dict[int, int] = {}
+    for i in range(len(blocks))[::step]:
+        b = blocks[i]
+        at = passed[b.article] = passed.get(b.article, 0) + 1
+        label, place = seen.get(b.article, ("good" if b.article else "bad", 0))
+        out[i] = label, at - place
+        if b.label in ("good", "bad"):
+            seen[b.article] = b.label, at
+    return out
 
 
 def main_text(html: str, rules: BlockRules = BlockRules()) -> str:
     """The page's main text: its good blocks in order, one to a line."""
     blocks = blocks_of(html)
-    if any(b.marked and not b.region for b in blocks):
-        blocks = [b for b in blocks if b.marked]
-    elif any(b.container and not b.region for b in blocks):
-        blocks = [b for b in blocks if b.container]
     for b in blocks:
         b.label = first_pass(b, rules)
     second_pass(blocks)
