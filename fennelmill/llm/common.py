@@ -34,6 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    mark = "__"
+    while any((mark + w).lower() in taken for w in wanted):
+        mark += "_"
+    return [mark + w for w in wanted]
+
+
 _BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 

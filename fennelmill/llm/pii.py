@@ -2,8 +2,9 @@
 
 Matches of the fixed patterns are the seeds. The words before a seed are a lexical pattern; patterns and the instances
 they stand before make a graph, over which scores are passed for some rounds: a pattern is as good as the share of its
-instances that are known, an instance as good as the patterns that point at it. Confident patterns then find
-identifiers that no fixed pattern describes.
+instances that are known, an instance as good as the patterns that point at it on average. Patterns that are good enough
+are promoted, what they point at and no worse pattern speaks against becomes known for the next round, and in the end is
+what they found: identifiers that no fixed pattern describes.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fennelmill.llm.common import discard, if_small, materialise
+from fennelmill.llm.common import discard, fresh_names, if_small, materialise
 from fennelmill.llm.spans import add_matches, tagged, written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -73,9 +74,9 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
 
 
 def _context(gap: Column) -> Column:
-    """The last two words before a token, in lower case; one or none at the beginning."""
-    words = F.filter(F.split(F.lower(F.substring(gap, -64, 64)), r"\s+"), lambda w: w != "")
-    return F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2)), " ")
+    """The last two words before a token, whole and in lower case; one or none at the beginning."""
+    words = F.regexp_extract(F.reverse(gap), r"^\s*+(\S++(?:\s++\S++)?+)", 1)
+    return F.lower(F.regexp_replace(F.reverse(words), r"\s+", " "))
 
 
 def _kind_of(value: Column) -> Column:
@@ -89,34 +90,45 @@ def _kind_of(value: Column) -> Column:
     )
 
 
-def pattern_scores(occurrences: DataFrame, rounds: int = 3) -> DataFrame:
-    """``(context, kind, confidence, support)`` of each lexical pattern, from ``(context, value, seed)``.
+def bootstrap(occurrences: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 4, accepted: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Promoted patterns ``(context, kind, confidence, support)`` and known instances ``(value, kind, score)``, from ``(context, value, seed)``.
 
     ``seed`` is a kind or NULL. Edges are distinct pairs of a context and a value, so a value copied into many documents
-    counts once for a context. Confidence is the score a pattern's instances have of its best kind, divided by their
-    number plus one; support is the number of different seeds among them. All groupings are sums, reduced map-side.
+    counts once for a context. A pattern's confidence in a kind is the weight of its known instances, divided by the
+    number of all its instances plus one: a seed weighs 1, an instance that an earlier round accepted its score, any other
+    nothing. A pattern with enough confidence and support is promoted; support is the number of its known instances, half
+    of which have to be seeds. The score of an instance that is no seed is the mean confidence of all patterns that it
+    occurs behind, promoted or not, weighted by the logarithm of their sizes; it is accepted if a promoted pattern points
+    at it and its score reaches ``accepted``. So what stands behind many patterns of no confidence is never accepted, however many
+    they are. Promotion knows no number but the thresholds. All groupings are sums, reduced map-side.
     """
     edges = materialise(occurrences.where("context != '' and value != ''").groupBy("context", "value").agg(F.max("seed").alias("seed")), "edges")
-    held = lambda k: F.when(F.col("seed") == k, 1.0).otherwise(F.when(F.col("seed").isNull(), F.coalesce(f"s_{k}", F.lit(0.0))).otherwise(0.0))
-    scores, patterns = None, None
+    known = patterns = None
     for _ in range(rounds):
-        known = edges.join(scores, "value", "left") if scores is not None else edges.select("*", *(F.lit(0.0).alias(f"s_{k}") for k in KINDS))
-        sums = known.groupBy("context").agg(F.count("*").alias("n"), *(F.sum(held(k)).alias(k) for k in KINDS), *(F.sum((F.col("seed") == k).cast("long")).alias(f"n_{k}") for k in KINDS))
-        before, patterns = patterns, materialise(sums.select("context", *((F.col(k) / (F.col("n") + 1)).alias(f"c_{k}") for k in KINDS), *(f"n_{k}" for k in KINDS)), "patterns")
-        unseen = edges.where("seed is null").join(patterns, "context")
-        old, scores = scores, materialise(unseen.groupBy("value").agg(*((1 - F.exp(F.sum(F.log(1 - F.col(f"c_{k}"))))).alias(f"s_{k}") for k in KINDS)), "scores")
+        labelled = edges.join(known, "value", "left") if known is not None else edges.withColumns({"kind": F.lit(None).cast("string"), "score": F.lit(0.0)})
+        weight = lambda k: F.when(F.col("seed") == k, 1.0).when(F.col("seed").isNull() & (F.col("kind") == k), F.col("score")).otherwise(0.0)
+        seeds, learnt = (lambda k: F.count_if(F.col("seed") == k)), (lambda k: F.count_if(F.col("seed").isNull() & (F.col("kind") == k)))
+        each = [F.struct((F.sum(weight(k)) / (F.count("*") + 1)).alias("confidence"), seeds(k).alias("seeds"), (seeds(k) + learnt(k)).alias("support"), F.lit(k).alias("kind")) for k in KINDS]
+        scored = labelled.groupBy("context").agg(F.count("*").alias("n"), F.array_max(F.array(*each)).alias("best")).select("context", "n", "best.*")
+        good = (F.col("confidence") >= confidence) & (F.col("support") >= support) & (2 * F.col("seeds") >= F.col("support"))
+        before, patterns = patterns, materialise(scored.where("confidence > 0").withColumn("promoted", good), "patterns")
+        size = F.log1p("n")
+        pointed = edges.where("seed is null").join(patterns.where("promoted").select("context", F.col("kind").alias("of"), F.col("confidence").alias("c")), "context").groupBy("value").agg(F.max_by("of", F.struct("c", "of")).alias("kind"))
+        sizes = edges.groupBy("context").agg(F.count("*").alias("n")).join(patterns.select("context", "kind", "confidence"), "context", "left").withColumnRenamed("kind", "of")
+        around = edges.join(pointed, "value").join(sizes, "context")
+        mean = F.sum(size * F.when(F.col("of") == F.col("kind"), F.col("confidence")).otherwise(0.0)) / F.sum(size)
+        old, known = known, materialise(around.groupBy("value", "kind").agg(mean.alias("score")).where(F.col("score") >= accepted), "known")
         discard(*filter(None, (before, old)))
-    discard(edges, scores)
-    each = F.array(*(F.struct(F.col(f"c_{k}").alias("confidence"), F.coalesce(F.col(f"n_{k}"), F.lit(0)).alias("support"), F.lit(k).alias("kind")) for k in KINDS))
-    best = F.array_max(each)
-    return patterns.select("context", best["kind"].alias("kind"), best["confidence"].alias("confidence"), best["support"].alias("support"))
+    discard(edges)
+    return patterns.where("promoted").select("context", "kind", "confidence", "support"), known
 
 
-def find_personal_data(df: DataFrame, confidence: float = 0.8, support: int = 4, rounds: int = 3, id_column: str = "doc_id", text_column: str = "text", least: dict[str, tuple[int, int]] = LEAST) -> DataFrame:
+def find_personal_data(df: DataFrame, confidence: float = 0.8, support: int = 4, rounds: int = 3, accepted: float = 0.5, id_column: str = "doc_id", text_column: str = "text", least: dict[str, tuple[int, int]] = LEAST) -> DataFrame:
     """``(id, text_hash, base, found)`` for each row: tagged base spans and tagged spans that context found.
 
-    Patterns with at least the given confidence and support find the identifier-like tokens they stand before; a token
-    that overlaps a base span of its document is not found anew. Spans are in code points, the end exclusive.
+    Patterns with at least the given confidence and support find the identifier-like tokens they stand before, if those
+    are accepted by :func:`bootstrap`; a token that overlaps a base span of its document is not found anew. Spans are in
+    code points, the end exclusive.
 
     Bounds: a token is a telephone number, grouped digits, a word with a digit or an at sign, or two words around an at
     sign in brackets. Behind an e-mail pattern a token with an at sign of either form between other characters is found
@@ -133,19 +145,19 @@ def find_personal_data(df: DataFrame, confidence: float = 0.8, support: int = 4,
     clean = lambda v: F.lower(F.regexp_replace(v, r"^[^A-Za-z0-9+@]++|[^A-Za-z0-9]++$", ""))
     tokens = F.transform("token", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("raw"), clean(m["value"]).alias("value"), _context(m["gap"]).alias("context"), _kind_of(m["value"]).alias("seed")))
     rows = materialise(spans.select("id", F.xxhash64("text").alias("text_hash"), base.alias("base"), tokens.alias("tokens")), "personal")
-    occurrences = rows.select("id", "text_hash", "base", F.explode("tokens").alias("t")).select("id", "text_hash", "base", "t.*")
-    patterns = pattern_scores(occurrences, rounds).where((F.col("confidence") >= confidence) & (F.col("support") >= support)).select("context", "kind")
+    occurrences = rows.select("id", "text_hash", F.explode("tokens").alias("t")).select("id", "text_hash", "t.*")
+    patterns, known = bootstrap(occurrences, rounds, confidence, support, accepted)
     n, digits = F.length(F.regexp_replace("value", "[^a-z0-9]", "")), F.length(_digits(F.col("value")))
     likely = reduce(or_, ((F.col("kind") == k) & (n >= least[k][0]) & (digits >= least[k][1]) for k in KINDS), (F.col("kind") == "email") & F.col("value").rlike(_ADDRESS))
-    free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     lead = F.length(F.regexp_extract("raw", r"^[^A-Za-z0-9+@]*+", 0))
     trail = F.length(F.regexp_extract("raw", r"[^A-Za-z0-9]++$", 0))
-    new = occurrences.where(F.col("seed").isNull() & free).join(patterns, "context").where(likely)
+    new = occurrences.where("seed is null").join(patterns.select("context", "kind"), "context").where(likely).join(known.select("value", "kind"), ["value", "kind"])
     new = new.select("id", "text_hash", (F.col("start") + lead).alias("start"), (F.col("end") - trail).alias("end"), "kind").distinct()
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     each = new.groupBy(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(F.array_sort(F.collect_list(F.struct("start", place.alias("place"), "end", "kind"))).alias("found"))
     joined = rows.join(materialise(each, "found"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
-    return joined.select(F.col("id").alias(id_column), "text_hash", "base", F.coalesce("found", F.array().cast(rows.schema["base"].dataType)).alias("found"))
+    free = F.filter("found", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    return joined.select(F.col("id").alias(id_column), "text_hash", "base", F.coalesce(free, F.array().cast(rows.schema["base"].dataType)).alias("found"))
 
 
 def digests(spans: DataFrame) -> DataFrame:
@@ -157,20 +169,28 @@ def digests(spans: DataFrame) -> DataFrame:
 def redact(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows with every span of personal data replaced by its kind in brackets; ``n_chars``, if there, is set anew.
 
-    Overlapping spans become one replacement, named by the first. All columns stay; rows repeat as often as they came.
+    Overlapping spans become one replacement, named by the first.
+
+    Edge cases: a NULL text stays NULL, an empty one empty; rows with a NULL id are told apart by their texts; rows repeat
+    as often as they came; all columns stay, whatever their names; an empty table gives no rows; a very long text is
+    searched and redacted whole.
     """
     spans = find_personal_data(df, id_column=id_column, text_column=text_column)
+    of_id, of_hash, places, own = fresh_names(df, "of_id", "of_hash", "spans", "hash")
     every = F.concat("base", "found")
-    hit = spans.where(F.size("base") + F.size("found") > 0).select(F.col(id_column).alias("__of_id"), F.col("text_hash").alias("__of_hash"), F.array_sort(every).alias("__spans"))
-    hit = if_small(materialise(hit.dropDuplicates(["__of_id", "__of_hash"]), "redactions"), "2 + 3 * size(__spans)")
+    hit = spans.where(F.size("base") + F.size("found") > 0).select(F.col(id_column).alias(of_id), F.col("text_hash").alias(of_hash), F.array_sort(every).alias(places))
+    hit = materialise(hit.dropDuplicates([of_id, of_hash]), "redactions")
     text = F.col(f"`{text_column}`")
-    joined = df.withColumn("__hash", F.xxhash64(text.cast("string"))).join(hit, F.col(f"`{id_column}`").eqNullSafe(F.col("__of_id")) & (F.col("__hash") == F.col("__of_hash")), "left")
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def walk(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.array(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate("__spans", begin, walk, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    out = joined.withColumn(text_column, F.when(F.col("__spans").isNotNull(), done).otherwise(text)).select(*(F.col(f"`{c}`") for c in df.columns))
+    joined = df.withColumn(own, F.xxhash64(text.cast("string"))).join(if_small(hit, f"2 + 3 * size({places})"), F.col(f"`{id_column}`").eqNullSafe(F.col(of_id)) & (F.col(own) == F.col(of_hash)), "left")
+    pieces = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("mark"))
+
+    def merge(acc: Column, s: Column) -> Column:
+        """Pieces that go, apart from each other: where they begin and end, and what stands there instead."""
+        fresh = F.concat(acc["out"], F.array(F.struct(acc["to"].alias("after"), s["start"].alias("start"), s["mark"].alias("mark"))))
+        return F.struct(F.greatest(acc["to"], s["end"]).alias("to"), F.when(s["start"] >= acc["to"], fresh).otherwise(acc["out"]).alias("out"))
+
+    begin = F.struct(F.lit(0).cast("long").alias("to"), F.array().cast("array<struct<after:bigint,start:bigint,mark:string>>").alias("out"))
+    part = lambda p: F.concat(F.substring(text, (p["after"] + 1).cast("int"), (p["start"] - p["after"]).cast("int")), p["mark"])
+    done = F.aggregate(F.transform(places, pieces), begin, merge, lambda acc: F.concat(F.array_join(F.transform(acc["out"], part), ""), F.substring(text, (acc["to"] + 1).cast("int"), F.length(text))))
+    out = joined.withColumn(text_column, F.when(F.col(places).isNotNull(), done).otherwise(text)).select(*(F.col(f"`{c}`") for c in df.columns))
     return out.withColumn("n_chars", F.when(F.col(f"`{text_column}`").isNotNull(), F.length(f"`{text_column}`")).otherwise(F.col("n_chars")).cast(out.schema["n_chars"].dataType)) if "n_chars" in df.columns else out

@@ -63,19 +63,19 @@ def find_secrets(df: DataFrame, owner: Column | str = "source", repository: Colu
     judged = lambda k, i: F.transform(k, lambda m: F.struct(m["start"].alias("start"), F.lit(i).alias("place"), m["end"].alias("end"), F.lit(k).alias("kind"), F.sha2(m["part"].cast("binary"), 256).alias("hash"), looks_live(m["part"], bits).alias("live")))
     candidates = F.concat(*(judged(k, i) for i, k in enumerate((*KINDS, "generic"))))
     rows = materialise(rows.select("id", F.xxhash64("text").alias("text_hash"), "owner", "repository", base.alias("base"), candidates.alias("candidates")), "secrets")
-    each = rows.select("id", "text_hash", "owner", "repository", "base", F.explode("candidates").alias("c")).select("id", "text_hash", "owner", "repository", "base", "c.*")
+    each = rows.select("id", "text_hash", "owner", "repository", F.explode("candidates").alias("c")).select("id", "text_hash", "owner", "repository", "c.*")
     holders = each.select("hash", "repository", "owner").distinct().groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
     owners = materialise(holders.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories")), "owners")
     copied = (F.col("owners") >= copied_from) | (F.col("repositories") >= copied_in)
-    judged_rows = each.join(owners, "hash").select("id", "text_hash", "start", "place", "end", "kind", "base", (F.col("live") & ~copied).alias("live"), copied.alias("copied"))
-    free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    kept = judged_rows.where(F.col("live") | F.col("copied")).select("id", "text_hash", "start", "place", "end", "kind", "live", "copied", ((F.col("kind") == "generic") & F.col("live") & free).alias("new")).distinct()
+    judged_rows = each.join(owners, "hash").select("id", "text_hash", "start", "place", "end", "kind", (F.col("live") & ~copied).alias("live"), copied.alias("copied"))
+    kept = judged_rows.where(F.col("live") | F.col("copied")).select("id", "text_hash", "start", "place", "end", "kind", "live", "copied", ((F.col("kind") == "generic") & F.col("live")).alias("new")).distinct()
     by_row = kept.groupBy(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash")).agg(
         F.count_if("live").alias("n_live"), F.count_if("copied").alias("n_copied"), F.array_sort(F.collect_list(F.when(F.col("new"), F.struct("start", "place", "end", "kind")))).alias("found")
     )
     joined = rows.join(materialise(by_row, "judged"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
     zero = F.lit(0).cast("long")
-    return joined.select(F.col("id").alias(id_column), "text_hash", "base", F.coalesce("found", F.array().cast(rows.schema["base"].dataType)).alias("found"), F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_copied", zero).alias("n_copied"))
+    free = F.filter("found", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    return joined.select(F.col("id").alias(id_column), "text_hash", "base", F.coalesce(free, F.array().cast(rows.schema["base"].dataType)).alias("found"), F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_copied", zero).alias("n_copied"))
 
 
 def digests(spans: DataFrame) -> DataFrame:

@@ -117,3 +117,33 @@ def test_no_gap_between_live_and_copied_and_repositories_count(spark):
     got = {r.doc_id: r for r in secrets.digests(secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"))).collect()}
     assert all(got[i].spans == f"generic:4:{4 + len(two)}" and (got[i].n_live, got[i].n_copied) == (1, 0) for i in range(2))
     assert all(got[i].spans == "" and (got[i].n_live, got[i].n_copied) == (0, 1) for i in range(2, 7))
+
+
+def test_many_contexts_of_noise_make_no_pattern(spark):
+    noise = [(f"c{c}", f"word{v}", None) for c in range(60) for v in range(96)]
+    seeds = [(f"c{c}", f"+1 938 555 {c:02d}{s:02d}", "phone") for c in range(60) for s in range(4)]
+    patterns, known = pii.bootstrap(spark.createDataFrame(noise + seeds, "context string, value string, seed string"))
+    assert patterns.count() == 0 and known.count() == 0
+
+
+def test_bootstrap_reaches_a_second_pattern_and_stops_at_noise(spark):
+    """``call`` is promoted by its seeds; what it finds makes ``ring`` a pattern, which finds more. ``buy`` shares one value only."""
+    rows = [("call", f"p{i}", "phone") for i in range(40)] + [("call", f"u{i}", None) for i in range(4)]
+    rows += [("ring", f"p{i}", "phone") for i in range(40, 60)] + [("ring", f"u{i}", None) for i in range(4)] + [("ring", f"v{i}", None) for i in range(3)]
+    rows += [("buy", f"n{i}", None) for i in range(50)] + [("buy", "u0", None), ("call", "n0", None)] + [(f"x{c}", "n0", None) for c in range(30)] + [("buy", "p0", "phone")]
+    frame = spark.createDataFrame(rows, "context string, value string, seed string")
+    first, known_first = pii.bootstrap(frame, rounds=1)
+    assert {r.context for r in first.collect()} == {"call"} and not {r.value for r in known_first.collect()} & {f"v{i}" for i in range(3)}
+    patterns, known = pii.bootstrap(frame)
+    found = {r.value for r in known.collect()}
+    wanted = {f"u{i}" for i in range(4)} | {f"v{i}" for i in range(3)}
+    assert {r.context for r in patterns.collect()} == {"call", "ring"}
+    assert len(found & wanted) / len(wanted) >= 0.8 and len(found & wanted) / len(found) >= 0.8 and "n0" not in found
+
+
+def test_contexts_are_whole_words_and_many_matches_cost_little(spark):
+    long = "w" * 300
+    texts = [f"call {long}: +1 938 555-{1000 + i} soon" for i in range(12)] + [f"call x{long}: 555-0134-77x soon", f"call {long}: 555-0134-77x soon", "1.1.1.1 " * 40_000]
+    got = {r.doc_id: r for r in pii.digests(pii.find_personal_data(frame(spark, texts))).collect()}
+    assert got[12].n_found == 0 and got[13].n_found == 1 and got[14].n_ip == 40_000
+    assert got[14].spans.endswith(f"ip:{8 * 39_999}:{8 * 39_999 + 7}")
