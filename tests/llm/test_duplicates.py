@@ -143,3 +143,36 @@ def test_vectors_against_all_pairs(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rpforest.near_duplicates(df, rules=rules).collect()}
     assert got == {i: (n[i], want[i], want[i] == i) for i in n}
     assert rpforest.near_duplicates(df.where("false")).count() == 0
+
+
+def test_double_vectors_keep_their_precision(spark):
+    """Cosines that lie on both sides of the threshold only beyond single precision, and values beyond its range."""
+    a = np.array([1.0, 0.0])
+    turn = lambda c: [c, float(np.sqrt(1 - c * c))]
+    rows = [(0, a.tolist()), (1, turn(0.98 + 1e-10)), (2, [-x for x in turn(0.98 - 1e-10)]), (3, (-a).tolist()), (4, [1e200, 0.0, 0.0]), (5, [2e200, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, "l") for i, v in rows], "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in rpforest.near_duplicates(df).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (0, 2), 3: (0, 3), 4: (1, 4), 5: (1, 4)}
+
+
+def test_leaves_stay_small_and_links_are_counted_not_listed(spark):
+    """A table much larger than the sample the first splits are fitted on, and one dense group that no split makes smaller."""
+    rng = np.random.default_rng(4)
+    spread = rng.standard_normal((3000, 8))
+    dense = np.ones(8) + rng.standard_normal((300, 8)) * 0.01
+    v = np.concatenate([spread, dense]).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    rules = rpforest.Forest(sample=64, leaf=64, least=8, block=128, refit=128, trees=3)
+    got = {r.vec_id: r.n_links for r in rpforest.near_duplicates(df, rules=rules).collect()}
+    wanted = near.sum(1) - 1
+    assert all(got[i] <= wanted[i] for i in got) and sum(got.values()) >= 0.9 * wanted.sum() and all(got[i] >= 299 for i in range(3000, 3300))
+    from pyspark.sql import functions as F
+
+    classes = df.select("label", "embedding", F.col("vec_id").alias("head"), F.lit(1).cast("long").alias("n"), F.lit(8).alias("d"), F.col("vec_id").alias("cid"))
+    placed = rpforest.assigned(classes, 0.98, rules)
+    sizes = [r["count"] for r in placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().where("leaf % 2 = 0").collect()]
+    assert max(sizes) <= 128
+    found = rpforest.linked_in_leaves(placed, 0.98, rules)
+    assert found.count() <= 4 * placed.select(F.explode("leaves")).count() and set(found.columns) == {"cid", "head", "others", "root"}
