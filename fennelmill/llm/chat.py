@@ -10,38 +10,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fennelmill.llm.common import materialise
+from fennelmill.llm.common import discard, if_small, materialise
 
 #: Turns whose numbers share a block are numbered together, so a conversation of any length is dealt to many tasks.
 BLOCK = 256
+_MARK = ("x", "y")
 
 
-def numbered(df: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
-    """``(conv, block, place, role, text)``: distinct turns with their place in the conversation, from 1.
+def hashed(df: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
+    """``(conv, turn, role, text, x, y)``: the turns, with 128 bits of hash of role and text; a NULL differs from an empty string."""
+    rows = df.select(F.col(f"`{conv_column}`").alias("conv"), F.col(f"`{turn_column}`").cast("long").alias("turn"), F.col(f"`{role_column}`").cast("string").alias("role"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    mark = lambda seed: F.xxhash64(F.lit(seed), F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit("")))
+    return rows.where("conv is not null").select("*", mark(1).alias("x"), mark(2).alias("y"))
+
+
+def numbered(turns: DataFrame) -> DataFrame:
+    """``(conv, block, place, x, y)``: distinct turns of :func:`hashed` with their place in the conversation, from 1, without their texts.
 
     Places run within blocks of turn numbers and are moved by the sizes of the blocks before; only block sizes are
-    ordered by conversation.
+    ordered by conversation. Roles and texts are read only where different turns of a conversation have equal numbers.
     """
-    rows = df.select(F.col(f"`{conv_column}`").alias("conv"), F.col(f"`{turn_column}`").cast("long").alias("turn"), F.col(f"`{role_column}`").cast("string").alias("role"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    rows = rows.where("conv is not null").distinct().withColumn("block", F.floor(F.col("turn") / BLOCK))
-    sizes = rows.groupBy("conv", "block").agg(F.count("*").alias("size"))
+    light = materialise(turns.groupBy("conv", F.floor(F.col("turn") / BLOCK).alias("block"), "turn", *_MARK).agg(F.count("*").alias("rows")).drop("rows"), "turns")
+    tied = materialise(light.groupBy("conv", "turn").agg(F.count("*").alias("n")).where("n > 1"), "ties").select(F.col("conv").alias("of_conv"), F.col("turn").alias("of_turn"))
+    if tied.isEmpty():
+        light = light.withColumn("among", F.lit(0))
+    else:
+        full = turns.join(if_small(tied), (F.col("conv") == F.col("of_conv")) & F.col("turn").eqNullSafe(F.col("of_turn"))).select("conv", "turn", "role", "text", *_MARK).distinct()
+        ranked = full.withColumn("among", F.row_number().over(Window.partitionBy("conv", "turn").orderBy("role", "text")))
+        ranked = ranked.select(F.col("conv").alias("of_conv"), F.col("turn").alias("of_turn"), F.col("x").alias("of_x"), F.col("y").alias("of_y"), "among")
+        same = (F.col("conv") == F.col("of_conv")) & F.col("turn").eqNullSafe(F.col("of_turn")) & (F.col("x") == F.col("of_x")) & (F.col("y") == F.col("of_y"))
+        light = light.join(ranked, same, "left").select("conv", "block", "turn", *_MARK, F.coalesce("among", F.lit(0)).alias("among"))
+    sizes = light.groupBy("conv", "block").agg(F.count("*").alias("size"))
     upto = F.coalesce(F.sum("size").over(Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.withColumn("offset", upto).select(F.col("conv").alias("of_conv"), F.col("block").alias("of_block"), "offset")
-    within = F.row_number().over(Window.partitionBy("conv", "block").orderBy("turn", "role", "text"))
-    placed = rows.withColumn("within", within).join(offsets, (F.col("conv") == F.col("of_conv")) & F.col("block").eqNullSafe(F.col("of_block")))
-    return placed.select("conv", "block", (F.col("within") + F.col("offset")).alias("place"), "role", "text")
+    within = F.row_number().over(Window.partitionBy("conv", "block").orderBy("turn", "among"))
+    placed = light.withColumn("within", within).join(offsets, (F.col("conv") == F.col("of_conv")) & F.col("block").eqNullSafe(F.col("of_block")))
+    return placed.select("conv", "block", (F.col("within") + F.col("offset")).alias("place"), *_MARK)
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """``(conv, place, n, x, y)``: the 128-bit rolling hash of each prefix, and the conversation's length."""
-    of = lambda seed: F.xxhash64(F.lit(seed), "place", F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit("")))
-    hashed = turns.select("conv", "block", "place", of(1).alias("x"), of(2).alias("y"))
-    blocks = hashed.groupBy("conv", "block").agg(F.bit_xor("x").alias("bx"), F.bit_xor("y").alias("by"), F.max("place").alias("to"))
+    keyed = turns.select("conv", "block", "place", F.xxhash64(F.lit(3), "place", *_MARK).alias("x"), F.xxhash64(F.lit(4), "place", *_MARK).alias("y"))
+    blocks = keyed.groupBy("conv", "block").agg(F.bit_xor("x").alias("bx"), F.bit_xor("y").alias("by"), F.max("place").alias("to"))
     by_conv = Window.partitionBy("conv").orderBy("to")
     before = by_conv.rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(F.col("conv").alias("of_conv"), F.col("block").alias("of_block"), *(F.coalesce(F.bit_xor(c).over(before), F.lit(0)).alias(c) for c in ("bx", "by")), F.max("to").over(Window.partitionBy("conv")).alias("n"))
     rolling = Window.partitionBy("conv", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    rolled = hashed.withColumns({c: F.bit_xor(c).over(rolling) for c in ("x", "y")})
+    rolled = keyed.withColumns({c: F.bit_xor(c).over(rolling) for c in _MARK})
     joined = rolled.join(blocks, (F.col("conv") == F.col("of_conv")) & F.col("block").eqNullSafe(F.col("of_block")))
     return joined.select("conv", "place", "n", F.col("x").bitwiseXOR(F.col("bx")).alias("x"), F.col("y").bitwiseXOR(F.col("by")).alias("y"))
 
@@ -57,21 +72,25 @@ def format_chats(df: DataFrame, opening: str = "<|{role}|>\n", closing: str = "<
     """``(conv_id, n_turns, n_copies, rendered)`` of each maximal conversation.
 
     ``rendered`` joins the turns in order, each as the opening with its role, its text and the closing. ``n_copies``
-    counts the equal logs of the conversation. A conversation becomes one row, as its rendered text is one value;
-    nothing else gathers a conversation in a task.
+    counts the equal logs of the conversation. Snapshots are found by hashes alone: texts are shuffled once, and only those
+    of conversations that stay. A conversation becomes one row, as its rendered text is one value; nothing else gathers a
+    conversation in a task.
 
     Edge cases: rows without a conversation id belong to none and are left out; turns that repeat in full are one turn;
     turns with equal numbers come in order of role and text, those without a number first; a NULL role or text renders
     as empty but differs from an empty one when prefixes are compared; other columns are not read, whatever their
     names; an empty table gives no rows.
     """
-    turns = materialise(numbered(df, conv_column, turn_column, role_column, text_column), "turns")
-    kept = materialise(collapse(prefix_hashes(turns)), "maximal")
+    turns = hashed(df, conv_column, turn_column, role_column, text_column)
+    places = materialise(numbered(turns), "places")
+    prefixes = materialise(prefix_hashes(places), "prefixes")
+    kept = materialise(collapse(prefixes), "maximal")
+    discard(places, prefixes)
     head, tail = opening.split("{role}")
-    piece = F.concat(F.lit(head), F.coalesce("role", F.lit("")), F.lit(tail), F.coalesce("text", F.lit("")), F.lit(closing))
-    pieces = turns.join(kept, "conv").select("conv", "n", "copies", "place", piece.alias("piece"))
-    rendered = pieces.groupBy("conv", "n", "copies").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda p: p["piece"]), "").alias("rendered"))
-    return rendered.select(F.col("conv").alias(conv_column), F.col("n").cast("long").alias("n_turns"), F.col("copies").alias("n_copies"), "rendered")
+    stay = turns.select("conv", "turn", "role", "text").join(if_small(kept), "conv")
+    logs = stay.groupBy("conv", "n", "copies").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
+    piece = lambda t: F.concat(F.lit(head), F.coalesce(t["role"], F.lit("")), F.lit(tail), F.coalesce(t["text"], F.lit("")), F.lit(closing))
+    return logs.select(F.col("conv").alias(conv_column), F.col("n").cast("long").alias("n_turns"), F.col("copies").alias("n_copies"), F.array_join(F.transform("turns", piece), "").alias("rendered"))
 
 
 ORACLE = r"""
