@@ -484,11 +484,14 @@ def d14_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.constraint_violations(table(spark, sf_dir, "events").where("value is not null and event_type is not null"), "event_id", {"high": F.col("value") <= 90, "kind": F.col("event_type") != "error"})
 
 
+_PART_SCHEMA = {"type": "object", "required": ["title", "price"], "properties": {"title": {"type": "string"}, "price": {"type": "integer"}}}
+
+
 @query("SELECT p_partkey, 'price' AS path, 'type' AS rule FROM part WHERE p_size % 3 = 0 UNION ALL SELECT p_partkey, 'title', 'required' FROM part WHERE p_size % 5 = 0")
 def d14_json_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = F.concat(F.lit('{"item_id": "x", "url": "u", "fetched_at": "t", "extra": 1, "price": '), F.when(F.col("p_size") % 3 == 0, '"dear"').otherwise(F.col("p_size").cast("string")))
     doc = F.concat(fixed, F.when(F.col("p_size") % 5 == 0, "").otherwise(F.concat(F.lit(', "title": "'), "p_brand", F.lit('"'))), F.lit("}"))
-    return validate.violations(table(spark, sf_dir, "part").select("p_partkey", doc.alias("doc")), "doc", "p_partkey", validate.PRODUCT)
+    return validate.violations(table(spark, sf_dir, "part").select("p_partkey", doc.alias("doc")), "doc", "p_partkey", _PART_SCHEMA)
 
 
 @query("SELECT 'head' AS part, min(p_partkey) AS seq, 1::BIGINT AS n FROM part UNION ALL SELECT 'rest', min(p_partkey), count(*) FROM part WHERE p_partkey > (SELECT min(p_partkey) FROM part)")

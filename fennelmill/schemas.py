@@ -46,10 +46,6 @@ RESPONSE_C = (
 RESPONSE_BOOKS = "items ARRAY<STRUCT<volumeInfo STRUCT<title STRING, authors ARRAY<STRING>, description STRING, infoLink STRING, imageLinks STRUCT<thumbnail STRING, smallThumbnail STRING>>>>"
 RESPONSE_VIDEOS = "items ARRAY<STRUCT<id STRUCT<videoId STRING>, snippet STRUCT<title STRING, thumbnails STRUCT<high STRUCT<url STRING>>>>>"
 
-PRODUCT = (
-    "item_id STRING, title STRING, brand STRING, category STRING, price BIGINT, rating DOUBLE, review_count BIGINT, images ARRAY<STRING>, features ARRAY<STRING>, description STRING, url STRING, fetched_at STRING"
-)
-TASK = "task_id STRING, post_type STRING, theme STRING, target_age STRING, item_ids ARRAY<STRING>, tone STRING, min_words INT, max_words INT, keywords ARRAY<STRING>"
 #: Objects with an open set of keys are maps, never structs: inference would make a field of every key.
 STATE = "history MAP<STRING, STRUCT<seen_at STRING, title STRING>>, last_rankings MAP<STRING, INT>"
 HISTORY = "item_code STRING, seen_at TIMESTAMP_NTZ, title STRING"

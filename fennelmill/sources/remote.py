@@ -1,217 +1,272 @@
-"""Remote sources behind Spark's Python data source interface, over a transport that can be replaced.
+"""Remote feeds behind Spark's Python data source interface.
 
-Nothing here opens a connection by itself: a transport is a callable that takes a :class:`Request` and returns a
-:class:`Response`. Recorded responses are one (:class:`Recorded`); a deployment brings its own.
+A feed is described by values (:class:`Feed`): where it lies, what is always asked, which options a user may set within
+which bounds, where the items stand in an answer, and what a failure means. How a request travels is a transport, a
+callable from :class:`Request` to :class:`Response`: :func:`http` opens a connection, :func:`recorded` answers from
+recorded bodies, and option ``transport`` of the data source names any other by ``package.module:factory``. Addresses,
+scopes and header names are the caller's configuration; none is built in.
 """
 
 from __future__ import annotations
 
+import importlib
 import json
+import time
+import urllib.error
+import urllib.parse
+import urllib.request
 from base64 import b64encode
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 
-@dataclass
+@dataclass(frozen=True)
 class Request:
-    """What is asked of an endpoint."""
+    """What is asked: parameters go into the URL, a body as JSON if it is no string."""
 
     method: str
     url: str
     headers: dict = field(default_factory=dict)
+    parameters: dict = field(default_factory=dict)
     body: dict | str | None = None
     timeout: float = 30.0
 
 
-@dataclass
+@dataclass(frozen=True)
 class Response:
     """Status and body of an answer."""
 
     status: int
     text: str = ""
 
-    def json(self) -> dict:
-        return json.loads(self.text)
-
 
 Transport = Callable[[Request], Response]
 
 
-class TransportError(Exception):
-    """The endpoint could not be reached."""
+class FeedError(Exception):
+    """A feed that could not be read; ``stage`` says where: ``connection``, ``token``, ``request`` or ``attempts``."""
 
+    def __init__(self, stage: str, message: str) -> None:
+        super().__init__(f"{stage}: {message}")
+        self.stage = stage
 
-class TokenError(Exception):
-    """No access token was given."""
 
+def http(options: dict) -> Transport:
+    """A transport that opens connections."""
 
-class RequestError(Exception):
-    """The last attempt failed."""
+    def send(request: Request) -> Response:
+        url = request.url + ("?" + urllib.parse.urlencode(request.parameters) if request.parameters else "")
+        body = request.body if request.body is None or isinstance(request.body, str) else json.dumps(request.body)
+        asked = urllib.request.Request(url, None if body is None else body.encode(), request.headers, method=request.method)
+        try:
+            with urllib.request.urlopen(asked, timeout=request.timeout) as answer:
+                return Response(answer.status, answer.read().decode())
+        except urllib.error.HTTPError as e:
+            return Response(e.code, e.read().decode(errors="replace"))
+        except OSError as e:
+            raise FeedError("connection", str(e)) from e
 
+    return send
 
-class MaxRetriesError(Exception):
-    """No attempt was allowed."""
 
+def recorded(options: dict) -> Transport:
+    """A transport over option ``recorded``: JSON of the end of a URL to ``{status, body}``; other URLs can't be reached."""
+    answers = json.loads(options["recorded"])
 
-class CatalogueClient:
-    """Lookups and searches in a catalogue, with a cached token and retries.
+    def send(request: Request) -> Response:
+        for end, answer in answers.items():
+            if request.url.endswith(end):
+                return Response(answer["status"], json.dumps(answer["body"], ensure_ascii=False))
+        raise FeedError("connection", request.url)
 
-    Tokens are renewed a minute before they end. Any failed attempt is repeated after ``min(2^attempt, 30)`` seconds but
-    the last; a 401 renews the token first; a 404 is an answer like a 200.
-    """
+    return send
 
-    TOKEN_MARGIN, TOKEN_LIFE, LONGEST_WAIT = 60, 3600, 30
 
-    def __init__(self, transport: Transport, api: str, application: str, credential: str, secret: str, tag: str = "", max_retries: int = 5, clock: Callable[[], float] | None = None, sleep: Callable[[float], None] | None = None, marketplace: str = "", token_url: str = "", new_token_url: str = "", new_prefix: str = "new1.") -> None:
-        import time
+def transport_named(name: str, options: dict) -> Transport:
+    """The transport that ``package.module:factory`` makes of the options; the module is imported where it is used."""
+    module, _, factory = name.partition(":")
+    return getattr(importlib.import_module(module), factory)(options)
 
-        self.transport, self.api, self.application, self.credential, self.secret, self.tag = transport, api, application, credential, secret, tag
-        self.max_retries, self.clock, self.sleep, self.marketplace = max_retries, clock or time.time, sleep or time.sleep, marketplace
-        self.new, self.token_url = credential.startswith(new_prefix), new_token_url if credential.startswith(new_prefix) else token_url
-        self._token, self._ends = None, 0.0
 
-    def token(self) -> str:
-        """The access token; JSON credentials for new ones, a form with basic authentication for old ones."""
-        if self._token and self.clock() < self._ends - self.TOKEN_MARGIN:
-            return self._token
-        if self.new:
-            request = Request("POST", self.token_url, {"Content-Type": "application/json"}, {"grant_type": "client_credentials", "client_id": self.credential, "client_secret": self.secret, "scope": "catalogue::default"})
-        else:
-            basic = b64encode(f"{self.credential}:{self.secret}".encode()).decode()
-            request = Request("POST", self.token_url, {"Content-Type": "application/x-www-form-urlencoded", "Authorization": f"Basic {basic}"}, "grant_type=client_credentials&scope=catalogue/default")
-        answer = self.transport(request)
-        if answer.status != 200:
-            raise TokenError(f"no token: {answer.status} {answer.text}")
-        got = answer.json()
-        self._token, self._ends = got.get("access_token"), self.clock() + got.get("expires_in", self.TOKEN_LIFE)
-        return self._token
+@dataclass(frozen=True)
+class Grant:
+    """A way to get an access token: where, for which scope, and whether the credential goes in a JSON body or by basic
+    authentication beside a form. ``authorization`` is the header made of the token."""
+
+    url: str
+    scope: str
+    as_json: bool = False
+    authorization: str = "Bearer {token}"
+    prefix: str = ""
+
+    def request(self, credential: str, secret: str) -> Request:
+        asked = {"grant_type": "client_credentials", "scope": self.scope}
+        if self.as_json:
+            return Request("POST", self.url, {"Content-Type": "application/json"}, body=asked | {"client_id": credential, "client_secret": secret})
+        basic = b64encode(f"{credential}:{secret}".encode()).decode()
+        return Request("POST", self.url, {"Content-Type": "application/x-www-form-urlencoded", "Authorization": f"Basic {basic}"}, body="&".join(f"{k}={v}" for k, v in asked.items()))
+
+
+def grant_for(credential: str, grants: list[Grant]) -> Grant:
+    """The grant whose prefix the credential begins with; the longest prefix wins."""
+    return max((g for g in grants if credential.startswith(g.prefix)), key=lambda g: len(g.prefix))
+
+
+@dataclass
+class Access:
+    """A token that is fetched when needed, kept until a minute before it ends, and forgotten on request."""
+
+    transport: Transport
+    grant: Grant
+    credential: str
+    secret: str
+    clock: Callable[[], float] = time.time
+    margin: float = 60.0
+    life: float = 3600.0
+    _held: tuple[str, float] | None = None
 
     def headers(self) -> dict:
-        version = "3.3" if self.new else "2.3"
-        return {"Content-Type": "application/json", "Authorization": f"Bearer {self.token()}, Version {version}", "x-marketplace": self.marketplace, "x-application-id": self.application}
+        if self._held is None or self.clock() >= self._held[1] - self.margin:
+            answer = self.transport(self.grant.request(self.credential, self.secret))
+            if answer.status != 200:
+                raise FeedError("token", f"status {answer.status} {answer.text}")
+            told = json.loads(answer.text)
+            self._held = told.get("access_token"), self.clock() + told.get("expires_in", self.life)
+        return {"Authorization": self.grant.authorization.format(token=self._held[0])}
+
+    def forget(self) -> None:
+        self._held = None
+
 
-    def request(self, endpoint: str, payload: dict) -> dict:
-        headers = self.headers()
-        for attempt in range(1, self.max_retries + 1):
+@dataclass(frozen=True)
+class Retry:
+    """Attempts with waits that double up to a bound. Some statuses are answers, some end the token, all others and broken connections are tried again."""
+
+    attempts: int = 5
+    longest: float = 30.0
+    answers: tuple[int, ...] = (200, 404)
+    renewing: tuple[int, ...] = (401,)
+
+    def send(self, transport: Transport, request: Request, access: Access | None = None, sleep: Callable[[float], None] = time.sleep) -> Response:
+        why = "no attempt is allowed"
+        for n in range(1, self.attempts + 1):
+            if n > 1:
+                sleep(min(2.0 ** (n - 1), self.longest))
+            asked = replace(request, headers=request.headers | access.headers()) if access else request
             try:
-                answer = self.transport(Request("POST", self.api + endpoint, dict(headers), payload))
-                if answer.status in (200, 404):
-                    return answer.json()
-                if answer.status == 401:
-                    self._token = None
-                    headers = self.headers()
-            except TransportError:
-                pass
-            if attempt == self.max_retries:
-                raise RequestError(f"failed after {attempt} attempts")
-            self.sleep(min(2**attempt, self.LONGEST_WAIT))
-        raise MaxRetriesError("no attempt left")
+                answer = transport(asked)
+            except FeedError as e:
+                why = str(e)
+                continue
+            if answer.status in self.answers:
+                return answer
+            if answer.status in self.renewing and access:
+                access.forget()
+            why = f"status {answer.status}"
+        raise FeedError("request" if self.attempts > 0 else "attempts", why)
 
-    def get_items(self, ids: list[str], resources: list[str] | None = None) -> dict:
-        return self.request("/getItems", {"itemIds": ids, "partnerTag": self.tag, "resources": resources or list(RESOURCES)})
 
-    def search_items(self, keywords: str, index: str = "All", count: int = 10, resources: list[str] | None = None) -> dict:
-        return self.request("/searchItems", {"keywords": keywords, "searchIndex": index, "itemCount": count, "partnerTag": self.tag, "resources": resources or list(RESOURCES)})
+@dataclass(frozen=True)
+class Option:
+    """What a user may set: the parameter it becomes, its default, and the bounds of a number."""
 
+    parameter: str
+    default: object = ""
+    low: int | None = None
+    high: int | None = None
 
-#: What a lookup asks for unless told otherwise.
-RESOURCES = (
-    "images.primary.small", "images.primary.medium", "images.primary.large", "itemInfo.title", "itemInfo.features", "itemInfo.byLineInfo", "itemInfo.productInfo", "itemInfo.classifications",
-    "offersV2.listings.price", "offersV2.listings.availability", "offersV2.listings.merchantInfo",
-)
+    def value(self, given: str | None) -> object:
+        if self.low is None:
+            return given or self.default
+        try:
+            return max(self.low, min(int(given), self.high)) if given not in (None, "") else self.default
+        except ValueError:
+            return self.default
 
 
 @dataclass(frozen=True)
-class Endpoint:
-    """How a source is asked: default parameters, options and their bounds, and what a failure means."""
+class Feed:
+    """A feed by its values. ``items`` is the dotted place of the items in an answer; ``empty_on`` says which failures mean
+    no items: ``none``, ``server`` (status 500 and up) or ``any``; feeds with ``retried`` are asked with retries, and their
+    parameters go into a JSON body; ``lists`` are options that become lists, split at commas."""
 
     path: str
     items: str
-    fixed: dict
-    options: dict = field(default_factory=dict)  # option: (parameter, default, low, high) for numbers, (parameter, default) for texts
-    on_failure: str = "raise"  # raise, empty, or empty_5xx
-
-
-#: The remote feeds, by logical name.
-ENDPOINTS = {
-    "search_b": Endpoint("/b/search", "Items", {"sort": "-updateTimestamp", "formatVersion": 2, "hits": 30, "genre": "566382"}, {"keyword": ("keyword", "")}),
-    "ranking_b": Endpoint("/b/ranking", "Items", {"genre": "566382"}, on_failure="empty"),
-    "hits_c": Endpoint("/c/search", "hits", {"in_stock": "true"}, {"keyword": ("query", ""), "results": ("results", 5, 1, 50), "sort": ("sort", "-score"), "image_size": ("image_size", 300, 76, 600)}),
-    "books": Endpoint("/books", "items", {"maxResults": 3, "orderBy": "relevance"}, {"keyword": ("q", "")}, "empty_5xx"),
-    "videos": Endpoint("/videos", "items", {"part": "snippet", "maxResults": 5, "type": "video"}, {"keyword": ("q", "")}, "empty"),
-    "catalogue_a": Endpoint("/a", "items", {}),
+    fixed: dict = field(default_factory=dict)
+    options: dict[str, Option] = field(default_factory=dict)
+    lists: dict[str, str] = field(default_factory=dict)
+    empty_on: str = "none"
+    retried: bool = False
+    timeout: float = 15.0
+
+    def parameters(self, options: dict) -> dict:
+        """Fixed and chosen parameters; option ``suffix`` follows a keyword."""
+        out = dict(self.fixed)
+        for name, option in self.options.items():
+            out[option.parameter] = option.value(options.get(name))
+            if name == "keyword" and options.get("suffix"):
+                out[option.parameter] = f"{out[option.parameter]} {options['suffix']}".strip()
+        return out | {to: options[name].split(",") for name, to in self.lists.items() if options.get(name)}
+
+    def found(self, answer: dict) -> dict:
+        """The items under the last part of their place, whatever they stood in."""
+        *outer, last = self.items.split(".")
+        for part in outer:
+            answer = answer.get(part) or {}
+        return {last: answer.get(last) or []}
+
+    def fetch(self, transport: Transport, options: dict, access: Access | None = None, retry: Retry = Retry(), sleep: Callable[[float], None] = time.sleep) -> dict:
+        """The answer's items, or none where a failure means that."""
+        asked, url = self.parameters(options), options.get("base", "") + self.path
+        try:
+            if self.retried:
+                headers = {"Content-Type": "application/json"} | json.loads(options.get("headers", "{}"))
+                return self.found(json.loads(retry.send(transport, Request("POST", url, headers, body=asked, timeout=self.timeout), access, sleep).text))
+            answer = transport(Request("GET", url, parameters=asked, timeout=self.timeout))
+        except FeedError:
+            if self.empty_on == "any":
+                return self.found({})
+            raise
+        if answer.status == 200:
+            return json.loads(answer.text)
+        if self.empty_on == "any" or (self.empty_on == "server" and answer.status >= 500):
+            return self.found({})
+        raise FeedError("request", f"status {answer.status}")
+
+
+#: The projections that the catalogue is asked for by default, for lookups and for searches.
+LOOKUP_FIELDS = [
+    "images.primary.small", "images.primary.large", "images.variants.medium", "itemInfo.title", "itemInfo.features", "itemInfo.productInfo", "itemInfo.byLineInfo", "itemInfo.technicalInfo",
+    "offersV2.listings.price", "offersV2.listings.availability", "browseNodeInfo.browseNodes",
+]
+SEARCH_FIELDS = ["images.primary.small", "itemInfo.title", "itemInfo.features", "offersV2.listings.price", "browseNodeInfo.browseNodes"]
+
+#: The feeds by logical name; paths and anything else can be replaced by option ``config``.
+FEEDS = {
+    "lookup_a": Feed("/getItems", "itemsResult.items", {"itemIdType": "ASIN", "resources": LOOKUP_FIELDS}, {"tag": Option("partnerTag"), "marketplace": Option("marketplace")}, {"ids": "itemIds", "resources": "resources"}, retried=True, timeout=30.0),
+    "search_a": Feed(
+        "/searchItems", "searchResult.items", {"resources": SEARCH_FIELDS},
+        {"keyword": Option("keywords"), "index": Option("searchIndex", "All"), "results": Option("itemCount", 10, 1, 10), "tag": Option("partnerTag"), "marketplace": Option("marketplace")}, {"resources": "resources"}, retried=True, timeout=30.0,
+    ),
+    "search_b": Feed("/b/search", "Items", {"sort": "-updateTimestamp", "formatVersion": 2, "hits": 30, "genre": "566382"}, {"keyword": Option("keyword")}),
+    "ranking_b": Feed("/b/ranking", "Items", {"genre": "566382"}, empty_on="any"),
+    "hits_c": Feed("/c/search", "hits", {"in_stock": "true"}, {"keyword": Option("query"), "results": Option("results", 5, 1, 50), "sort": Option("sort", "-score"), "image_size": Option("image_size", 300, 76, 600)}),
+    "books": Feed("/books", "items", {"maxResults": 3, "orderBy": "relevance"}, {"keyword": Option("q")}, empty_on="server"),
+    "videos": Feed("/videos", "items", {"part": "snippet", "maxResults": 5, "type": "video"}, {"keyword": Option("q")}, empty_on="any"),
 }
 
 
-def int_option(raw: str | None, default: int, low: int, high: int) -> int:
-    """An integer option: the default where it is missing, empty or no integer, else clamped."""
-    try:
-        return max(low, min(int(raw), high)) if raw not in (None, "") else default
-    except ValueError:
-        return default
-
-
-def parameters(name: str, options: dict) -> dict:
-    """The parameters of a request, with options in their bounds. Option ``suffix`` follows a keyword, as with video searches."""
-    endpoint, out = ENDPOINTS[name], dict(ENDPOINTS[name].fixed)
-    for option, (parameter, default, *bounds) in endpoint.options.items():
-        out[parameter] = int_option(options.get(option), default, *bounds) if bounds else options.get(option) or default
-        if option == "keyword" and options.get("suffix"):
-            out[parameter] = f"{out[parameter]} {options['suffix']}".strip()
-    return out
-
-
-def catalogue(transport: Transport, options: dict) -> dict:
-    """The items of a lookup (option ``ids``, by commas), a search (option ``keyword``), or both; ``resources`` asks for fewer fields."""
-    client = CatalogueClient(transport, "", options.get("application", "app"), options.get("credential", "id"), options.get("secret", ""), options.get("tag", ""), token_url="/token", new_token_url="/token")
-    resources = [r for r in options.get("resources", "").split(",") if r] or None
-    items: list = []
-    if options.get("ids"):
-        items += (client.get_items(options["ids"].split(","), resources).get("itemsResult") or {}).get("items") or []
-    if options.get("keyword"):
-        items += (client.search_items(options["keyword"], count=int_option(options.get("results"), 10, 1, 10), resources=resources).get("searchResult") or {}).get("items") or []
-    return {"items": items}
-
-
-def fetch(name: str, transport: Transport, options: dict, base: str = "") -> dict:
-    """An endpoint's response, or an empty one where its failure is not fatal."""
-    endpoint = ENDPOINTS[name]
-    nothing = {endpoint.items: []}
-    try:
-        answer = transport(Request("GET", base + endpoint.path, {}, parameters(name, options), 15.0))
-    except TransportError:
-        if endpoint.on_failure == "empty":
-            return nothing
-        raise
-    if answer.status == 200:
-        return answer.json()
-    if endpoint.on_failure == "empty" or (endpoint.on_failure == "empty_5xx" and answer.status >= 500):
-        return nothing
-    raise RequestError(f"{name}: status {answer.status}")
-
-
-class Recorded:
-    """A transport over recorded responses: a JSON object of path to ``{status, body}``. It can be pickled."""
-
-    def __init__(self, answers: dict) -> None:
-        self.answers, self.asked = answers, []
-
-    def __call__(self, request: Request) -> Response:
-        self.asked.append(request)
-        for path, answer in self.answers.items():
-            if request.url.endswith(path):
-                return Response(answer["status"], json.dumps(answer["body"], ensure_ascii=False))
-        raise TransportError(request.url)
-
-
 class FeedSource(DataSource):
-    """``spark.read.format("feed").option("feed", name).option("recorded", json)``: a feed's raw response as one JSON text.
+    """``spark.read.format("feed").option("feed", name)``: a feed's items as one JSON text for each request.
 
-    A filter ``keyword = …`` is pushed into the request. Without credentials (option ``credentials`` = ``none``) a feed
-    is empty; ``mock`` = ``true`` gives one made-up item instead.
+    Options: ``transport`` (a factory's name; the one over recorded answers unless given), ``base`` (what stands before the path), ``config``
+    (JSON that replaces values of the feed), ``grants`` (JSON list of :class:`Grant` values) with ``credential`` and
+    ``secret``, ``headers`` (JSON), and the feed's own. A filter ``keyword = …`` is pushed into the request. ``batch`` cuts
+    a long list of ``ids`` into requests of so many, which are made by as many tasks. Without credentials (option
+    ``credentials`` = ``none``) a feed is empty; ``mock`` = ``true`` gives one made-up item instead.
     """
 
     @classmethod
@@ -225,11 +280,19 @@ class FeedSource(DataSource):
         return FeedReader({k.lower(): v for k, v in self.options.items()})
 
 
+@dataclass
+class Batch(InputPartition):
+    """The ids of one request, by commas; None where a feed is not asked by ids."""
+
+    ids: str | None
+
+
 class FeedReader(DataSourceReader):
-    """One request, made by the task that reads it."""
+    """Requests made by the tasks that read them."""
 
     def __init__(self, options: dict) -> None:
         self.options, self.keyword = options, options.get("keyword")
+        self.feed = replace(FEEDS[options["feed"]], **json.loads(options.get("config", "{}")))
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -239,17 +302,21 @@ class FeedReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
-
-    def read(self, partition: InputPartition):
-        name, endpoint = self.options["feed"], ENDPOINTS[self.options["feed"]]
-        if self.options.get("credentials") == "none":
-            items = [{"title": "mock item", "name": "mock item"}] if self.options.get("mock") == "true" else []
-            response = {endpoint.items: items}
+        ids = [i for i in self.options.get("ids", "").split(",") if i]
+        size = int(self.options.get("batch", "0")) or len(ids) or 1
+        return [Batch(",".join(ids[k : k + size])) for k in range(0, len(ids), size)] or [Batch(None)]
+
+    def read(self, partition: Batch):
+        options = self.options | ({"keyword": self.keyword} if self.keyword else {}) | ({"ids": partition.ids} if partition.ids else {})
+        if options.get("credentials") == "none":
+            items = [{"title": "mock item", "name": "mock item"}] if options.get("mock") == "true" else []
+            answer = {self.feed.items.split(".")[-1]: items}
         else:
-            transport, options = Recorded(json.loads(self.options["recorded"])), self.options | ({"keyword": self.keyword} if self.keyword else {})
-            response = catalogue(transport, options) if name == "catalogue_a" else fetch(name, transport, options)
-        yield name, self.keyword, json.dumps(response, ensure_ascii=False)
+            transport = transport_named(options.get("transport", f"{__name__}:recorded"), options)
+            grants = [Grant(**g) for g in json.loads(options.get("grants", "[]"))]
+            access = Access(transport, grant_for(options["credential"], grants), options["credential"], options.get("secret", "")) if grants else None
+            answer = self.feed.fetch(transport, options, access)
+        yield options["feed"], self.keyword, json.dumps(answer, ensure_ascii=False)
 
 
 def register(spark: SparkSession) -> None:

@@ -1,3 +1,4 @@
+import json
 import re
 from datetime import datetime
 
@@ -136,12 +137,32 @@ def test_tasks_and_queue(spark):
     assert tasks.pop(rest.where("false"), tasks.default_topic(spark))[0].first().mode == "daily_random"
 
 
-def test_validation(spark):
-    good = '{"task_id": "t", "post_type": "single", "item_ids": ["a"], "more": 1}'
-    docs = [good, '{"task_id": 1, "post_type": "odd", "item_ids": ["a", 2]}', '{"post_type": "ranking", "item_ids": "a"}', "[1]", "{", None, '{"task_id": "t", "post_type": "single", "item_ids": [], "min_words": 2.5}', '{"task_id": null, "post_type": "single", "item_ids": []}']
+ORDER = {
+    "type": "object",
+    "required": ["code", "lines"],
+    "properties": {
+        "code": {"type": "string"}, "state": {"type": "string", "enum": ["open", "paid"]}, "weight": {"type": ["number", "null"]}, "count": {"type": "integer"},
+        "lines": {"type": "array", "items": {"type": "object", "required": ["sku"], "properties": {"sku": {"type": "string"}, "tags": {"type": "array", "items": {"type": "string"}}}}},
+        "buyer": {"type": "object", "properties": {"the name": {"type": "string"}}},
+    },
+}
+
+
+def test_validation(spark, tmp_path):
+    docs = {
+        '{"code": "a", "lines": [], "more": 1, "weight": null, "count": 2.0}': [],
+        '{"code": 1, "lines": [{"sku": "x"}, 2], "state": "odd"}': [("code", "type"), ("lines[]", "type"), ("state", "enum")],
+        '{"lines": {"sku": 1}, "weight": "w", "count": 2.5}': [("code", "required"), ("count", "type"), ("lines", "type"), ("weight", "type")],
+        '{"code": "a", "lines": [{"sku": "x", "tags": ["t", 1]}, {"tags": []}], "buyer": {"the name": 1}}': [("buyer.the name", "type"), ("lines[].sku", "required"), ("lines[].tags[]", "type")],
+        '{"code": null, "lines": [], "state": null}': [("code", "type"), ("state", "enum"), ("state", "type")],
+        "[1]": [("", "json")], "{": [("", "json")], None: [("", "json")], '"text"': [("", "json")], "": [("", "json")],
+    }
+    (tmp_path / "order.json").write_text(json.dumps(ORDER, indent=1))
     df = spark.createDataFrame(list(enumerate(docs)), "k int, d string")
-    got = sorted((r.k, r.path, r.rule) for r in validate.violations(df, "d", "k", validate.TASK).collect())
-    assert got == [(1, "item_ids[]", "type"), (1, "post_type", "enum"), (1, "task_id", "type"), (2, "item_ids", "type"), (2, "task_id", "required"), (3, "", "json"), (4, "", "json"), (5, "", "json"), (6, "min_words", "type"), (7, "task_id", "type")]
+    broken = validate.violations(df, "d", "k", validate.read_schema(spark, str(tmp_path / "order.json")))
+    assert sorted(map(tuple, broken.collect())) == [(k, *x) for k, xs in enumerate(docs.values()) for x in sorted(xs)]
+    assert broken._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") == 1
+    assert validate.violations(df, "d", "k", {}).where("path <> ''").count() == 0
 
 
 def test_default_rows_and_lookup(spark):

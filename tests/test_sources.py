@@ -1,5 +1,4 @@
 import json
-import pickle
 from datetime import datetime
 
 import pytest
@@ -87,6 +86,8 @@ def test_xml_feeds(spark):
 
 
 class Fake:
+    """Answers in turn, and a clock that sleeping moves."""
+
     def __init__(self, *answers):
         self.answers, self.asked, self.now, self.slept = list(answers), [], 0.0, []
 
@@ -101,41 +102,56 @@ class Fake:
         self.slept.append(s)
         self.now += s
 
+    def access(self, credential="id"):
+        grants = [remote.Grant("https://old", "all/read", authorization="Bearer {token}, old"), remote.Grant("https://new", "all::read", True, "Bearer {token}, new", "v2.")]
+        return remote.Access(self, remote.grant_for(credential, grants), credential, "secret", clock=lambda: self.now)
 
-def client(fake, **options):
-    return remote.CatalogueClient(fake, "https://api", "app", options.pop("credential", "id"), "secret", clock=lambda: fake.now, sleep=fake.sleep, token_url="https://old", new_token_url="https://new", **options)
+    def ask(self, retry=remote.Retry(), access=None):
+        return retry.send(self, remote.Request("POST", "https://api/x", {"Content-Type": "application/json"}), access, self.sleep)
 
 
 TOKEN = remote.Response(200, '{"access_token": "t", "expires_in": 100}')
 OK = remote.Response(200, '{"ok": 1}')
 
 
-def test_token_cache_and_dialects():
+def test_tokens_are_kept_and_grants_differ():
     fake = Fake(TOKEN, OK, OK, TOKEN, OK)
-    c = client(fake)
-    c.get_items(["a"]), c.get_items(["b"])
+    access = fake.access()
+    fake.ask(access=access), fake.ask(access=access)
     fake.now = 41
-    c.search_items("k")
-    assert [r.url for r in fake.asked] == ["https://old", "https://api/getItems", "https://api/getItems", "https://old", "https://api/searchItems"]
-    assert fake.asked[0].headers["Authorization"].startswith("Basic ") and "Version 2.3" in fake.asked[1].headers["Authorization"]
+    fake.ask(access=access)
+    assert [r.url for r in fake.asked] == ["https://old", "https://api/x", "https://api/x", "https://old", "https://api/x"]
+    assert fake.asked[0].headers["Authorization"].startswith("Basic ") and fake.asked[0].body == "grant_type=client_credentials&scope=all/read"
+    assert fake.asked[1].headers == {"Content-Type": "application/json", "Authorization": "Bearer t, old"}
     fake = Fake(TOKEN, OK)
-    client(fake, credential="new1.x").get_items(["a"])
-    assert fake.asked[0].body["client_secret"] == "secret" and "Version 3.3" in fake.asked[1].headers["Authorization"]
-    with pytest.raises(remote.TokenError):
-        client(Fake(remote.Response(500))).get_items(["a"])
+    fake.ask(access=fake.access("v2.x"))
+    assert fake.asked[0].body == {"grant_type": "client_credentials", "scope": "all::read", "client_id": "v2.x", "client_secret": "secret"} and fake.asked[1].headers["Authorization"] == "Bearer t, new"
+    fake = Fake(remote.Response(500))
+    with pytest.raises(remote.FeedError, match="token"):
+        fake.ask(access=fake.access())
+    fake = Fake(remote.Response(200, '{"access_token": "t"}'))
+    access = fake.access()
+    access.headers()
+    fake.now = 3539
+    assert access.headers() and len(fake.asked) == 1
 
 
 def test_retries():
     bad = remote.Response(500)
-    fake = Fake(TOKEN, remote.Response(429), remote.TransportError("x"), bad, bad, bad)
-    with pytest.raises(remote.RequestError):
-        client(fake).get_items(["a"])
-    assert fake.slept == [2, 4, 8, 16]
+    fake = Fake(TOKEN, remote.Response(429), remote.FeedError("connection", "x"), bad, bad, bad)
+    with pytest.raises(remote.FeedError) as e:
+        fake.ask(access=fake.access())
+    assert e.value.stage == "request" and fake.slept == [2, 4, 8, 16]
     fake = Fake(TOKEN, remote.Response(401), TOKEN, OK)
-    assert client(fake).get_items(["a"]) == {"ok": 1}
-    assert client(Fake(TOKEN, remote.Response(404, '{"none": 1}'))).get_items(["a"]) == {"none": 1}
-    with pytest.raises(remote.MaxRetriesError):
-        client(Fake(TOKEN), max_retries=0).get_items(["a"])
+    assert fake.ask(access=fake.access()) == OK
+    assert Fake(remote.Response(404, '{"none": 1}')).ask().text == '{"none": 1}'
+    fake = Fake(*[bad] * 7)
+    with pytest.raises(remote.FeedError):
+        fake.ask(remote.Retry(attempts=7))
+    assert fake.slept == [2, 4, 8, 16, 30, 30]
+    with pytest.raises(remote.FeedError) as e:
+        Fake().ask(remote.Retry(attempts=0))
+    assert e.value.stage == "attempts"
 
 
 def test_feed_source(spark):
@@ -147,22 +163,68 @@ def test_feed_source(spark):
     assert read("hits_c").where("keyword = 'z'").first().keyword == "z"
     assert json.loads(read("search_b", credentials="none").first().response) == {"Items": []}
     assert len(json.loads(read("search_b", credentials="none", mock="true").first().response)["Items"]) == 1
-    pickle.dumps(remote.Recorded({}))
-    assert remote.parameters("hits_c", {"results": "99", "keyword": "k"})["results"] == 50 and remote.parameters("hits_c", {"results": "x"})["results"] == 5
-    with pytest.raises(remote.RequestError):
-        remote.fetch("search_b", remote.Recorded({"/b/search": {"status": 500, "body": {}}}), {})
-    assert remote.fetch("ranking_b", remote.Recorded({}), {}) == {"Items": []}
+    feeds, gone = remote.FEEDS, remote.recorded({"recorded": "{}"})
+    assert feeds["hits_c"].parameters({"results": "99", "keyword": "k"})["results"] == 50 and feeds["hits_c"].parameters({"results": "x"})["results"] == 5
+    assert feeds["videos"].parameters({"keyword": "k", "suffix": "review"})["q"] == "k review"
+    with pytest.raises(remote.FeedError):
+        feeds["search_b"].fetch(remote.recorded({"recorded": '{"/b/search": {"status": 500, "body": {}}}'}), {})
+    with pytest.raises(remote.FeedError):
+        feeds["search_b"].fetch(gone, {})
+    assert feeds["ranking_b"].fetch(gone, {}) == {"Items": []} and feeds["videos"].fetch(remote.recorded({"recorded": '{"/videos": {"status": 403, "body": {}}}'}), {}) == {"items": []}
 
 
-def test_catalogue_source(spark):
-    remote.register(spark)
-    item = lambda i: {"asin": i, "itemInfo": {"title": {"displayValue": f"t{i}"}}}
-    recorded = {"/token": {"status": 200, "body": {"access_token": "t"}}, "/getItems": {"status": 200, "body": {"itemsResult": {"items": [item("A")]}}}, "/searchItems": {"status": 404, "body": {}}}
-    got = spark.read.format("feed").options(feed="catalogue_a", recorded=json.dumps(recorded), ids="A", keyword="k").load().select(F.from_json("response", schemas.RESPONSE_A).alias("r")).select("r.*")
+def test_catalogue_feeds_with_tokens_and_batches(spark):
     from fennelmill.operators import offers
 
-    assert [(r.item_id, r.title) for r in offers.catalogue_a(got).collect()] == [("A", "tA")]
-    assert remote.parameters("videos", {"keyword": "k", "suffix": "review"})["q"] == "k review"
+    remote.register(spark)
+    item = lambda i: {"asin": i, "itemInfo": {"title": {"displayValue": f"t{i}"}}}
+    answers = json.dumps({"/token": {"status": 200, "body": {"access_token": "t"}}, "/getItems": {"status": 200, "body": {"itemsResult": {"items": [item("A")]}}}, "/searchItems": {"status": 404, "body": {"errors": []}}})
+    grants = json.dumps([{"url": "https://x/token", "scope": "s"}])
+    read = lambda feed, **o: spark.read.format("feed").options(feed=feed, recorded=answers, grants=grants, credential="c", secret="s", base="https://x", **o).load()
+    items = lambda df: offers.catalogue_a(df.select(F.from_json("response", schemas.RESPONSE_A).alias("r")).select("r.*"))
+    both = offers.targets_then_search(items(read("lookup_a", ids="A")), items(read("search_a", keyword="k")))
+    assert [(r.item_id, r.title) for r in both.collect()] == [("A", "tA")]
+    many = read("lookup_a", ids="A,B,C,D,E", batch="2")
+    assert many.rdd.getNumPartitions() == 3 and many.count() == 3
+    asked = remote.FEEDS["lookup_a"].parameters({"ids": "A,B", "tag": "g", "marketplace": "m"})
+    assert asked["itemIds"] == ["A", "B"] and asked["resources"] == remote.LOOKUP_FIELDS and (asked["itemIdType"], asked["marketplace"], asked["partnerTag"]) == ("ASIN", "m", "g")
+    assert remote.FEEDS["search_a"].parameters({"keyword": "k", "results": "99", "resources": "x,y"}) == {"resources": ["x", "y"], "keywords": "k", "searchIndex": "All", "itemCount": 10, "partnerTag": "", "marketplace": ""}
+
+
+def test_a_transport_of_the_user(spark, tmp_path):
+    (tmp_path / "own_transport.py").write_text(
+        "from fennelmill.sources.remote import Response\n"
+        "def answers(options):\n"
+        "    return lambda request: Response(200, '{\"Items\": [{\"itemName\": \"' + options['greeting'] + request.url + str(request.parameters['keyword']) + '\"}]}')\n"
+    )
+    spark.sparkContext.addPyFile(str(tmp_path / "own_transport.py"))
+    remote.register(spark)
+    got = spark.read.format("feed").options(feed="search_b", transport="own_transport:answers", greeting="hi ", base="https://b", config='{"path": "/v2"}', keyword="k").load()
+    assert json.loads(got.first().response) == {"Items": [{"itemName": "hi https://b/v2k"}]}
+
+
+def test_http_transport():
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200 if self.path.startswith("/ok?") else 503)
+            self.end_headers()
+            self.wfile.write(json.dumps({"hits": [self.path]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    send, at = remote.http({}), f"http://127.0.0.1:{server.server_port}"
+    assert json.loads(send(remote.Request("GET", f"{at}/ok", parameters={"q": "a b"})).text) == {"hits": ["/ok?q=a+b"]}
+    assert send(remote.Request("GET", f"{at}/no")).status == 503
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(remote.FeedError, match="connection"):
+        send(remote.Request("GET", f"{at}/ok", timeout=2))
 
 
 def test_daily_run(spark, tmp_path):
