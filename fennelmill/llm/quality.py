@@ -102,18 +102,23 @@ def assess(df: DataFrame, rules: LineRules = LineRules(), id_column: str = "doc_
     give repeated results; other columns are not read, whatever their names; an empty table gives no rows; very long
     texts and lines are judged whole; a loss of exactly the allowed share is kept.
     """
-    return _judged(df, rules, text_column, [id_column])
+    out = _judged(df, rules, text_column, [id_column])
+    return out.select(F.col("c0").alias(id_column), *out.columns[1:])
 
 
 def clean(df: DataFrame, rules: LineRules = LineRules(), text_column: str = "text") -> DataFrame:
-    """The rows of ``df`` that :func:`assess` keeps, with cleaned texts and all columns; ``n_chars``, if there, is set anew."""
-    out = _judged(df, rules, text_column, list(df.columns)).where("__kept")
-    fresh = {text_column: F.col("__cleaned")} | ({"n_chars": F.length("__cleaned").cast(df.schema["n_chars"].dataType)} if "n_chars" in df.columns else {})
-    return out.select(*(fresh.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns))
+    """The rows of ``df`` that :func:`assess` keeps, with cleaned texts and all columns; ``n_chars``, if there, is set anew.
+
+    Edge cases: rows with a NULL or empty text fail the base rules and go; NULLs in other columns and repeated rows stay
+    as they are; columns may have any names; an empty table gives no rows; very long texts are judged whole.
+    """
+    out = _judged(df, rules, text_column, list(df.columns)).where("kept")
+    fresh = {text_column: F.col("cleaned")} | ({"n_chars": F.length("cleaned").cast(df.schema["n_chars"].dataType)} if "n_chars" in df.columns else {})
+    return out.select(*(fresh.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(df.columns)))
 
 
 def _judged(df: DataFrame, rules: LineRules, text_column: str, carried: list[str]) -> DataFrame:
-    prefix = "" if len(carried) == 1 and carried[0] != text_column else "__"
+    """Carried columns as ``c0``, ``c1`` and so on, then what the rules say of the text."""
     source = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)), F.col(f"`{text_column}`").cast("string").alias("text"))
     schema = ", ".join(f"c{i} {source.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(carried)))
     small_batches(df.sparkSession)
@@ -148,6 +153,4 @@ def _judged(df: DataFrame, rules: LineRules, text_column: str, carried: list[str
             columns = [pa.array(x, pa.int64()) for x in zip(*numbers)]
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns, pa.array(failed), pa.array(kept), pa.array(cleaned, pa.string())], names)
 
-    out = source.mapInArrow(run, f"{schema}, {', '.join(f'{x} long' for x in longs)}, base_failed boolean, kept boolean, cleaned string")
-    added = (*longs, "base_failed", "kept", "cleaned")
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carried)), *(F.col(x).alias(prefix + x) for x in added))
+    return source.mapInArrow(run, f"{schema}, {', '.join(f'{x} long' for x in longs)}, base_failed boolean, kept boolean, cleaned string")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fennelmill.llm.common import discard, if_small, materialise, slices
+from fennelmill.llm.common import discard, fresh_names, if_small, materialise, slices
 from fennelmill.llm.components import components
 
 #: Words of a shingle; coordinates of a sketch; bands and coordinates of a band. Two sets of similarity 0.75 meet in no
@@ -220,9 +220,14 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_column: str = "doc_id",
 
 
 def drop_duplicates(df: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``df`` whose ids :func:`near_duplicates` keeps, and all rows without an id."""
-    lost = near_duplicates(df, percent, id_column, text_column).where("not kept").select(F.col(id_column).alias("__lost")).distinct()
-    return df.join(if_small(materialise(lost, "lost")), F.col(f"`{id_column}`") == F.col("__lost"), "left_anti")
+    """The rows of ``df`` whose ids :func:`near_duplicates` keeps, and all rows without an id.
+
+    Edge cases: a NULL or empty text links with nothing and stays; rows that repeat an id stay or go together; all columns
+    stay, whatever their names; an empty table gives no rows; very long texts are compared whole.
+    """
+    [gone] = fresh_names(df, "gone")
+    lost = near_duplicates(df, percent, id_column, text_column).where("not kept").select(F.col(id_column).alias(gone)).distinct()
+    return df.join(if_small(materialise(lost, "lost")), F.col(f"`{id_column}`") == F.col(gone), "left_anti")
 
 
 def _unsettled(buckets: DataFrame, found: DataFrame) -> DataFrame:

@@ -121,3 +121,32 @@ def test_mixture_edges(spark):
     assert sorted(str(r.doc_id) for r in mixing.mix(spark.createDataFrame(rows, DOCS)).collect()) == ["1", "1", "2", "None"]
     clash = spark.createDataFrame([(1, "a", "s", 5.0)], "doc_id long, text string, source string, mix_slot double")
     assert mixing.mix(clash).first().mix_slot == 0.0
+
+
+def test_budget_ends_between_copies_of_a_document(spark):
+    """A source of 300 documents and one of 300 copies of one row, of equal weight, each due 450 rows of ten words."""
+    ten = " ".join(["w"] * 10)
+    rows = [(i, f"{ten[:-2]} v{i}", "en", "many", 0) for i in range(300)] + [(900, ten, "en", "one", 0)] * 300 + [(2000 + i, f"{ten[:-2]} u{i}", "en", "big", 0) for i in range(450)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = Count(r.source for r in mixing.mix(df, entropy_share=1.0, repeat_limit=1.5).collect())
+    assert got["big"] == 450 and 449 <= got["many"] <= 450 and 449 <= got["one"] <= 450
+    got = Count(r.source for r in mixing.mix(df, budget=3000, repeat_limit=1e9, entropy_share=1.0).collect())
+    assert all(99 <= got[s] <= 100 for s in ("big", "many", "one"))
+
+
+def test_budget_and_targets(spark):
+    rows, df = corpus(spark)
+    words = {r[0]: len((r[1] or "").split()) for r in rows}
+    total = Count()
+    for r in rows:
+        total[r[3]] += words[r[0]]
+    first, second = sorted((s for s in total if total[s]), key=lambda s: -total[s])[:2]
+    budget = 2 * sum(total.values())
+    mixed = mixing.mix(df, budget=budget, targets={first: 0.2, second: 0.5}, repeat_limit=1e9).collect()
+    got = Count()
+    for r in mixed:
+        got[r.source] += words[r.doc_id]
+    assert 0.2 * budget - 41 <= got[first] <= 0.2 * budget + 1 and 0.5 * budget - 41 <= got[second] <= 0.5 * budget + 1
+    assert abs(sum(got.values()) - budget) <= 41 * len(total)
+    with pytest.raises(ValueError):
+        mixing.mix(df, targets={first: 0.7, second: 0.5})
