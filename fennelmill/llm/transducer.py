@@ -30,6 +30,8 @@ from fennelmill.llm.common import slices, small_batches
 _NEVER = 1 << 30
 #: States that a worker keeps; when there are more, those not in use are forgotten and made again when reached.
 MOST_STATES = 400_000
+#: Bytes of a pre-token beyond which its states are not kept.
+LONGEST = 1_024
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: In a state's key: the token that stands for the beginning of the pre-token, and the relative count 0.
 _BEGIN, _EVEN = 1 << 20, 512
@@ -209,8 +211,39 @@ class Counter:
         key = array("i", [node, t << 10 | _EVEN, *(x - gain for x in tail[: depth[node]])])
         self._put(state << 8 | byte, self._state(key.tobytes()), gain)
 
+    def count_alone(self, text: bytes) -> int:
+        """The token count of one pre-token, by the machine's transitions without a table of its states."""
+        token, depth, back, child, fits = self.token, self.depth, self.back, self.child, self.fits
+        last, counts = [-1], [0]  # at each place the token that ends there, and how many there are up to it
+        node = 0
+        for i, byte in enumerate(text, 1):
+            while node and byte not in child[node]:
+                node = back[node]
+            node = s = child[node].get(byte, 0)
+            while True:
+                if (t := token[s]) >= 0:
+                    before = i - depth[s]
+                    b = last[before]
+                    if b < 0:
+                        break
+                    fit = fits.get(b << 20 | t)
+                    if self._pair_fits(b, t) if fit is None else fit:
+                        break
+                s = back[s]
+                if not s:
+                    raise ValueError(f"no vocabulary entry ends at {i}")
+            last.append(t)
+            counts.append(counts[before] + 1)
+        return counts[-1]
+
     def count(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Token counts of the pre-tokens ``data[start : start + size]``; all run in step, the longest first."""
+        """Token counts of the pre-tokens ``data[start : start + size]``; all but very long ones run in step, the longest first."""
+        if len(long := np.flatnonzero(sizes > LONGEST)):
+            out = np.empty(len(sizes), np.int64)
+            out[long] = [self.count_alone(data[starts[i] : starts[i] + sizes[i]].tobytes()) for i in long.tolist()]
+            rest = np.flatnonzero(sizes <= LONGEST)
+            out[rest] = self.count(data, starts[rest], sizes[rest])
+            return out
         order = np.argsort(-sizes, kind="stable")
         starts, less = starts[order], -sizes[order]
         state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)

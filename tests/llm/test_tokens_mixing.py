@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter as Count
 
 import numpy as np
@@ -150,3 +151,15 @@ def test_budget_and_targets(spark):
     assert abs(sum(got.values()) - budget) <= 41 * len(total)
     with pytest.raises(ValueError):
         mixing.mix(df, targets={first: 0.7, second: 0.5})
+
+
+def test_very_long_pre_tokens_take_linear_time():
+    from tokenizers import Tokenizer
+
+    tool, library = transducer.tokens(PATH), Tokenizer.from_file(PATH)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(500_000)), "a" * 200_000, "é漢" * 3_000 + " the " + "=" * 5_000 + "1" * 2_000, "ab " * 10]
+    for text in texts:
+        begun = time.monotonic()
+        got = int(tool([text])[0])
+        assert time.monotonic() - begun < 5 and got == len(library.encode(text, add_special_tokens=False).ids)
