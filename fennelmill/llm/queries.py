@@ -89,4 +89,4 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS c
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {"op1_chat_format": chat.ORACLE, "op5_embedding_dedup": _OP5, "op8_minhash_dedup": _OP8}
+    return {"op1_chat_format": chat.ORACLE, "op2_quality_rules": quality.ORACLE, "op5_embedding_dedup": _OP5, "op8_minhash_dedup": _OP8}

@@ -100,3 +100,19 @@ def test_page_text(spark):
     assert {k: r.text for k, r in got.items()} == {k: t for k, (_, t) in pages.items()}
     assert all(r.n_chars == len(r.text) and r.url == "u" for r in got.values())
     assert htmltext.extract(df.where("false")).count() == 0
+
+
+def test_wrapped_prose_menus_and_phrases_in_four_languages():
+    judge = quality.Judge(quality.LineRules())
+    wrapped = ["The first line of a paragraph that someone wrapped by hand after some words", "goes on in lower case on the next line and on the one behind it", "until it ends here.", "Éclairs are a new sentence."]
+    assert judge.verdicts(wrapped) == [None] * 4
+    assert judge.verdicts([wrapped[0], "But This Line Begins Anew."]) == ["punctuation", None]
+    mention = "You may click here or there, but this long sentence only mentions what the phrase says and then goes on about a number of other things."
+    assert judge.verdicts([mention, "Click here", "x"]) == [None, "boilerplate", None]
+    for line in ("Alle Rechte vorbehalten.", "© X, tous droits réservés", "Lea la política de privacidad", "Términos y condiciones", "Hier klicken!"):
+        assert judge.verdicts([line, "x"])[0] == "boilerplate", line
+    menu = ["Home", "News", "About us", "Contact", "Sign in"]
+    text = "A sentence of its own stands before and behind it."
+    assert judge.verdicts([text, *menu, text]) == [None, *["navigation"] * 5, None]
+    assert judge.verdicts([text, *menu[:4], text]) == [None] * 6 and judge.verdicts([f"{m}." for m in menu]) == [None] * 5
+    assert judge.verdicts([]) == [] and judge.verdicts(["", " \t"]) == [None, None]
