@@ -160,10 +160,21 @@ def find_personal_data(df: DataFrame, confidence: float = 0.8, support: int = 4,
     return joined.select(F.col("id").alias(id_column), "text_hash", "base", F.coalesce(free, F.array().cast(rows.schema["base"].dataType)).alias("found"))
 
 
+def _base_columns() -> list[Column]:
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return [*map(count, KINDS), F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256")]
+
+
+def base_digests(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The digest columns of the base spans alone."""
+    source = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    base = F.concat(*(tagged(k, k, i) for i, k in enumerate(KINDS)))
+    return base_spans(source, "text").select(F.col("id").alias(id_column), base.alias("base")).select(id_column, *_base_columns())
+
+
 def digests(spans: DataFrame) -> DataFrame:
     """The digest columns of a :func:`find_personal_data` result."""
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return spans.select("doc_id", *map(count, KINDS), F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.concat("base", "found")).alias("spans"), F.size("found").cast("long").alias("n_found"))
+    return spans.select("doc_id", *_base_columns(), written(F.concat("base", "found")).alias("spans"), F.size("found").cast("long").alias("n_found"))
 
 
 def redact(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

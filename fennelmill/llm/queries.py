@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fennelmill.llm import bpe, chat, htmltext, mixing, pii, quality, rpforest, secrets, sketch_dedup, transducer
+from fennelmill.llm import bpe, chat, htmltext, mixing, pii, quality, rpforest, secrets, sketch_dedup, span_sql, transducer
 from fennelmill.llm.common import table
 
 
@@ -57,8 +57,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op9 alone, which SQL can say."""
+    return pii.base_digests(table(spark, sf_dir, "documents"))
+
+
 #: In the order of their numbers.
-_ALL = (op1_chat_format, op2_quality_rules, op3_html_text, op4_mixing, op5_embedding_dedup, op6_bpe_encode, op7_token_counts, op8_minhash_dedup, op9_pii, op10_secrets)
+_ALL = (op1_chat_format, op2_quality_rules, op3_html_text, op4_mixing, op5_embedding_dedup, op6_bpe_encode, op7_token_counts, op8_minhash_dedup, op9_pii, op10_secrets, pii_base_spans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -89,4 +94,4 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS c
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {"op1_chat_format": chat.ORACLE, "op2_quality_rules": quality.ORACLE, "op5_embedding_dedup": _OP5, "op8_minhash_dedup": _OP8}
+    return {"op1_chat_format": chat.ORACLE, "op2_quality_rules": quality.ORACLE, "op5_embedding_dedup": _OP5, "op8_minhash_dedup": _OP8, "op10_secrets": span_sql.SECRETS, "pii_base_spans": span_sql.PERSONAL}

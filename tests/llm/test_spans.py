@@ -1,6 +1,7 @@
 """Personal data and secrets against Python's regular expressions."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -147,3 +148,94 @@ def test_contexts_are_whole_words_and_many_matches_cost_little(spark):
     got = {r.doc_id: r for r in pii.digests(pii.find_personal_data(frame(spark, texts))).collect()}
     assert got[12].n_found == 0 and got[13].n_found == 1 and got[14].n_ip == 40_000
     assert got[14].spans.endswith(f"ip:{8 * 39_999}:{8 * 39_999 + 7}")
+
+
+def brute_found(texts, rounds=3, confidence=0.8, support=4, accepted=0.5):
+    """Contextual extraction by plain loops: the found spans of each text."""
+    token = re.compile(pii._TOKEN, re.A)
+    kind_of = lambda v: "email" if re.search(PII["email"], v) else "phone" if v[0] == "+" and valid("phone", v) else next((k for k in ("ip", "card") if (m := re.search(PII[k], v)) and valid(k, m.group())), None)
+    rows = []
+    for t in texts:
+        at, found = 0, []
+        for m in token.finditer(t or ""):
+            words = re.split(r"\s+", t[at : m.start()].strip(" \t\n\r\f\v"), flags=re.A)[-2:]
+            at, raw = m.end(), m.group()
+            lead = len(re.match(r"[^A-Za-z0-9+@]*", raw).group())
+            trail = len(re.search(r"[^A-Za-z0-9]*$", raw).group())
+            value = raw[lead : max(lead, len(raw) - trail)].lower()
+            found.append((m.start() + lead, m.end() - trail, value, " ".join(words).lower(), kind_of(raw)))
+        rows.append(found)
+    edges = {}
+    for _, _, value, context, seed in (x for r in rows for x in r):
+        if context and value:
+            edges[context, value] = max(filter(None, (edges.get((context, value)), seed)), default=None)
+    by_context, by_value, known, promoted = {}, {}, {}, {}
+    for (c, v), s in edges.items():
+        by_context.setdefault(c, []).append((v, s))
+        by_value.setdefault(v, []).append(c)
+    for _ in range(rounds):
+        scored = {}
+        for c, inst in by_context.items():
+            each = []
+            for k in PII:
+                seeds = sum(s == k for _, s in inst)
+                learnt = [known[v][1] for v, s in inst if s is None and v in known and known[v][0] == k]
+                each.append(((seeds + sum(learnt)) / (len(inst) + 1), seeds, seeds + len(learnt), k))
+            scored[c] = max(each)
+        promoted = {c: x for c, x in scored.items() if x[0] >= confidence and x[2] >= support and 2 * x[1] >= x[2]}
+        new = {}
+        for v, contexts in by_value.items():
+            pointed = [(promoted[c][0], promoted[c][3]) for c in contexts if c in promoted and edges[c, v] is None]
+            if pointed:
+                k = max(pointed)[1]
+                size = lambda c: math.log1p(len(by_context[c]))
+                score = sum(size(c) * scored[c][0] * (scored[c][3] == k and scored[c][0] > 0) for c in contexts) / sum(map(size, contexts))
+                if score >= accepted:
+                    new[v] = (k, score)
+        known = new
+    out = []
+    for t, found in zip(texts, rows):
+        base, spans = personal(t), set()
+        for a, b, value, context, seed in found:
+            if seed is None and context in promoted and value in known and known[value][0] == promoted[context][3]:
+                k = promoted[context][3]
+                n, digits = len(re.sub("[^a-z0-9]", "", value)), len(re.sub("[^0-9]", "", value))
+                likely = n >= pii.LEAST[k][0] and digits >= pii.LEAST[k][1] or k == "email" and re.search(pii._ADDRESS, value, re.A)
+                if likely and not any(x < b and y > a for x, _, y, _ in base):
+                    spans.add((a, list(PII).index(k), b, k))
+        out.append(sorted(spans))
+    return out
+
+
+def test_found_spans_against_plain_loops(spark):
+    rng = random.Random(11)
+    leads = ["call me", "Ring  us at", "mail", "write to", "see", "card no", "host", "it is"]
+    values = [f"+1 938 555-{1000 + i}" for i in range(25)] + [f"u{i}@x.example" for i in range(25)] + [f"10.0.0.{i}" for i in range(20)] + [f"55{i}-0134-x7" for i in range(12)] + [f"ref{i:03d}" for i in range(12)] + [f"n{i}(at)site" for i in range(6)] + [f"w{i}@host{i}" for i in range(6)]
+    likes = {"call me": values[:25] + values[70:82], "Ring  us at": values[10:25] + values[76:84], "mail": values[25:50] + values[94:], "write to": values[25:45] + values[94:100], "host": values[50:70] + values[82:86]}
+    texts = []
+    for _ in range(260):
+        says = lambda lead: f"{lead} {rng.choice(likes.get(lead, values[82:]) if rng.random() < 0.97 else values)}"
+        texts.append(rng.choice(["", "", "so: "]) + " ".join(says(rng.choice(leads)) for _ in range(rng.randint(1, 3))) + rng.choice(["", ".", ", soon"]))
+    want = brute_found(texts, confidence=0.5)
+    assert sum(map(len, want)) > 20
+    got = {r.doc_id: r.found for r in pii.find_personal_data(frame(spark, texts), confidence=0.5).collect()}
+    for i, spans in enumerate(want):
+        assert [(s.start, s.place, s.end, s.kind) for s in got[i]] == spans, texts[i]
+
+
+def test_personal_and_secret_spans_by_sql(spark):
+    """The contract's patterns in DuckDB, on texts made to break them."""
+    import duckdb
+
+    from fennelmill.llm import span_sql
+
+    pieces = ["a", "b.", "@", "c-d", "x.com", "+", "1", "42", ".", " ", "-", "(", ")", "255", "256", "4111111111111111", "+1 938 555-0822", "é", "password", "TOKEN", "api_key", "=", ":", "'", '"', "123456789012", "AKIA", "ABCDEF0123456789", "deadbeef", "\n", "Zk3vQ9xLp2Wm8RtYb5Nc"]
+    texts = random_texts(pieces, 6)
+    df = frame(spark, texts)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    for sql, got in ((span_sql.SECRETS, secrets.digests(secrets.find_secrets(df))), (span_sql.PERSONAL, pii.base_digests(df))):
+        names = sorted(got.columns)
+        rows = con.sql(f"SELECT {', '.join(names)} FROM ({sql})").fetchall()
+        for a, b in zip(sorted(tuple(r[c] for c in names) for r in got.collect()), sorted(rows)):
+            assert a == b
