@@ -43,25 +43,25 @@ def _wrapped(field: str) -> Column:
     return F.when(F.col("Item").isNotNull(), F.col(f"Item.{field}")).otherwise(F.col(field))
 
 
-def search_b(response: DataFrame, source: str = "b") -> DataFrame:
-    """Items of a search response whose elements may be wrapped; the referral URL goes first, reviews default to 0."""
-    return unnest(response, "Items").select(
-        "pos",
+def _fields_b(code: Column) -> list[Column]:
+    return [
         _wrapped("itemName").alias("title"),
         _wrapped("itemPrice").alias("price"),
         S.first_truthy(_wrapped("affiliateUrl"), _wrapped("itemUrl")).alias("url"),
         _image_b(_wrapped("mediumImageUrls")).alias("image"),
-        F.coalesce(_wrapped("itemCode"), F.lit("")).alias("item_code"),
+        code.alias("item_code"),
         F.coalesce(_wrapped("reviewCount"), F.lit(0)).alias("review_count"),
-        F.lit(source).alias("source"),
-    )
+    ]
+
+
+def search_b(response: DataFrame, source: str = "b") -> DataFrame:
+    """Items of a search response whose elements may be wrapped; the referral URL goes first, reviews default to 0."""
+    return unnest(response, "Items").select("pos", *_fields_b(F.coalesce(_wrapped("itemCode"), F.lit(""))), F.lit(source).alias("source"))
 
 
 def ranking_b(response: DataFrame) -> DataFrame:
     """Ranked items; a code that is missing stays NULL."""
-    items = search_b(response)
-    rank = unnest(response, "Items").select(F.col("pos").alias("of"), _wrapped("rank").cast("int").alias("rank"), _wrapped("itemCode").alias("code"))
-    return items.drop("source", "item_code").join(rank, F.col("pos") == F.col("of")).select("pos", "rank", "title", "price", "url", "image", F.col("code").alias("item_code"), "review_count")
+    return unnest(response, "Items").select("pos", _wrapped("rank").cast("int").alias("rank"), *_fields_b(_wrapped("itemCode")))
 
 
 def hits_c(response: DataFrame, referral_base: str = "https://referral.example/go", referral_domain: str = "referral.example", site: str = "", partner: str = "", shop: str = "c", source: str = "c") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,35 +10,9 @@ from pyspark.sql import functions as F
 from fennelmill import schemas
 from fennelmill.functions import scalars as S
 from fennelmill.operators import articles, matching, relational, render, signals, tasks, validate
+from fennelmill.plans.registry import QUERIES, Query, query, table
 from fennelmill.sources import markup
 
-
-@dataclass(frozen=True)
-class Query:
-    """A query and its SQL."""
-
-    run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
-
-
-QUERIES: dict[str, Query] = {}
-
-
-def query(sql: str | None) -> Callable:
-    """Register a function by its name with its SQL."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = Query(f, sql.strip() if sql else None)
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A Parquet table of the folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # Signals ----------------------------------------------------------------------------------------------------------
 
 #: The bindings of the arrival patterns to part names.
@@ -540,3 +512,6 @@ def d15_hit_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f9_default_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region")
     return relational.or_default(region, spark.createDataFrame([(-1, "none")], region.schema))
+
+
+from fennelmill.plans import source_queries  # noqa: E402, F401  these add theirs to the same registry

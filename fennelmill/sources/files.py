@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -28,6 +29,20 @@ def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for what a run writes and reads back: under ``spark.checkpoint.dir``, which the driver and all executors share.
+
+    A local session without that setting uses its warehouse; on a cluster it has to be set, since a folder of one machine
+    is no place for tables there.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
+        where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @dataclass
 class Scan:
     """Documents read, and those that could not be."""
