@@ -10,9 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 from fennelmill.llm import bpe, mixing, pii, quality, sketch_dedup
-from fennelmill.llm.common import materialise
+from fennelmill.llm.common import discard, materialise, scratch_of
 from fennelmill.llm.queries import tokenizer_path
 
 #: No SQL can express the stages that score context, sketch sets or encode pairs; tests hold them against brute force.
@@ -54,10 +53,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the ``documents`` of a folder."""
+    """All stages on the ``documents`` of a folder. What a stage wrote for itself goes as soon as its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs, f"stage{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch_of() as kept:
+            out = materialise(stage(spark, docs, sf_dir), f"stage{i}")
+            kept.append(out)
+        discard(docs)
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)

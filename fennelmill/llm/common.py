@@ -26,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a folder under the session's warehouse takes its place.
+    Only where that is unset and the master is local (tests on one machine) a folder under the session's warehouse takes
+    its place; a cluster has to name one, as its machines may share no warehouse.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
         where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return where.rstrip("/")
 
@@ -112,6 +115,16 @@ def discard(*tables: DataFrame) -> None:
             _delete(_made.pop(path), path)
 
 
+@contextmanager
+def scratch_of(*keep: DataFrame) -> Iterator[list[DataFrame]]:
+    """Delete, at the end, the tables that were made inside, but for those put into the list: for a step whose result is written."""
+    before, kept = set(_made), list(keep)
+    yield kept
+    stays = {getattr(t, "_scratch_path", None) for t in kept}
+    for path in [p for p in _made if p not in before and p not in stays]:
+        _delete(_made.pop(path), path)
+
+
 #: Rows of ids, or of spans, that may be sent to every executor: some 64 MB there. More are shuffled instead.
 MOST_BROADCAST = 3_000_000
 

@@ -59,3 +59,13 @@ def test_empty_table(spark, tmp_path):
 def test_rules_are_parameters(spark):
     df = spark.createDataFrame([(1, line(1) + "\n" + line(2))], "doc_id long, text string")
     assert quality.assess(df, quality.LineRules(loss=-1.0)).first().kept is False
+
+
+def test_scratch_of_a_stage_goes_when_its_result_is_written(spark, tmp_path):
+    from fennelmill.llm import common
+
+    spark.createDataFrame(rows(), DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    before = set(common._made)
+    corpus_pipeline.run(spark, str(tmp_path))
+    left = [p.rsplit("/", 1)[-1].split("-")[0] for p in common._made if p not in before]
+    assert left == ["stage3"]
