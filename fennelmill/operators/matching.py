@@ -1,30 +1,47 @@
-"""Best match by shared tokens, as an equi-join on tokens."""
+"""Best match by shared tokens, as equi-joins on rare tokens."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fennelmill.functions import scalars as S
+from fennelmill.sources.files import written
+
+#: Rarest tokens of a left row that are tried first, for a score that others have to reach.
+FIRST = 2
 
 
 def best_match(left: DataFrame, pool: DataFrame, left_key: str, left_text: str, pool_key: str, pool_text: str, pool_order: str | None = None, least: int = 2) -> DataFrame:
     """``(left_key, match, score)``: for each left row the pool row that shares most distinct tokens with it.
 
-    Ties go to the earliest pool row; a score under ``least`` is no match, and every left row is returned. Only tokens
-    that both sides hold meet, so the nested loop over all pairs becomes a join on tokens whose counts are summed. Left
-    texts and pool rows are tokenised once. Frequent tokens are dealt over the cluster by adaptive skew splitting, and
-    tokens that cannot reach the least score alone are pruned: a left row with fewer tokens than it never matches.
+    Ties go to the earliest pool row; a score under ``least`` is no match, and every left row is returned. The search is
+    bounded and exact: a left row's tokens are ordered from the rarest in the pool to the most frequent. The pool rows that
+    hold one of its two rarest tokens give a score ``s`` that is reached already. Any row that reaches ``s`` too holds one
+    of the ``n - s + 1`` rarest of the ``n`` tokens, so only rows that do are scored beside them; a frequent token brings
+    rows together only where nothing better is known. Both sides are tokenised once, and written for the steps that read
+    them.
     """
-    order = pool_order or pool_key
-    left_tokens = left.select(F.col(left_key).alias("l"), S.token_set(left_text).alias("t")).where(F.size("t") >= least)
-    pool_tokens = pool.select(F.col(pool_key).alias("r"), F.col(order).alias("o"), S.token_set(pool_text).alias("t")).where(F.size("t") >= least)
-    a = left_tokens.select("l", F.explode("t").alias("token"))
-    b = pool_tokens.select("r", "o", F.explode("t").alias("token"))
-    scores = a.join(b, "token").groupBy("l", "r", "o").agg(F.count("*").alias("score")).where(F.col("score") >= least)
-    first = Window.partitionBy("l").orderBy(F.desc("score"), "o", "r")
-    best = scores.withColumn("n", F.row_number().over(first)).where("n = 1").select(F.col("l").alias(left_key), F.col("r").alias("match"), "score")
-    return left.select(left_key).join(best, left_key, "left")
+    rows = pool.select(F.struct(F.col(pool_order or pool_key).alias("o"), F.col(pool_key).alias("r")).alias("at"), F.col(pool_text).alias("text")).repartition("at")
+    pool_tokens = written(rows.select("at", S.token_set("text").alias("tokens")).where(F.size("tokens") >= least), "pool")
+    each = pool_tokens.select("at", F.explode("tokens").alias("token"))
+    a = left.select(F.col(left_key).alias("l"), F.explode(S.token_set(left_text)).alias("token"))
+    held = each.join(a.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("f"))
+    rarest = F.transform(F.array_sort(F.collect_list(F.struct("f", "token"))), lambda x: x["token"])
+    ranked = written(a.join(held, "token").groupBy("l").agg(rarest.alias("own")).where(F.size("own") >= least), "ranked")
+
+    def scored(wanted: DataFrame) -> DataFrame:
+        """``(l, s, at)``: the best pool row of each left row among those that hold a wanted token, with its negated score."""
+        pairs = wanted.join(each, "token").select("l", "at").distinct()
+        both = pairs.join(ranked, "l").join(pool_tokens, "at").select("l", F.struct((-F.size(F.array_intersect("own", "tokens"))).alias("s"), "at").alias("best"))
+        return both.groupBy("l").agg(F.min("best").alias("best"))
+
+    first = written(scored(ranked.select("l", F.explode(F.slice("own", 1, FIRST)).alias("token"))), "first")
+    upto = F.size("own") - F.greatest(-F.col("best.s"), F.lit(least)) + 1
+    more = ranked.join(first, "l", "left").select("l", F.explode(F.slice("own", F.lit(FIRST + 1), F.greatest(F.coalesce(upto, F.size("own") - least + 1) - FIRST, F.lit(0)))).alias("token"))
+    best = first.union(scored(more)).groupBy("l").agg(F.min("best").alias("best")).where(F.col("best.s") <= -least)
+    found = best.select(F.col("l").alias(left_key), F.col("best.at.r").alias("match"), (-F.col("best.s")).cast("long").alias("score"))
+    return left.select(left_key).join(found, left_key, "left")
 
 
 def overlaps(left: DataFrame, right: DataFrame, left_key: str, left_text: str, right_key: str, right_text: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import uuid
 from dataclasses import dataclass
@@ -40,7 +41,30 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
         where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to a scratch folder and read back: what several parts of a plan read is made once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _sweep() -> None:
+    """Delete scratch folders when the driver's process ends."""
+    for spark, path in _made:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session may have ended: what is left lies in the scratch folder
+            return
 
 
 @dataclass
