@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from fennelmill.sources.files import written
+
 
 def unnest(df: DataFrame, array: str, keep: Sequence[str] = ()) -> DataFrame:
     """One row for each element of an array of structs, with ``pos`` and the element's fields; none for NULL or empty."""
@@ -48,10 +50,24 @@ def upsert(current: DataFrame, fresh: DataFrame, keys: Sequence[str], order: Seq
 
 
 def numbered(df: DataFrame, *order: Column | str, partition: Sequence[str] = (), name: str = "place") -> DataFrame:
-    """Rows with their place, from 1, within a partition."""
+    """Rows with their place, from 1, within each partition. Without one all rows are ordered in one task: for a bounded number, such as :func:`top_rows` gives."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
 
 
+def numbered_by_range(df: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """Rows with their place, from 1, in a table of any size.
+
+    The rows are dealt by ranges of the order and written; each range counts its own, and only the counts of ranges are
+    added up in one place. They are written since ranges are drawn from a sample: both uses have to see the same.
+    """
+    part, within, before = f"{name}__part", f"{name}__within", f"{name}__before"
+    placed = written(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    counts = placed.groupBy(part).agg(F.count("*").alias(before))
+    upto = F.coalesce(F.sum(before).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = placed.withColumn(within, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    return each.join(counts.withColumn(before, upto), part).withColumn(name, F.col(within) + F.col(before)).drop(part, within, before)
+
+
 def lookup_in_order(posts: DataFrame, ids: str, items: DataFrame, key: str, keep: Sequence[str]) -> DataFrame:
     """The items that each post lists, in the post's order."""
     listed = posts.select(*keep, F.posexplode(ids).alias("pos", key))

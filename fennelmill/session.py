@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import zipfile
 from pathlib import Path
@@ -38,5 +39,6 @@ def ship(spark: SparkSession) -> None:
         with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as archive:
             for p in sorted(root.rglob("*.py")):
                 archive.write(p, p.relative_to(root.parent))
+    atexit.register(Path(f.name).unlink, missing_ok=True)  # the driver serves it to executors as long as it runs
     spark.sparkContext.addPyFile(f.name)
     _shipped.add(application)

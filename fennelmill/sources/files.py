@@ -184,14 +184,8 @@ class Snapshots:
 
 
 def index_rows(posts: DataFrame, order: str, size: int = 10) -> DataFrame:
-    """The site's index ``(title, permalink, summary, content)`` with the page each row stands on.
+    """The site's index ``(title, permalink, summary, content)`` with the page each row stands on, the latest first."""
+    from fennelmill.operators.relational import numbered_by_range
 
-    Rows are numbered by range partitions: each counts its own, and only the counts are added up in one place.
-    """
-    from pyspark.sql import Window
-
-    placed = posts.repartitionByRange(F.desc(order), F.col("permalink")).withColumn("part", F.spark_partition_id())
-    counts = placed.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    within = F.row_number().over(Window.partitionBy("part").orderBy(F.desc(order), "permalink"))
-    return placed.withColumn("within", within).join(before, "part").select("title", "permalink", "summary", "content", (F.floor((F.col("within") + F.col("before") - 1) / size) + 1).cast("int").alias("page"))
+    placed = numbered_by_range(posts, F.desc(order), F.col("permalink"))
+    return placed.select("title", "permalink", "summary", "content", (F.floor((F.col("place") - 1) / size) + 1).cast("int").alias("page"))

@@ -178,3 +178,12 @@ def test_latest_and_without_repeats(spark):
     docs = spark.createDataFrame([("s", "2024-01-01", "a"), ("s", "2024-01-02", "b"), ("t", "2024-01-01", "c")], "slug string, date string, title string")
     assert sorted(r.title for r in articles.latest_by_slug(docs).collect()) == ["b", "c"]
     assert [r.keyword for r in articles.without_repeats(spark.createDataFrame([("a",), ("b",)], "keyword string"), spark.createDataFrame([("a",)], "keyword string")).collect()] == ["b"]
+
+
+def test_numbers_by_range_are_those_of_one_order(spark):
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("x"), F.col("id").alias("y")).repartition(6)
+    got = relational.numbered_by_range(df, F.desc("x"), "y").agg(F.count("*").alias("n"), F.countDistinct("place").alias("d"), F.min("place").alias("a"), F.max("place").alias("b")).first()
+    assert tuple(got) == (20_000, 20_000, 1, 20_000)
+    rows = sorted((r.place, -r.x) for r in relational.numbered_by_range(df, F.desc("x"), "y").collect())
+    assert rows == sorted(rows, key=lambda r: (r[0])) and [x for _, x in rows] == sorted(x for _, x in rows)
+    assert relational.numbered_by_range(df.where("false"), "x").count() == 0
