@@ -125,16 +125,17 @@ def scratch_of(*keep: DataFrame) -> Iterator[list[DataFrame]]:
         _delete(_made.pop(path), path)
 
 
-#: Rows of ids, or of spans, that may be sent to every executor: some 64 MB there. More are shuffled instead.
-MOST_BROADCAST = 3_000_000
+#: Bytes of ids, or of spans, that may be sent to every executor. More are shuffled instead.
+MOST_BROADCAST = 48 << 20
 
 
 def if_small(df: DataFrame, values: str = "1", most: int = MOST_BROADCAST) -> DataFrame:
-    """``df``, marked for broadcast if it is counted to hold no more than ``most`` values; a larger table is left to a shuffled join.
+    """``df``, marked for broadcast if it is counted to hold no more than ``most`` bytes; a larger table is left to a shuffled join.
 
-    ``values`` is SQL for how many values a row holds.
+    ``values`` is SQL for how many values of fixed size, of 16 bytes each, a row holds; strings are counted by their lengths.
     """
-    held = df.agg(F.sum(F.expr(values))).first()[0] or 0
+    texts = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    held = df.agg(F.sum(sum(texts, F.expr(values) * 16))).first()[0] or 0
     return F.broadcast(df) if held <= most else df
 
 

@@ -163,3 +163,37 @@ def test_very_long_pre_tokens_take_linear_time():
         begun = time.monotonic()
         got = int(tool([text])[0])
         assert time.monotonic() - begun < 5 and got == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_passes_are_permutations_of_blocks_spread_evenly(spark):
+    """The slot of a block is the share of its source's stream that earlier passes and earlier blocks of its pass take."""
+    rows, df = corpus(spark)
+    words = {r[0]: len((r[1] or "").split()) for r in rows}
+    total = Count()
+    for r in rows:
+        total[r[3]] += words[r[0]]
+    mixed = mixing.mix(df, entropy_share=0.99, repeat_limit=3.0).collect()
+    weight = {r.source: r.mix_weight for r in mixed}
+    budget = max(total[s] / weight[s] for s in total if total[s])
+    orders = set()
+    for s in (s for s in total if total[s]):
+        stream = round(weight[s] * budget / total[s], 9) * total[s]
+        for p in {r.mix_pass for r in mixed if r.source == s}:
+            blocks = {}
+            for r in mixed:
+                if r.source == s and r.mix_pass == p:
+                    blocks.setdefault(r.mix_slot, []).append(r.doc_id)
+            before = 0
+            for slot in sorted(blocks):
+                assert math.isclose(slot, (p * total[s] + before) / stream, abs_tol=1e-6)
+                before += sum(words[d] for d in blocks[slot])
+            orders.add((s, p, tuple(d for slot in sorted(blocks) for d in sorted(blocks[slot], key=str))[:20]))
+    assert len({o[2] for o in orders}) == len(orders)  # each pass goes its own way
+
+
+def test_what_is_sent_to_all_executors_is_bounded_by_bytes(spark):
+    from fennelmill.llm import common
+
+    df = spark.createDataFrame([("x" * 100, 1)] * 10, "a string, b int")
+    plan = lambda d: d._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan(common.if_small(df, most=1160)) and "broadcast" not in plan(common.if_small(df, most=1159))
