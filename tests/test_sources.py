@@ -166,6 +166,7 @@ def test_feed_source(spark):
     feeds, gone = remote.FEEDS, remote.recorded({"recorded": "{}"})
     assert feeds["hits_c"].parameters({"results": "99", "keyword": "k"})["results"] == 50 and feeds["hits_c"].parameters({"results": "x"})["results"] == 5
     assert feeds["videos"].parameters({"keyword": "k", "suffix": "review"})["q"] == "k review"
+    assert feeds["ranking_b"].parameters({"extra": '{"applicationId": "a"}'}) == {"genreId": "566382", "applicationId": "a"}
     with pytest.raises(remote.FeedError):
         feeds["search_b"].fetch(remote.recorded({"recorded": '{"/b/search": {"status": 500, "body": {}}}'}), {})
     with pytest.raises(remote.FeedError):
