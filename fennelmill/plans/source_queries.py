@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from fennelmill import schemas
 from fennelmill.functions import scalars as S
-from fennelmill.operators import articles, offers, relational, render, validate
+from fennelmill.operators import articles, offers, relational, render, tasks, validate
 from fennelmill.plans.registry import query, table
-from fennelmill.sources import files, markup
+from fennelmill.sources import files, markup, remote
 
 
 def _answers(df: DataFrame, item: F.Column, items: str, schema: str) -> DataFrame:
@@ -192,6 +193,83 @@ def k9_index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.index_rows(posts, "p_size").select("permalink", "page")
 
 
+_BROKEN = "n_nationkey % 5 = 4"
+
+
+def _written_nations(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a JSON document for each nation, some of them cut off, and a file of another kind."""
+    where = files.scratch(spark, "raw")
+    whole = F.to_json(F.struct(F.array(F.struct(F.col("n_name").alias("title"), F.concat(F.lit("/n/"), "n_nationkey").alias("url")), F.struct(F.lit("more").alias("title"), F.lit(None).cast("string").alias("url"))).alias("items")))
+    nations = table(spark, sf_dir, "nation")
+    files.write_named(nations.select(F.col("n_name").alias("name"), F.when(F.expr(_BROKEN), F.substring(whole, 1, 20)).otherwise(whole).alias("content")), where, ".json")
+    files.write_named(nations.limit(1).select(F.lit("notes").alias("name"), F.lit("no").alias("content")), where, ".txt")
+    return where
+
+
+@query(f"SELECT n_name AS stem, 0 AS pos, n_name AS title, '/n/' || n_nationkey AS url FROM nation WHERE NOT {_BROKEN} UNION ALL SELECT n_name, 1, 'more', NULL FROM nation WHERE NOT {_BROKEN}")
+def s1_json_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = files.scan_json(spark, _written_nations(spark, sf_dir), schemas.FEEDS["maker"])
+    return found.rows.select("stem", F.posexplode("items").alias("pos", "i")).select("stem", "pos", "i.title", "i.url")
+
+
+@query(f"SELECT n_name AS stem, 20::BIGINT AS size FROM nation WHERE {_BROKEN}")
+def s2_json_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = files.scan_json(spark, _written_nations(spark, sf_dir), schemas.FEEDS["maker"])
+    return found.rejects.select("stem", F.length("content").cast("long").alias("size"))
+
+
+@query("SELECT n_name AS stem FROM nation")
+def s3_file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.file_stems(spark, _written_nations(spark, sf_dir))
+
+
+@query("SELECT n_name AS item_code, CASE WHEN n_nationkey % 2 = 0 THEN TIMESTAMP '2024-01-02 03:04:05.678' END AS seen_at, n_regionkey || ' x' AS title, CAST(n_nationkey AS INTEGER) AS rank FROM nation")
+def s4_state_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = files.scratch(spark, "state")
+    seen = F.struct(F.when(F.col("n_nationkey") % 2 == 0, "2024-01-02T03:04:05.678").alias("seen_at"), F.concat("n_regionkey", F.lit(" x")).alias("title"))
+    state = table(spark, sf_dir, "nation").agg(F.map_from_entries(F.collect_list(F.struct("n_name", seen))).alias("history"), F.map_from_entries(F.collect_list(F.struct("n_name", "n_nationkey"))).alias("last_rankings"))
+    files.write_named(state.select(F.lit("state").alias("name"), F.to_json(F.struct("*")).alias("content")), where, ".json")
+    history, ranks = files.read_state(spark, f"{where}/state.json", schemas.STATE)
+    return history.join(ranks, "item_code")
+
+
+@query("SELECT r_regionkey AS k, 'none' AS title FROM region")
+def s4_missing_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    default = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), F.lit("none").alias("title"))
+    return files.read_json_or(spark, f"{files.scratch(spark, 'nothing')}/state.json", "k BIGINT, title STRING", default)
+
+
+@query("SELECT r_name AS title, CASE WHEN r_regionkey % 2 = 0 THEN 'https://referral.example/x' || r_regionkey ELSE 'https://referral.example/go?sid=s&pid=p&vc_url=' || url_encode('https://c.example/' || r_regionkey) END AS url, 100 * r_regionkey AS price, 'k' AS keyword FROM region")
+def s10_feed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search through the data source; its recorded answer is made of the regions, which are few."""
+    remote.register(spark)
+    hits = [{"name": r.r_name, "url": f"https://referral.example/x{r.r_regionkey}" if r.r_regionkey % 2 == 0 else f"https://c.example/{r.r_regionkey}", "price": 100 * r.r_regionkey} for r in table(spark, sf_dir, "region").collect()]
+    answer = json.dumps({"/c/search": {"status": 200, "body": {"hits": hits}}})
+    read = spark.read.format("feed").options(feed="hits_c", recorded=answer).load().where("keyword = 'k'")
+    response = read.select("keyword", F.from_json("response", schemas.RESPONSE_C).alias("r"))
+    return offers.hits_c(response.select("r.*"), site="s", partner="p").select("title", "url", "price").crossJoin(response.select("keyword"))
+
+
+@query("SELECT n_name AS name, 'About \"' || n_name || '\"' AS title, 'x, ' || n_regionkey AS tags, '# ' || n_name || chr(10) || 'text' AS body FROM nation")
+def s18_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts written as Markdown with a header, a file each, and read back."""
+    where = files.scratch(spark, "posts")
+    post = F.concat(F.lit("---\ntitle: "), render.quoted(F.concat(F.lit('About "'), "n_name", F.lit('"'))), F.lit("\ntags:\n- x\n- "), render.quoted(F.col("n_regionkey").cast("string")), F.lit("\n---\n# "), F.col("n_name"), F.lit("\ntext"))
+    files.write_named(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), post.alias("content")), where, ".md")
+    found = files.read_posts(spark, where)
+    return found.select("name", F.col("front_matter")["title"].alias("title"), F.array_join(F.from_json(F.col("front_matter")["tags"], "array<string>"), ", ").alias("tags"), "body")
+
+
+@query("SELECT min(p_partkey) + 1 AS seq, count(*) - 1 AS n FROM part")
+def k6_queue_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue without its head, written as the next snapshot; its new head and length."""
+    kept = files.Snapshots(spark, files.scratch(spark, "queue"), schemas.TOPIC)
+    kept.write(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.lit("m").alias("mode"), F.col("p_name").alias("keyword"), F.lit("").alias("item_id")), "r1", datetime(2024, 1, 1))
+    rest = tasks.pop(kept.read(), tasks.default_topic(spark))[1]
+    kept.write(rest, "r2", datetime(2024, 1, 2))
+    return kept.read().agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
+
+
 # Whole documents ---------------------------------------------------------------------------------------------------
 
 _SCORED = (

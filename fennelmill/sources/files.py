@@ -151,6 +151,19 @@ def write_texts(df: DataFrame, folder: str, name: str = "name", content: str = "
     df.select(name, F.col(content).alias("value")).repartition(name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("lineSep", "\n").partitionBy(name).text(folder)
 
 
+def write_named(df: DataFrame, folder: str, suffix: str, name: str = "name", content: str = "content") -> None:
+    """Each row's text as a file of its name, for documents that are few, such as a run's task or its posts: the driver writes one after the other."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for row in df.select(name, content).toLocalIterator():
+        out = system.create(path(f"{folder}/{row[0]}{suffix}"), True)
+        try:
+            out.write(bytearray((row[1] or "").encode()))
+        finally:
+            out.close()
+
+
 def as_json(df: DataFrame) -> DataFrame:
     """Each row as one JSON text."""
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
