@@ -257,7 +257,8 @@ def _rest_links(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     Documents meet components, not their members, through shared prefix items, the smaller component's documents looking
     for the larger ones. What has met is compared in full sets: with small components in a join, with large ones by
-    groups of bounded numbers of members and seekers, which return at most one link for a seeker.
+    groups of bounded numbers of members and seekers, which return at most one link for a seeker. A seeker meets one group
+    of a large component's members first, and all others only if it links with none of those.
     """
     kind = rest.schema["id"].dataType.simpleString()
     large = rest.groupBy("component").agg(F.count("*").alias("size"))
@@ -276,13 +277,10 @@ def _rest_links(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     alike = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * common >= percent * (n + m - common))
     few = met.where(F.col("size") <= _SMALL).select("id", "component").join(members.select("b", "component"), "component").select("id", "b")
     in_small = few.join(sets, "id").join(of_b, "b").where(alike).select(F.col("id").alias("a"), "b")
-    many = met.where(F.col("size") > _SMALL)
-    seekers = many.groupBy("component").agg(F.count("*").alias("seekers"))
+    many = materialise(met.where(F.col("size") > _SMALL).select("id", "component"), "many")
     parts = lambda c: F.ceil(F.col(c) / _GROUP).cast("int")
     part_of = lambda c, n: F.pmod(F.xxhash64(c), parts(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
-    from_a = many.join(seekers, "component").select("id", "component", part_of("id", "seekers").alias("part"), every("size").alias("chunk")).join(sets, "id").select("component", "part", "chunk", "id", "items")
-    to_b = members.join(seekers, "component").select("b", "component", part_of("b", "size").alias("chunk"), every("seekers").alias("part")).join(of_b, "b").select("component", "part", "chunk", F.col("b").alias("id"), F.col("items_b").alias("items"))
+    sized = members.where(F.col("size") > _SMALL).withColumn("chunk", part_of("b", "size"))
 
     def seek(left: pa.Table, right: pa.Table) -> pa.Table:
         own = [np.array(x.as_py(), np.int64) for x in right.column("items")]
@@ -304,9 +302,25 @@ def _rest_links(rest: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     schema = pa.schema([("a", _arrow_type(rest)), ("b", _arrow_type(rest))])
     group = ["component", "part", "chunk"]
-    in_large = from_a.groupBy(*group).cogroup(to_b.groupBy(*group)).applyInArrow(seek, f"a {kind}, b {kind}")
+
+    def sought(looking: DataFrame, first: int, last: F.Column) -> DataFrame:
+        """Links of ``(id, component)`` into the chunks ``first`` to ``last`` of their components' members."""
+        seekers = looking.groupBy("component").agg(F.count("*").alias("seekers"))
+        sizes = rest.select("component", "size").distinct()
+        chunks = F.explode(F.sequence(F.lit(first), last))
+        placed = looking.join(seekers, "component").join(sizes, "component").where(last >= first)
+        from_a = placed.select("id", "component", part_of("id", "seekers").alias("part"), chunks.alias("chunk")).join(sets, "id").select(*group, "id", "items")
+        asked = sized.join(seekers, "component").where((F.col("chunk") >= first) & (F.col("chunk") <= last))
+        to_b = asked.select("b", "component", "chunk", F.explode(F.sequence(F.lit(0), parts("seekers") - 1)).alias("part")).join(of_b, "b").select(*group, F.col("b").alias("id"), F.col("items_b").alias("items"))
+        return from_a.groupBy(*group).cogroup(to_b.groupBy(*group)).applyInArrow(seek, f"a {kind}, b {kind}")
+
+    # most seekers that link with a large component link with the first members asked; only others ask all of them
+    in_first = materialise(sought(many, 0, F.lit(0)), "links")
+    linked = in_first.select(F.col("a").alias("id"), "b").join(members.select("b", "component"), "b").select("id", "component").distinct()
+    left = materialise(many.join(linked, ["id", "component"], "left_anti").join(rest.select("component", "size").distinct(), "component").where(F.col("size") > _GROUP).select("id", "component"), "left")
+    in_large = in_first if left.isEmpty() else in_first.union(sought(left, 1, parts("size") - 1))
     links = materialise(in_small.union(in_large), "links")
-    discard(rest, sets, first, goals, met)
+    discard(rest, sets, first, goals, met, many, in_first, left)
     return links
 
 

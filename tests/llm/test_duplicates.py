@@ -91,6 +91,26 @@ def test_rest_is_exact_without_pivots(spark):
     assert roots([i for i, _ in rows], links) == want
 
 
+def test_rest_meets_large_components_group_by_group(spark, monkeypatch):
+    """Components of some members each, met in groups of four; who links with none of the first group meets the others."""
+    monkeypatch.setattr(sketch_dedup, "_SMALL", 2)
+    monkeypatch.setattr(sketch_dedup, "_GROUP", 4)
+    rows = [(i, t) for i, t in near_texts() if t and t.strip()]
+    base = [f"b{k}" for k in range(60)]
+    rows += [(1000 + k, " ".join([*base[:k], f"e{k}", *base[k + 1 :]])) for k in range(40)] + [(1040, " ".join(base))]
+    _, want = brute(rows)
+    some = {}
+    for i, _ in rows:
+        if i % 3:
+            some.setdefault(want[i], []).append(i)
+    start = {i: min(ids) for ids in some.values() for i in ids}
+    docs = spark.createDataFrame(rows, "id long, text string")
+    rest = spark.createDataFrame([(i, start.get(i, i)) for i, _ in rows], "id long, component long")
+    links = [(r.a, r.b) for r in sketch_dedup._rest_links(rest, docs, 75).collect()]
+    assert max(map(len, some.values())) > 8
+    assert roots([i for i, _ in rows], links + list(start.items())) == want
+
+
 def test_slices_of_few_words(spark):
     """A slice may hold any number of words in all: one short text, or a short one that slices() yields alone."""
     shingler, words = sketch_dedup.Shingler(), "one two three four five six".split()
