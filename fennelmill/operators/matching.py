@@ -29,6 +29,8 @@ def best_match(left: DataFrame, pool: DataFrame, left_key: str, left_text: str,
     held = each.join(a.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("f"))
     rarest = F.transform(F.array_sort(F.collect_list(F.struct("f", "token"))), lambda x: x["token"])
     ranked = written(a.join(held, "token").groupBy("l").agg(rarest.alias("own")).where(F.size("own") >= least), "ranked")
+    if ranked.isEmpty():  # no left row has enough tokens in the pool
+        return left.select(left_key, F.lit(None).cast(pool.schema[pool_key].dataType).alias("match"), F.lit(None).cast("long").alias("score"))
 
     def scored(wanted: DataFrame) -> DataFrame:
         """``(l, s, at)``: the best pool row of each left row among those that hold a wanted token, with its negated score."""
