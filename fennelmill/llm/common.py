@@ -168,6 +168,12 @@ def slices(batches: Iterator[pa.RecordBatch], text_column: str, most_bytes: int
         give_back()
 
 
+def place_in(bounds: str, key: "F.Column", most: int) -> "F.Column":
+    """How many of the sorted values in the array column ``bounds``, at most ``most``, are no larger than ``key``: a binary search."""
+    steps = [1 << i for i in reversed(range(max(1, most).bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(F.col(bounds), at + step - 1) <= key, at + step).otherwise(at))
+
+
 def words_count(text) -> "F.Column":
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text column; 0 for NULL."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
