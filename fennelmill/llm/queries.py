@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fennelmill.llm import bpe, chat, htmltext, mixing, pii, quality, rpforest, secrets, sharding, sketch_dedup, span_sql, transducer
+from fennelmill.llm import bpe, chat, htmltext, mixing, pii, quality, rpforest, secrets, sharding, sketch_dedup, span_sql, transducer, whitening
 from fennelmill.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digests(sharding.shard_rows(table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
@@ -67,7 +71,7 @@ def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: In the order of their numbers.
-_ALL = (op1_chat_format, op2_quality_rules, op3_html_text, op4_mixing, op5_embedding_dedup, op6_bpe_encode, op7_token_counts, op8_minhash_dedup, op9_pii, op10_secrets, op12_sharding, pii_base_spans)
+_ALL = (op1_chat_format, op2_quality_rules, op3_html_text, op4_mixing, op5_embedding_dedup, op6_bpe_encode, op7_token_counts, op8_minhash_dedup, op9_pii, op10_secrets, op11_whitening, op12_sharding, pii_base_spans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
