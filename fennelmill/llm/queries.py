@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fennelmill.llm import bpe, chat, htmltext, mixing, pii, quality, rpforest, secrets, sharding, sketch_dedup, span_sql, transducer, whitening
+from fennelmill.llm import bpe, chat, htmltext, mixing, phrases, pii, quality, rpforest, secrets, sharding, sketch_dedup, span_sql, transducer, whitening
 from fennelmill.llm.common import table
 
 
@@ -65,13 +65,17 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digests(sharding.shard_rows(table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base spans of op9 alone, which SQL can say."""
     return pii.base_digests(table(spark, sf_dir, "documents"))
 
 
 #: In the order of their numbers.
-_ALL = (op1_chat_format, op2_quality_rules, op3_html_text, op4_mixing, op5_embedding_dedup, op6_bpe_encode, op7_token_counts, op8_minhash_dedup, op9_pii, op10_secrets, op11_whitening, op12_sharding, pii_base_spans)
+_ALL = (op1_chat_format, op2_quality_rules, op3_html_text, op4_mixing, op5_embedding_dedup, op6_bpe_encode, op7_token_counts, op8_minhash_dedup, op9_pii, op10_secrets, op11_whitening, op12_sharding, op13_phrases, pii_base_spans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -102,4 +106,4 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS c
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {"op1_chat_format": chat.ORACLE, "op2_quality_rules": quality.ORACLE, "op5_embedding_dedup": _OP5, "op8_minhash_dedup": _OP8, "op10_secrets": span_sql.SECRETS, "op12_sharding": sharding.ORACLE, "pii_base_spans": span_sql.PERSONAL}
+    return {"op1_chat_format": chat.ORACLE, "op2_quality_rules": quality.ORACLE, "op5_embedding_dedup": _OP5, "op8_minhash_dedup": _OP8, "op10_secrets": span_sql.SECRETS, "op12_sharding": sharding.ORACLE, "op13_phrases": phrases.ORACLE, "pii_base_spans": span_sql.PERSONAL}
