@@ -201,10 +201,10 @@ def encode_decode(df: DataFrame, tokenizer_path: str, id_column: str = "doc_id",
     return source.mapInArrow(run, f"id {kind}, ids binary, decoded string").withColumnRenamed("id", id_column)
 
 
-def digests(df: DataFrame) -> DataFrame:
-    """The digest columns of an :func:`encode_decode` result."""
+def digests(df: DataFrame, *columns: str) -> DataFrame:
+    """Some columns (``doc_id``) and the digests of an :func:`encode_decode` result, row by row: NULL and repeated ids stay, an empty table gives no rows."""
     return df.select(
-        "doc_id",
+        *(columns or ["doc_id"]),
         F.expr("octet_length(ids) div 4").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

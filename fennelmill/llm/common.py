@@ -11,7 +11,7 @@ from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Word separators of every contract in this package: the space and \t \n \v \f \r. Fixed values.
@@ -168,6 +168,19 @@ def slices(batches: Iterator[pa.RecordBatch], text_column: str, most_bytes: int
         give_back()
 
 
+def in_file_order(df: DataFrame, name: str) -> DataFrame:
+    """``df``, a table read from files, with the place of each row in the order of its files and their rows, from 0.
+
+    Files follow each other by the number of the task that wrote them. Only their sizes are added up, one row a file.
+    """
+    file, row, number, before, of = fresh_names(df, "file", "row", "number", "before", "of")
+    named = df.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    sizes = named.groupBy(F.col(file).alias(of)).agg(F.count("*").alias(before)).withColumn(number, F.regexp_extract(of, r"part-(\d+)", 1))
+    ahead = F.sum(before).over(Window.orderBy(F.length(number), number, of).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(of, F.coalesce(ahead, F.lit(0)).alias(before))
+    return named.join(if_small(sizes), F.col(file) == F.col(of)).withColumn(name, F.col(before) + F.col(row)).drop(file, row, of, before)
+
+
 def place_in(bounds: str, key: "F.Column", most: int) -> "F.Column":
     """How many of the sorted values in the array column ``bounds``, at most ``most``, are no larger than ``key``: a binary search."""
     steps = [1 << i for i in reversed(range(max(1, most).bit_length()))]

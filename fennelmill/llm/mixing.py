@@ -64,7 +64,7 @@ def find_exponent(tokens: DataFrame, entropy_share: float, repeat_limit: float,
 
 
 def source_repeats(tokens: DataFrame, entropy_share: float, repeat_limit: float, budget: int | None = None, targets: dict[str | None, float] | None = None) -> DataFrame:
-    """``(skey, all_tokens, weight, repeats)`` of ``(skey, tokens)``: how often each source is passed over, to nine digits.
+    """``(skey, all_tokens, weight, exponent, repeats)`` of ``(skey, tokens)``: how often each source is passed over, to nine digits.
 
     Sources in ``targets`` get the weights given there, the others share what is left of 1 by temperature. A source
     without tokens has weight 0 and one pass.
@@ -84,8 +84,10 @@ def source_repeats(tokens: DataFrame, entropy_share: float, repeat_limit: float,
     weighed = marked.withColumn("weight", F.coalesce("fixed", F.lit(max(0.0, left)) * powered / F.lit(norm)))
     some = (F.col("all_tokens") > 0) & (F.col("weight") > 0)
     amount = budget or weighed.where(some).agg(F.max(F.col("all_tokens") / F.col("weight"))).first()[0] or 1.0
-    repeats = F.when(some, F.round(F.lit(float(amount)) * F.col("weight") / F.col("all_tokens"), 9)).when(F.col("all_tokens") > 0, 0.0).otherwise(1.0)
-    return weighed.select("skey", "all_tokens", "weight", repeats.alias("repeats"))
+    exact = F.round(F.lit(float(amount)) * F.col("weight") / F.col("all_tokens"), 9)
+    exact = F.when(F.abs(exact - F.round(exact)) < 1e-6, F.round(exact)).otherwise(exact)  # a limit that binds is met, however the exponent is rounded
+    repeats = F.when(some, exact).when(F.col("all_tokens") > 0, 0.0).otherwise(1.0)
+    return weighed.select("skey", "all_tokens", "weight", F.lit(a).alias("exponent"), repeats.alias("repeats"))
 
 
 def prepared(df: DataFrame, names: dict[str, str], id_column: str, text_column: str, source_column: str) -> DataFrame:
@@ -100,7 +102,7 @@ def prepared(df: DataFrame, names: dict[str, str], id_column: str, text_column:
 def plan(docs: DataFrame, entropy_share: float, repeat_limit: float, budget: int | None = None, targets: dict[str | None, float] | None = None) -> DataFrame:
     """What becomes of each block of each source, from ``(skey, tokens, key, block, part)``.
 
-    Returns ``(skey, block, weight, passes, slots, whole, parts, cut_part, cut_key, cut_copies)``: how many full passes a
+    Returns ``(skey, block, weight, exponent, passes, slots, whole, parts, cut_part, cut_key, cut_copies)``: how many full passes a
     block is in; where it stands in each pass, the partial one last, as a fraction of the source's stream; whether the partial
     pass holds it whole; and for the block in which the budget ends, the sub-blocks held whole, the one held in part, the
     first key of that which is not held whole, and how many of its copies are.
@@ -119,7 +121,7 @@ def plan(docs: DataFrame, entropy_share: float, repeat_limit: float, budget: int
     each = each.withColumn("slot", slot).withColumn("whole", partial & (F.col("budget") > 0) & (F.col("upto") + F.col("tokens") <= F.col("budget"))).withColumn("left", F.when(partial & (F.col("upto") < F.col("budget")) & ~F.col("whole"), F.col("budget") - F.col("upto")))
     by_block = materialise(
         each.groupBy("skey", "block").agg(
-            F.max("weight").alias("weight"), F.max("passes").alias("passes"), F.transform(F.array_sort(F.collect_list(F.struct("pass", "slot"))), lambda s: s["slot"]).alias("slots"), F.bool_or("whole").alias("whole"), F.max("left").alias("left")
+            F.max("weight").alias("weight"), F.max("exponent").alias("exponent"), F.max("passes").alias("passes"), F.transform(F.array_sort(F.collect_list(F.struct("pass", "slot"))), lambda s: s["slot"]).alias("slots"), F.bool_or("whole").alias("whole"), F.max("left").alias("left")
         ),
         "blocks",
     )
@@ -135,17 +137,18 @@ def plan(docs: DataFrame, entropy_share: float, repeat_limit: float, budget: int
     held = F.greatest(F.lit(0).cast("long"), F.expr("(rest - upto) div tokens"))
     last = keys.groupBy("skey", "block").agg(F.min(F.struct("key", held.alias("copies"))).alias("last"))
     joined = by_block.join(cuts, ["skey", "block"], "left").join(last, ["skey", "block"], "left")
-    out = materialise(joined.select("skey", "block", "weight", "passes", "slots", "whole", "parts", F.col("cut.part").alias("cut_part"), F.col("last.key").alias("cut_key"), F.col("last.copies").alias("cut_copies")), "mixture")
+    out = materialise(joined.select("skey", "block", "weight", "exponent", "passes", "slots", "whole", "parts", F.col("cut.part").alias("cut_part"), F.col("last.key").alias("cut_key"), F.col("last.copies").alias("cut_copies")), "mixture")
     discard(parts, blocks, tokens, by_block, cuts)
     return out
 
 
-_PLANNED = ("weight", "passes", "slots", "whole", "parts", "cut_part", "cut_key", "cut_copies")
-_ADDED = ("mix_pass", "mix_slot", "mix_order", "mix_weight")
+_PLANNED = ("weight", "exponent", "passes", "slots", "whole", "parts", "cut_part", "cut_key", "cut_copies")
+#: What :func:`mix` adds to a table's columns.
+ADDED = ("mix_pass", "mix_slot", "mix_order", "mix_weight", "mix_exponent")
 
 
 def mix(df: DataFrame, entropy_share: float = 0.92, repeat_limit: float = 2.0, budget: int | None = None, targets: dict[str | None, float] | None = None, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """The rows of ``df``, each as often as its source's weight asks, with ``mix_pass``, ``mix_slot``, ``mix_order`` and ``mix_weight``.
+    """The rows of ``df``, each as often as its source's weight asks, with ``mix_pass``, ``mix_slot``, ``mix_order``, ``mix_weight`` and ``mix_exponent``.
 
     Ordered by ``mix_slot`` and ``mix_order`` the rows are the mixed stream: a source's blocks are spread evenly over
     it, so any stretch holds sources by weight. Tokens are words; the realised tokens of a source fall short of its
@@ -157,7 +160,7 @@ def mix(df: DataFrame, entropy_share: float = 0.92, repeat_limit: float = 2.0, b
     with a budget below the table's tokens documents are left out, without one never; a very long document counts whole;
     an empty table gives no rows; columns of the input that have the added names are replaced, all others stay.
     """
-    df = df.drop(*(c for c in df.columns if c.lower() in _ADDED))
+    df = df.drop(*(c for c in df.columns if c.lower() in ADDED))
     wanted = ("key", "skey", "block", "part", *_PLANNED, "again", "number", "shift", "of_skey", "of_place", "place", "at")
     names = dict(zip(wanted, fresh_names(df, *wanted)))
     named = prepared(df, names, id_column, text_column, source_column)
@@ -180,8 +183,8 @@ def _expanded(joined: DataFrame, plans: DataFrame, names: dict[str, str], column
         rows = rows.where(~between).unionByName(_numbered(joined.where(between), names).drop(names["number"]))
     passes = c["passes"] + c["again"].cast("int")
     out = rows.where(passes > 0).withColumn("mix_pass", F.explode(F.sequence(F.lit(0), passes - 1)))
-    out = out.withColumn("mix_slot", F.get(c["slots"], F.col("mix_pass"))).withColumn("mix_order", F.xxhash64(c["key"], "mix_pass")).withColumn("mix_weight", c["weight"])
-    return out.select(*(F.col(f"`{x}`") for x in columns), *_ADDED)
+    out = out.withColumn("mix_slot", F.get(c["slots"], F.col("mix_pass"))).withColumn("mix_order", F.xxhash64(c["key"], "mix_pass")).withColumn("mix_weight", c["weight"]).withColumn("mix_exponent", c["exponent"])
+    return out.select(*(F.col(f"`{x}`") for x in columns), *ADDED)
 
 
 def _numbered(copies: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -196,7 +199,7 @@ def _numbered(copies: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def summary(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
-    """The mixed stream without its texts: id, source, tokens and place of each row."""
+    """The mixed stream without its texts: id, source and place of each row. NULLs, empty tables and the like as in :func:`mix`."""
     counted = df.select(F.col(f"`{id_column}`"), F.col(f"`{source_column}`"), F.col(f"`{text_column}`"))
     mixed = mix(counted, id_column=id_column, text_column=text_column, source_column=source_column, **options)
     return mixed.drop(text_column)

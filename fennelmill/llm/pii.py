@@ -166,15 +166,15 @@ def _base_columns() -> list[Column]:
 
 
 def base_digests(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The digest columns of the base spans alone."""
+    """The digest columns of the base spans alone. A NULL or empty text has none, NULL and repeated ids stay, an empty table gives no rows."""
     source = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     base = F.concat(*(tagged(k, k, i) for i, k in enumerate(KINDS)))
     return base_spans(source, "text").select(F.col("id").alias(id_column), base.alias("base")).select(id_column, *_base_columns())
 
 
-def digests(spans: DataFrame) -> DataFrame:
-    """The digest columns of a :func:`find_personal_data` result."""
-    return spans.select("doc_id", *_base_columns(), written(F.concat("base", "found")).alias("spans"), F.size("found").cast("long").alias("n_found"))
+def digests(spans: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """The digest columns of a :func:`find_personal_data` result, row by row: NULL and repeated ids stay, an empty table gives no rows."""
+    return spans.select(id_column, *_base_columns(), written(F.concat("base", "found")).alias("spans"), F.size("found").cast("long").alias("n_found"))
 
 
 def redact(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

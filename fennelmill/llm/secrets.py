@@ -78,7 +78,7 @@ def find_secrets(df: DataFrame, owner: Column | str = "source", repository: Colu
     return joined.select(F.col("id").alias(id_column), "text_hash", "base", F.coalesce(free, F.array().cast(rows.schema["base"].dataType)).alias("found"), F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_copied", zero).alias("n_copied"))
 
 
-def digests(spans: DataFrame) -> DataFrame:
-    """The digest columns of a :func:`find_secrets` result."""
+def digests(spans: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """The digest columns of a :func:`find_secrets` result, row by row: NULL and repeated ids stay, an empty table gives no rows."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return spans.select("doc_id", *map(count, KINDS), F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.concat("base", "found")).alias("spans"), "n_live", "n_copied")
+    return spans.select(id_column, *map(count, KINDS), F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.concat("base", "found")).alias("spans"), "n_live", "n_copied")

@@ -189,11 +189,31 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_column: str = "doc_id",
     different components goes unexamined.
 
     Edge cases: a NULL or empty text, or one without words, has an empty set and links with nothing; a row with a NULL id
-    has a NULL component and is kept; rows that repeat an id are one vertex and all get its result; other columns are
-    not read, whatever their names; an empty table gives no rows; very long texts are taken whole.
+    has a NULL component and is kept; rows that repeat an id belong together and all get its result, and where their
+    texts differ each of them is compared, so links of any of them join the component; other columns are not read, whatever their names; an empty table gives no rows; very long texts are taken whole.
     """
     docs = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     made = materialise(sketch_table(docs), "sketches")
+    several = made.where("digest is not null and id is not null").groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x < y")
+    if several.isEmpty():
+        named = _in_components(docs, made, percent)
+    else:  # rows are compared under numbers of their own, and those of one id belong together
+        discard(made)
+        rows = materialise(docs.withColumn("row", F.when(F.col("id").isNotNull(), F.monotonically_increasing_id())), "rows")
+        heads = rows.where("id is not null").groupBy("id").agg(F.min("row").alias("a"))
+        same = materialise(rows.select("id", F.col("row").alias("b")).join(heads, "id").where("a < b").select("a", "b"), "same")
+        numbered = rows.select(F.col("row").alias("id"), "text")
+        made = materialise(sketch_table(numbered), "sketches")
+        found = materialise(_in_components(numbered, made, percent, same), "named").withColumnRenamed("id", "row")
+        own = materialise(rows.select("row", F.col("id").alias("own")).where("row is not null"), "ids")
+        smallest = materialise(found.join(own, "row").groupBy("component").agg(F.min("own").alias("smallest")), "smallest")
+        named = found.join(own, "row", "left").join(smallest, "component", "left").select(F.col("own").alias("id"), "n", F.col("smallest").alias("component"))
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
+    return named.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def _in_components(docs: DataFrame, made: DataFrame, percent: int, more_links: DataFrame | None = None) -> DataFrame:
+    """``(id, n, component)`` for each row of ``made``, the sketches of ``docs``, in which an id has one set; ``more_links`` are links ``(a, b)`` known besides."""
     copied = made.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last")
     classes = materialise(copied.select("digest", "head"), "classes")
     named = made.join(classes, "digest", "left").withColumn("head", F.when(F.col("id").isNotNull(), F.coalesce("head", "id")))
@@ -207,6 +227,8 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_column: str = "doc_id",
     copies = member.where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b"))
     tested = materialise(buckets.select(F.col("pivot").alias("a"), F.col("id").alias("b")).where("a < b").distinct(), "tested")
     links = verified(tested, docs, sizes, percent).union(copies)
+    if more_links is not None:
+        links = links.union(more_links)
     found = components(links)
     rest = _unsettled(buckets.select("id", "key"), found)
     if not rest.isEmpty():
@@ -215,8 +237,7 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_column: str = "doc_id",
             found = components(links.union(more))
     discard(made, classes, crowded, buckets, sizes, tested, rest)
     named = member.join(found.select(F.col("id").alias("head"), "component"), "head", "left")
-    component = F.coalesce("component", "head")
-    return named.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return named.select("id", "n", F.coalesce("component", "head").alias("component"))
 
 
 def drop_duplicates(df: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -81,6 +81,20 @@ def test_documents_against_all_pairs(spark):
     assert sketch_dedup.near_duplicates(df.where("false")).count() == 0 and sketch_dedup.drop_duplicates(df.where("false")).count() == 0
 
 
+def test_an_id_with_several_texts_under_any_order(spark):
+    """Links of any text of an id join its component, however rows are ordered and dealt."""
+    one, two = [f"a{i}" for i in range(100)], [f"b{i}" for i in range(100)]
+    near = lambda words, k: " ".join([*words[:k], "x", *words[k + 1 :]])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (3, near(two, 99)), (2, near(one, 99)), (5, "c d e f g h"), (5, None), (7, "c d e f g h"), (8, ""), (8, " ".join(one)), (None, "n"), (None, " ".join(two))]
+    want = {1: 1, 2: 1, 3: 1, 5: 5, 7: 5, 8: 1, None: None}
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        for parts in (1, 4):
+            got = sketch_dedup.near_duplicates(spark.createDataFrame([(i, t, 1, "own") for i, t in order], DOC).repartition(parts)).collect()
+            assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == set(want.items())
+            assert all(r.kept == (r.doc_id in (None, 1, 5)) for r in got)
+            assert sorted(str((r.doc_id, r.n_shingles)) for r in got) == sorted(str((i, len(shingles(t)))) for i, t in rows)
+
+
 def test_rest_is_exact_without_pivots(spark):
     """The exact search alone finds what all pairs find, whatever components it starts from."""
     rows = [(i, t) for i, t in near_texts() if t and t.strip()]

@@ -6,7 +6,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from fennelmill.llm import quality
+from fennelmill.llm import mixing, quality
 from fennelmill.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
@@ -51,6 +51,28 @@ def test_stages(spark, tmp_path):
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
 
 
+def test_order_of_the_stream_is_kept(spark, tmp_path):
+    """Positions count the written stream from 0, and it is the mixture's order."""
+    data = [(i, "\n".join(line(f"{i}-{k}") for k in range(3)), "en" if i % 4 else "de", "s", 0, "e") for i in range(120)]
+    spark.createDataFrame(data, DOCS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    mixed = corpus_pipeline.materialise(dict(corpus_pipeline.STAGES)["mixing sources to target weights"](spark, docs, str(tmp_path)), "mixed")
+    assert mixed.columns == docs.columns
+    out = corpus_pipeline.STAGES[-1][1](spark, mixed, str(tmp_path)).orderBy("position").collect()
+    want = [r.doc_id for r in mixing.mix(docs, source_column="lang").orderBy("mix_slot", "mix_order").collect()]
+    assert [r.position for r in out] == list(range(len(want))) and [r.doc_id for r in out] == want and len(want) > 120
+
+
+def test_nulls_long_texts_and_clashing_names_end_to_end(spark, tmp_path):
+    clean = [(i if i % 5 else None, "\n".join(line(f"{i}-{k}") for k in range(3)), "en", None if i % 3 else "s", 0, "e") for i in range(12)]
+    long = "\n".join(line(f"long{k}") for k in range(2000))
+    schema = DOCS + ", position string, `_metadata` int, kept int, `a.b` int"
+    rows = [(*r, "p", 1, 2, 3) for r in [*clean, (77, long, None, "s", 0, "e"), (None, None, None, None, None, None), (78, "", "", "", 0, "")]]
+    spark.createDataFrame(rows, schema.replace(", `_metadata` int", ", meta int")).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} == {r[0] for r in clean} | {77} and max(r.n_tokens for r in out) > 20_000
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import time
 from collections import Counter as Count
 
@@ -191,6 +192,79 @@ def test_passes_are_permutations_of_blocks_spread_evenly(spark):
     assert len({o[2] for o in orders}) == len(orders)  # each pass goes its own way
 
 
+def plain_mixture(rows, entropy_share, repeat_limit):
+    """The mixer as loops over ``(id, text, source)``: sorted ``(id, source, pass, slot, order, weight)``."""
+    from xxhash import xxh64_intdigest
+
+    def hashed(*values):
+        seed = 42
+        for v in values:
+            if v is not None:
+                raw = v.encode() if isinstance(v, str) else v.to_bytes(4, "little") if isinstance(v, bool) else v[1].to_bytes(v[0], "little", signed=True)
+                seed = xxh64_intdigest(raw, seed)
+        return seed - (seed >> 63 << 64)
+
+    sources = {}
+    for i, text, source in rows:
+        key = hashed(i is None, None if i is None else (8, i), text)
+        block, part = (hashed((8, key), (4, k)) % mixing.BLOCKS for k in (1, 2))
+        sources.setdefault("n" if source is None else f"s{source}", []).append((key, block, part, len(re.findall(r"[^\x20\x09-\x0D]+", text or "")), i, source))
+    tokens = {s: sum(r[3] for r in held) for s, held in sources.items()}
+    total, shares = sum(tokens.values()), [t for t in tokens.values() if t]
+    p = [t / total for t in shares]
+
+    def entropy(a):
+        z = sum(x**a for x in p)
+        return -sum(x**a / z * math.log(x**a / z) for x in p)
+
+    def edge(good_below):
+        low, high = 0.0, 1.0
+        if good_below(high):
+            return high
+        while high - low > 1e-12:
+            low, high = ((low + high) / 2, high) if good_below((low + high) / 2) else (low, (low + high) / 2)
+        return low
+
+    a = max(edge(lambda a: entropy(a) >= entropy_share * math.log(len(p))), edge(lambda a: (max(p) / min(p)) ** (1 - a) > repeat_limit) if (max(p) / min(p)) > repeat_limit else 0.0)
+    a = round(a, 9)
+    z = sum(x**a for x in p)
+    weight = {s: (t / total) ** a / z if t else 0.0 for s, t in tokens.items()}
+    stream = max(t / weight[s] for s, t in tokens.items() if t)
+    out, cut = [], 0
+    for s, held in sources.items():
+        repeats = round(stream * weight[s] / tokens[s], 9) if tokens[s] else 1.0
+        repeats = round(repeats) if abs(repeats - round(repeats)) < 1e-6 else repeats
+        full = math.floor(repeats)
+        budget = math.floor((repeats - full) * tokens[s])
+        blocks = {b: sum(r[3] for r in held if r[1] == b) for b in {r[1] for r in held}}
+        for turn in range(full + 1):
+            upto = 0
+            for b in sorted(blocks, key=lambda b: (hashed(s, (4, turn), (4, b)), b)):
+                slot = (turn * tokens[s] + upto) / (repeats * tokens[s]) if tokens[s] else 0.0
+                left = budget - upto if turn == full else blocks[b]
+                inside = sorted((r for r in held if r[1] == b), key=lambda r: (hashed(s, (4, r[2])), r[2], r[0]))
+                taken = 0
+                for r in inside:
+                    if turn < full or (left > 0 and taken + r[3] <= left) or (turn == full and left >= blocks[b] and budget > 0):
+                        out.append((r[4], r[5], turn, round(slot, 6), hashed((8, r[0]), (4, turn)), round(weight[s], 7)))
+                        taken += r[3]
+                    else:
+                        cut += left > 0
+                        break
+                upto += blocks[b]
+    return a, cut, sorted(out, key=repr)
+
+
+def test_equal_to_a_plain_mixer_row_by_row(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    a, cut, want = plain_mixture([tuple(r) for r in docs.collect()], 0.92, 2.0)
+    assert a < 0.99 and cut and {r[2] for r in want} == {0, 1}  # below the natural mixture, a cut inside a block, a second pass
+    for df in (docs, docs.repartition(5)):
+        got = mixing.summary(df, source_column="lang").collect()
+        assert {round(r.mix_exponent, 6) for r in got} == {round(a, 6)}
+        assert sorted(((r.doc_id, r.lang, r.mix_pass, round(r.mix_slot, 6), r.mix_order, round(r.mix_weight, 7)) for r in got), key=repr) == want
+
+
 def test_what_is_sent_to_all_executors_is_bounded_by_bytes(spark):
     from fennelmill.llm import common
 
