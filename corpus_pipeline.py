@@ -9,9 +9,10 @@ calls says; extra columns are carried along.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fennelmill.llm import bpe, mixing, pii, quality, sketch_dedup
-from fennelmill.llm.common import discard, materialise, scratch_of
+from fennelmill.llm.common import discard, in_file_order, materialise, scratch_of
 from fennelmill.llm.queries import tokenizer_path
 
 #: No SQL can express the stages that score context, sketch sets or encode pairs; tests hold them against brute force.
@@ -34,13 +35,18 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed stream: each document as often as its source's weight asks, at least once."""
-    return mixing.mix(docs).drop("mix_pass", "mix_slot", "mix_order", "mix_weight")
+    """The mixed stream: each document as often as the weight of its language asks, at least once.
+
+    A stage may add no columns, so the order of the stream is that of the rows: written, files and their rows follow it.
+    """
+    return mixing.mix(docs, source_column="lang").orderBy("mix_slot", "mix_order").drop(*mixing.ADDED)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document of the stream, and what they decode to, as digests."""
-    return bpe.digests(bpe.encode_decode(docs, tokenizer_path()))
+    """Ids of each document of the written stream, and what they decode to, as digests, with its ``position`` in the stream."""
+    placed = in_file_order(docs, "position").select(F.struct("doc_id", "position").alias("id"), "text")
+    coded = bpe.encode_decode(placed, tokenizer_path(), id_column="id").select("id.doc_id", "id.position", "ids", "decoded")
+    return bpe.digests(coded, "doc_id", "position")
 
 
 STAGES = [
