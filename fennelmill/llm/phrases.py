@@ -25,6 +25,8 @@ from fennelmill.llm.common import MOST_BROADCAST, give_back, if_small, materiali
 SHARD_BYTES, RANGE_BYTES, SAMPLES = 8 << 20, 8 << 20, 16
 #: Parts looked up by one task at a time.
 _CHUNK = 1 << 17
+#: Parts of a language that are ranked by themselves before the whole.
+_BUCKETS = 32
 #: What ends a piece, besides letters in lower case and words apart.
 _ENDS = ".,;:!?\n\x0b\x0c\r"
 _NORMAL = bytes(10 if chr(b) in _ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -388,8 +390,9 @@ def collocations(df: DataFrame, most: int = 2000, least: int = 10, range_bytes:
     scored = materialise(lowest, "scored")
     left = scored.join(longer, ["lang", "w1", "w2", "w3"], "left").where("longest is null or 100 * longest < 50 * a")
     phrase = F.concat_ws(" ", "w1", "w2", F.when(F.col("w3") != "", F.col("w3")))
-    strongest = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    ranked = left.select("lang", phrase.alias("phrase"), "a", "l", "r", "score").withColumn("rank", strongest.cast("long")).where(f"rank <= {most}")
+    strongest = lambda *group: F.row_number().over(Window.partitionBy("lang", *group).orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
+    of_bucket = left.select("lang", phrase.alias("phrase"), "a", "l", "r", "score").withColumn("rank", strongest(F.pmod(F.xxhash64("phrase"), F.lit(_BUCKETS)))).where(f"rank <= {most}")
+    ranked = of_bucket.withColumn("rank", strongest()).where(f"rank <= {most}")  # at most _BUCKETS * most rows of a language meet in one task
     of_lang = frequent.where("w1 = ''").select("lang", F.col("f").alias("n"))
     return ranked.join(of_lang, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
