@@ -10,10 +10,11 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fennelmill import schemas
 from fennelmill.operators import articles, relational, render, signals, tasks
-from fennelmill.sources import files
+from fennelmill.sources import files, named
 
 #: Where a feed's document lies in the raw folder, by logical name: its stem is the name.
 FEED_ITEMS = {"trends": "top_queries"}
@@ -66,16 +67,16 @@ def write_article(spark: SparkSession, layout: Layout, topic: DataFrame, links:
     signal = relational.or_default(spark.read.schema(schemas.SIGNAL).json(f"{layout.raw}/top_signal") if files.exists(spark, f"{layout.raw}/top_signal") else files.empty(spark, schemas.SIGNAL), signals.standard_signal(spark, ""))
     products = articles.enriched(feed("catalogue_a"), feed("search_b"), feed("hits_c"), wording)
     doc = articles.article(topic.select("mode", "keyword"), signal, products, feed("videos"), feed("books"), feed("news"), feed("maker"), links, run_at, wording)
-    out = f"{layout.articles}/run_date={run_at:%Y-%m-%d}"
-    files.write_documents(doc.withColumn("name", doc.slug), out, "name")
-    return spark.read.schema(schemas.ARTICLE).json(out)
+    day = f"{run_at:%Y-%m-%d}"
+    named.write_named(files.as_json(doc, F.concat(F.lit(f"{day}-"), "slug").alias("name")), layout.articles, ".json", content="json")
+    return spark.read.schema(schemas.ARTICLE).option("pathGlobFilter", f"{day}-*.json").json(layout.articles)
 
 
 def render_posts(spark: SparkSession, layout: Layout, run_at: datetime) -> DataFrame:
     """Entry point C: every article rendered; of those with one slug, the latest. Documents that can't be read are left out."""
-    docs = spark.read.schema(schemas.ARTICLE).option("recursiveFileLookup", "true").option("mode", "DROPMALFORMED").json(layout.articles)
+    docs = spark.read.schema(schemas.ARTICLE).option("mode", "DROPMALFORMED").json(layout.articles)
     posts = render.rendered(articles.latest_by_slug(docs.where("slug is not null")), f"{run_at:%Y-%m-%d}")
-    files.write_texts(posts, layout.posts)
+    named.write_named(posts, layout.posts, ".md")
     return posts
 
 
@@ -83,5 +84,5 @@ def plan_task(spark: SparkSession, layout: Layout, products: str, run_at: dateti
     """A task of the first trend and the first products, written under its id."""
     items = files.file_stems(spark, products).withColumnRenamed("stem", "item_id")
     task = tasks.task_from_trends(load_feed(spark, layout.raw, "trends"), items, f"{run_at:%Y-%m-%d}")
-    files.write_documents(task.withColumn("name", task.task_id), layout.queue, "name")
+    named.write_named(files.as_json(task, "task_id"), layout.queue, ".json", name="task_id", content="json")
     return task

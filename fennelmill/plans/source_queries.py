@@ -12,7 +12,7 @@ from fennelmill import schemas
 from fennelmill.functions import scalars as S
 from fennelmill.operators import articles, offers, relational, render, tasks, validate
 from fennelmill.plans.registry import query, table
-from fennelmill.sources import files, markup, remote
+from fennelmill.sources import files, markup, named, remote
 
 
 def _answers(df: DataFrame, item: F.Column, items: str, schema: str) -> DataFrame:
@@ -173,12 +173,12 @@ def k4_ranks_by_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.read()
 
 
-@query("SELECT p_partkey AS name, '# ' || p_name || chr(10) || p_type AS content FROM part WHERE p_partkey % 50 = 0")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS name, '# ' || p_name || chr(10) || p_type AS content FROM part")
 def k2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file for each text; few, since each is a file."""
+    """A file for each part, written by the tasks and read back."""
     where = files.scratch(spark, "texts")
-    files.write_texts(table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("name"), F.concat(F.lit("# "), "p_name", F.lit("\n"), "p_type").alias("content")), where)
-    return spark.read.text(where, wholetext=True).select(F.col("name").cast("long").alias("name"), F.regexp_replace("value", "\n$", "").alias("content"))
+    named.write_named(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.concat(F.lit("# "), "p_name", F.lit("\n"), "p_type").alias("content")), where, ".md")
+    return spark.read.text(where, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"(.*)\.md", 1).alias("name"), F.col("value").alias("content"))
 
 
 @query("SELECT p_partkey, '{\"p_partkey\":' || p_partkey || ',\"p_name\":\"' || p_name || '\",\"size\":' || CASE WHEN p_size % 2 = 0 THEN 'null' ELSE CAST(p_size AS VARCHAR) END || '}' AS json FROM part")
@@ -193,43 +193,45 @@ def k9_index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.index_rows(posts, "p_size").select("permalink", "page")
 
 
-_BROKEN = "n_nationkey % 5 = 4"
+_BROKEN = "s_suppkey % 5 = 4"
 
 
-def _written_nations(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with a JSON document for each nation, some of them cut off, and a file of another kind."""
+def _written_suppliers(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a JSON document for each supplier, some of them cut off, and files of another kind."""
     where = files.scratch(spark, "raw")
-    whole = F.to_json(F.struct(F.array(F.struct(F.col("n_name").alias("title"), F.concat(F.lit("/n/"), "n_nationkey").alias("url")), F.struct(F.lit("more").alias("title"), F.lit(None).cast("string").alias("url"))).alias("items")))
-    nations = table(spark, sf_dir, "nation")
-    files.write_named(nations.select(F.col("n_name").alias("name"), F.when(F.expr(_BROKEN), F.substring(whole, 1, 20)).otherwise(whole).alias("content")), where, ".json")
-    files.write_named(nations.limit(1).select(F.lit("notes").alias("name"), F.lit("no").alias("content")), where, ".txt")
+    whole = F.to_json(F.struct(F.array(F.struct(F.col("s_name").alias("title"), F.concat(F.lit("/s/"), "s_suppkey").alias("url")), F.struct(F.lit("more").alias("title"), F.lit(None).cast("string").alias("url"))).alias("items")))
+    suppliers = table(spark, sf_dir, "supplier")
+    named.write_named(suppliers.select(F.concat(F.lit("s-"), "s_suppkey").alias("name"), F.when(F.expr(_BROKEN), F.substring(whole, 1, 20)).otherwise(whole).alias("content")), where, ".json")
+    named.write_named(suppliers.where("s_suppkey % 7 = 0").select(F.concat(F.lit("notes-"), "s_suppkey").alias("name"), F.lit("no").alias("content")), where, ".txt")
     return where
 
 
-@query(f"SELECT n_name AS stem, 0 AS pos, n_name AS title, '/n/' || n_nationkey AS url FROM nation WHERE NOT {_BROKEN} UNION ALL SELECT n_name, 1, 'more', NULL FROM nation WHERE NOT {_BROKEN}")
+@query(f"SELECT 's-' || s_suppkey AS stem, 0 AS pos, s_name AS title, '/s/' || s_suppkey AS url FROM supplier WHERE NOT {_BROKEN} UNION ALL SELECT 's-' || s_suppkey, 1, 'more', NULL FROM supplier WHERE NOT {_BROKEN}")
 def s1_json_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = files.scan_json(spark, _written_nations(spark, sf_dir), schemas.FEEDS["maker"])
+    found = files.scan_json(spark, _written_suppliers(spark, sf_dir), schemas.FEEDS["maker"])
     return found.rows.select("stem", F.posexplode("items").alias("pos", "i")).select("stem", "pos", "i.title", "i.url")
 
 
-@query(f"SELECT n_name AS stem, 20::BIGINT AS size FROM nation WHERE {_BROKEN}")
+@query(f"SELECT 's-' || s_suppkey AS stem, 20::BIGINT AS size FROM supplier WHERE {_BROKEN}")
 def s2_json_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = files.scan_json(spark, _written_nations(spark, sf_dir), schemas.FEEDS["maker"])
+    found = files.scan_json(spark, _written_suppliers(spark, sf_dir), schemas.FEEDS["maker"])
     return found.rejects.select("stem", F.length("content").cast("long").alias("size"))
 
 
-@query("SELECT n_name AS stem FROM nation")
+@query("SELECT 's-' || s_suppkey AS stem FROM supplier")
 def s3_file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.file_stems(spark, _written_nations(spark, sf_dir))
+    return files.file_stems(spark, _written_suppliers(spark, sf_dir))
 
 
-@query("SELECT n_name AS item_code, CASE WHEN n_nationkey % 2 = 0 THEN TIMESTAMP '2024-01-02 03:04:05.678' END AS seen_at, n_regionkey || ' x' AS title, CAST(n_nationkey AS INTEGER) AS rank FROM nation")
+@query("SELECT 'c' || c_custkey AS item_code, CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '2024-01-02 03:04:05.678' END AS seen_at, c_nationkey || ' x' AS title, CAST(c_custkey AS INTEGER) AS rank FROM customer")
 def s4_state_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of all customers, a document for each hundred keys, read back as two keyed tables."""
     where = files.scratch(spark, "state")
-    seen = F.struct(F.when(F.col("n_nationkey") % 2 == 0, "2024-01-02T03:04:05.678").alias("seen_at"), F.concat("n_regionkey", F.lit(" x")).alias("title"))
-    state = table(spark, sf_dir, "nation").agg(F.map_from_entries(F.collect_list(F.struct("n_name", seen))).alias("history"), F.map_from_entries(F.collect_list(F.struct("n_name", "n_nationkey"))).alias("last_rankings"))
-    files.write_named(state.select(F.lit("state").alias("name"), F.to_json(F.struct("*")).alias("content")), where, ".json")
-    history, ranks = files.read_state(spark, f"{where}/state.json", schemas.STATE)
+    code = F.concat(F.lit("c"), "c_custkey")
+    seen = F.struct(F.when(F.col("c_custkey") % 2 == 0, "2024-01-02T03:04:05.678").alias("seen_at"), F.concat("c_nationkey", F.lit(" x")).alias("title"))
+    held = table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 100).cast("string").alias("name")).agg(F.map_from_entries(F.collect_list(F.struct(code, seen))).alias("history"), F.map_from_entries(F.collect_list(F.struct(code, "c_custkey"))).alias("last_rankings"))
+    named.write_named(held.select("name", F.to_json(F.struct("history", "last_rankings")).alias("content")), where, ".json")
+    history, ranks = files.read_state(spark, where, schemas.STATE)
     return history.join(ranks, "item_code")
 
 
@@ -239,23 +241,42 @@ def s4_missing_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_json_or(spark, f"{files.scratch(spark, 'nothing')}/state.json", "k BIGINT, title STRING", default)
 
 
-@query("SELECT r_name AS title, CASE WHEN r_regionkey % 2 = 0 THEN 'https://referral.example/x' || r_regionkey ELSE 'https://referral.example/go?sid=s&pid=p&vc_url=' || url_encode('https://c.example/' || r_regionkey) END AS url, 100 * r_regionkey AS price, 'k' AS keyword FROM region")
-def s10_feed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search through the data source; its recorded answer is made of the regions, which are few."""
+def _paged_answers(spark: SparkSession, sf_dir: str, end: str, size: int, item: F.Column, body) -> dict:
+    """Options of a feed whose pages of suppliers lie in files, written by the tasks."""
     remote.register(spark)
-    hits = [{"name": r.r_name, "url": f"https://referral.example/x{r.r_regionkey}" if r.r_regionkey % 2 == 0 else f"https://c.example/{r.r_regionkey}", "price": 100 * r.r_regionkey} for r in table(spark, sf_dir, "region").collect()]
-    answer = json.dumps({"/c/search": {"status": 200, "body": {"hits": hits}}})
-    read = spark.read.format("feed").options(feed="hits_c", recorded=answer).load().where("keyword = 'k'")
-    response = read.select("keyword", F.from_json("response", schemas.RESPONSE_C).alias("r"))
-    return offers.hits_c(response.select("r.*"), site="s", partner="p").select("title", "url", "price").crossJoin(response.select("keyword"))
+    where = files.scratch(spark, "answers")
+    placed = relational.numbered_by_range(table(spark, sf_dir, "supplier"), F.col("s_suppkey"))
+    pages = relational.collected(placed.withColumn("page", F.floor((F.col("place") - 1) / size)), ["page"], [F.col("place")], item, "items")
+    total = table(spark, sf_dir, "supplier").agg(F.count("*").alias("total"))
+    named.write_named(pages.crossJoin(total).select(F.concat(F.lit(f"{end}-"), F.col("page") * size + 1).alias("name"), F.to_json(body).alias("content")), where, ".json")
+    return {"transport": "fennelmill.sources.remote:recorded_folder", "answers": named.qualified(spark, where), "page_parameter": "start", "page_size": str(size)}
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS item_id, s_name AS title, CAST((row_number() OVER (ORDER BY s_suppkey) - 1) // 10 AS INTEGER) AS page FROM supplier")
+def s6_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A keyword search over all its pages, asked for by several tasks."""
+    item = F.struct(F.col("s_suppkey").cast("string").alias("asin"), F.struct(F.struct(F.col("s_name").alias("displayValue")).alias("title")).alias("itemInfo"))
+    options = _paged_answers(spark, sf_dir, "searchItems", 10, item, F.struct(F.struct("items", F.col("total").alias("totalResultCount")).alias("searchResult")))
+    read = spark.read.format("feed").options(feed="search_a", page_total="searchResult.totalResultCount", **options).load().where("keyword = 'k'")
+    answers = read.select("page", F.from_json("response", schemas.RESPONSE_A).alias("r")).select("page", F.explode("r.items").alias("i"))
+    return answers.select(F.col("i.asin").alias("item_id"), F.col("i.itemInfo.title.displayValue").alias("title"), "page")
+
+
+@query("SELECT s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'https://referral.example/x' || s_suppkey ELSE 'https://referral.example/go?sid=s&pid=p&vc_url=' || url_encode('https://c.example/' || s_suppkey) END AS url, 100 * s_suppkey AS price FROM supplier")
+def s10_feed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of the third marketplace through the data source, page by page from recorded files."""
+    item = F.struct(F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("https://referral.example/x"), "s_suppkey")).otherwise(F.concat(F.lit("https://c.example/"), "s_suppkey")).alias("url"), (F.col("s_suppkey") * 100).alias("price"))
+    options = _paged_answers(spark, sf_dir, "search", 50, item, F.struct(F.col("items").alias("hits"), F.col("total").alias("totalResultsAvailable")))
+    read = spark.read.format("feed").options(feed="hits_c", page_total="totalResultsAvailable", interval="0.01", **options).load().where("keyword = 'k'")
+    return offers.hits_c(read.select(F.from_json("response", schemas.RESPONSE_C).alias("r")).select("r.*"), site="s", partner="p").select("title", "url", "price")
 
 
-@query("SELECT n_name AS name, 'About \"' || n_name || '\"' AS title, 'x, ' || n_regionkey AS tags, '# ' || n_name || chr(10) || 'text' AS body FROM nation")
+@query("SELECT 'post-' || s_suppkey AS name, 'About \"' || s_name || '\"' AS title, 'x, ' || s_nationkey AS tags, '# ' || s_name || chr(10) || 'text' AS body FROM supplier")
 def s18_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts written as Markdown with a header, a file each, and read back."""
     where = files.scratch(spark, "posts")
-    post = F.concat(F.lit("---\ntitle: "), render.quoted(F.concat(F.lit('About "'), "n_name", F.lit('"'))), F.lit("\ntags:\n- x\n- "), render.quoted(F.col("n_regionkey").cast("string")), F.lit("\n---\n# "), F.col("n_name"), F.lit("\ntext"))
-    files.write_named(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), post.alias("content")), where, ".md")
+    post = F.concat(F.lit("---\ntitle: "), render.quoted(F.concat(F.lit('About "'), "s_name", F.lit('"'))), F.lit("\ntags:\n- x\n- "), render.quoted(F.col("s_nationkey").cast("string")), F.lit("\n---\n# "), F.col("s_name"), F.lit("\ntext"))
+    named.write_named(table(spark, sf_dir, "supplier").select(F.concat(F.lit("post-"), "s_suppkey").alias("name"), post.alias("content")), where, ".md")
     found = files.read_posts(spark, where)
     return found.select("name", F.col("front_matter")["title"].alias("title"), F.array_join(F.from_json(F.col("front_matter")["tags"], "array<string>"), ", ").alias("tags"), "body")
 

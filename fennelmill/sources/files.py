@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,7 +110,7 @@ def file_stems(spark: SparkSession, folder: str, pattern: str = "*.json") -> Dat
 
 
 def read_state(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
-    """A state document as two keyed tables: history and last rankings."""
+    """A state document, or a folder of documents that share the state's keys among them, as two keyed tables: history and last rankings."""
     state = read_json_or(spark, path, schema)
     history = state.select(F.explode("history").alias("item_code", "v")).select("item_code", F.to_timestamp_ntz("v.seen_at").alias("seen_at"), "v.title")
     return history, state.select(F.explode("last_rankings").alias("item_code", "rank"))
@@ -146,27 +146,9 @@ def write_documents(df: DataFrame, folder: str, *partitions: str) -> None:
     (writer.partitionBy(*partitions) if partitions else writer).json(folder)
 
 
-def write_texts(df: DataFrame, folder: str, name: str = "name", content: str = "content") -> None:
-    """Each row's text as a file under a folder of its name."""
-    df.select(name, F.col(content).alias("value")).repartition(name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("lineSep", "\n").partitionBy(name).text(folder)
-
-
-def write_named(df: DataFrame, folder: str, suffix: str, name: str = "name", content: str = "content") -> None:
-    """Each row's text as a file of its name, for documents that are few, such as a run's task or its posts: the driver writes one after the other."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    system = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for row in df.select(name, content).toLocalIterator():
-        out = system.create(path(f"{folder}/{row[0]}{suffix}"), True)
-        try:
-            out.write(bytearray((row[1] or "").encode()))
-        finally:
-            out.close()
-
-
-def as_json(df: DataFrame) -> DataFrame:
-    """Each row as one JSON text."""
-    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+def as_json(df: DataFrame, *beside: Column | str) -> DataFrame:
+    """Each row as one JSON text, beside columns of one's choice."""
+    return df.select(*beside, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 class Snapshots:

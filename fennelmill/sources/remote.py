@@ -11,16 +11,18 @@ from __future__ import annotations
 
 import importlib
 import json
+import math
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from base64 import b64encode
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition
 
 
 @dataclass(frozen=True)
@@ -85,6 +87,41 @@ def recorded(options: dict) -> Transport:
     return send
 
 
+def recorded_folder(options: dict) -> Transport:
+    """A transport over files: option ``answers`` is a folder of bodies named by the end of the URL, a hyphen and the page.
+
+    A page is what option ``page_parameter`` names in the request; no file, no answer (status 404). Option ``asked`` is
+    a folder in which every request leaves an empty file that begins with the page's name.
+    """
+    from pyarrow import fs
+
+    def send(request: Request) -> Response:
+        given = request.parameters or (request.body if isinstance(request.body, dict) else {})
+        name = f"{request.url.rsplit('/', 1)[-1]}-{given.get(options.get('page_parameter', ''), '')}"
+        if "asked" in options:
+            system, root = fs.FileSystem.from_uri(options["asked"])
+            system.create_dir(root, recursive=True)
+            system.open_output_stream(f"{root}/{name}.{uuid.uuid4().hex}").close()
+        system, root = fs.FileSystem.from_uri(options["answers"])
+        try:
+            with system.open_input_file(f"{root}/{name}.json") as f:
+                return Response(200, f.read().decode())
+        except FileNotFoundError:
+            return Response(404, "{}")
+
+    return send
+
+
+def recorded_clock(options: dict) -> Callable[[], float]:
+    """A clock that stands at the number in file ``clock_file``, to poll recorded answers as of any time."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(options["clock_file"])
+    with system.open_input_file(path) as f:
+        now = float(f.read())
+    return lambda: now
+
+
 def transport_named(name: str, options: dict) -> Transport:
     """The transport that ``package.module:factory`` makes of the options; the module is imported where it is used."""
     module, _, factory = name.partition(":")
@@ -219,13 +256,14 @@ class Feed:
             answer = answer.get(part) or {}
         return {last: answer.get(last) or []}
 
-    def fetch(self, transport: Transport, options: dict, access: Access | None = None, retry: Retry = Retry(), sleep: Callable[[float], None] = time.sleep) -> dict:
-        """The answer's items, or none where a failure means that."""
+    def fetch(self, transport: Transport, options: dict, access: Access | None = None, retry: Retry = Retry(), sleep: Callable[[float], None] = time.sleep, whole: bool = False) -> dict:
+        """The answer's items, or none where a failure means that; with ``whole`` all of the answer."""
         asked, url = self.parameters(options), options.get("base", "") + self.path
         try:
             if self.retried:
                 headers = {"Content-Type": "application/json"} | json.loads(options.get("headers", "{}"))
-                return self.found(json.loads(retry.send(transport, Request("POST", url, headers, body=asked, timeout=self.timeout), access, sleep).text))
+                answer = json.loads(retry.send(transport, Request("POST", url, headers, body=asked, timeout=self.timeout), access, sleep).text)
+                return answer if whole else self.found(answer)
             answer = transport(Request("GET", url, parameters=asked, timeout=self.timeout))
         except FeedError:
             if self.empty_on == "any":
@@ -261,6 +299,63 @@ FEEDS = {
 }
 
 
+@dataclass(frozen=True)
+class Paging:
+    """How pages of an answer are asked for: the parameter, where the number of all results stands in an answer (dotted),
+    results of a page, the first value, whether values count results or pages, and how many pages are asked for at most."""
+
+    parameter: str
+    total: str
+    size: int
+    first: int = 1
+    by_result: bool = True
+    most: int = 1000
+
+    @classmethod
+    def of(cls, options: dict) -> Paging | None:
+        """From options ``page_parameter``, ``page_total``, ``page_size``, ``page_first``, ``page_by`` (``result`` or ``page``) and ``page_most``."""
+        if "page_parameter" not in options:
+            return None
+        return cls(options["page_parameter"], options.get("page_total", ""), int(options.get("page_size", "10")), int(options.get("page_first", "1")), options.get("page_by", "result") == "result", int(options.get("page_most", "1000")))
+
+    def asks(self, page: int) -> dict:
+        """The option ``extra`` that asks for a page, counted from 0."""
+        return {self.parameter: self.first + page * (self.size if self.by_result else 1)}
+
+    def pages(self, answer: dict) -> int:
+        """The number of pages that an answer tells of, one at least."""
+        at = answer
+        for part in self.total.split("."):
+            at = at.get(part) if isinstance(at, dict) else None
+        return max(1, min(self.most, -(-int(at or 0) // self.size)))
+
+
+@dataclass
+class Turns:
+    """The instants at which one of ``of`` tasks may ask: each has every ``of``-th interval from ``start`` to itself.
+
+    However late a task starts, it waits for its next own instant, so all tasks together keep the interval as long as their clocks agree.
+    """
+
+    start: float
+    interval: float
+    place: int
+    of: int
+    last: float = float("-inf")
+
+    def wait(self, clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep) -> None:
+        if self.interval <= 0:
+            return
+        first, period = self.start + self.place * self.interval, self.interval * self.of
+        now = clock()
+        turn = max(0, math.ceil((now - first) / period - 1e-9))
+        if first + turn * period <= self.last:
+            turn = round((self.last - first) / period) + 1
+        self.last = first + turn * period
+        if self.last > now:
+            sleep(self.last - now)
+
+
 class FeedSource(DataSource):
     """``spark.read.format("feed").option("feed", name)``: a feed's items as one JSON text for each request.
 
@@ -269,6 +364,13 @@ class FeedSource(DataSource):
     ``secret``, ``headers`` (JSON), and the feed's own. A filter ``keyword = …`` is pushed into the request. ``batch`` cuts
     a long list of ``ids`` into requests of so many, which are made by as many tasks. Without credentials (option
     ``credentials`` = ``none``) a feed is empty; ``mock`` = ``true`` gives one made-up item instead.
+
+    With the options of :class:`Paging` the first page is asked for when the read is planned, and the pages it tells of are
+    dealt to ``tasks`` tasks (4); ``interval`` is the least number of seconds between two requests of all of them.
+
+    ``spark.readStream`` polls: a run begins every ``every`` seconds and asks for ``pages`` pages. Its offset is the run and
+    the pages of it that are read, so a query that goes on from a checkpoint asks for none of them again; runs that
+    passed meanwhile are over. Option ``clock`` names another clock, by ``package.module:factory`` of the options.
     """
 
     @classmethod
@@ -276,17 +378,23 @@ class FeedSource(DataSource):
         return "feed"
 
     def schema(self) -> str:
-        return "feed STRING, keyword STRING, response STRING"
+        return "feed STRING, keyword STRING, response STRING, page INT"
 
     def reader(self, schema) -> DataSourceReader:
         return FeedReader({k.lower(): v for k, v in self.options.items()})
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return FeedStream({k.lower(): v for k, v in self.options.items()})
+
 
 @dataclass
 class Batch(InputPartition):
-    """The ids of one request, by commas; None where a feed is not asked by ids."""
+    """What a task asks for: ids by commas, or pages in turns; or a page's answer that is there already."""
 
-    ids: str | None
+    ids: str | None = None
+    pages: tuple[int, ...] = ()
+    turns: Turns | None = None
+    answer: str | None = None
 
 
 class FeedReader(DataSourceReader):
@@ -295,6 +403,7 @@ class FeedReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options, self.keyword = options, options.get("keyword")
         self.feed = replace(FEEDS[options["feed"]], **json.loads(options.get("config", "{}")))
+        self.paging = Paging.of(options)
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -303,22 +412,75 @@ class FeedReader(DataSourceReader):
             else:
                 yield f
 
+    def clock(self) -> float:
+        return transport_named(self.options["clock"], self.options)() if "clock" in self.options else time.time()
+
+    def access(self, transport: Transport) -> Access | None:
+        grants = [Grant(**g) for g in json.loads(self.options.get("grants", "[]"))]
+        return Access(transport, grant_for(self.options["credential"], grants), self.options["credential"], self.options.get("secret", "")) if grants else None
+
+    def transport(self) -> Transport:
+        return transport_named(self.options.get("transport", f"{__name__}:recorded"), self.options)
+
+    def ask(self, transport: Transport, access: Access | None, more: dict, page: int | None = None) -> dict:
+        """The whole answer to one request."""
+        options = self.options | ({"keyword": self.keyword} if self.keyword else {}) | more
+        if page is not None:
+            options["extra"] = json.dumps(json.loads(options.get("extra") or "{}") | self.paging.asks(page))
+        return self.feed.fetch(transport, options, access, whole=True)
+
+    def row(self, answer: dict, page: int | None = None) -> tuple:
+        """A row of the data source; feeds that are asked with retries give their items only."""
+        return self.options["feed"], self.keyword, json.dumps(self.feed.found(answer) if self.feed.retried else answer, ensure_ascii=False), page
+
     def partitions(self) -> list[InputPartition]:
+        if self.paging is not None and self.options.get("credentials") != "none":
+            transport = self.transport()
+            first = self.ask(transport, self.access(transport), {}, 0)
+            left = list(range(1, self.paging.pages(first)))
+            of = max(1, min(int(self.options.get("tasks", "4")), len(left)))
+            interval = float(self.options.get("interval", "0"))
+            start = self.clock() + interval
+            return [Batch(pages=(0,), answer=json.dumps(first))] + [Batch(pages=tuple(left[k::of]), turns=Turns(start, interval, k, of)) for k in range(of) if left]
         ids = [i for i in self.options.get("ids", "").split(",") if i]
         size = int(self.options.get("batch", "0")) or len(ids) or 1
-        return [Batch(",".join(ids[k : k + size])) for k in range(0, len(ids), size)] or [Batch(None)]
-
-    def read(self, partition: Batch):
-        options = self.options | ({"keyword": self.keyword} if self.keyword else {}) | ({"ids": partition.ids} if partition.ids else {})
-        if options.get("credentials") == "none":
-            items = [{"title": "mock item", "name": "mock item"}] if options.get("mock") == "true" else []
-            answer = {self.feed.items.split(".")[-1]: items}
+        return [Batch(",".join(ids[k : k + size])) for k in range(0, len(ids), size)] or [Batch()]
+
+    def read(self, partition: Batch) -> Iterator[tuple]:
+        if partition.answer is not None:
+            yield self.row(json.loads(partition.answer), partition.pages[0])
+        elif self.options.get("credentials") == "none":
+            items = [{"title": "mock item", "name": "mock item"}] if self.options.get("mock") == "true" else []
+            yield self.options["feed"], self.keyword, json.dumps({self.feed.items.split(".")[-1]: items}), None
         else:
-            transport = transport_named(options.get("transport", f"{__name__}:recorded"), options)
-            grants = [Grant(**g) for g in json.loads(options.get("grants", "[]"))]
-            access = Access(transport, grant_for(options["credential"], grants), options["credential"], options.get("secret", "")) if grants else None
-            answer = self.feed.fetch(transport, options, access)
-        yield options["feed"], self.keyword, json.dumps(answer, ensure_ascii=False)
+            transport = self.transport()
+            access = self.access(transport)
+            for page in partition.pages:
+                partition.turns.wait()
+                yield self.row(self.ask(transport, access, {}, page), page)
+            if not partition.pages:
+                yield self.row(self.ask(transport, access, {"ids": partition.ids} if partition.ids else {}))
+
+
+class FeedStream(DataSourceStreamReader):
+    """Polls a feed page by page; what is asked for follows from the clock and the offset alone."""
+
+    def __init__(self, options: dict) -> None:
+        self.reader = FeedReader(options)
+        self.every, self.count = float(options.get("every", "3600")), int(options.get("pages", "1"))
+
+    def initialOffset(self) -> dict:
+        return {"run": int(self.reader.clock() // self.every), "page": 0}
+
+    def latestOffset(self) -> dict:
+        return {"run": int(self.reader.clock() // self.every), "page": self.count}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        first = start["page"] if start["run"] == end["run"] else 0
+        return [Batch(pages=(page,), turns=Turns(0.0, 0.0, 0, 1)) for page in range(first, end["page"])]
+
+    def read(self, partition: Batch) -> Iterator[tuple]:
+        return self.reader.read(partition)
 
 
 def register(spark: SparkSession) -> None:

@@ -43,8 +43,6 @@ def test_posts_and_sinks(spark, tmp_path):
     files.write_documents(docs, out, "run_date", "slug")
     files.write_documents(docs.where("slug = 's'").withColumn("n", F.lit(9)), out, "run_date", "slug")
     assert sorted((r.slug, r.n) for r in spark.read.json(out).collect()) == [("s", 9), ("t", 2)]
-    files.write_texts(spark.createDataFrame([("s", "# hi\nthere")], "name string, content string"), str(tmp_path / "md"))
-    assert spark.read.text(str(tmp_path / "md"), wholetext=True).first().value == "# hi\nthere\n"
     assert json.loads(files.as_json(docs.where("n = 1")).first().json) == {"run_date": "d1", "slug": "s", "n": 1, "x": None}
 
 
