@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fennelmill.functions import scalars as S
@@ -74,3 +74,91 @@ def fuzzy_search(df: DataFrame, query: str, columns: list[str], threshold: float
 
     each = [distance(c) for c in columns]
     return df.withColumn("distance", F.least(*each) if len(each) > 1 else each[0]).where(F.col("distance") <= threshold)
+
+
+#: Characters of a pattern that are matched at once, the least score of a match, and the score of an equal text.
+CHUNK, LEAST_SCORE, EQUAL_SCORE = 32, 0.001, 2.220446049250313e-16
+#: Longest pieces of a pattern that are looked up in the index.
+_GRAM = 3
+
+
+def _letter(s: Column, i: Column) -> Column:
+    return F.substring(s, i, F.lit(1))
+
+
+def _masks(pattern: Column, m: Column) -> Column:
+    """For each letter of a pattern, read from its end, the bits of its places."""
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    letters = F.transform(F.sequence(F.lit(1), m), lambda i: _letter(pattern, i))
+    bit = lambda i: F.call_function("shiftleft", one, m - i)
+    bits = lambda c: F.aggregate(F.sequence(F.lit(1), m), zero, lambda held, i: held.bitwiseOR(F.when(F.get(letters, i - 1) == c, bit(i)).otherwise(zero)))
+    return F.map_from_entries(F.transform(F.array_distinct(letters), lambda c: F.struct(c, bits(c))))
+
+
+def _start_scores(text: str, size: str, masks: str, m: str, at: str, distance: int) -> Column:
+    """The least ``errors / m + |start - at| / distance`` of a pattern (1 to ``CHUNK`` characters) over all places of the text where a match starts.
+
+    Both are read from their ends, so that the column of edit distances at a place is the least number of errors of a
+    match that starts there; the column is kept as two words of differences, one bit a character of the pattern.
+    """
+    m, at, zero = F.col(m), F.col(at), F.lit(0).cast("long")
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), m) - 1
+    top = F.call_function("shiftleft", F.lit(1).cast("long"), m - 1)
+
+    def step(s: Column, i: Column) -> Column:
+        pv, mv = s["pv"], s["mv"]
+        x = F.coalesce(F.try_element_at(F.col(masks), _letter(F.col(text), i)), zero).bitwiseOR(mv)
+        d0 = (x.bitwiseAND(pv) + pv).bitwiseXOR(pv).bitwiseOR(x)
+        less, more = pv.bitwiseAND(d0), mv.bitwiseOR(F.bitwise_not(pv.bitwiseOR(d0)).bitwiseAND(full))
+        errors = s["errors"] + F.when(more.bitwiseAND(top) != 0, 1).otherwise(0) - F.when(less.bitwiseAND(top) != 0, 1).otherwise(0)
+        more, less = F.shiftleft(more, 1).bitwiseAND(full), F.shiftleft(less, 1).bitwiseAND(full)
+        best = F.least(s["best"], errors / m + F.abs(i - 1 - at) / F.lit(distance))
+        return F.struct(less.bitwiseOR(F.bitwise_not(more.bitwiseOR(d0)).bitwiseAND(full)).alias("pv"), more.bitwiseAND(d0).alias("mv"), errors.cast("int").alias("errors"), best.cast("double").alias("best"))
+
+    start = F.struct(full.alias("pv"), zero.alias("mv"), m.cast("int").alias("errors"), F.lit(float("inf")).alias("best"))
+    return F.aggregate(F.filter(F.sequence(F.col(size), F.lit(0), F.lit(-1)), lambda i: i > 0), start, step, lambda s: s["best"])
+
+
+def search(df: DataFrame, queries: DataFrame, key: str, query: str, weights: dict[str, float], threshold: float = 0.4, location: int = 0, distance: int = 1000) -> DataFrame:
+    """``(key, query, score)`` of all rows and queries that match, 0 is best; case is ignored.
+
+    A query matches a text where it starts ``x`` characters in with so few errors (letters missing, added or replaced) that
+    ``errors / length + |x - location| / distance`` is at most the threshold. Queries longer than ``CHUNK`` are cut, and the mean over
+    chunks counts, 1 for one that does not match. A row matches by any of its columns: the score is the product
+    of the columns' scores, each to the power of its share of the weights over the root of its number of words.
+
+    Of ``k + 1`` pieces of a pattern with at most ``k`` errors one is there unchanged, at most ``k`` places off. So pairs of
+    distinct texts and patterns come from an equi-join of pieces with an index of short grams and their places, and only
+    those are compared. Texts matter as far as the distance lets them. NULL and empty texts and queries match nothing;
+    repeated queries count once.
+    """
+    reach = int(threshold * distance + 1e-9)
+    shares = {c: w / sum(weights.values()) for c, w in weights.items()}
+    asked = queries.select(F.lower(F.col(query).cast("string")).alias("q")).where("q <> ''").distinct()
+    number = F.ceil(F.length("q") / CHUNK).cast("int")
+    start = F.when(F.col("i") < F.col("chunks") - 1, F.col("i") * CHUNK).otherwise(F.greatest(F.lit(0), F.length("q") - CHUNK))
+    chunks = asked.withColumn("chunks", number).withColumn("i", F.explode(F.sequence(F.lit(0), number - 1))).withColumn("at", start)
+    chunks = chunks.withColumn("pattern", F.expr(f"substring(q, at + 1, {CHUNK})")).withColumn("m", F.length("pattern")).withColumn("k", F.least(F.col("m") - 1, F.floor(F.lit(threshold + 1e-9) * F.col("m")).cast("int")))
+    chunks = written(chunks.withColumn("at", F.col("at") + F.lit(location)), "patterns")
+    farthest = (chunks.agg(F.max("at")).first()[0] or 0) + reach + 2 * CHUNK
+    each = df.select(F.col(key).alias("row"), F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.lower(F.col(c).cast("string")).alias("text"), F.lit(float(s)).alias("share")) for c, s in shares.items()))).alias("c")).select("row", "c.*").where("text <> ''")
+    texts = written(each.select("text").distinct().select(F.monotonically_increasing_id().alias("tid"), "text", F.expr(f"substring(text, 1, {farthest})").alias("near")).withColumn("size", F.length("near")), "texts")
+    # the pieces of a pattern, and the grams of the lengths that they have
+    width = (F.col("m") / (F.col("k") + 1)).cast("int")
+    pieces = chunks.select("pattern", "at", "m", "k", F.explode(F.transform(F.sequence(F.lit(0), F.col("k")), lambda j: F.struct((j * width).alias("offset"), F.least(F.lit(_GRAM), width).alias("n")))).alias("p")).select("pattern", "at", "k", "p.offset", F.expr("substring(pattern, p.offset + 1, p.n)").alias("gram")).distinct()
+    lengths = [r.n for r in pieces.select(F.length("gram").alias("n")).distinct().collect()]
+
+    def of_length(n: int) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda x: x + n <= F.col("size"))
+        return F.transform(places, lambda x: F.struct(x.alias("place"), F.substring(F.col("near"), x + 1, F.lit(n)).alias("gram")))
+
+    grams = F.concat(*map(of_length, lengths)) if lengths else F.expr("cast(array() as array<struct<place: int, gram: string>>)")
+    index = texts.select("tid", F.explode(grams).alias("g")).select("tid", "g.*")
+    fits = f"abs(place - offset - at) <= {reach} + k"
+    pairs = pieces.join(index, "gram").where(fits).select("tid", "pattern", "at").distinct()
+    patterns = written(chunks.select("pattern", "at", "m").distinct().withColumn("masks", _masks(F.col("pattern"), F.col("m"))), "masks")
+    compared = pairs.join(texts, "tid").join(patterns, ["pattern", "at"]).withColumn("score", _start_scores("near", "size", "masks", "m", "at", distance)).where(F.col("score") <= threshold + 1e-12)
+    scored = chunks.join(compared.select("tid", "text", "pattern", "at", "score"), ["pattern", "at"]).groupBy("tid", "text", "q", "chunks").agg(F.sum(F.greatest(F.lit(LEAST_SCORE), F.col("score"))).alias("sum"), F.count("*").alias("n"))
+    found = scored.select("text", "q", F.when(F.col("text") == F.col("q"), EQUAL_SCORE).otherwise((F.col("sum") + F.col("chunks") - F.col("n")) / F.col("chunks")).alias("score"))
+    norm = F.round(1 / F.sqrt(F.greatest(F.lit(1), F.regexp_count("text", F.lit("[^ ]+")))), 3)
+    return each.join(found, "text").groupBy(F.col("row").alias(key), F.col("q").alias(query)).agg(F.exp(F.sum(F.log("score") * F.col("share") * norm)).alias("score"))

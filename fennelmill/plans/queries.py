@@ -493,6 +493,22 @@ def d17_fuzzy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.fuzzy_search(table(spark, sf_dir, "part"), "Medum", ["p_type"]).select("p_partkey", F.round("distance", 6).alias("distance"))
 
 
+@query(
+    "WITH q AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM benchmark), e AS (SELECT p_partkey, unnest([{'c': p_name, 'w': 0.4}, {'c': p_type, 'w': 0.3}, {'c': p_brand, 'w': 0.2}, {'c': p_type || ' ' || p_name, 'w': 0.1}]) AS x FROM part),"
+    " r AS (SELECT p_partkey, lower(x.c) AS text, CAST(x.w AS DOUBLE) AS w FROM e), t AS (SELECT DISTINCT text FROM r),"
+    " s AS (SELECT text, word, len(word) AS m, CAST(floor(0.4 * len(word) + 1e-9) AS BIGINT) AS k, unnest(range(0, len(text))) AS x FROM t, q WHERE len(word) <= 32),"
+    " d AS (SELECT text, word, levenshtein(word, substr(text, x + 1, l)) / m + x / 1000 AS score FROM (SELECT *, unnest(range(greatest(m - k, 0), m + k + 1)) AS l FROM s)),"
+    " m AS (SELECT text, word, CASE WHEN text = word THEN 2.220446049250313e-16 ELSE greatest(0.001, min(score)) END AS score FROM d GROUP BY text, word HAVING min(score) <= 0.4 + 1e-12)"
+    " SELECT p_partkey, word, round(exp(sum(ln(score) * w * round(1 / sqrt(greatest(1, len(regexp_extract_all(text, '[^ ]+')))), 3))), 6) AS score FROM r JOIN m USING (text) GROUP BY p_partkey, word"
+)
+def d17_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of one table sought in four weighted columns of another."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("word"))
+    parts = table(spark, sf_dir, "part").withColumn("whole", F.concat_ws(" ", "p_type", "p_name"))
+    found = matching.search(parts, words, "p_partkey", "word", {"p_name": 0.4, "p_type": 0.3, "p_brand": 0.2, "whole": 0.1})
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query("SELECT p_partkey, p_name AS title, CASE WHEN p_size % 2 = 0 THEN 'https://referral.example/go?sid=s&pid=p&vc_url=' || url_encode('https://c.example/' || p_partkey) ELSE 'https://referral.example/x' END AS url, p_brand AS image, CASE WHEN p_size % 3 = 0 THEN 'c' ELSE p_type END AS shop FROM part WHERE p_size % 4 <> 0")
 def d15_hit_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fennelmill.operators import offers
