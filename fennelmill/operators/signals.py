@@ -32,6 +32,11 @@ def arrivals(feed: DataFrame, history: DataFrame, announced: str = ANNOUNCED, co
     fresh = coded.groupBy(F.col("item_code").alias("code")).agg(F.min("pos").alias("first")).join(known, "code", "left_anti")
     flagged = coded.join(fresh, (F.col("item_code") == F.col("code")) & (F.col("pos") == F.col("first")), "left").withColumn("is_new", F.col("code").isNotNull())
     rows = flagged.select(*feed.columns, "is_new").unionByName(uncoded.withColumn("is_new", F.lit(True)))
+    return arrival_signals(rows, announced, collaboration)
+
+
+def arrival_signals(rows: DataFrame, announced: str = ANNOUNCED, collaboration: str = COLLABORATION) -> DataFrame:
+    """Signals of rows that say whether they are new (``is_new``): those that are new or announced, row by row."""
     rows = rows.withColumn("is_announced", S.matches("title", announced)).withColumn("is_collaboration", S.matches("title", collaboration)).where("is_new or is_announced")
     score = F.col("is_new").cast("int") * NEW + F.col("is_announced").cast("int") * ANNOUNCED_SCORE + F.col("is_collaboration").cast("int") * COLLABORATION_SCORE
     kind = F.when(F.col("is_new"), "new_arrival").otherwise("preorder")
@@ -46,7 +51,12 @@ def rank_jumps(ranking: DataFrame, last: DataFrame) -> DataFrame:
     before = last.where("item_code is not null").select(F.col("item_code").alias("last_code"), F.col("rank").alias("last_rank"))
     rows = ranking.where("rank is not null").join(before, F.col("item_code") == F.col("last_code"), "left")
     was = F.coalesce("last_rank", F.lit(UNRANKED))
-    jump = was - F.col("rank")
+    return jump_signals(rows.withColumn("was", was))
+
+
+def jump_signals(rows: DataFrame) -> DataFrame:
+    """Signals of ranked rows that say what rank they had before (``was``), row by row."""
+    was, jump = F.col("was"), F.col("was") - F.col("rank")
     rows = rows.withColumn("jump", jump.cast("int")).where((jump > LEAST_JUMP) | ((was == UNRANKED) & (F.col("rank") <= TOP_RANK)))
     return rows.select(F.lit("sudden_jump").alias("type"), "item_code", "title", "url", "image", "price", "jump", (F.col("jump") * 0.5 + 5).alias("score"), F.lit(1).alias("branch"), F.col("pos").cast("long").alias("pos"))
 

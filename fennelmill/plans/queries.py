@@ -530,4 +530,4 @@ def f9_default_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.or_default(region, spark.createDataFrame([(-1, "none")], region.schema))
 
 
-from fennelmill.plans import source_queries  # noqa: E402, F401  these add theirs to the same registry
+from fennelmill.plans import source_queries, stream_queries  # noqa: E402, F401  these add theirs to the same registry
