@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fennelmill.functions import scalars as S
@@ -15,35 +15,50 @@ FIRST = 2
 def best_match(left: DataFrame, pool: DataFrame, left_key: str, left_text: str, pool_key: str, pool_text: str, pool_order: str | None = None, least: int = 2) -> DataFrame:
     """``(left_key, match, score)``: for each left row the pool row that shares most distinct tokens with it.
 
-    Ties go to the earliest pool row; a score under ``least`` is no match, and every left row is returned. The search is
-    bounded and exact: a left row's tokens are ordered from the rarest in the pool to the most frequent. The pool rows that
-    hold one of its two rarest tokens give a score ``s`` that is reached already. Any row that reaches ``s`` too holds one
-    of the ``n - s + 1`` rarest of the ``n`` tokens, so only rows that do are scored beside them; a frequent token brings
-    rows together only where nothing better is known. Both sides are tokenised once, and written for the steps that read
-    them.
+    Ties go to the earliest pool row; a score under ``least`` is no match, and every left row is returned.
+    """
+    found = best_matches(left, pool, left_key, left_text, pool_key, pool_text, pool_order, least, 1).drop("place")
+    return left.select(left_key).join(found, left_key, "left")
+
+
+def best_matches(left: DataFrame, pool: DataFrame, left_key: str, left_text: str, pool_key: str, pool_text: str, pool_order: str | None = None, least: int = 2, most: int = 3) -> DataFrame:
+    """``(left_key, place, match, score)``: for each left row the ``most`` pool rows that share most distinct tokens with it, ``least`` or more; places count from 1.
+
+    Ties go to the earlier pool row. The search is bounded and exact: a left row's tokens are ordered from the rarest in
+    the pool to the most frequent. The pool rows that hold one of its two rarest tokens give a score ``s`` that ``most`` rows
+    reach already. Any row that reaches ``s`` too holds one of the ``n - s + 1`` rarest of the ``n`` tokens, so only rows that
+    do are scored beside them; a frequent token brings rows together only where nothing better is known. Of the pool's tokens
+    only those go on that a left row has, and they are written once.
     """
     rows = pool.select(F.struct(F.col(pool_order or pool_key).alias("o"), F.col(pool_key).alias("r")).alias("at"), F.col(pool_text).alias("text")).repartition("at")
-    pool_tokens = written(rows.select("at", S.token_set("text").alias("tokens")).where(F.size("tokens") >= least), "pool")
-    each = pool_tokens.select("at", F.explode("tokens").alias("token"))
-    a = left.select(F.col(left_key).alias("l"), F.explode(S.token_set(left_text)).alias("token"))
-    held = each.join(a.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("f"))
+    a = written(left.select(F.col(left_key).alias("l"), F.explode(S.token_set(left_text)).alias("token")), "asked")
+    each = written(rows.select("at", F.explode(S.token_set("text")).alias("token")).join(a.select("token").distinct(), "token", "left_semi"), "pool")
+    held = each.groupBy("token").agg(F.count("*").alias("f"))
     rarest = F.transform(F.array_sort(F.collect_list(F.struct("f", "token"))), lambda x: x["token"])
     ranked = written(a.join(held, "token").groupBy("l").agg(rarest.alias("own")).where(F.size("own") >= least), "ranked")
+    kind = pool.schema[pool_key].dataType
     if ranked.isEmpty():  # no left row has enough tokens in the pool
-        return left.select(left_key, F.lit(None).cast(pool.schema[pool_key].dataType).alias("match"), F.lit(None).cast("long").alias("score"))
+        return left.select(left_key, F.lit(None).cast("int").alias("place"), F.lit(None).cast(kind).alias("match"), F.lit(None).cast("long").alias("score")).limit(0)
+    pool_tokens = written(each.groupBy("at").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= least), "pool")
+    first_in_order = Window.partitionBy("l").orderBy("best")
 
     def scored(wanted: DataFrame) -> DataFrame:
-        """``(l, s, at)``: the best pool row of each left row among those that hold a wanted token, with its negated score."""
+        """``(l, best)``: the negated score and place of the best pool rows of each left row among those that hold a wanted token."""
         pairs = wanted.join(each, "token").select("l", "at").distinct()
         both = pairs.join(ranked, "l").join(pool_tokens, "at").select("l", F.struct((-F.size(F.array_intersect("own", "tokens"))).alias("s"), "at").alias("best"))
-        return both.groupBy("l").agg(F.min("best").alias("best"))
+        return best_of(both.where(F.col("best.s") <= -least))
+
+    def best_of(both: DataFrame) -> DataFrame:
+        if most == 1:
+            return both.groupBy("l").agg(F.min("best").alias("best"))
+        return both.withColumn("n", F.row_number().over(first_in_order)).where(F.col("n") <= most).drop("n")
 
     first = written(scored(ranked.select("l", F.explode(F.slice("own", 1, FIRST)).alias("token"))), "first")
-    upto = F.size("own") - F.greatest(-F.col("best.s"), F.lit(least)) + 1
-    more = ranked.join(first, "l", "left").select("l", F.explode(F.slice("own", F.lit(FIRST + 1), F.greatest(F.coalesce(upto, F.size("own") - least + 1) - FIRST, F.lit(0)))).alias("token"))
-    best = first.union(scored(more)).groupBy("l").agg(F.min("best").alias("best")).where(F.col("best.s") <= -least)
-    found = best.select(F.col("l").alias(left_key), F.col("best.at.r").alias("match"), (-F.col("best.s")).cast("long").alias("score"))
-    return left.select(left_key).join(found, left_key, "left")
+    reached = first.groupBy("l").agg(F.when(F.count("*") == most, -F.max("best.s")).alias("s"))
+    upto = F.size("own") - F.coalesce("s", F.lit(least)) + 1
+    more = ranked.join(reached, "l", "left").select("l", F.explode(F.slice("own", F.lit(FIRST + 1), F.greatest(upto - FIRST, F.lit(0)))).alias("token"))
+    best = best_of(first.union(scored(more)).distinct())
+    return best.select(F.col("l").alias(left_key), F.row_number().over(first_in_order).alias("place"), F.col("best.at.r").alias("match"), (-F.col("best.s")).cast("long").alias("score"))
 
 
 def overlaps(left: DataFrame, right: DataFrame, left_key: str, left_text: str, right_key: str, right_text: str) -> DataFrame:

@@ -127,6 +127,27 @@ def j1_best_match_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.best_match(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
 
 
+_TOP_THREE = (
+    f"WITH l AS (SELECT item_id, {_TOKENS_SQL.format(c='text')} AS t FROM benchmark), r AS (SELECT doc_id, {_TOKENS_SQL.format(c='text')} AS t FROM documents),"
+    " a AS (SELECT item_id, unnest(t) AS k FROM l), b AS (SELECT doc_id, unnest(t) AS k FROM r), s AS (SELECT item_id, doc_id, count(*) AS score FROM a JOIN b USING (k) GROUP BY ALL HAVING count(*) >= 2),"
+    " m AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS place, doc_id AS match, score FROM s QUALIFY place <= 3)"
+)
+
+
+@query(f"{_TOP_THREE} SELECT * FROM m")
+def j6_top_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three documents that share most tokens with each item, ties in the documents' order."""
+    return matching.best_matches(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text")
+
+
+@query(f"{_TOP_THREE} SELECT item_id AS pos, '2024-02-01-' || replace(text, ' ', '-') AS task_id, string_agg(match, ',' ORDER BY place) AS item_ids, text || ', guide, comparison' AS keywords FROM m JOIN benchmark USING (item_id) GROUP BY item_id, text")
+def d11_tasks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task for each item as a trend, with the three documents that match it best."""
+    trends = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), F.col("text").alias("query"))
+    made = tasks.tasks_for_trends(trends, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("title")), "2024-02-01")
+    return made.select("pos", "task_id", F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("item_ids"), F.array_join("keywords", ", ").alias("keywords"))
+
+
 @query("SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text")
 def j2_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.keep_first(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], ["doc_id"])
