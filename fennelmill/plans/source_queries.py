@@ -12,7 +12,7 @@ from fennelmill import schemas
 from fennelmill.functions import scalars as S
 from fennelmill.operators import articles, offers, relational, render, tasks, validate
 from fennelmill.plans.registry import query, table
-from fennelmill.sources import files, markup, named, remote
+from fennelmill.sources import files, markup, named, remote, tables
 
 
 def _answers(df: DataFrame, item: F.Column, items: str, schema: str) -> DataFrame:
@@ -123,6 +123,60 @@ def s14_xml_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_brand", "p_size", F.col("pos").cast("long").alias("pos"), "i.title", F.col("i.link").alias("url"))
 
 
+_LINKS_SQL = "SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1), '<li><a href=\"([^\"]*)\">[^<]*</a>', 1) AS u, regexp_extract_all(regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1), '<li><a href=\"[^\"]*\">([^<]*)</a>', 1) AS t FROM pages"
+
+
+@query(
+    f"WITH l AS ({_LINKS_SQL}) SELECT page_id, i - 1 AS pos, trim(t[i]) AS title, 'https://maker.example' || u[i] AS url, 'page' AS origin FROM l, (SELECT unnest(range(1, 6)) AS i) WHERE page_id % 7 > 1 AND i <= len(t)"
+    " UNION ALL SELECT page_id, i, 'away ' || i, 'https://maker.example/' || i, 'unreachable' FROM pages, (SELECT unnest(range(0, 3)) AS i) WHERE page_id % 7 = 0 UNION ALL SELECT page_id, i, 'none ' || i, 'https://maker.example/', 'nothing' FROM pages, (SELECT unnest(range(0, 2)) AS i) WHERE page_id % 7 = 1"
+)
+def s15_item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages by a lateral join: some could not be had, some hold no item, and fixed rows stand for these."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 7 == 1, F.regexp_replace("html", "(?s)<nav.*?</nav>", "")).when(F.col("page_id") % 7 > 1, F.col("html")).alias("html"))
+    fixed = {"unreachable": [(f"away {i}", f"https://maker.example/{i}") for i in range(3)], "nothing": [(f"none {i}", "https://maker.example/") for i in range(2)]}
+    rows = tables.maker_rows("https://maker.example/shop/list", **fixed, containers=(".goods_list_item", "nav li"), names=(".name", "a"))
+    return pages.lateralJoin(rows(F.col("html").outer())).select("page_id", F.col("pos").cast("long").alias("pos"), "title", "url", "origin")
+
+
+@query(f"WITH l AS ({_LINKS_SQL}) SELECT page_id, i - 1 AS pos, trim(t[i]) AS title, u[i] AS url FROM l, (SELECT unnest(range(1, 4)) AS i) WHERE i <= least(len(t), CASE WHEN page_id % 5 = 0 THEN 2 ELSE 3 END)")
+def s16_related_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three links of all pages by a lateral join; every fifth page breaks off after its second."""
+    cut = F.regexp_extract("html", "(?s)^(.*?<li>.*?<li>.*?</a>)", 1)
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 5 == 0, cut).otherwise(F.col("html")).alias("html"))
+    return pages.lateralJoin(tables.related_rows("nav li", "a")(F.col("html").outer())).select("page_id", F.col("pos").cast("long").alias("pos"), "title", "url")
+
+
+_FEED_SQL = """i AS (SELECT l_orderkey, l_linenumber, 'line ' || l_partkey AS title, CASE WHEN l_linenumber % 4 > 0 THEN CAST(l_suppkey AS VARCHAR) END AS extra FROM lineitem),
+x AS (SELECT *, '<item><title>' || title || '</title><link>https://x.example/' || l_linenumber || '</link>' || CASE WHEN extra IS NULL THEN '' ELSE '<pubDate>' || extra || '</pubDate><ht:approx_traffic>' || extra || '</ht:approx_traffic>' END || '</item>' AS text FROM i),
+p AS (SELECT *, row_number() OVER w - 1 AS pos, sum(len(text)) OVER w AS ends, sum(len(text)) OVER (PARTITION BY l_orderkey) AS size FROM x WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, title, extra)),
+f AS (SELECT * FROM p WHERE l_orderkey % 3 > 0 OR ends <= size // 2)"""
+
+
+def _order_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed for each order with its lines as items; every third one breaks off in the middle."""
+    tag = lambda n, c: F.concat(F.lit(f"<{n}>"), c, F.lit(f"</{n}>"))
+    title, extra = F.concat(F.lit("line "), "l_partkey"), F.when(F.col("l_linenumber") % 4 > 0, F.col("l_suppkey").cast("string"))
+    item = F.concat(F.lit("<item>"), tag("title", title), tag("link", F.concat(F.lit("https://x.example/"), "l_linenumber")), F.coalesce(F.concat(tag("pubDate", extra), tag("ht:approx_traffic", extra)), F.lit("")), F.lit("</item>"))
+    feeds = relational.collected(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.col("l_linenumber"), title, extra], item, "items")
+    head = "<rss xmlns:ht='https://trends.example/'><channel><title>all</title>"
+    items = F.array_join("items", "")
+    broken = F.concat(F.lit(head), F.expr("substring(array_join(items, ''), 1, cast(length(array_join(items, '')) div 2 as int))"))
+    return feeds.select("l_orderkey", F.when(F.col("l_orderkey") % 3 == 0, broken).otherwise(F.concat(F.lit(head), items, F.lit("</channel></rss>"))).alias("xml"))
+
+
+@query(f"WITH {_FEED_SQL} SELECT l_orderkey, pos, title AS query, coalesce(extra, 'unknown') AS traffic FROM f UNION ALL SELECT l_orderkey, 0, 'toys', '50,000+' FROM p GROUP BY l_orderkey HAVING NOT bool_or(l_orderkey % 3 > 0 OR ends <= size // 2)")
+def s13_trend_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trends of a feed for each order; those that break off before the end of an item give the fallback row."""
+    rows = tables.trend_rows(("toys", "50,000+"))
+    return _order_feeds(spark, sf_dir).lateralJoin(rows(F.col("xml").outer())).select("l_orderkey", F.col("pos").cast("long").alias("pos"), "query", "traffic")
+
+
+@query(f"WITH {_FEED_SQL} SELECT l_orderkey, pos, title, 'https://x.example/' || l_linenumber AS url, extra AS published FROM f WHERE pos < 10 AND pos < coalesce((SELECT min(g.pos) FROM f g WHERE g.l_orderkey = f.l_orderkey AND g.extra IS NULL), 1000)")
+def s14_news_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News of the same feeds: up to the place where a feed breaks off, or to an item without a date."""
+    return _order_feeds(spark, sf_dir).lateralJoin(tables.news_rows()(F.col("xml").outer())).select("l_orderkey", F.col("pos").cast("long").alias("pos"), "title", "url", "published")
+
+
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'none' END AS known, CASE p_brand WHEN 'Brand#2' THEN 'one' WHEN 'Brand#4' THEN 'two' END AS by_column FROM part")
 def p_map_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.create_map(F.when(F.col("p_size") % 2 == 0, "name").otherwise("other"), F.col("p_name"))

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Where a maker's page holds its items and their names; the first selector that finds any counts.
+CONTAINERS = (".goods_list_item", ".block-thumbnail-t", ".item")
+NAMES = (".name", ".goods-name", "h2")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -88,8 +91,11 @@ class _Builder(HTMLParser):
 def tree(html: str) -> Node:
     """A page's element tree; malformed markup gives what can be read."""
     b = _Builder()
-    b.feed(html)
-    b.close()
+    try:
+        b.feed(html)
+        b.close()
+    except Exception:  # markup that the parser gives up on: the elements before it are there
+        pass
     return b.root
 
 
@@ -128,7 +134,7 @@ def _by_batch(function, html: Column, *more: Column) -> Column:
     return run(html, *more)
 
 
-def maker_items(html: Column | str, base: str, containers: tuple[str, ...] = (".goods_list_item", ".block-thumbnail-t", ".item"), names: tuple[str, ...] = (".name", ".goods-name", "h2"), most: int = 5) -> Column:
+def maker_items(html: Column | str, base: str, containers: tuple[str, ...] = CONTAINERS, names: tuple[str, ...] = NAMES, most: int = 5) -> Column:
     """Items of a maker's page as an array; whole batches of pages go to Python, as no built-in reads HTML."""
     return _by_batch(lambda p: listed_items(p, base, containers, names, most), F.col(html) if isinstance(html, str) else html)
 
