@@ -91,6 +91,26 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
+def changes(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, change, before, after)``: what is ``inserted``, ``updated`` or ``removed`` between two states of a keyed table.
+
+    ``before`` and ``after`` are structs of the other columns, NULL where there is no row. NULL keys are equal, and so are NULL
+    values; a column that one state lacks is NULL there. Both states meet in one full outer join on the keys, and only keys whose values
+    differ go on. A key stands for one row: where a state repeats it, the greatest row counts.
+    """
+    values = [c for c in dict.fromkeys([*before.columns, *after.columns]) if c not in keys]
+    held = lambda df: F.struct(*((F.col(f"`{c}`") if c in df.columns else F.lit(None).cast((after if c in after.columns else before).schema[c].dataType)).alias(c) for c in values))
+
+    def state(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*(F.col(f"`{k}`").alias(f"{name}_{i}") for i, k in enumerate(keys))).agg(F.max(held(df)).alias(name))
+
+    same = [F.col(f"before_{i}").eqNullSafe(F.col(f"after_{i}")) for i in range(len(keys))]
+    both = state(before, "before").join(state(after, "after"), same, "full")
+    kind = F.when(F.col("before").isNull(), "inserted").when(F.col("after").isNull(), "removed").otherwise("updated")
+    found = both.where(~F.col("before").eqNullSafe(F.col("after")))
+    return found.select(*(F.coalesce(f"after_{i}", f"before_{i}").alias(k) for i, k in enumerate(keys)), kind.alias("change"), "before", "after")
+
+
 def tag_counts(df: DataFrame, tags: str) -> DataFrame:
     """How many rows carry each tag (an extension of tag listings)."""
     return df.select(F.explode(F.array_distinct(tags)).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))

@@ -289,6 +289,43 @@ def s4_state_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.join(ranks, "item_code")
 
 
+@query(
+    "SELECT 'a' || s_suppkey AS slug, 0::BIGINT AS pos, CASE WHEN s_suppkey % 4 > 1 THEN s_name END AS title, 'v' || s_suppkey AS embed FROM supplier WHERE s_suppkey % 4 > 0 UNION ALL SELECT 'a' || s_suppkey, 1, CASE WHEN s_suppkey % 4 > 1 THEN 'two' END, 'w' FROM supplier WHERE s_suppkey % 4 > 0"
+    " UNION ALL SELECT 'reject', count(*), NULL, NULL FROM supplier WHERE s_suppkey % 8 = 4"
+)
+def s2_drifting_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An article for each supplier, of one of four shapes or cut off, brought to one shape by way of VARIANT; rejects are counted."""
+    where = files.scratch(spark, "articles")
+    k = F.col("s_suppkey") % 4
+    first = F.concat(F.lit("v"), "s_suppkey")
+    two = lambda field: F.array(F.struct(F.col("s_name").alias("title"), first.alias(field)), F.struct(F.lit("two").alias("title"), F.lit("w").alias(field)))
+    doc = F.to_json(F.struct(F.concat(F.lit("a"), "s_suppkey").alias("slug"), F.when(k == 1, F.array(first, F.lit("w"))).alias("youtube_embeds"), F.when(k == 2, two("embed")).alias("videos")))
+    other = F.to_json(F.struct(F.concat(F.lit("a"), "s_suppkey").alias("slug"), F.when(k == 3, two("embed_html")).alias("youtube_embeds")))
+    content = F.when(F.col("s_suppkey") % 8 == 4, F.lit('{"slug": "cut')).when(k == 3, other).otherwise(doc)
+    named.write_named(table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), "s_suppkey").alias("name"), content.alias("content")), where, ".json")
+    found = files.scan_drifting(spark, where, schemas.ARTICLE, schemas.DRIFTING)
+    videos = found.rows.select("slug", F.posexplode("videos").alias("pos", "v")).select("slug", F.col("pos").cast("long").alias("pos"), "v.title", "v.embed")
+    rejects = found.rejects.agg(F.count("*").alias("pos")).select(F.lit("reject").alias("slug"), "pos", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("embed"))
+    return videos.unionByName(rejects)
+
+
+@query(
+    "WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE ts < TIMESTAMP '2024-01-16'),"
+    " a AS (SELECT user_id, event_type, value FROM e WHERE n = 1 AND event_type <> 'error'), b AS (SELECT user_id, event_type, value FROM o WHERE n = 1 AND event_type <> 'error')"
+    " SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'inserted' WHEN a.user_id IS NULL THEN 'removed' ELSE 'updated' END AS change, b.event_type AS old_type, a.event_type AS new_type, b.value AS old_value, a.value AS new_value"
+    " FROM a FULL JOIN b ON a.user_id = b.user_id WHERE b.user_id IS NULL OR a.user_id IS NULL OR a.event_type IS DISTINCT FROM b.event_type OR a.value IS DISTINCT FROM b.value"
+)
+def d4_changed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the second half of the events changed in the last event of each user, users whose last is an error being gone."""
+    events = table(spark, sf_dir, "events").where("user_id is not null")
+    kept = files.Snapshots(spark, files.scratch(spark, "users"), "user_id BIGINT, event_type STRING, value DOUBLE")
+    last = lambda df: df.groupBy("user_id").agg(F.max_by(F.struct("event_type", "value"), F.struct("ts", "event_id")).alias("x")).select("user_id", "x.*").where("event_type <> 'error'")
+    kept.write(last(events.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"))), "r1", datetime(2024, 1, 16))
+    kept.write(last(events), "r2", datetime(2024, 2, 1))
+    found = kept.changed("r2", ["user_id"])
+    return found.select("user_id", "change", F.col("before.event_type").alias("old_type"), F.col("after.event_type").alias("new_type"), F.col("before.value").alias("old_value"), F.col("after.value").alias("new_value"))
+
+
 @query("SELECT r_regionkey AS k, 'none' AS title FROM region")
 def s4_missing_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     default = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), F.lit("none").alias("title"))

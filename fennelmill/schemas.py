@@ -58,3 +58,5 @@ ARTICLE = (
     f" videos ARRAY<STRUCT<title STRING, embed STRING>>, books ARRAY<STRUCT<title STRING, url STRING, image STRING, description STRING>>, news ARRAY<STRUCT<{LINK_ITEM}>>,"
     f" maker_items ARRAY<STRUCT<{LINK_ITEM}>>, links ARRAY<STRUCT<{LINK_ITEM}>>, comment STRING, tags ARRAY<STRING>"
 )
+#: Under which names articles hold their videos, and videos their fields: documents of different ages differ.
+DRIFTING = {"videos": (("videos", "youtube_embeds"), {"title": ("title",), "embed": ("embed", "embed_html")})}

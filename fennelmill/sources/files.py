@@ -88,6 +88,52 @@ def scan_json(spark: SparkSession, folder: str, schema: str | T.StructType) -> S
     return Scan(parsed.where(~broken).select("stem", *(F.col(f"doc.`{f.name}`").alias(f.name) for f in schema.fields)), parsed.where(broken).select("stem", "content"))
 
 
+def scan_drifting(spark: SparkSession, folder: str, schema: str | T.StructType, drifting: dict[str, tuple[tuple[str, ...], dict[str, tuple[str, ...]]]]) -> Scan:
+    """Every ``*.json`` of a folder as one row of ``schema``, whichever shape its drifting arrays have; unreadable files go to the rejects.
+
+    ``drifting`` says of an array of structs under which names it may stand (the first that is an array counts) and under which
+    names its elements may hold each field. An element that is no object but a text is a struct of its last
+    field. Documents are read as VARIANT and parsed once; ``shapes`` of :func:`shapes_of` shows what there is.
+    """
+    schema = struct(schema)
+    texts = _variants(spark, folder)
+    readable = F.col("doc").isNotNull() & F.schema_of_variant("doc").startswith("OBJECT")
+
+    def array(name: str) -> Column:
+        places, fields = drifting[name]
+        held = F.coalesce(*(F.try_variant_get("doc", f"$.{p}", "array<variant>") for p in places))
+        kinds = schema[name].dataType.elementType
+
+        def element(v: Column) -> Column:
+            text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+            field = lambda f: F.coalesce(*(F.try_variant_get(v, f"$.{n}", f.dataType.simpleString()) for n in fields[f.name]), *([text] if f.name == kinds.fieldNames()[-1] else []))
+            return F.struct(*(field(f).alias(f.name) for f in kinds))
+
+        return F.coalesce(F.transform(held, element), F.array().cast(schema[name].dataType))
+
+    columns = [array(f.name).alias(f.name) if f.name in drifting else F.try_variant_get("doc", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in schema]
+    return Scan(texts.where(readable).select("stem", *columns), texts.where(~readable | F.col("doc").isNull()).select("stem", "content"))
+
+
+def _variants(spark: SparkSession, folder: str) -> DataFrame:
+    """``(stem, content, doc)`` of a folder's JSON files; what can't be parsed is NULL, and no folder gives no rows."""
+    if not exists(spark, folder):
+        return empty(spark, "stem STRING, content STRING").withColumn("doc", F.try_parse_json("content"))
+    texts = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(stem(F.col("_metadata.file_name")).alias("stem"), F.col("value").alias("content"))
+    return texts.withColumn("doc", F.try_parse_json("content"))
+
+
+def shapes_of(spark: SparkSession, folder: str, path: str = "$") -> DataFrame:
+    """``(shape, documents)``: the types that a place of a folder's documents has, and how many have each; NULL where it is missing."""
+    at = F.try_variant_get("doc", path, "variant")
+    return _variants(spark, folder).where("doc is not null").groupBy(F.schema_of_variant(at).alias("shape")).agg(F.count("*").alias("documents"))
+
+
+def common_shape(spark: SparkSession, folder: str) -> str:
+    """The type that holds all documents of a folder, as one pass over them merges it."""
+    return _variants(spark, folder).agg(F.schema_of_variant_agg("doc")).first()[0]
+
+
 def read_json_or(spark: SparkSession, path: str, schema: str | T.StructType, default: DataFrame | None = None) -> DataFrame:
     """A JSON document by schema, or the default (no rows) where there is none or it can't be read."""
     schema = struct(schema)
@@ -172,6 +218,15 @@ class Snapshots:
         run = self.current()
         return empty(self.spark, self.schema) if run is None else self.spark.read.schema(self.schema).parquet(f"{self.root}/run_id={run}")
 
+    def changed(self, run: str, keys: list[str]) -> DataFrame:
+        """What a run changed, compared with the run before it (see :func:`relational.changes`); all of it is new in the first run."""
+        from fennelmill.operators.relational import changes
+
+        runs = [r.run for r in self.spark.read.schema("run STRING, at STRING").json(f"{self.root}/_current").groupBy("run").agg(F.max("at").alias("at")).orderBy("at").collect()]
+        of = lambda r: self.spark.read.schema(self.schema).parquet(f"{self.root}/run_id={r}")
+        at = runs.index(run)
+        return changes(of(runs[at - 1]) if at else empty(self.spark, self.schema), of(run), keys)
+
     def write(self, df: DataFrame, run: str, at: datetime) -> None:
         df.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.root}/run_id={run}")
         moved = self.spark.createDataFrame([(run, at.isoformat())], "run STRING, at STRING")
