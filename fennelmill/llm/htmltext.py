@@ -27,19 +27,33 @@ STOP_WORDS = frozenset(
     de la le les et des en un une du que est pour qui dans par sur pas plus au ne se ce il sont avec son aux ou mais comme nous sa leur
     el los las y del una con por para su al lo como más pero sus o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo""".split()
 )
+#: Frequent letters of running Chinese and Japanese text, and the scripts that have no spaces.
+STOP_LETTERS = frozenset("的了是在不有和人这我他们就也说对为与以于而及其之一上中个到要会可你着没那被から、。はがのをにでともしたてるいれなまですっ")
+_UNSPACED = re.compile("[\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
 #: Elements that make blocks, elements whose content is no text, and regions without main text.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody tfoot thead title tr ul".split()
 )
-RAW_TAGS = frozenset("script style noscript template svg math iframe object textarea title canvas audio video map".split())
+RAW_TAGS = frozenset("script style noscript template svg iframe object textarea title canvas audio video map".split())
 REGION_TAGS = frozenset("nav footer aside form button select menu dialog head fieldset".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in a class, id or role that name a region without main text.
+#: Words that name a region without main text, and words that such names hold besides.
+_FOREIGN = frozenset(
+    """ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar pagination pager
+    cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall comment comments commentlist respond replies reply disqus related recommended recommendations trending popular
+    share sharing social widget widgets tags toc search skip copyright complementary contentinfo""".split()
+)
+_BESIDE = frozenset(
+    """list box bar block container wrapper wrap area item items link links button buttons btn inner outer group panel row column col grid card cards top bottom left right header title heading body form field
+    post posts page site global icon icons count mobile desktop inline sticky fixed floating small large big main primary secondary horizontal vertical slot unit text thread message messages footer js is has tag media dialog no with without in user reader content google native this label section""".split()
+)
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+#: The same where no article is marked, where names often say it in part.
 _REGION = re.compile(
     r"(?:^|[\s_-])(?<!\bhas-)(?<!\bno-)(?<!\bwith-)(?<!\bwithout-)(?:ads?|advert(?:s|isement|ising|orial)?|sponsor(?:ed|s)?|promo(?:tion|ted)?|banner|sidebar|side-bar|menu|nav(?:bar|igation)?|breadcrumbs?|footer|foot|masthead|topbar|toolbar|pagination|pager"
-    r"|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|comments?|commentlist|respond|replies|reply|disqus|discussion|related|recommended|recommendations|trending|popular"
-    r"|share|sharing|social|widgets?|tags|toc|search|skip|copyright|legal|complementary|contentinfo)(?:$|[\s_-])",
+    r"|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|comments?|commentlist|respond|replies|reply|disqus|related|recommended|recommendations|trending|popular"
+    r"|share|sharing|social|widgets?|tags|toc|search|skip|copyright|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
 #: The same outside articles only, and for article elements themselves, whose classes often name topics.
@@ -53,6 +67,19 @@ _EDGES = re.compile(r"^\W+|\W+$")
 _RIGHTS = re.compile(r"(?:©|\(c\)\s)", re.I)
 
 
+def _foreign(names: str) -> bool:
+    """Whether one of the names in a class, id or role says of all of an element that it is no main text.
+
+    Every part of the name has to say so, or say nothing: ``related-links`` is such a name, ``related-work`` is none.
+    """
+    for name in names.split():
+        parts = [p for p in _PARTS.split(name) if p and not p.isdigit()]
+        lower = [p.lower() for p in parts]
+        if lower and lower[0] not in ("has", "no", "with", "without") and any(p in _FOREIGN for p in lower) and all(p in _FOREIGN or p in _BESIDE for p in lower):
+            return True
+    return False
+
+
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _STOPS_TAG = re.compile(r"[>\"']")
 #: Inline end tags do not reach beyond these.
@@ -239,7 +266,8 @@ class Reader:
         bars = name in REGION_TAGS or (name == "header" and not inside)
         names = " ".join(next(filter(None, x.groups()), "") for x in _NAMED.finditer(attributes)) if attributes else ""
         if attributes and not bars and name not in ("html", "body", "main"):
-            bars = bool(_HIDDEN.search(attributes) or names and (_OTHER_ARTICLE if name == "article" else _REGION).search(names) or names and not inside and name in ("div", "section") and _PAGE_HEAD.search(names))
+            named = name not in HEADINGS and names and (_OTHER_ARTICLE.search(names) if name == "article" else _foreign(names) if inside or name == "body" else _REGION.search(names))
+            bars = bool(_HIDDEN.search(attributes) or named or names and not inside and name in ("div", "section") and _PAGE_HEAD.search(names))
         article = None
         if not self.barred and not bars:
             if name in ("article", "main"):
@@ -267,7 +295,8 @@ class Reader:
 def blocks_of(html: str) -> list[Block]:
     """The page's blocks in order, without those of barred regions.
 
-    A page that marks articles by element gives only the blocks inside them; else one that marks them by name.
+    A page that marks articles by element gives only the blocks inside them; else one that marks them by name, if most of
+    its text that is no link stands there.
     """
     reader = Reader()
     for text, slash, name, attributes in Scanner(html).pieces():
@@ -278,66 +307,92 @@ def blocks_of(html: str) -> list[Block]:
         elif name:
             reader.begin(name, attributes)
     reader.flush()
-    inside = [b for b in reader.blocks if b.article in reader.by_element] or [b for b in reader.blocks if b.article]
-    return inside or reader.blocks
+    if inside := [b for b in reader.blocks if b.article in reader.by_element]:
+        return inside
+    named = [b for b in reader.blocks if b.article]
+    if 2 * sum(len(b.text) for b in named) > sum(len(b.text) - b.linked for b in reader.blocks):
+        return named
+    for b in reader.blocks:  # a name that most of the page's text stands beside says nothing
+        b.article = 0
+    return reader.blocks
 
 
 def first_pass(block: Block, rules: BlockRules = BlockRules()) -> str:
     """``good``, ``bad``, ``near`` or ``short``, by the block alone; the two latter stay open.
 
-    A block is bad if links hold too much of it (headings link as a whole, and stay open) or it opens with a copyright
-    sign, good if it is long and dense in stop words. Between the densities it is near; a block that is short or sparse in stop words says nothing by itself.
+    A block is bad if links hold too much of it (headings link as a whole, and stay open) or if it is a rights line, short and opened by a copyright
+    sign; good if it is long and dense in stop words. Between the densities it is near; a block that is short or sparse in stop words says nothing by
+    itself. Scripts without spaces have letters in place of words, and need fewer of them.
     """
     n = len(block.text)
-    if block.linked > rules.links * n and not block.heading or _RIGHTS.match(block.text):
+    if block.linked > rules.links * n and not block.heading or n < rules.long and _RIGHTS.match(block.text):
         return "bad"
+    unspaced = len(_UNSPACED.findall(block.text))
+    if 2 * unspaced > n:  # a letter of these scripts says about as much as three of others
+        stops, words, n = sum(c in STOP_LETTERS for c in block.text), unspaced, 3 * n
+    else:
+        words = block.text.lower().split()
+        stops, words = sum(_EDGES.sub("", w) in STOP_WORDS for w in words), len(words)
     if n < rules.short:
         return "short"
-    words = block.text.lower().split()
-    stops = sum(_EDGES.sub("", w) in STOP_WORDS for w in words)
-    if stops >= rules.stops_high * len(words):
+    if stops >= rules.stops_high * words:
         return "good" if n > rules.long else "near"
-    return "near" if stops >= rules.stops_low * len(words) else "short"
+    return "near" if stops >= rules.stops_low * words else "short"
 
 
-def second_pass(blocks: list[Block]) -> None:
+def second_pass(blocks: list[Block], rules: BlockRules = BlockRules()) -> None:
     """Open blocks inherit the label of their nearest decided neighbours: first those that are near, then the short ones.
 
-    The surroundings of a block are its article, whose ends are good, or the page, whose ends are bad. A ``near`` block
-    needs one good neighbour. A ``short`` one, for which near blocks now count as decided, takes the label of the closer
-    neighbour and is good if two equally close ones differ; a heading takes the label of what follows; within an article
-    one good neighbour is enough. Where a page without any article has no good block at all, its near blocks are good.
+    Neighbours are sought in the block's section, from one heading to the next, and in its surroundings: its article,
+    whose ends are good, or the page, whose ends are bad. A ``near`` block needs one good neighbour. A ``short`` one, for
+    which near blocks now count as decided, takes the label of the closer neighbour and is good if two equally close ones differ,
+    where a bad neighbour that is short itself, as menus and rights lines are, counts as two blocks further away; within an
+    article one good neighbour is enough. A heading takes the label of what follows. A block whose section has no decided one takes
+    the label of the next that follows, or else of the last before. Where a page without any article has no good block at
+    all, its near blocks below the first heading are good, or else all near ones; without these, the short ones between a heading and the next bad block.
     """
     if not any(b.label == "good" or b.article for b in blocks):
-        for b in blocks:
-            b.label = "good" if b.label == "near" else b.label
+        first = next((i for i, b in enumerate(blocks) if b.heading), 0)
+        near = [b for b in blocks[first:] if b.label == "near"] or [b for b in blocks if b.label == "near"]
+        for b in near:
+            b.label = "good"
+        if not near:
+            under = False
+            for b in blocks:
+                under = b.label != "bad" and (under or b.heading)
+                b.label = "good" if under and not b.heading else b.label
     for turn in ("near", "short"):
-        above, below = _decided(blocks, 1), _decided(blocks, -1)
+        above, below, before, after = (_decided(blocks, step, rules, whole) for whole in (False, True) for step in (1, -1))
         labels = {}
         for i, b in enumerate(blocks):
             if b.label == turn:
                 (x, far_x), (y, far_y) = above[i], below[i]
-                some = "good" in (x, y)
-                if turn == "near" or (b.article and some):
-                    labels[i] = some
+                if b.heading or not (x or y):
+                    labels[i] = (y or after[i][0] or before[i][0]) == "good"
+                elif turn == "near" or b.article or not (x and y):
+                    labels[i] = "good" in (x, y)
                 else:
-                    labels[i] = y == "good" if b.heading else some and (x == y or (x == "good") == (far_x <= far_y) or far_x == far_y)
+                    labels[i] = x == "good" if x == y else (x == "good") == (far_x < far_y) or far_x == far_y
         for i, good in labels.items():
             blocks[i].label = "good" if good else "bad"
 
 
-def _decided(blocks: list[Block], step: int) -> list[tuple[str, int]]:
-    """For each block the nearest decided label on one side within its surroundings, and how many blocks away it is."""
+def _decided(blocks: list[Block], step: int, rules: BlockRules, whole: bool) -> list[tuple[str, int]]:
+    """For each block the nearest decided label on one side, within its surroundings and section, or the ``whole`` surroundings, and how far it is."""
     out: list[tuple[str, int]] = [("", 0)] * len(blocks)
     seen: dict[int, tuple[str, int]] = {}
     passed: dict[int, int] = {}
     for i in range(len(blocks))[::step]:
         b = blocks[i]
         at = passed[b.article] = passed.get(b.article, 0) + 1
+        if b.heading and step > 0 and not whole:
+            seen[b.article] = "", at
         label, place = seen.get(b.article, ("good" if b.article else "bad", 0))
         out[i] = label, at - place
         if b.label in ("good", "bad"):
-            seen[b.article] = b.label, at
+            seen[b.article] = b.label, at - 2 * (b.label == "bad" and len(b.text) < rules.long // 2)
+        elif b.heading and step < 0 and not whole:
+            seen[b.article] = "", at
     return out
 
 
@@ -346,7 +401,7 @@ def main_text(html: str, rules: BlockRules = BlockRules()) -> str:
     blocks = blocks_of(html)
     for b in blocks:
         b.label = first_pass(b, rules)
-    second_pass(blocks)
+    second_pass(blocks, rules)
     return "\n".join(b.text for b in blocks if b.label == "good")
 
 
@@ -359,7 +414,7 @@ def extract(df: DataFrame, rules: BlockRules = BlockRules(), html_column: str =
     it goes; very long pages are read whole; other columns are kept as they are, but those named ``text`` or
     ``n_chars`` are replaced; repeated rows give repeated results; an empty table gives no rows.
     """
-    kept = [c for c in df.columns if c not in (html_column, "text", "n_chars")]
+    kept = [c for c in df.columns if c != html_column and c.lower() not in ("text", "n_chars")]
     source = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(f"`{html_column}`").cast("string").alias("html"))
     small_batches(df.sparkSession)
     schema = ", ".join(f"c{i} {source.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(kept)))
