@@ -19,8 +19,19 @@ SEPARATORS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input folder, by whatever file system Spark resolves the folder with."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the input folder, by whatever file system Spark resolves the folder with, in pieces enough for the cluster."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a table read from files, dealt anew if its pieces keep less than a quarter of the cluster's cores at work.
+
+    A table that lies in one file with one row group is read by one task, whatever its size; large tables come in many pieces
+    and are left as they are. The pieces are counted without reading any column.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pieces = df.select(F.spark_partition_id().alias("piece")).distinct().count()
+    return df.repartition(cores) if 4 * pieces <= cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -31,11 +31,13 @@ _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})?+"
 _IP = rf"^(?:{_PART}\.){{3}}{_PART}$"
 #: An at sign written in brackets, with or without spaces around.
 _AT = r"\x20?+[(\[{<]\x20?+(?i:at)\x20?+[)\]}>]\x20?+"
-#: Identifier-like tokens: a telephone number, grouped digits, words joined by an at sign in brackets, or a word with a
-#: digit or an at sign.
-_TOKEN = rf"\+[0-9][ ().0-9-]+[0-9]|(?<!\S)(?:[0-9](?:(?![ -](?![0-9]))[0-9 -])++(?!\S)|[(\[{{<]*+[^\s@(\[{{<]++{_AT}[^\s@]\S*+|[^\s0-9@]*+[0-9@]\S*+)"
+#: An address in words: three or more words of which the second is 'at' and the fourth, and any other even one, 'dot'.
+_SPOKEN = r"[A-Za-z0-9_-]++(?i:\x20at\x20)[A-Za-z0-9_-]++(?:(?i:\x20dot\x20)[A-Za-z0-9_-]++)++"
+#: Identifier-like tokens: a telephone number, grouped digits, an address in words, words joined by an at sign in
+#: brackets, or a word with a digit or an at sign.
+_TOKEN = rf"\+[0-9][ ().0-9-]+[0-9]|(?<!\S)(?:[0-9](?:(?![ -](?![0-9]))[0-9 -])++(?!\S)|{_SPOKEN}|[(\[{{<]*+[^\s@(\[{{<]++{_AT}[^\s@]\S*+|[^\s0-9@]*+[0-9@]\S*+)"
 #: What makes a token an address behind an e-mail pattern, without any digit: an at sign between other characters.
-_ADDRESS = rf"[^\s@]@[^\s@]|[^\s@]{_AT}[^\s@]"
+_ADDRESS = rf"[^\s@]@[^\s@]|[^\s@]{_AT}[^\s@]|{_SPOKEN}"
 #: Letters and digits, and digits among them, that a new identifier of each kind has at least; addresses need neither.
 LEAST = {"email": (6, 3), "ip": (6, 3), "card": (6, 3), "phone": (6, 3)}
 
@@ -130,10 +132,10 @@ def find_personal_data(df: DataFrame, confidence: float = 0.8, support: int = 4,
     are accepted by :func:`bootstrap`; a token that overlaps a base span of its document is not found anew. Spans are in
     code points, the end exclusive.
 
-    Bounds: a token is a telephone number, grouped digits, a word with a digit or an at sign, or two words around an at
-    sign in brackets. Behind an e-mail pattern a token with an at sign of either form between other characters is found
-    whatever else it holds; any other token needs ``least[kind]``: so many letters and digits, so many digits among them.
-    An address without any at sign or digit ('jane at example dot com') is no candidate: nothing tells it from prose.
+    Bounds: a token is a telephone number, grouped digits, a word with a digit or an at sign, two words around an at
+    sign in brackets, or an address in words ('jane at example dot com'). Behind an e-mail pattern a token with an at sign of
+    any of these forms between other characters is found whatever else it holds; any other token needs ``least[kind]``: so many letters
+    and digits, so many digits among them.
 
     Edge cases: a NULL or empty text has no spans; rows that repeat an id keep their own spans, as rows are told apart by
     id and text; a NULL id stays NULL; other columns are not read, whatever their names; an empty table gives no rows; a
@@ -174,7 +176,7 @@ def base_digests(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 def digests(spans: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The digest columns of a :func:`find_personal_data` result, row by row: NULL and repeated ids stay, an empty table gives no rows."""
-    return spans.select(id_column, *_base_columns(), written(F.concat("base", "found")).alias("spans"), F.size("found").cast("long").alias("n_found"))
+    return spans.select(id_column, *_base_columns(), written(F.concat("base", "found")).alias("spans"), F.size("found").cast("long").alias("n_found"), (F.size("base") + F.size("found")).cast("long").alias("n_spans"))
 
 
 def redact(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
