@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fennelmill.llm import bpe, mixing, pii, quality, sketch_dedup
-from fennelmill.llm.common import discard, in_file_order, materialise, scratch_of
+from fennelmill.llm.common import discard, in_file_order, materialise, scratch_of, table
 from fennelmill.llm.queries import tokenizer_path
 
 #: No SQL can express the stages that score context, sketch sets or encode pairs; tests hold them against brute force.
@@ -60,7 +60,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the ``documents`` of a folder. What a stage wrote for itself goes as soon as its result is written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         with scratch_of() as kept:
             out = materialise(stage(spark, docs, sf_dir), f"stage{i}")
