@@ -8,7 +8,8 @@ Two deterministic transducers, both with token counts on their transitions:
 * :class:`Counter` reads the bytes of one pre-token. A state stands for all prefixes with the same future: the longest
   suffix that begins some vocabulary entry, with the last token and the relative token count at each position inside
   it. A transition carries the change of the token count. States are made when first reached and kept in a table of
-  bounded size; pre-tokens of a slice run through the table in step with each other.
+  bounded size; chunks of all pre-tokens of a slice run through the table in step with each other. A chunk's map, from the
+  states met to the state at its end and a count, is composed with those before it.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from fennelmill.llm.common import slices, small_batches
 _NEVER = 1 << 30
 #: States that a worker keeps; when there are more, those not in use are forgotten and made again when reached.
 MOST_STATES = 400_000
-#: Bytes of a pre-token beyond which its states are not kept.
-LONGEST = 1_024
+#: Bytes of a chunk of a pre-token.
+CHUNK = 256
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: In a state's key: the token that stands for the beginning of the pre-token, and the relative count 0.
 _BEGIN, _EVEN = 1 << 20, 512
@@ -162,24 +163,23 @@ class Counter:
             off = off[(held != keys[off]) & (held >= 0)]
         return at
 
-    def _put(self, key: int, to: int, gain: int) -> None:
-        if 3 * self.made > 1 << self.bits:
+    def _put(self, keys: np.ndarray, to: np.ndarray, gain: np.ndarray) -> None:
+        """Add transitions that the table lacks."""
+        if 3 * (self.made + len(keys)) > 1 << self.bits:
             full = self.keys >= 0
-            keys, nexts, gains = self.keys[full], self.next[full], self.gain[full]
-            self._table(self.bits + 2)
-            for k, n, g in zip(keys.tolist(), nexts.tolist(), gains.tolist()):
-                at = self._slot(k)
-                self.keys[at], self.next[at], self.gain[at] = k, n, g
-        at = self._slot(key)
-        self.keys[at], self.next[at], self.gain[at] = key, to, gain
-        self.made += 1
-
-    def _slot(self, key: int) -> int:
-        keys, mask = self.keys, (1 << self.bits) - 1
-        at = (key * int(_SPREAD) & (1 << 64) - 1) >> 64 - self.bits
-        while keys[at] >= 0 and keys[at] != key:
-            at = (at + 1) & mask
-        return at
+            keys, to, gain = (np.concatenate([x[full], new]) for x, new in ((self.keys, keys), (self.next, to), (self.gain, gain)))
+            self.made = 0
+            while 3 * len(keys) > 1 << self.bits:
+                self.bits += 2
+            self._table(self.bits)
+        self.made += len(keys)
+        while len(keys):  # of keys that want the same free slot one gets it, and the others go on
+            at = self._slots(keys)
+            at, first = np.unique(at, return_index=True)
+            self.keys[at], self.next[at], self.gain[at] = keys[first], to[first], gain[first]
+            left = np.ones(len(keys), np.bool_)
+            left[first] = False
+            keys, to, gain = keys[left], to[left], gain[left]
 
     def _state(self, key: bytes) -> int:
         i = self.states.get(key)
@@ -188,8 +188,8 @@ class Counter:
             self.what.append(key)
         return i
 
-    def _go(self, state: int, byte: int) -> None:
-        """Make the transition of a state on a byte.
+    def _go(self, state: int, byte: int) -> tuple[int, int]:
+        """The transition of a state on a byte: the next state and the gain.
 
         A state's key is the automaton's node and, for each position from here back to where the node's string begins,
         the last token with the token count relative to here. ``_BEGIN`` stands for the beginning of the pre-token.
@@ -208,67 +208,88 @@ class Counter:
             if not s:
                 raise ValueError(f"no vocabulary entry ends here: state {state}, byte {byte}")
         gain = (before & 1023) - _EVEN + 1
-        key = array("i", [node, t << 10 | _EVEN, *(x - gain for x in tail[: depth[node]])])
-        self._put(state << 8 | byte, self._state(key.tobytes()), gain)
-
-    def count_alone(self, text: bytes) -> int:
-        """The token count of one pre-token, by the machine's transitions without a table of its states."""
-        token, depth, back, child, fits = self.token, self.depth, self.back, self.child, self.fits
-        last, counts = [-1], [0]  # at each place the token that ends there, and how many there are up to it
-        node = 0
-        for i, byte in enumerate(text, 1):
-            while node and byte not in child[node]:
-                node = back[node]
-            node = s = child[node].get(byte, 0)
-            while True:
-                if (t := token[s]) >= 0:
-                    before = i - depth[s]
-                    b = last[before]
-                    if b < 0:
-                        break
-                    fit = fits.get(b << 20 | t)
-                    if self._pair_fits(b, t) if fit is None else fit:
-                        break
-                s = back[s]
-                if not s:
-                    raise ValueError(f"no vocabulary entry ends at {i}")
-            last.append(t)
-            counts.append(counts[before] + 1)
-        return counts[-1]
+        key = array("i", [node, t << 10 | _EVEN, *[x - gain for x in tail[: depth[node]]]])
+        return self._state(key.tobytes()), gain
 
     def count(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Token counts of the pre-tokens ``data[start : start + size]``; all but very long ones run in step, the longest first."""
-        if len(long := np.flatnonzero(sizes > LONGEST)):
-            out = np.empty(len(sizes), np.int64)
-            out[long] = [self.count_alone(data[starts[i] : starts[i] + sizes[i]].tobytes()) for i in long.tolist()]
-            rest = np.flatnonzero(sizes <= LONGEST)
-            out[rest] = self.count(data, starts[rest], sizes[rest])
+        """Token counts of the pre-tokens ``data[start : start + size]``.
+
+        Pre-tokens are cut into chunks, which run side by side. A chunk's map says in which state it ends and how many
+        tokens it adds for a state in which it begins; it is made for the states that are met. Every chunk is first run
+        from the state of a beginning; then the maps are composed along each pre-token, and where a chunk turns out to
+        begin in a state that its map lacks, these are run, side by side again, until the composition is whole. The machine
+        forgets where it began within some bytes, so that mostly is the second time. Chunks of equal bytes share a map.
+        """
+        chunks = -(-sizes // CHUNK)
+        owner = np.repeat(np.arange(len(sizes)), chunks)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        begin = starts[owner] + nth * CHUNK
+        size = np.minimum(CHUNK, sizes[owner] - nth * CHUNK)
+        pieces = np.flatnonzero(np.repeat(chunks > 1, chunks))
+        alone = np.flatnonzero(np.repeat(chunks == 1, chunks))
+        out = np.zeros(len(sizes), np.int64)
+        out[owner[alone]] = self._run(data, begin[alone], size[alone], np.zeros(len(alone), np.int64), {})[1]
+        if not len(pieces):
             return out
+        numbers: dict[bytes, int] = {}
+        kind = [numbers.setdefault(data[b : b + n].tobytes(), len(numbers)) for b, n in zip(begin[pieces].tolist(), size[pieces].tolist())]
+        _, first = np.unique(kind, return_index=True)
+        at, length = begin[pieces][first], size[pieces][first]
+        begins_word, words = (nth[pieces] == 0).tolist(), owner[pieces].tolist()
+        maps: dict[tuple[int, int], tuple[int, int]] = {}
+        wanted = [(k, 0) for k in range(len(numbers))]
+        while wanted:
+            which = np.array([k for k, _ in wanted], np.int64)
+            entry = np.array([q for _, q in wanted], np.int64)
+            exits, gains, entry = self._run(data, at[which], length[which], entry, maps)
+            maps.update(zip(zip(which.tolist(), entry.tolist()), zip(exits.tolist(), gains.tolist())))
+            missing: dict[tuple[int, int], None] = {}
+            total = np.zeros(len(sizes), np.int64)
+            state = 0
+            for k, new, word in zip(kind, begins_word, words):
+                state = 0 if new else state
+                if (k, state) not in maps:
+                    missing[k, state] = None
+                state, gain = maps.get((k, state)) or maps[k, 0]
+                total[word] += gain
+            wanted = list(missing)
+        return out + total
+
+    def _run(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, entry: np.ndarray, maps: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Last states, token counts and first states (numbers may change) of chunks, run in step, the longest first; states in ``maps`` stay known."""
         order = np.argsort(-sizes, kind="stable")
-        starts, less = starts[order], -sizes[order]
-        state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        starts, less, entry = starts[order], -sizes[order], entry[order]
+        state, total = entry.copy(), np.zeros(len(order), np.int64)
         for step in range(int(-less[0]) if len(order) else 0):
             live = int(np.searchsorted(less, -step, "left"))
             keys = state[:live] << 8 | data[starts[:live] + step]
             at = self._slots(keys)
             if (miss := np.flatnonzero(self.keys[at] < 0)).size:
-                for k in np.unique(keys[miss]).tolist():
-                    self._go(k >> 8, k & 255)
+                new = np.unique(keys[miss])
+                made = np.array([self._go(k >> 8, k & 255) for k in new.tolist()], np.int64)
+                self._put(new, made[:, 0].astype(np.int32), made[:, 1].astype(np.int8))
                 at = self._slots(keys)
             total[:live] += self.gain[at]
             state[:live] = self.next[at]
-            if len(self.what) > MOST_STATES:
-                state[:live] = self._start_over(state[:live])
-        out = np.empty(len(order), np.int64)
-        out[order] = total
-        return out
+            if len(self.what) > MOST_STATES + 2 * (len(maps) + len(order)):
+                state, entry = self._start_over(state, entry, maps)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return state[back], total[back], entry[back]
 
-    def _start_over(self, state: np.ndarray) -> np.ndarray:
+    def _start_over(self, state: np.ndarray, entry: np.ndarray, maps: dict) -> tuple[np.ndarray, np.ndarray]:
         """Empty the table but for the states in use, renumbered."""
-        used, where = np.unique(state, return_inverse=True)
+        held = list(maps.items())
+        flat = np.array([q for (_, q), (to, _) in held] + [to for _, (to, _) in held], np.int64)
+        used = np.unique(np.concatenate([np.zeros(1, np.int64), state, entry, flat]))
         keys = [self.what[i] for i in used.tolist()]
         self.clear()
-        return np.array([self._state(k) for k in keys], np.int64)[where]
+        new = np.array([self._state(k) for k in keys], np.int64)
+        numbered = lambda x: new[np.searchsorted(used, x)]
+        flat = numbered(flat).tolist()
+        maps.clear()
+        maps.update({(k, q): (to, gain) for ((k, _), (_, gain)), q, to in zip(held, flat[: len(held)], flat[len(held) :])})
+        return numbered(state), numbered(entry)
 
 
 #: Classes of characters. An apostrophe's class says how many letters of a contraction follow it, white space's whether

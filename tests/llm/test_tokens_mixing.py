@@ -61,9 +61,12 @@ def test_counts_when_states_are_forgotten(library, monkeypatch):
     assert transducer.Tokens(PATH)(values).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in values]
 
 
-def test_chunk_maps_compose(library):
-    values = [t or "" for t in texts()]
-    for chunk in (1, 3, 64):
+def test_chunk_maps_compose(library, monkeypatch):
+    """Of the splitter and of the counter, also while states are forgotten."""
+    values = [t or "" for t in texts()] + ["ab" * 700 + "ba" * 300, "antidisestablishmentarianism" * 30]
+    for chunk, most in ((1, 400_000), (3, 60), (64, 400_000)):
+        monkeypatch.setattr(transducer, "CHUNK", chunk)
+        monkeypatch.setattr(transducer, "MOST_STATES", most)
         tool = transducer.Tokens(PATH)
         tool.splitter = transducer.Splitter(chunk)
         assert tool(values).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in values]
