@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fennelmill import schemas
 from fennelmill.functions import scalars as S
 from fennelmill.operators import articles, matching, relational, render, signals, tasks, validate
 from fennelmill.plans.registry import QUERIES, Query, query, table
@@ -83,9 +82,13 @@ def d3_top_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.top_signal(_signals(spark, sf_dir))
 
 
-@query("SELECT 'standard' AS type, CAST(NULL AS VARCHAR) AS item_code, 'nothing new' AS title, CAST(NULL AS BIGINT) AS price, CAST(NULL AS INTEGER) AS jump, 0.0::DOUBLE AS score, CAST(NULL AS INTEGER) AS branch, CAST(NULL AS BIGINT) AS pos")
+@query(f"WITH {_FEED_SQL}, {_RANK_SQL}, a AS (SELECT * FROM arrivals UNION ALL BY NAME SELECT * FROM jumps) SELECT 'standard' AS type, 'best of ' || count(*) || ' signals' AS title, max(score) AS score FROM a HAVING coalesce(max(score), 0) <= 100 UNION ALL (SELECT type, title, score FROM a WHERE score > 100 ORDER BY score DESC, branch, pos LIMIT 1)")
 def f9_top_signal_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.top_signal(_signals(spark, sf_dir).where("score < 0"), "nothing new")
+    """The best signal above a score that few reach, or a row made of all signals where there is none."""
+    found = _signals(spark, sf_dir)
+    default = found.agg(F.lit("standard").alias("type"), F.concat(F.lit("best of "), F.count("*"), F.lit(" signals")).alias("title"), F.max("score").alias("score"))
+    best = relational.top_rows(found.where("score > 100"), 1, F.desc("score"), "branch", "pos")
+    return relational.or_default(best.select("type", "title", "score"), default)
 
 
 @query(
@@ -495,10 +498,14 @@ def d12_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of(head, "head").unionByName(of(rest, "rest"))
 
 
-@query("SELECT 0::BIGINT AS seq, 'daily_random' AS mode, 'toys' AS keyword, '' AS item_id")
+@query("SELECT 0::BIGINT AS seq, 'daily_random' AS mode, arg_max(p_brand, (n, p_brand)) AS keyword, '' AS item_id FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1)")
 def d12_fifo_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    empty = spark.createDataFrame([], schemas.TOPIC)
-    return tasks.pop(empty, tasks.default_topic(spark))[0]
+    """The topic taken from a queue that no part is in: the brand with most parts."""
+    part = table(spark, sf_dir, "part")
+    queue = part.where("p_retailprice < 0").select(F.col("p_partkey").alias("seq"), F.lit("m").alias("mode"), F.col("p_name").alias("keyword"), F.lit("").alias("item_id"))
+    brands = part.groupBy("p_brand").agg(F.count("*").alias("n"))
+    default = brands.agg(F.max_by("p_brand", F.struct("n", "p_brand")).alias("keyword")).select(F.lit(0).cast("long").alias("seq"), F.lit("daily_random").alias("mode"), "keyword", F.lit("").alias("item_id"))
+    return tasks.pop(queue, default)[0]
 
 
 @query("SELECT tag, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([lang, source]) AS tag FROM documents) WHERE tag IS NOT NULL GROUP BY 1")

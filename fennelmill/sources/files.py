@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -56,13 +58,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
 _made: list[tuple[SparkSession, str]] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch_of() -> Iterator[None]:
+    """Delete, at the end, the scratch folders that were made inside: for a step whose results are written elsewhere."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        while len(_made) > before:
+            _delete(*_made.pop())
+
+
 @atexit.register
 def _sweep() -> None:
     """Delete scratch folders when the driver's process ends."""
     for spark, path in _made:
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended: what is left lies in the scratch folder
             return
 
