@@ -36,6 +36,8 @@ _SPOKEN = r"[A-Za-z0-9_-]++(?i:\x20at\x20)[A-Za-z0-9_-]++(?:(?i:\x20dot\x20)[A-Z
 #: Identifier-like tokens: a telephone number, grouped digits, an address in words, words joined by an at sign in
 #: brackets, or a word with a digit or an at sign.
 _TOKEN = rf"\+[0-9][ ().0-9-]+[0-9]|(?<!\S)(?:[0-9](?:(?![ -](?![0-9]))[0-9 -])++(?!\S)|{_SPOKEN}|[(\[{{<]*+[^\s@(\[{{<]++{_AT}[^\s@]\S*+|[^\s0-9@]*+[0-9@]\S*+)"
+#: What a text with any token holds.
+_ANY_TOKEN = r"[0-9@]|(?i:\x20dot\x20)|[(\[{<]\x20?(?i:at)\x20?[)\]}>]"
 #: What makes a token an address behind an e-mail pattern, without any digit: an at sign between other characters.
 _ADDRESS = rf"[^\s@]@[^\s@]|[^\s@]{_AT}[^\s@]|{_SPOKEN}"
 #: Letters and digits, and digits among them, that a new identifier of each kind has at least; addresses need neither.
@@ -70,7 +72,7 @@ def _is_valid(kind: str, match: Column) -> Column:
 def base_spans(df: DataFrame, text: str) -> DataFrame:
     """Add the array columns ``email``, ``ip``, ``card`` and ``phone`` of valid base matches."""
     for kind, (pattern, needs) in PATTERNS.items():
-        df = add_matches(df, f"{kind}__any", text, pattern, needs=needs)
+        df = add_matches(df, f"{kind}__any", text, pattern, needs=needs, holds=None if kind == "email" else "[0-9]")
         df = df.withColumn(kind, F.filter(f"{kind}__any", partial(_is_valid, kind))).drop(f"{kind}__any")
     return df
 
@@ -106,7 +108,7 @@ def bootstrap(occurrences: DataFrame, rounds: int = 3, confidence: float = 0.8,
     """
     edges = materialise(occurrences.where("context != '' and value != ''").groupBy("context", "value").agg(F.max("seed").alias("seed")), "edges")
     known = patterns = None
-    for _ in range(rounds):
+    for turn in range(rounds):
         labelled = edges.join(known, "value", "left") if known is not None else edges.withColumns({"kind": F.lit(None).cast("string"), "score": F.lit(0.0)})
         weight = lambda k: F.when(F.col("seed") == k, 1.0).when(F.col("seed").isNull() & (F.col("kind") == k), F.col("score")).otherwise(0.0)
         seeds, learnt = (lambda k: F.count_if(F.col("seed") == k)), (lambda k: F.count_if(F.col("seed").isNull() & (F.col("kind") == k)))
@@ -121,6 +123,8 @@ def bootstrap(occurrences: DataFrame, rounds: int = 3, confidence: float = 0.8,
         mean = F.sum(size * F.when(F.col("of") == F.col("kind"), F.col("confidence")).otherwise(0.0)) / F.sum(size)
         old, known = known, materialise(around.groupBy("value", "kind").agg(mean.alias("score")).where(F.col("score") >= accepted), "known")
         discard(*filter(None, (before, old)))
+        if turn == 0 and known.isEmpty():
+            break  # with nothing learnt every further round is the first again
     discard(edges)
     return patterns.where("promoted").select("context", "kind", "confidence", "support"), known
 
@@ -142,7 +146,7 @@ def find_personal_data(df: DataFrame, confidence: float = 0.8, support: int = 4,
     very long text is searched whole; values at the beginning of a text have no context and induce no pattern.
     """
     source = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    spans = add_matches(base_spans(source, "text"), "token", "text", _TOKEN, gaps=True)
+    spans = add_matches(base_spans(source, "text"), "token", "text", _TOKEN, gaps=True, holds=_ANY_TOKEN)
     base = F.concat(*(tagged(k, k, i) for i, k in enumerate(KINDS)))
     clean = lambda v: F.lower(F.regexp_replace(v, r"^[^A-Za-z0-9+@]++|[^A-Za-z0-9]++$", ""))
     tokens = F.transform("token", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("raw"), clean(m["value"]).alias("value"), _context(m["gap"]).alias("context"), _kind_of(m["value"]).alias("seed")))

@@ -57,7 +57,7 @@ def find_secrets(df: DataFrame, owner: Column | str = "source", repository: Colu
     rows = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repository.cast("string"), F.lit("")).alias("repository"))
     rows = add_matches(rows, "assign", "text", _ASSIGN, group=2, needs=("=", ":"))
     rows = add_matches(rows, "access", "text", _ACCESS, needs="AKIA")
-    rows = add_matches(add_matches(rows, "hex", "text", _HEX), "generic", "text", _GENERIC)
+    rows = add_matches(add_matches(rows, "hex", "text", _HEX), "generic", "text", _GENERIC, holds="[0-9]")
     rows = rows.withColumn("assign", F.filter("assign", lambda m: F.length(m["part"]) >= 12)).withColumn("generic", F.filter("generic", lambda m: m["part"].rlike(_MIXED)))
     base = F.concat(*(tagged(k, k, i) for i, k in enumerate(KINDS)))
     judged = lambda k, i: F.transform(k, lambda m: F.struct(m["start"].alias("start"), F.lit(i).alias("place"), m["end"].alias("end"), F.lit(k).alias("kind"), F.sha2(m["part"].cast("binary"), 256).alias("hash"), looks_live(m["part"], bits).alias("live")))

@@ -15,18 +15,20 @@ SPAN = "array<struct<start:bigint,end:bigint,value:string,part:string,gap:string
 _CHUNK = 256
 
 
-def add_matches(df: DataFrame, column: str, text: str, pattern: str, group: int = 0, needs: str | tuple[str, ...] | None = None, gaps: bool = False) -> DataFrame:
+def add_matches(df: DataFrame, column: str, text: str, pattern: str, group: int = 0, needs: str | tuple[str, ...] | None = None, gaps: bool = False, holds: str | None = None) -> DataFrame:
     """Add the leftmost non-overlapping matches of ``pattern`` in column ``text``, as an array of :data:`SPAN`.
 
     The gaps between matches come from splitting at the pattern and the matches from extracting it; both use the same
-    search, so the lengths of both add up to positions. Texts without any of the strings ``needs`` are not searched,
-    those without matches not split. Matches are placed in chunks, so that a text with very many of them costs little more
+    search, so the lengths of both add up to positions. Texts without any of the strings ``needs``, or without a match of the
+    simpler pattern ``holds``, are not searched, those without matches not split. Matches are placed in chunks, so that a text with very many of them costs little more
     for each. ``gap`` is filled only on request. A pattern must not match the empty string; a NULL
     text has no matches.
     """
     needs = (needs,) if isinstance(needs, str) else needs
     found, parts, between, offsets = (f"{column}__{x}" for x in ("found", "parts", "between", "offsets"))
     searched = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if holds:
+        searched = F.when(F.col(text).rlike(holds), searched)
     df = df.withColumn(found, F.coalesce(F.when(reduce(or_, (F.contains(F.col(text), F.lit(x)) for x in needs)), searched) if needs else searched, F.array().cast("array<string>")))
     some = F.size(found) > 0
     df = df.withColumn(between, F.when(some, F.split(text, pattern, -1)))
