@@ -11,6 +11,7 @@ from fennelmill.functions import scalars as S
 from fennelmill.operators import articles, matching, relational, render, signals, tasks, validate
 from fennelmill.plans.registry import QUERIES, Query, query, table
 from fennelmill.sources import markup
+from fennelmill.sources.files import written
 
 # Signals ----------------------------------------------------------------------------------------------------------
 
@@ -552,6 +553,14 @@ def d15_hit_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offers.hits_c(response, site="s", partner="p").select(F.col("code").cast("long").alias("p_partkey"), "title", "url", "image", "shop")
 
 
+@query("SELECT event_type, count(*) AS n, (SELECT count(*) FROM events WHERE value > 50) AS rows FROM events WHERE value > 50 GROUP BY 1")
+def a5_observed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows counted while they are written, beside what is read back of them."""
+    rows, seen = relational.counted(table(spark, sf_dir, "events").where("value > 50"), "kept")
+    kept = written(rows, "kept")
+    return kept.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("rows", F.lit(seen.get["rows"]))
+
+
 @query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT -1, 'none' WHERE NOT EXISTS (SELECT 1 FROM region)")
 def f9_default_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region")

@@ -73,3 +73,14 @@ def test_a_restarted_stream_asks_for_no_page_twice(spark, tmp_path):
     assert poll(1010) == (6, 6)
     assert poll(1055) == (9, 9)  # runs that passed are over
     assert set(asked(tmp_path / "asked").values()) == {3}
+
+
+def test_options_have_defaults_bounds_and_orders():
+    """What is asked of a feed where the user says nothing, too much, or another order."""
+    asked = lambda feed, **o: remote.FEEDS[feed].parameters(o)
+    assert asked("hits_c") == {"in_stock": "true", "query": "", "results": 5, "sort": "-score", "image_size": 300}
+    assert asked("hits_c", keyword="k", results="99", sort="+price", image_size="x") == {"in_stock": "true", "query": "k", "results": 50, "sort": "+price", "image_size": 300}
+    assert asked("search_b")["sort"] == "-updateTimestamp" and asked("books")["orderBy"] == "relevance"
+    assert asked("search_a", results="0")["itemCount"] == 1 and asked("search_a")["searchIndex"] == "All"
+    assert asked("videos", keyword="k", suffix="review")["q"] == "k review" and asked("books", extra='{"maxResults": 9}')["maxResults"] == 9
+    assert asked("lookup_a", ids="a,b", tag="t")["itemIds"] == ["a", "b"]

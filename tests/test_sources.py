@@ -246,11 +246,15 @@ def test_daily_run(spark, tmp_path):
     assert topic.first().keyword == "toys"
     doc = daily.write_article(spark, layout, topic, spark.createDataFrame([], "pos int, title string, url string"), when).first()
     assert (doc.slug, doc.signal_type, [(p.item_id, p.link_b) for p in doc.products]) == ("baby-toy", "sudden_jump", [("A", "ub")])
+    assert [p.name for p in (tmp_path / "articles").iterdir()] == ["2024-02-01-baby-toy.json"]
     posts = daily.render_posts(spark, layout, when)
+    assert [p.name for p in (tmp_path / "posts").iterdir()] == ["baby-toy.md"]
     assert [r.name for r in posts.collect()] == ["baby-toy"] and "### toy red" in spark.read.text(str(tmp_path / "posts"), wholetext=True).first().value
     (tmp_path / "items").mkdir()
     (tmp_path / "items" / "B1.json").write_text("{}")
     assert daily.plan_task(spark, layout, str(tmp_path / "items"), when).first().item_ids == ["B1"]
+    [task] = (tmp_path / "queue").iterdir()
+    assert task.name == "2024-02-01-a-b.json" and json.loads(task.read_text())["min_words"] == 1500
 
 
 def test_streams(spark, tmp_path):
