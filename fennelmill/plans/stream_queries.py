@@ -15,15 +15,23 @@ _ANNOUNCED, _COLLABORATION = "(ECONOMY|PROMO)", "(ring|gear)"
 
 
 def _streamed(rows: DataFrame, slices: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What a stream writes of slices of ``rows``, each a condition in SQL, that arrive one after the other."""
+    """What a stream writes of slices of ``rows``, each a condition in SQL, that arrive one after the other.
+
+    State has as many partitions as the cluster has cores, if the session asks for more: it keeps them for good.
+    """
     spark = rows.sparkSession
-    where = files.scratch(spark, "stream")
-    for some in slices:
-        rows.where(some).write.mode("append").parquet(f"{where}/in")
-        stream = make(spark.readStream.schema(rows.schema).parquet(f"{where}/in"))
-        run = stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
-        run.awaitTermination()
-        schema = stream.schema
+    where, name = files.scratch(spark, "stream"), "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), max(2, spark.sparkContext.defaultParallelism)))
+    try:
+        for some in slices:
+            rows.where(some).write.mode("append").parquet(f"{where}/in")
+            stream = make(spark.readStream.schema(rows.schema).parquet(f"{where}/in"))
+            run = stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+            run.awaitTermination()
+            schema = stream.schema
+    finally:
+        spark.conf.set(name, before)
     return spark.read.schema(schema).parquet(f"{where}/out")
 
 
