@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from fennelmill.functions import scalars as S
 from fennelmill.operators.matching import best_match
+from fennelmill.operators.relational import collected
 
 #: Words in a name that raise its score; names that choose a slug.
 VALUED = ("知育", "モンテッソーリ", "STEM", "プログラミング", "ブロック")
 SLUGS = ((("ラトル",), "baby-rattle"), (("積み木", "ブロック"), "building-blocks"))
 DEFAULT_SLUG = "baby-toy"
+#: What an article says of a product.
+_PRODUCT = ("item_id", "name", "price", "link_a", "link_b", "link_c", "image", "score", "pros", "cons", "features")
 
 
 @dataclass(frozen=True)
@@ -117,24 +120,49 @@ def article(
     topic: DataFrame, signal: DataFrame, products: DataFrame, videos: DataFrame, books: DataFrame, news: DataFrame, maker: DataFrame, links: DataFrame, run_at: datetime, wording: Wording = Wording(), zone_offset: str = "+09:00"
 ) -> DataFrame:
     """One article from one topic ``(mode, keyword)``, one signal and the side feeds, all one-row or cut to three rows first."""
+    doc = topic.crossJoin(signal.select(F.col("type").alias("signal_type"), F.col("title").alias("signal_title")))
+    for name, rows, element, order in _parts(products, videos, books, news, maker, links, wording):
+        doc = doc.crossJoin(_array(rows, element, name, *order))
+    return doc.select(*_columns(run_at, wording, zone_offset))
+
+
+def articles_by(
+    key: str, topics: DataFrame, signals: DataFrame, products: DataFrame, videos: DataFrame, books: DataFrame, news: DataFrame, maker: DataFrame, links: DataFrame, run_at: datetime, wording: Wording = Wording(), zone_offset: str = "+09:00"
+) -> DataFrame:
+    """An article for each key that has a topic and a signal, from feeds that hold the key: :func:`article` for many runs at once.
+
+    Each key has one topic and one signal; feeds count ``pos`` anew for each key, and one without rows of a key gives it an
+    empty array. A document holds what its key has, so a key's products have to fit a row.
+    """
+    doc = topics.join(signals.select(key, F.col("type").alias("signal_type"), F.col("title").alias("signal_title")), key)
+    for name, rows, element, order in _parts(products, videos, books, news, maker, links, wording):
+        held = collected(rows, [key], list(order), element, name)
+        doc = doc.join(held, key, "left").withColumn(name, F.coalesce(name, F.array().cast(held.schema[name].dataType)))
+    return doc.select(key, *_columns(run_at, wording, zone_offset))
+
+
+def _parts(products: DataFrame, videos: DataFrame, books: DataFrame, news: DataFrame, maker: DataFrame, links: DataFrame, wording: Wording) -> list[tuple[str, DataFrame, Column, tuple[Column, ...]]]:
+    """The arrays of an article: name, rows, element and order."""
     three = lambda df: df.where("pos < 3")
     video = F.struct(F.coalesce("title", F.lit(wording.video_title)).alias("title"), filled(wording.embed, id=S.after_last("url", "v=")).alias("embed"))
     book = F.struct("title", "url", "image", F.concat(S.prefix(S.text("description"), 100), F.lit("...")).alias("description"))
-    link = F.struct("title", "url")
-    product = F.struct(*(c for c in products.columns if c != "pos"))
-    doc = topic.crossJoin(signal.select(F.col("type").alias("signal_type"), F.col("title").alias("signal_title")))
-    for part in (
-        _array(products, product, "products", -F.col("score"), F.col("pos")), _array(three(videos).where("url is not null"), video, "videos"), _array(three(books), book, "books"),
-        _array(three(news), link, "news"), _array(three(maker), link, "maker_items"), _array(links, link, "links"),
-    ):
-        doc = doc.crossJoin(part)
+    link, by_pos = F.struct("title", "url"), (F.col("pos"),)
+    product = F.struct(*(c for c in products.columns if c in _PRODUCT))
+    return [
+        ("products", products, product, (-F.col("score"), F.col("pos"))), ("videos", three(videos).where("url is not null"), video, by_pos), ("books", three(books), book, by_pos),
+        ("news", three(news), link, by_pos), ("maker_items", three(maker), link, by_pos), ("links", links, link, by_pos),
+    ]
+
+
+def _columns(run_at: datetime, wording: Wording, zone_offset: str) -> list[Column]:
+    """The columns of an article of ``(mode, keyword, signal_type, signal_title)`` and its arrays."""
     kind, values = F.col("signal_type"), {"signal": F.col("signal_title"), "short": S.prefix("signal_title", 15), "keyword": F.col("keyword")}
-    doc = doc.withColumn("lead", by_type(kind, wording.leads, filled(wording.lead, **values), **values))
-    return doc.select(
-        slug_of("keyword").alias("slug"), by_type(kind, wording.titles, filled(wording.title, **values), **values).alias("title"), S.clipped("lead", 100).alias("meta_description"),
-        S.offset_time(F.lit(run_at), zone_offset).alias("date"), "mode", "lead", F.when(kind != "standard", kind).alias("signal_type"), by_type(kind, wording.labels, F.lit("")).alias("signal_type_label"),
-        "products", "videos", "books", "news", "maker_items", "links", filled(wording.comment, **values).alias("comment"), F.array(F.col("keyword"), *map(F.lit, wording.tags)).alias("tags"),
-    )
+    lead = by_type(kind, wording.leads, filled(wording.lead, **values), **values)
+    return [
+        slug_of("keyword").alias("slug"), by_type(kind, wording.titles, filled(wording.title, **values), **values).alias("title"), S.clipped(lead, 100).alias("meta_description"),
+        S.offset_time(F.lit(run_at), zone_offset).alias("date"), F.col("mode"), lead.alias("lead"), F.when(kind != "standard", kind).alias("signal_type"), by_type(kind, wording.labels, F.lit("")).alias("signal_type_label"),
+        *map(F.col, ("products", "videos", "books", "news", "maker_items", "links")), filled(wording.comment, **values).alias("comment"), F.array(F.col("keyword"), *map(F.lit, wording.tags)).alias("tags"),
+    ]
 
 
 def cheapest_flag(df: DataFrame, price: str, *keys: str) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import json
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fennelmill import schemas
@@ -433,3 +432,25 @@ def d10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         text("Choose well.").alias("comment"), F.array(F.col("p_brand"), F.lit('a "b"')).alias("tags"),
     )
     return render.rendered(docs, "2024-02-01")
+
+
+@query(
+    f"WITH s AS ({_SCORED}), l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS pos, s.* FROM lineitem JOIN s ON p_partkey = l_partkey),"
+    " g AS (SELECT l_orderkey, arg_min(name, pos) AS first, arg_min(p_brand, pos) AS brand, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY score DESC, pos) AS products, coalesce(string_agg(name, ',' ORDER BY pos) FILTER (pos < 3 AND l_orderkey % 4 > 0), '') AS books, coalesce(string_agg('https://b.example/' || p_partkey, ',' ORDER BY pos) FILTER (link_b <> ''), '') AS links FROM l GROUP BY 1)"
+    " SELECT l_orderkey, CASE l_orderkey % 3 WHEN 0 THEN 'Rising fast: ' || left(first, 15) || '... and why' WHEN 1 THEN 'First seen: ' || left(first, 15) || '... and what it offers' ELSE brand || ': ranked and compared' END AS title, CASE l_orderkey % 3 WHEN 0 THEN 'sudden_jump' WHEN 1 THEN 'new_arrival' END AS signal_type,"
+    " CASE l_orderkey % 3 WHEN 0 THEN 'rising' WHEN 1 THEN 'new' ELSE '' END AS signal_type_label, products, books, links, brand || ',guide,comparison' AS tags FROM g"
+)
+def d8_articles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An article for each order, of all its lines as products."""
+    scored = _scored(spark, sf_dir).withColumn("item_id", F.col("p_partkey").cast("string")).withColumn("link_c", F.lit(None).cast("string"))
+    of_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(scored, F.col("l_partkey") == F.col("p_partkey")).withColumn("pos", F.row_number().over(of_order) - 1)
+    kind = F.when(F.col("l_orderkey") % 3 == 0, "sudden_jump").when(F.col("l_orderkey") % 3 == 1, "new_arrival").otherwise("standard")
+    first = lines.where("pos = 0")
+    topics, found = first.select("l_orderkey", F.lit("daily").alias("mode"), F.col("p_brand").alias("keyword")), first.select("l_orderkey", kind.alias("type"), F.col("name").alias("title"))
+    links = lines.where("link_b <> ''").select("l_orderkey", "pos", F.col("name").alias("title"), F.col("link_b").alias("url"))
+    books = lines.where("l_orderkey % 4 > 0").select("l_orderkey", "pos", F.col("name").alias("title"), F.col("link_a").alias("url"), "image", F.lit("about it").alias("description"))
+    none = links.limit(0)
+    made = articles.articles_by("l_orderkey", topics, found, lines, none, books, none, none, links, datetime(2024, 2, 1, 9, 30))
+    ids = lambda a, f: F.array_join(F.transform(a, lambda x: x[f]), ",")
+    return made.select("l_orderkey", "title", "signal_type", "signal_type_label", ids("products", "item_id").alias("products"), ids("books", "title").alias("books"), ids("links", "url").alias("links"), F.array_join("tags", ",").alias("tags"))
