@@ -302,21 +302,21 @@ FEEDS = {
 @dataclass(frozen=True)
 class Paging:
     """How pages of an answer are asked for: the parameter, where the number of all results stands in an answer (dotted),
-    results of a page, the first value, whether values count results or pages, and how many pages are asked for at most."""
+    results of a page, the first value, whether values count results or pages, and how many pages are asked for at most: all unless given."""
 
     parameter: str
     total: str
     size: int
     first: int = 1
     by_result: bool = True
-    most: int = 1000
+    most: int | None = None
 
     @classmethod
     def of(cls, options: dict) -> Paging | None:
         """From options ``page_parameter``, ``page_total``, ``page_size``, ``page_first``, ``page_by`` (``result`` or ``page``) and ``page_most``."""
         if "page_parameter" not in options:
             return None
-        return cls(options["page_parameter"], options.get("page_total", ""), int(options.get("page_size", "10")), int(options.get("page_first", "1")), options.get("page_by", "result") == "result", int(options.get("page_most", "1000")))
+        return cls(options["page_parameter"], options.get("page_total", ""), int(options.get("page_size", "10")), int(options.get("page_first", "1")), options.get("page_by", "result") == "result", int(options["page_most"]) if options.get("page_most") else None)
 
     def asks(self, page: int) -> dict:
         """The option ``extra`` that asks for a page, counted from 0."""
@@ -327,7 +327,8 @@ class Paging:
         at = answer
         for part in self.total.split("."):
             at = at.get(part) if isinstance(at, dict) else None
-        return max(1, min(self.most, -(-int(at or 0) // self.size)))
+        told = -(-int(at or 0) // self.size)
+        return max(1, told if self.most is None else min(self.most, told))
 
 
 @dataclass

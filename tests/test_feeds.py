@@ -34,6 +34,13 @@ def test_pages_are_planned_from_the_number_of_results(spark, tmp_path):
     assert spark.read.format("feed").options(**options(tmp_path, credentials="none")).load().collect()[0].page is None
 
 
+def test_no_page_is_left_out_unless_asked(tmp_path):
+    """More than a thousand pages are planned, each for one task."""
+    answers(tmp_path / "answers", "search", 1, 3, 3600)
+    parts = remote.FeedReader(options(tmp_path)).partitions()
+    assert sorted(p for part in parts for p in part.pages) == list(range(1200))
+
+
 @pytest.mark.parametrize("late", [[0, 0, 0, 0], [0, 7.3, 0.4, 100.01], [3, 2, 1, 0]])
 def test_tasks_share_one_rate_however_late_they_start(tmp_path, late):
     """A clock of its own for each task: the instants of all requests are an interval apart, and none is lost."""
