@@ -41,6 +41,13 @@ def test_no_page_is_left_out_unless_asked(tmp_path):
     assert sorted(p for part in parts for p in part.pages) == list(range(1200))
 
 
+def test_searches_with_retries_read_all_pages(tmp_path):
+    (tmp_path / "answers").mkdir()
+    (tmp_path / "answers" / "searchItems-1.json").write_text(json.dumps({"searchResult": {"items": [], "totalResultCount": 60_000}}))
+    found = remote.FeedReader(options(tmp_path, feed="search_a", page_total="searchResult.totalResultCount", page_size="10")).partitions()
+    assert sum(len(part.pages) for part in found) == 6000
+
+
 @pytest.mark.parametrize("late", [[0, 0, 0, 0], [0, 7.3, 0.4, 100.01], [3, 2, 1, 0]])
 def test_tasks_share_one_rate_however_late_they_start(tmp_path, late):
     """A clock of its own for each task: the instants of all requests are an interval apart, and none is lost."""
