@@ -1,6 +1,6 @@
 """Arrivals and rank jumps over streams whose state never expires: what the batch operators give, batch by batch.
 
-State lives with each item code. It begins with the snapshot of the last batch run, so a deployment can go over from runs
+State is kept of each item code, for good, in buckets of codes. It begins with the snapshot of the last batch run, so a deployment can go over from runs
 to a stream, and a query that goes on from its checkpoint knows every code it has met.
 """
 
@@ -25,53 +25,88 @@ def use_state(spark: SparkSession) -> None:
         spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: Parts into which item codes are dealt: a part is one group of a stream, so that its rows and state go to Python at once.
+#: The number is fixed for the life of a checkpoint.
+BUCKETS = 2048
+_BUCKET = "__bucket"
+
+
+def _bucketed(df: DataFrame) -> DataFrame:
+    return df.withColumn(_BUCKET, F.pmod(F.xxhash64("item_code"), F.lit(BUCKETS)).cast("int"))
+
+
+def _some(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The frames that have rows: where a bucket has more initial state than rows, frames come without any row or column."""
+    return (part.drop(columns=_BUCKET, errors="ignore") for part in rows if len(part))
+
+
 class FirstSeen(StatefulProcessor):
-    """Marks the first row of each key, by ``pos``, unless the key has been met before; holds one row at a time."""
+    """Marks the first row of each code, by ``pos``, unless the code has been met before.
+
+    A group is a bucket of codes. Its state is the list of codes met, to which only new ones are added; of a batch it holds one
+    row for each new code.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.met = handle.getValueState("met", "met BOOLEAN")
+        self.met = handle.getListState("met", "codes ARRAY<STRING>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known, first = self.met.exists(), None
-        for part in rows:
-            if not known:
-                part = part if first is None else pd.concat([first, part], ignore_index=True)
-                at = part["pos"].argmin()
-                first, part = part.iloc[[at]], part.drop(part.index[at])
-            if len(part):
-                yield part.assign(is_new=False)
-        if first is not None:
-            self.met.update((True,))
+        met = pd.Index([c for (codes,) in self.met.get() for c in codes] if self.met.exists() else [], dtype=object)
+        first = None
+        for part in _some(rows):
+            known = met.get_indexer(part["item_code"]) >= 0
+            fresh = part[~known] if first is None else pd.concat([first, part[~known]], ignore_index=True)
+            fresh = fresh.sort_values("pos", kind="stable")
+            again = fresh.duplicated("item_code")
+            first = fresh[~again]
+            for others in (part[known], fresh[again]):
+                if len(others):
+                    yield others.assign(is_new=False)
+        if first is not None and len(first):
+            self.met.appendValue((first["item_code"].tolist(),))
             yield first.assign(is_new=True)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.met.update((True,))
+        if len(initialState):
+            self.met.appendValue((initialState["item_code"].tolist(),))
 
     def close(self) -> None:
         pass
 
 
 class LastRank(StatefulProcessor):
-    """Says of each ranked row what rank its key had in the run before; rows of one run don't count for each other."""
+    """Says of each ranked row what rank its code had in the run before; rows of one run don't count for each other.
+
+    A group is a bucket of codes; its state is the rank of each code in the last two runs that it was in.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ranks = handle.getValueState("ranks", "run LONG, rank INT, run_before LONG, rank_before INT")
+        self.ranks = handle.getValueState("ranks", "codes ARRAY<STRING>, runs ARRAY<BIGINT>, ranks ARRAY<INT>")
+
+    def _held(self) -> pd.DataFrame:
+        codes, runs, ranks = self.ranks.get() if self.ranks.exists() else ([], [], [])
+        return pd.DataFrame({"item_code": pd.Series(codes, dtype=object), "run": pd.Series(runs, dtype="int64"), "rank": pd.Series(ranks, dtype="int64")})
+
+    def _hold(self, held: pd.DataFrame) -> None:
+        self.ranks.update((held["item_code"].tolist(), held["run"].tolist(), held["rank"].tolist()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        run, rank, run_before, rank_before = self.ranks.get() if self.ranks.exists() else (None, None, None, None)
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["run", "pos"], kind="stable")
-        was = []
-        for r, n in zip(batch["run"].tolist(), batch["rank"].tolist()):
-            if r != run:
-                run_before, rank_before, run = run, rank, r
-            rank = int(n)
-            was.append(rank_before if run_before is not None and run_before == r - 1 else signals.UNRANKED)
-        self.ranks.update((run, rank, run_before, rank_before))
-        yield batch.assign(was=was)
+        parts = list(_some(rows))
+        if not parts:
+            return
+        batch = pd.concat(parts, ignore_index=True).sort_values(["item_code", "run", "pos"], ignore_index=True)
+        code_run = ["item_code", "run"]
+        now = batch[[*code_run, "rank"]].drop_duplicates(code_run, keep="last").astype({"run": "int64", "rank": "int64"})
+        runs = pd.concat([self._held(), now], ignore_index=True).drop_duplicates(code_run, keep="last").sort_values(code_run, ignore_index=True)
+        before = runs.shift(1)
+        follows = (before["item_code"] == runs["item_code"]) & (before["run"] == runs["run"] - 1)
+        was = runs.assign(was=before["rank"].where(follows, signals.UNRANKED).astype("int64"))
+        yield batch.merge(was[[*code_run, "was"]], on=code_run, how="left")
+        self._hold(runs.groupby("item_code", sort=False).tail(2))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[-1]
-        self.ranks.update((int(row["run"]), int(row["rank"]), None, None))
+        if len(initialState):
+            self._hold(pd.concat([self._held(), initialState[["item_code", "run", "rank"]]], ignore_index=True))
 
     def close(self) -> None:
         pass
@@ -89,8 +124,8 @@ def stream_arrivals(feed: DataFrame, history: DataFrame, announced: str = signal
     """
     use_state(feed.sparkSession)
     code = S.truthy("item_code")
-    start = history.where("item_code is not null").select("item_code").distinct().groupBy("item_code")
-    coded = feed.where(code.isNotNull()).groupBy("item_code").transformWithStateInPandas(FirstSeen(), _with(feed.schema, "is_new", T.BooleanType()), "Append", "None", start)
+    start = _bucketed(history.where("item_code is not null").select("item_code").distinct()).groupBy(_BUCKET)
+    coded = _bucketed(feed.where(code.isNotNull())).groupBy(_BUCKET).transformWithStateInPandas(FirstSeen(), _with(feed.schema, "is_new", T.BooleanType()), "Append", "None", start)
     return signals.arrival_signals(coded.unionByName(feed.where(code.isNull()).withColumn("is_new", F.lit(True))), announced, collaboration)
 
 
@@ -102,6 +137,7 @@ def stream_jumps(ranking: DataFrame, last: DataFrame, last_run: int) -> DataFram
     """
     use_state(ranking.sparkSession)
     rows = ranking.where("rank is not null")
-    start = last.where("item_code is not null and rank is not null").groupBy("item_code").agg(F.max("rank").alias("rank")).select("item_code", F.lit(last_run).cast("long").alias("run"), F.col("rank").cast("int").alias("rank")).groupBy("item_code")
-    coded = rows.where("item_code is not null").groupBy("item_code").transformWithStateInPandas(LastRank(), _with(ranking.schema, "was", T.IntegerType()), "Append", "None", start)
+    ranked = last.where("item_code is not null and rank is not null").groupBy("item_code").agg(F.max("rank").alias("rank"))
+    start = _bucketed(ranked.select("item_code", F.lit(last_run).cast("long").alias("run"), F.col("rank").cast("int").alias("rank"))).groupBy(_BUCKET)
+    coded = _bucketed(rows.where("item_code is not null")).groupBy(_BUCKET).transformWithStateInPandas(LastRank(), _with(ranking.schema, "was", T.IntegerType()), "Append", "None", start)
     return signals.jump_signals(coded.unionByName(rows.where("item_code is null").withColumn("was", F.lit(signals.UNRANKED))))

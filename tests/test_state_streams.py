@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from fennelmill import schemas
@@ -61,3 +62,35 @@ def test_streams_of_few_rows(spark, tmp_path, rows):
     polled = Polled(spark, tmp_path, FEED, lambda s: state.stream_arrivals(s, spark.createDataFrame([], schemas.HISTORY)))
     polled.run(rows)
     assert len(polled.rows()) == len(rows)
+
+
+class Held:
+    """State of one group, kept in the process."""
+
+    def __init__(self):
+        self.values = []
+
+    getListState = getValueState = lambda self, name, schema: self
+    exists = lambda self: bool(self.values)
+    get = lambda self: iter(self.values) if len(self.values[0]) == 1 else self.values[-1]
+    appendValue = update = lambda self, value: self.values.append(value)
+
+
+def test_codes_go_to_the_state_in_buckets():
+    """One call takes rows of many codes, in several frames and batches."""
+    met = state.FirstSeen()
+    met.init(Held())
+    frame = lambda rows: pd.DataFrame(rows, columns=["pos", "item_code"])
+    out = lambda *frames: sorted((int(p), c, bool(n)) for f in met.handleInputRows((1,), iter(frames), None) for p, c, n in f.itertuples(index=False))
+    met.handleInitialState((1,), frame([(0, "z")]), None)
+    assert out(frame([(5, "a"), (4, "b"), (3, "z")]), frame([(2, "a"), (6, "b"), (7, "c")])) == [(2, "a", True), (3, "z", False), (4, "b", True), (5, "a", False), (6, "b", False), (7, "c", True)]
+    assert out(frame([(8, "c"), (9, "d")])) == [(8, "c", False), (9, "d", True)]
+
+
+def test_ranks_go_to_the_state_in_buckets():
+    last = state.LastRank()
+    last.init(Held())
+    frame = lambda rows: pd.DataFrame(rows, columns=["run", "pos", "item_code", "rank"])
+    out = lambda *frames: sorted((r, p, int(was)) for f in last.handleInputRows((1,), iter(frames), None) for r, p, _, _, was in f.itertuples(index=False))
+    assert out(frame([(1, 0, "a", 50), (1, 1, "b", 60)]), frame([(1, 2, "a", 40), (2, 3, "a", 30)])) == [(1, 0, 101), (1, 1, 101), (1, 2, 101), (2, 3, 40)]
+    assert out(frame([(2, 4, "a", 20), (3, 5, "a", 10), (3, 6, "b", 5)])) == [(2, 4, 40), (3, 5, 20), (3, 6, 101)]
