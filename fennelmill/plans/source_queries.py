@@ -107,7 +107,7 @@ def s13_maker_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = lambda i: F.when(i % 2 == 0, F.concat(F.lit("/g/"), "p_partkey")).otherwise(F.concat(F.lit("http://other.example/"), "p_partkey"))
     one = lambda i: F.concat(F.lit("<div class='x item'><a href='"), link(i), F.lit("'>more</a><p class='name'> "), F.col("p_name"), F.lit(" <b>"), i.cast("string"), F.lit("</b></p></div>"))
     html = F.when(F.col("p_size") % 11 > 0, F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 7), one), "<hr>"), F.lit("<div class='item'><h2>no link</h2></div>"))).otherwise("<p>none</p>")
-    pages = table(spark, sf_dir, "part").select("p_partkey", html.alias("html"))
+    pages = relational.spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")).select("p_partkey", html.alias("html"))
     return pages.select("p_partkey", F.posexplode(markup.maker_items("html", "https://maker.example/shop/list.aspx")).alias("pos", "i")).select("p_partkey", F.col("pos").cast("long").alias("pos"), "i.title", "i.url")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -14,23 +15,28 @@ from pyspark.sql import functions as F
 CONTAINERS = (".goods_list_item", ".block-thumbnail-t", ".item")
 NAMES = (".name", ".goods-name", "h2")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_NO_CLASSES: frozenset = frozenset()
 
 
 class Node:
     """An element: name, attributes, parent, children and texts in order."""
 
-    __slots__ = ("name", "attributes", "parent", "content")
+    __slots__ = ("name", "attributes", "parent", "content", "classes")
 
     def __init__(self, name: str, attributes: dict, parent: Node | None) -> None:
         self.name, self.attributes, self.parent, self.content = name, attributes, parent, []
+        given = attributes.get("class")
+        self.classes = frozenset(given.split()) if given else _NO_CLASSES
 
-    def walk(self):
+    def walk(self) -> list[Node]:
         """The elements below, in document order."""
-        stack = [c for c in reversed(self.content) if isinstance(c, Node)]
+        out, stack = [], [c for c in reversed(self.content) if c.__class__ is Node]
         while stack:
             n = stack.pop()
-            yield n
-            stack.extend(c for c in reversed(n.content) if isinstance(c, Node))
+            out.append(n)
+            if n.content:
+                stack += [c for c in reversed(n.content) if c.__class__ is Node]
+        return out
 
     def pieces(self):
         """The texts below, in document order."""
@@ -42,20 +48,22 @@ class Node:
             else:
                 stack.extend(reversed(c.content))
 
-    def fits(self, simple: str) -> bool:
-        """Whether a simple selector (name, .class, or name.class) fits."""
-        name, *classes = simple.split(".")
-        return (not name or self.name == name) and set(classes) <= set((self.attributes.get("class") or "").split())
+    def fits(self, simple: tuple[str, frozenset]) -> bool:
+        """Whether a simple selector (name, .class, or name.class), as :func:`_chains` gives it, fits."""
+        name, classes = simple
+        return (not name or self.name == name) and classes <= self.classes
 
     def select(self, selector: str) -> list[Node]:
         """The elements below that fit a selector of simple ones with descent, or one of several by commas."""
-        chains = [s.split() for s in selector.split(",")]
-        return [n for n in self.walk() if any(self._chain(n, c) for c in chains)]
-
-    def _chain(self, node: Node, chain: list[str]) -> bool:
-        if not node.fits(chain[-1]):
-            return False
-        rest, up = chain[:-1], node.parent
+        chains = _chains(selector)
+        if len(chains) == 1 and len(chains[0]) == 1:
+            (name, classes), = chains[0]
+            return [n for n in self.walk() if classes <= n.classes and (not name or n.name == name)]
+        return [n for n in self.walk() if any(n.fits(last) and (not rest or self._below(n, rest)) for *rest, last in chains)]
+
+    def _below(self, node: Node, rest: list) -> bool:
+        """Whether elements above a node, and below this one, fit the rest of a chain."""
+        up = node.parent
         while rest and up is not None and up is not self:
             if up.fits(rest[-1]):
                 rest = rest[:-1]
@@ -63,6 +71,13 @@ class Node:
         return not rest
 
 
+@lru_cache(maxsize=256)
+def _chains(selector: str) -> list[list[tuple[str, frozenset]]]:
+    """The alternatives of a selector, each a list of simple selectors by name and classes."""
+    simple = lambda s: (s.split(".")[0], frozenset(s.split(".")[1:]))
+    return [[simple(s) for s in alternative.split()] for alternative in selector.split(",")]
+
+
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)

@@ -19,3 +19,11 @@ def test_flags_of_a_long_document_take_linear_time(spark):
     begun = time.monotonic()
     found = docs.select(F.explode(articles.cheapest_nested("products")).alias("p")).where("p.is_cheapest").select("p.price").collect()
     assert [r.price for r in found] == [1] and time.monotonic() - begun < 20
+
+
+@tables
+def test_pages_made_of_a_small_file_are_parsed_by_all_cores(spark):
+    few = spark.range(100).coalesce(1)
+    assert relational.spread(few).rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
+    assert relational.spread(few.repartition(40)).rdd.getNumPartitions() == 40
+    assert QUERIES["s13_maker_items"].run(spark, DATA).rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
