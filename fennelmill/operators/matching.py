@@ -156,7 +156,11 @@ def search(df: DataFrame, queries: DataFrame, key: str, query: str, weights: dic
     chunks = chunks.withColumn("pattern", F.expr(f"substring(q, at + 1, {CHUNK})")).withColumn("m", F.length("pattern")).withColumn("k", F.least(F.col("m") - 1, F.floor(F.lit(threshold + 1e-9) * F.col("m")).cast("int")))
     chunks = written(chunks.withColumn("at", F.col("at") + F.lit(location)), "patterns")
     farthest = (chunks.agg(F.max("at")).first()[0] or 0) + reach + 2 * CHUNK
-    each = df.select(F.col(key).alias("row"), F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.lower(F.col(c).cast("string")).alias("text"), F.lit(float(s)).alias("share")) for c, s in shares.items()))).alias("c")).select("row", "c.*").where("text <> ''")
+    # rows with the same texts have the same scores, so distinct rows of texts are scored, and rows get theirs by one join
+    low = [f"text{n}" for n in range(len(shares))]
+    rows = df.select(F.col(key).alias("row"), *(F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")).alias(n) for c, n in zip(shares, low)))
+    held = written(rows.select(*low).distinct().withColumn("held", F.monotonically_increasing_id()), "held")
+    each = held.select("held", F.explode(F.array(*(F.struct(F.col(n).alias("text"), F.lit(float(s)).alias("share")) for n, s in zip(low, shares.values())))).alias("c")).select("held", "c.*").where("text <> ''")
     texts = written(each.select("text").distinct().select(F.monotonically_increasing_id().alias("tid"), "text", F.expr(f"substring(text, 1, {farthest})").alias("near")).withColumn("size", F.length("near")), "texts")
     # the pieces of a pattern, and the grams of the lengths that they have
     width = (F.col("m") / (F.col("k") + 1)).cast("int")
@@ -176,4 +180,5 @@ def search(df: DataFrame, queries: DataFrame, key: str, query: str, weights: dic
     scored = chunks.join(compared.select("tid", "text", "pattern", "at", "score"), ["pattern", "at"]).groupBy("tid", "text", "q", "chunks").agg(F.sum(F.greatest(F.lit(LEAST_SCORE), F.col("score"))).alias("sum"), F.count("*").alias("n"))
     found = scored.select("text", "q", F.when(F.col("text") == F.col("q"), EQUAL_SCORE).otherwise((F.col("sum") + F.col("chunks") - F.col("n")) / F.col("chunks")).alias("score"))
     norm = F.round(1 / F.sqrt(F.greatest(F.lit(1), F.regexp_count("text", F.lit("[^ ]+")))), 3)
-    return each.join(found, "text").groupBy(F.col("row").alias(key), F.col("q").alias(query)).agg(F.exp(F.sum(F.log("score") * F.col("share") * norm)).alias("score"))
+    scores = written(each.join(found, "text").groupBy("held", "q").agg(F.exp(F.sum(F.log("score") * F.col("share") * norm)).alias("score")), "scores")
+    return rows.join(held, low).join(scores, "held").select(F.col("row").alias(key), F.col("q").alias(query), "score")

@@ -65,3 +65,11 @@ def test_no_pair_is_made_without_a_shared_piece(spark):
     assert [(r.id, r.q) for r in found.collect()] == [(1, "alhpa")]
     none = matching.search(df.where("false"), spark.createDataFrame([], "q string"), "id", "q", {"title": 1.0})
     assert none.count() == 0
+
+
+def test_rows_of_equal_texts_are_scored_once(spark):
+    """Rows meet their scores in a join alone: nothing is grouped by rows, however many share their texts."""
+    df = spark.createDataFrame([(i, "alpha beta", "Gamma" if i % 2 else None) for i in range(6)], "id int, title string, body string")
+    found = matching.search(df, spark.createDataFrame([("alpha",), ("gamma",)], "q string"), "id", "q", {"title": 1.0, "body": 1.0})
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.id, r.q) for r in found.collect()) == sorted([(i, "alpha") for i in range(6)] + [(i, "gamma") for i in (1, 3, 5)])
