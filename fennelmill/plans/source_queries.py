@@ -230,8 +230,8 @@ def k4_ranks_by_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each part, written by the tasks and read back."""
     where = files.scratch(spark, "texts")
-    named.write_named(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.concat(F.lit("# "), "p_name", F.lit("\n"), "p_type").alias("content")), where, ".md")
-    return spark.read.text(where, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"(.*)\.md", 1).alias("name"), F.col("value").alias("content"))
+    named.write_named(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.concat(F.lit("# "), "p_name", F.lit("\n"), "p_type").alias("content")), where, ".md", folders=1024)
+    return named.read_named(spark, where, ".md")
 
 
 @query("SELECT p_partkey, '{\"p_partkey\":' || p_partkey || ',\"p_name\":\"' || p_name || '\",\"size\":' || CASE WHEN p_size % 2 = 0 THEN 'null' ELSE CAST(p_size AS VARCHAR) END || '}' AS json FROM part")

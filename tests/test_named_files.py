@@ -44,3 +44,17 @@ def test_two_rows_of_a_name(spark, tmp_path):
     assert left(tmp_path / "x") == {}
     named.write_named(rows.repartition(3), str(tmp_path / "x"), ".json", order="at")
     assert left(tmp_path / "x") == {"a.json": "2", "b.json": "3"}
+
+
+def test_folders_are_moved_whole_and_read_by_tasks(spark, tmp_path):
+    out = tmp_path / "out"
+    rows = lambda a, b: spark.range(a, b).select(F.concat(F.lit("n"), "id").alias("name"), F.concat(F.lit("漢 "), "id").alias("content"))
+    read = lambda: {r.name: r.content for r in named.read_named(spark, str(out), ".md").collect()}
+    named.write_named(rows(0, 300).repartition(5), str(out), ".md", folders=16)
+    assert {p.name[:5] for p in out.iterdir()} == {"part-"} and read() == {f"n{i}": f"漢 {i}" for i in range(300)}
+    named.write_named(rows(290, 320), str(out), ".md", folders=16)
+    assert read() == {f"n{i}": f"漢 {i}" for i in range(320)}
+    with pytest.raises(Exception, match="two rows have the name"):
+        named.write_named(rows(0, 5).unionByName(rows(4, 9)), str(out), ".md", folders=16)
+    named.write_named(rows(0, 3), str(out), ".md", folders=16, overwrite=True)
+    assert read() == {f"n{i}": f"漢 {i}" for i in range(3)} and not [p for p in out.iterdir() if p.name.startswith("_")]
