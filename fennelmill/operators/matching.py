@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fennelmill.functions import scalars as S
+from fennelmill.operators.relational import spread
 from fennelmill.sources.files import written
 
 #: Rarest tokens of a left row that are tried first, for a score that others have to reach.
 FIRST = 2
+#: Bytes of left tokens that may be sent to every executor. More are shuffled instead.
+MOST_BROADCAST = 16 << 20
 
 
 def best_match(left: DataFrame, pool: DataFrame, left_key: str, left_text: str, pool_key: str, pool_text: str, pool_order: str | None = None, least: int = 2) -> DataFrame:
@@ -28,25 +31,35 @@ def best_matches(left: DataFrame, pool: DataFrame, left_key: str, left_text: str
     the pool to the most frequent. The pool rows that hold one of its two rarest tokens give a score ``s`` that ``most`` rows
     reach already. Any row that reaches ``s`` too holds one of the ``n - s + 1`` rarest of the ``n`` tokens, so only rows that
     do are scored beside them; a frequent token brings rows together only where nothing better is known. Of the pool's tokens
-    only those go on that a left row has, and they are written once.
+    only those go on that a left row has; they get numbers, are gathered by one shuffle and written once. While the left rows are small
+    enough to be broadcast, pool rows are scored where they are read, each pair at the rarest token that both hold.
     """
-    rows = pool.select(F.struct(F.col(pool_order or pool_key).alias("o"), F.col(pool_key).alias("r")).alias("at"), F.col(pool_text).alias("text")).repartition("at")
-    a = written(left.select(F.col(left_key).alias("l"), F.explode(S.token_set(left_text)).alias("token")), "asked")
-    each = written(rows.select("at", F.explode(S.token_set("text")).alias("token")).join(a.select("token").distinct(), "token", "left_semi"), "pool")
+    rows = spread(pool.select(F.struct(F.col(pool_order or pool_key).alias("o"), F.col(pool_key).alias("r")).alias("at"), F.col(pool_text).alias("text")), 1)
+    named = written(left.select(F.col(left_key).alias("l"), F.explode(S.token_set(left_text)).alias("name")).distinct(), "asked")
+    small = (named.agg(F.sum(F.octet_length("name") + 64)).first()[0] or 0) <= MOST_BROADCAST
+    sent = F.broadcast if small else lambda df: df
+    numbers = written(named.select("name").distinct().withColumn("token", F.monotonically_increasing_id()), "numbers")
+    a = named.join(numbers, "name").select("l", "token")
+    each = rows.select("at", F.explode(S.token_set("text")).alias("name")).join(sent(numbers), "name").select("at", "token")
+    pool_tokens = written(each.groupBy("at").agg(F.collect_set("token").alias("tokens")).where(F.size("tokens") >= least), "pool")
+    each = pool_tokens.select("*", F.explode("tokens").alias("token"))
     held = each.groupBy("token").agg(F.count("*").alias("f"))
     rarest = F.transform(F.array_sort(F.collect_list(F.struct("f", "token"))), lambda x: x["token"])
     ranked = written(a.join(held, "token").groupBy("l").agg(rarest.alias("own")).where(F.size("own") >= least), "ranked")
     kind = pool.schema[pool_key].dataType
     if ranked.isEmpty():  # no left row has enough tokens in the pool
         return left.select(left_key, F.lit(None).cast("int").alias("place"), F.lit(None).cast(kind).alias("match"), F.lit(None).cast("long").alias("score")).limit(0)
-    pool_tokens = written(each.groupBy("at").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= least), "pool")
     first_in_order = Window.partitionBy("l").orderBy("best")
 
     def scored(wanted: DataFrame) -> DataFrame:
-        """``(l, best)``: the negated score and place of the best pool rows of each left row among those that hold a wanted token."""
-        pairs = wanted.join(each, "token").select("l", "at").distinct()
-        both = pairs.join(ranked, "l").join(pool_tokens, "at").select("l", F.struct((-F.size(F.array_intersect("own", "tokens"))).alias("s"), "at").alias("best"))
-        return best_of(both.where(F.col("best.s") <= -least))
+        """``(l, best)``: the negated score and place of the best pool rows of each left row among those that hold a wanted token and none rarer."""
+        if small:
+            pairs = each.join(F.broadcast(wanted), "token").join(F.broadcast(ranked), "l")
+        else:
+            rarest_held = wanted.join(each.select("at", "token"), "token").select("l", "at", "token")
+            pairs = rarest_held.join(ranked, "l").join(pool_tokens, "at")
+        both = pairs.select("l", "token", "at", F.array_intersect("own", "tokens").alias("shared")).where(F.get("shared", F.lit(0)) == F.col("token"))
+        return best_of(both.select("l", F.struct((-F.size("shared")).alias("s"), "at").alias("best")).where(F.col("best.s") <= -least))
 
     def best_of(both: DataFrame) -> DataFrame:
         if most == 1:
@@ -57,7 +70,7 @@ def best_matches(left: DataFrame, pool: DataFrame, left_key: str, left_text: str
     reached = first.groupBy("l").agg(F.when(F.count("*") == most, -F.max("best.s")).alias("s"))
     upto = F.size("own") - F.coalesce("s", F.lit(least)) + 1
     more = ranked.join(reached, "l", "left").select("l", F.explode(F.slice("own", F.lit(FIRST + 1), F.greatest(upto - FIRST, F.lit(0)))).alias("token"))
-    best = best_of(first.union(scored(more)).distinct())
+    best = best_of(first.union(scored(more)))
     return best.select(F.col("l").alias(left_key), F.row_number().over(first_in_order).alias("place"), F.col("best.at.r").alias("match"), (-F.col("best.s")).cast("long").alias("score"))
 
 

@@ -15,9 +15,9 @@ def unnest(df: DataFrame, array: str, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*keep, F.posexplode(array).alias("pos", "item")).select(*keep, "pos", "item.*")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt anew if it comes in fewer than three pieces a core: a small file of narrow rows is few pieces, whatever is made of each row."""
-    pieces = 3 * df.sparkSession.sparkContext.defaultParallelism
+def spread(df: DataFrame, least: int = 3) -> DataFrame:
+    """``df`` dealt anew if it comes in fewer than ``least`` pieces a core: a small file of narrow rows is few pieces, whatever is made of each row."""
+    pieces = least * df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(pieces) if df.rdd.getNumPartitions() < pieces else df
 
 

@@ -38,3 +38,28 @@ def test_tasks_hold_the_best_products_in_order(spark):
     products = spark.createDataFrame([("a", "toy car"), ("b", "red toy car set"), ("c", "red car"), ("d", "toy")], "item_id string, title string")
     [task] = tasks.tasks_for_trends(trends, products, "2024-02-01").collect()
     assert (task.pos, task.task_id, task.item_ids, task.theme) == (0, "2024-02-01-red-toy-car", ["b", "a", "c"], "red toy car: compared")
+
+
+def test_pool_rows_are_scored_where_they_are_read(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"w{rng.randint(0, 40)}" for _ in range(n))
+    a, b = spark.createDataFrame([(i, text(6)) for i in range(20)], "k int, t string"), spark.createDataFrame([(i, text(9)) for i in range(200)], "p int, t string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = matching.best_matches(a, b, "k", "t", "p", "t")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(at" not in plan and not re.search(r"hashpartitioning\(l#\w+, at", plan)
+
+
+def test_large_left_sides_are_shuffled_with_the_same_result(spark, monkeypatch):
+    monkeypatch.setattr(matching, "MOST_BROADCAST", 0)
+    test_equal_to_a_plain_loop(spark, 2, 3)
+    test_equal_to_a_plain_loop(spark, 2, 1)
+
+
+def test_repeated_keys_give_a_match_once(spark):
+    a = spark.createDataFrame([(1, "red toy"), (1, "toy car")], "k int, t string")
+    b = spark.createDataFrame([(7, "red toy car"), (7, "toy red"), (8, "toy car")], "p int, t string")
+    assert sorted((r.place, r.match, r.score) for r in matching.best_matches(a, b, "k", "t", "p", "t").collect()) == [(1, 7, 3), (2, 8, 2)]
