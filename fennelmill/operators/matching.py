@@ -13,6 +13,8 @@ from fennelmill.sources.files import written
 FIRST = 2
 #: Bytes of left tokens that may be sent to every executor. More are shuffled instead.
 MOST_BROADCAST = 16 << 20
+#: Rows of a join on tokens that a task counts by pairs.
+JOINED = 2_000_000
 
 
 def best_match(left: DataFrame, pool: DataFrame, left_key: str, left_text: str, pool_key: str, pool_text: str, pool_order: str | None = None, least: int = 2) -> DataFrame:
@@ -78,11 +80,22 @@ def overlaps(left: DataFrame, right: DataFrame, left_key: str, left_text: str, r
     """``(left_key, right_key, shared)``: the number of distinct tokens that the texts of two rows share, if any.
 
     All rows of both sides meet by an equi-join on tokens, so the result has as many rows as pairs share a token. Keys
-    have to be unique.
+    have to be unique. The rows that the join makes are counted by tokens first, and the right rows are dealt to as many tasks as
+    keep each below ``JOINED`` of them, where pairs are counted without another shuffle; so the memory of a task has a bound.
     """
-    a = left.select(left_key, F.explode(S.token_set(left_text)).alias("token"))
-    b = right.select(right_key, F.explode(S.token_set(right_text)).alias("token"))
-    return a.join(b, "token").groupBy(left_key, right_key).agg(F.count("*").cast("int").alias("shared"))
+    named = written(left.select(left_key, F.explode(S.token_set(left_text)).alias("name")), "asked")
+    small = (named.agg(F.sum(F.octet_length("name") + 64)).first()[0] or 0) <= MOST_BROADCAST
+    sent = F.broadcast if small else lambda df: df
+    numbers = written(named.groupBy("name").agg(F.count("*").alias("f")).withColumn("token", F.monotonically_increasing_id()), "numbers")
+    a = named.join(numbers, "name").select(left_key, "token")
+    b = written(spread(right.select(right_key, right_text), 1).select(right_key, F.explode(S.token_set(right_text)).alias("name")).join(sent(numbers), "name").select(right_key, "token", "f"), "held")
+    joined = b.agg(F.sum("f")).first()[0] or 0
+    pieces = max(b.sparkSession.sparkContext.defaultParallelism, -(-joined // JOINED))
+    if small:
+        pairs = b.select(right_key, "token").repartition(pieces, right_key).join(F.broadcast(a), "token")
+    else:
+        pairs = a.join(b.select(right_key, "token"), "token").select(left_key, right_key).repartition(pieces, left_key, right_key)
+    return pairs.groupBy(left_key, right_key).agg(F.count("*").cast("int").alias("shared"))
 
 
 def fuzzy_search(df: DataFrame, query: str, columns: list[str], threshold: float = 0.4, least: int = 2) -> DataFrame:

@@ -2,6 +2,7 @@ import json
 import re
 from datetime import datetime
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -43,6 +44,18 @@ def test_overlaps_meet_all_rows_of_both_sides(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_overlaps_are_counted_by_tasks_of_a_bounded_size(spark, monkeypatch, most):
+    monkeypatch.setattr(matching, "MOST_BROADCAST", most)
+    monkeypatch.setattr(matching, "JOINED", 50, raising=False)
+    a, b = spark.range(10).selectExpr("id i", "concat('w', id % 5, ' w', id % 3, ' x') t"), spark.range(40).selectExpr("id k", "concat('w', id % 7, ' x') u")
+    found = matching.overlaps(a, b, "i", "t", "k", "u")
+    words = lambda *numbers: {"x", *(f"w{n}" for n in numbers)}
+    assert {(r.i, r.k): r.shared for r in found.collect()} == {(i, k): len(words(i % 5, i % 3) & words(k % 7)) for i in range(10) for k in range(40)}
+    rows = sum(len(words(i % 5, i % 3) & words(k % 7)) for i in range(10) for k in range(40))
+    assert found.rdd.getNumPartitions() == -(-rows // 50)
+
+
 def test_best_match_plan_is_an_equi_join(spark):
     a = spark.createDataFrame([(1, "a b")], "k int, t string")
     plan = matching.best_match(a, a, "k", "t", "k", "t")._jdf.queryExecution().executedPlan().toString()
