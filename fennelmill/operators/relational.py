@@ -81,13 +81,18 @@ def lookup_in_order(posts: DataFrame, ids: str, items: DataFrame, key: str, keep
 
 
 def collected(df: DataFrame, keys: Sequence[str], order: Sequence[Column], element: Column, name: str, most: int | None = None) -> DataFrame:
-    """One array of elements for each key, in order; with ``most``, only the first of them, cut before they are gathered."""
+    """One array of elements for each key, in order; with ``most``, only the first of them, cut before they are gathered.
+
+    Rows are dealt by their keys first, with the columns that order and element are made of: arrays of what a task happens
+    to hold of a key would make no row less.
+    """
     if most is not None:
         df = df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= most)
         place: list[Column] = [F.col("__n").alias("o0")]
     else:
+        df = df.repartition(*keys)
         place = [o.alias(f"o{i}") for i, o in enumerate(order)]
-    rows = F.array_sort(F.collect_list(F.struct(*place, element.alias("element"))))
+    rows = F.sort_array(F.collect_list(F.struct(*place, element.alias("element"))))
     return df.groupBy(*keys).agg(F.transform(rows, lambda r: r["element"]).alias(name))
 
 

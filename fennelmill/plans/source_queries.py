@@ -157,23 +157,24 @@ def _order_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     title, extra = F.concat(F.lit("line "), "l_partkey"), F.when(F.col("l_linenumber") % 4 > 0, F.col("l_suppkey").cast("string"))
     item = F.concat(F.lit("<item>"), tag("title", title), tag("link", F.concat(F.lit("https://x.example/"), "l_linenumber")), F.coalesce(F.concat(tag("pubDate", extra), tag("ht:approx_traffic", extra)), F.lit("")), F.lit("</item>"))
     feeds = relational.collected(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.col("l_linenumber"), title, extra], item, "items")
+    feeds = feeds.select("l_orderkey", F.array_join("items", "").alias("items"))
     head = "<rss xmlns:ht='https://trends.example/'><channel><title>all</title>"
-    items = F.array_join("items", "")
-    broken = F.concat(F.lit(head), F.expr("substring(array_join(items, ''), 1, cast(length(array_join(items, '')) div 2 as int))"))
-    return feeds.select("l_orderkey", F.when(F.col("l_orderkey") % 3 == 0, broken).otherwise(F.concat(F.lit(head), items, F.lit("</channel></rss>"))).alias("xml"))
+    broken = F.concat(F.lit(head), F.expr("substring(items, 1, cast(length(items) div 2 as int))"))
+    return feeds.select("l_orderkey", F.when(F.col("l_orderkey") % 3 == 0, broken).otherwise(F.concat(F.lit(head), "items", F.lit("</channel></rss>"))).alias("xml"))
 
 
 @query(f"WITH {_FEED_SQL} SELECT l_orderkey, pos, title AS query, coalesce(extra, 'unknown') AS traffic FROM f UNION ALL SELECT l_orderkey, 0, 'toys', '50,000+' FROM p GROUP BY l_orderkey HAVING NOT bool_or(l_orderkey % 3 > 0 OR ends <= size // 2)")
 def s13_trend_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trends of a feed for each order; those that break off before the end of an item give the fallback row."""
-    rows = tables.trend_rows(("toys", "50,000+"))
-    return _order_feeds(spark, sf_dir).lateralJoin(rows(F.col("xml").outer())).select("l_orderkey", F.col("pos").cast("long").alias("pos"), "query", "traffic")
+    found = _order_feeds(spark, sf_dir).select("l_orderkey", F.inline(tables.trend_items("xml", ("toys", "50,000+"))))
+    return found.select("l_orderkey", F.col("pos").cast("long").alias("pos"), "query", "traffic")
 
 
 @query(f"WITH {_FEED_SQL} SELECT l_orderkey, pos, title, 'https://x.example/' || l_linenumber AS url, extra AS published FROM f WHERE pos < 10 AND pos < coalesce((SELECT min(g.pos) FROM f g WHERE g.l_orderkey = f.l_orderkey AND g.extra IS NULL), 1000)")
 def s14_news_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """News of the same feeds: up to the place where a feed breaks off, or to an item without a date."""
-    return _order_feeds(spark, sf_dir).lateralJoin(tables.news_rows()(F.col("xml").outer())).select("l_orderkey", F.col("pos").cast("long").alias("pos"), "title", "url", "published")
+    found = _order_feeds(spark, sf_dir).select("l_orderkey", F.inline(tables.news_items("xml")))
+    return found.select("l_orderkey", F.col("pos").cast("long").alias("pos"), "title", "url", "published")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'none' END AS known, CASE p_brand WHEN 'Brand#2' THEN 'one' WHEN 'Brand#4' THEN 'two' END AS by_column FROM part")

@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urljoin
 from xml.etree.ElementTree import ParseError, XMLPullParser
 
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fennelmill.sources.markup import CONTAINERS, NAMES, Node, tree
@@ -75,9 +77,20 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
+def _fields(el, fields: tuple[str, ...]) -> dict[str, str | None]:
+    """The texts of an item's children by local names, the first of each name."""
+    found = dict.fromkeys(fields)
+    for c in el:
+        name = _local(c.tag)
+        if name in found and found[name] is None:
+            found[name] = c.text or ""
+    return found
+
+
 def _items(xml: str, fields: tuple[str, ...]) -> Iterator[dict[str, str | None]]:
     """The items of a feed, by local names, as they end; an error ends them."""
-    parser = XMLPullParser(("start", "end"))
+    short = len(xml) <= _PIECE  # what has been read of a longer feed is let go of, for which its parents have to be known
+    parser = XMLPullParser(("end",) if short else ("start", "end"))
     above: list = []
     for at in range(0, len(xml), _PIECE):
         try:
@@ -90,17 +103,63 @@ def _items(xml: str, fields: tuple[str, ...]) -> Iterator[dict[str, str | None]]
                 if event == "start":
                     above.append(el)
                     continue
-                above.pop()
+                if above:
+                    above.pop()
                 if _local(el.tag) == "item":
-                    yield {f: next((c.text or "" for c in el if _local(c.tag) == f), None) for f in fields}
+                    yield _fields(el, fields)
                     if above:
-                        above[-1].remove(el)  # what has been read needs no memory
+                        above[-1].remove(el)
         except ParseError:
             return
         if broken:
             return
 
 
+def _news(xml: str | None, most: int, required: tuple[str, ...]) -> Iterator[tuple]:
+    for pos, item in enumerate(_items(xml or "", ("title", "link", "pubDate"))):
+        if pos == most or any(item[f] is None for f in required):
+            return
+        yield pos, item["title"], item["link"], item["pubDate"]
+
+
+def _trends(xml: str | None, fallback: tuple[str, str], unknown: str) -> Iterator[tuple]:
+    pos = -1
+    for pos, item in enumerate(_items(xml or "", ("title", "approx_traffic"))):
+        yield pos, item["title"], unknown if item["approx_traffic"] is None else item["approx_traffic"]
+    if pos < 0:
+        yield 0, *fallback
+
+
+_NEWS, _TRENDS = "pos: int, title: string, url: string, published: string", "pos: int, query: string, traffic: string"
+
+
+def _by_batch(rows: Callable[[str | None], Iterator[tuple]], kind: str, xml: Column | str) -> Column:
+    """The rows of each feed as an array; feeds go to Python by batches, and their rows come back as columns of all of a batch."""
+    types = [pa.int32() if k.strip() == "int" else pa.string() for k in (f.split(":")[1] for f in kind.split(","))]
+    names = [f.split(":")[0].strip() for f in kind.split(",")]
+
+    @F.arrow_udf(f"array<struct<{kind}>>")
+    def run(feeds: pa.Array) -> pa.Array:
+        ends, found = [0], []
+        for feed in feeds.to_pylist():
+            found.extend(rows(feed))
+            ends.append(len(found))
+        columns = zip(*found) if found else [()] * len(types)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names))
+
+    return run(F.col(xml) if isinstance(xml, str) else xml)
+
+
+def news_items(xml: Column | str, most: int = 10, required: tuple[str, ...] = ("title", "link", "pubDate")) -> Column:
+    """The rows of :func:`news_rows` as an array, for many feeds: a table function takes each by itself, this whole batches."""
+    return _by_batch(lambda x: _news(x, most, required), _NEWS, xml)
+
+
+def trend_items(xml: Column | str, fallback: tuple[str, str], unknown: str = "unknown") -> Column:
+    """The rows of :func:`trend_rows` as an array, for many feeds."""
+    return _by_batch(lambda x: _trends(x, fallback, unknown), _TRENDS, xml)
+
+
 def news_rows(most: int = 10, required: tuple[str, ...] = ("title", "link", "pubDate")):
     """A table function ``xml -> (pos, title, url, published)`` over the first items of a feed.
 
@@ -109,12 +168,9 @@ def news_rows(most: int = 10, required: tuple[str, ...] = ("title", "link", "pub
 
     class NewsRows:
         def eval(self, xml: str) -> Iterator[tuple]:
-            for pos, item in enumerate(_items(xml or "", ("title", "link", "pubDate"))):
-                if pos == most or any(item[f] is None for f in required):
-                    return
-                yield pos, item["title"], item["link"], item["pubDate"]
+            yield from _news(xml, most, required)
 
-    return F.udtf(NewsRows, returnType="pos: int, title: string, url: string, published: string")
+    return F.udtf(NewsRows, returnType=_NEWS)
 
 
 def trend_rows(fallback: tuple[str, str], unknown: str = "unknown"):
@@ -122,10 +178,6 @@ def trend_rows(fallback: tuple[str, str], unknown: str = "unknown"):
 
     class TrendRows:
         def eval(self, xml: str) -> Iterator[tuple]:
-            pos = -1
-            for pos, item in enumerate(_items(xml or "", ("title", "approx_traffic"))):
-                yield pos, item["title"], unknown if item["approx_traffic"] is None else item["approx_traffic"]
-            if pos < 0:
-                yield 0, *fallback
+            yield from _trends(xml, fallback, unknown)
 
-    return F.udtf(TrendRows, returnType="pos: int, query: string, traffic: string")
+    return F.udtf(TrendRows, returnType=_TRENDS)

@@ -1,9 +1,15 @@
 """Rows of pages and feeds before an error, and fixed rows."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
+from fennelmill.plans.queries import QUERIES
 from fennelmill.sources import markup, tables
 
+DATA = "/root/testdata/sf0.001"
+
 
 def rows(spark, function, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
@@ -46,3 +52,22 @@ def test_feeds_that_break_off(spark):
 
 def test_a_tree_holds_what_stands_before_broken_markup():
     assert [n.name for n in markup.tree("<p><b>x</b><![nonsense[ <i>").walk()][:2] == ["p", "b"]
+
+
+def test_many_feeds_at_once_give_the_rows_of_the_table_functions(spark):
+    item = lambda i, more="": f"<item><title>n{i} &amp; x</title><link>u{i}</link>{more}<title>again</title></item>"
+    head, date, traffic = "<rss xmlns:ht='h'><channel>", "<pubDate>d</pubDate>", "<ht:approx_traffic>7</ht:approx_traffic>"
+    feeds = [head + "".join(item(i, date + traffic) for i in range(12)) + "</channel></rss>", head + item(0, date) + item(1, date)[:20], head + item(0, date) + "</wrong>" + item(1, date), head + item(0, date) + item(1) + item(2, date), "no xml", None, "", head + "x" * 40_000 + item(0, date) + item(1, date) + "<item><ti", head + "<item><title/>" + item(4, date) + "</item>"]
+    pages = spark.createDataFrame(list(enumerate(feeds)), "k int, xml string").repartition(3)
+    for array, function in ((tables.news_items("xml"), tables.news_rows()), (tables.trend_items("xml", ("toys", "5+")), tables.trend_rows(("toys", "5+")))):
+        one = {tuple(r) for r in pages.lateralJoin(function(F.col("xml").outer())).drop("xml").collect()}
+        assert {tuple(r) for r in pages.select("k", F.inline(array)).collect()} == one and len(one) > 10
+        assert pages.where("false").select(F.inline(array)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["s13_trend_rows", "s14_news_rows"])
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_feeds_of_queries_go_to_python_by_batches(spark, name):
+    plan = QUERIES[name].run(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "PythonUDTF" not in plan
+    assert "<item>" not in plan[plan.index("Exchange") :], "markup is made behind the shuffle"
