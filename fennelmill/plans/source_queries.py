@@ -391,16 +391,16 @@ _SCORED = (
 )
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(parts: DataFrame, *keep: str) -> DataFrame:
     k = F.col("p_size")
     features = F.slice(F.array("p_brand", "p_type", "p_name", F.lit("more")), F.lit(1), k % 5)
-    base = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_name").alias("name"), F.floor(F.col("p_retailprice") * 8).alias("price"), F.concat(F.lit("https://a.example/"), "p_partkey").alias("link_a"), F.when(k % 2 == 0, F.concat(F.lit("https://b.example/"), "p_partkey")).otherwise("").alias("link_b"), F.when(k % 3 == 0, F.concat(F.lit("https://img.example/"), "p_partkey")).otherwise("").alias("image"), features.alias("features"), (k * 4).alias("reviews"))
+    base = parts.select(*keep, "p_partkey", "p_brand", F.col("p_name").alias("name"), F.floor(F.col("p_retailprice") * 8).alias("price"), F.concat(F.lit("https://a.example/"), "p_partkey").alias("link_a"), F.when(k % 2 == 0, F.concat(F.lit("https://b.example/"), "p_partkey")).otherwise("").alias("link_b"), F.when(k % 3 == 0, F.concat(F.lit("https://img.example/"), "p_partkey")).otherwise("").alias("image"), features.alias("features"), (k * 4).alias("reviews"))
     return base.select("*", articles.rule_score("name", "features", "price", "reviews").alias("score"), articles.pros_of("features").alias("pros"), articles.cons_of("price").alias("cons"))
 
 
 @query(f"SELECT p_partkey, score, array_to_string(pros, ', ') AS pros, cons FROM ({_SCORED})")
 def d7_scores_and_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("p_partkey", "score", F.array_join("pros", ", ").alias("pros"), F.array_join("cons", ", ").alias("cons"))
+    return _scored(table(spark, sf_dir, "part")).select("p_partkey", "score", F.array_join("pros", ", ").alias("pros"), F.array_join("cons", ", ").alias("cons"))
 
 
 _NL = "chr(10)"
@@ -420,7 +420,7 @@ _NL = "chr(10)"
 def d10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each brand, of all its parts, as a whole text."""
     product = F.struct(F.col("p_partkey").cast("string").alias("item_id"), "name", "price", "link_a", "link_b", F.lit(None).cast("string").alias("link_c"), "image", "score", "pros", "cons", "features")
-    scored = _scored(spark, sf_dir)
+    scored = _scored(table(spark, sf_dir, "part"))
     groups = relational.collected(scored, ["p_brand"], [-F.col("score"), F.col("p_partkey")], product, "products")
     first = scored.groupBy("p_brand").agg(F.min("p_partkey").alias("k"))
     text = lambda s: F.lit(s)
@@ -443,15 +443,14 @@ def d10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def d8_articles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An article for each order, of all its lines as products."""
-    scored = _scored(spark, sf_dir).withColumn("item_id", F.col("p_partkey").cast("string")).withColumn("link_c", F.lit(None).cast("string"))
     of_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(scored, F.col("l_partkey") == F.col("p_partkey")).withColumn("pos", F.row_number().over(of_order) - 1)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("pos", F.row_number().over(of_order) - 1)
+    # parts are scored behind the shuffle by orders, which so carries their own columns only
+    rows = _scored(lines, "l_orderkey", "pos").withColumn("item_id", F.col("p_partkey").cast("string")).withColumn("link_c", F.lit(None).cast("string"))
     kind = F.when(F.col("l_orderkey") % 3 == 0, "sudden_jump").when(F.col("l_orderkey") % 3 == 1, "new_arrival").otherwise("standard")
-    first = lines.where("pos = 0")
-    topics, found = first.select("l_orderkey", F.lit("daily").alias("mode"), F.col("p_brand").alias("keyword")), first.select("l_orderkey", kind.alias("type"), F.col("name").alias("title"))
-    links = lines.where("link_b <> ''").select("l_orderkey", "pos", F.col("name").alias("title"), F.col("link_b").alias("url"))
-    books = lines.where("l_orderkey % 4 > 0").select("l_orderkey", "pos", F.col("name").alias("title"), F.col("link_a").alias("url"), "image", F.lit("about it").alias("description"))
-    none = links.limit(0)
-    made = articles.articles_by("l_orderkey", topics, found, lines, none, books, none, none, links, datetime(2024, 2, 1, 9, 30))
+    topic, signal = F.struct(F.lit("daily").alias("mode"), F.col("p_brand").alias("keyword")), F.struct(kind.alias("type"), F.col("name").alias("title"))
+    book = {"title": F.col("name"), "url": F.col("link_a"), "image": F.col("image"), "description": F.lit("about it")}
+    feeds = {"books": (F.col("l_orderkey") % 4 > 0, book), "links": (F.col("link_b") != "", {"title": F.col("name"), "url": F.col("link_b")})}
+    made = articles.articles_of("l_orderkey", rows, topic, signal, feeds, datetime(2024, 2, 1, 9, 30))
     ids = lambda a, f: F.array_join(F.transform(a, lambda x: x[f]), ",")
     return made.select("l_orderkey", "title", "signal_type", "signal_type_label", ids("products", "item_id").alias("products"), ids("books", "title").alias("books"), ids("links", "url").alias("links"), F.array_join("tags", ",").alias("tags"))
