@@ -336,7 +336,7 @@ def _paged_answers(spark: SparkSession, sf_dir: str, end: str, size: int, item:
     """Options of a feed whose pages of suppliers lie in files, written by the tasks."""
     remote.register(spark)
     where = files.scratch(spark, "answers")
-    placed = relational.numbered_by_range(table(spark, sf_dir, "supplier"), F.col("s_suppkey"))
+    placed = relational.numbered_by_range(table(spark, sf_dir, "supplier"), F.col("s_suppkey").asc_nulls_last())
     pages = relational.collected(placed.withColumn("page", F.floor((F.col("place") - 1) / size)), ["page"], [F.col("place")], item, "items")
     total = table(spark, sf_dir, "supplier").agg(F.count("*").alias("total"))
     named.write_named(pages.crossJoin(total).select(F.concat(F.lit(f"{end}-"), F.col("page") * size + 1).alias("name"), F.to_json(body).alias("content")), where, ".json")

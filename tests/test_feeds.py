@@ -98,3 +98,11 @@ def test_options_have_defaults_bounds_and_orders():
     assert asked("search_a", results="0")["itemCount"] == 1 and asked("search_a")["searchIndex"] == "All"
     assert asked("videos", keyword="k", suffix="review")["q"] == "k review" and asked("books", extra='{"maxResults": 9}')["maxResults"] == 9
     assert asked("lookup_a", ids="a,b", tag="t")["itemIds"] == ["a", "b"]
+
+
+def test_a_search_pages_its_results_as_the_sql_orders_them(spark, tmp_path):
+    from fennelmill.plans.queries import QUERIES
+
+    spark.range(25).selectExpr("if(id < 3, null, id) s_suppkey", "concat('n', id) s_name").write.parquet(str(tmp_path / "supplier.parquet"))
+    found = {(r.title, r.page) for r in QUERIES["s6_keyword_search"].run(spark, str(tmp_path)).collect()}
+    assert found == {(f"n{i}", (i - 3) // 10) for i in range(3, 25)} | {(f"n{i}", 2) for i in range(3)}
