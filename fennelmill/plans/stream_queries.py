@@ -41,14 +41,19 @@ flagged AS (SELECT *, item_code IS NULL OR (CAST(item_code AS BIGINT) % 3 > 0 AN
 SELECT CASE WHEN is_new THEN 'new_arrival' ELSE 'preorder' END AS type, item_code, title, price, CAST(3 * is_new::INT + 5 * is_ann::INT + 4 * is_col::INT AS DOUBLE) AS score, pos FROM flagged WHERE is_new OR is_ann"""
 )
 def d1_stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines as a feed in three slices, with a third of the parts as history; parts of each fiftieth have no code."""
-    part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("title"))
-    lines = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+    """All lines as a feed in three slices, with the codes that three divides as history; parts of each fiftieth have no code.
+
+    Lines without a part have an empty title; lines without a position come in the last slice, behind the others.
+    """
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    lines = table(spark, sf_dir, "lineitem")
+    numbers = part.select("p_partkey").union(lines.select("l_partkey"))  # lines name parts that the table lacks
+    history = numbers.where("p_partkey % 3 = 0").select(F.col("p_partkey").cast("string").alias("item_code"))
     nothing = F.lit(None).cast("string")
-    feed = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.when(F.col("l_partkey") % 50 > 0, F.col("l_partkey").cast("string")).alias("item_code"), "title", nothing.alias("url"), nothing.alias("image"), F.floor("l_extendedprice").alias("price"))
-    history = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").cast("string").alias("item_code"))
+    feed = lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+    feed = feed.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.when(F.col("l_partkey") % 50 > 0, F.col("l_partkey").cast("string")).alias("item_code"), F.concat_ws(" ", "p_name", "p_type").alias("title"), nothing.alias("url"), nothing.alias("image"), F.floor("l_extendedprice").alias("price"))
     most = feed.agg(F.max("pos")).first()[0] or 0
-    slices = [f"pos <= {most // 3}", f"pos > {most // 3} and pos <= {most // 2}", f"pos > {most // 2}"]
+    slices = [f"pos <= {most // 3}", f"pos > {most // 3} and pos <= {most // 2}", f"pos > {most // 2} or pos is null"]
     found = _streamed(feed, slices, lambda s: state.stream_arrivals(s, history, _ANNOUNCED, _COLLABORATION))
     return found.select("type", "item_code", "title", "price", "score", "pos")
 

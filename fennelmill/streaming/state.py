@@ -44,7 +44,8 @@ class FirstSeen(StatefulProcessor):
     """Marks the first row of each code, by ``pos``, unless the code has been met before.
 
     A group is a bucket of codes. Its state is the list of codes met, to which only new ones are added; of a batch it holds one
-    row for each new code.
+    row for each new code. Rows without a ``pos`` come last. Of a code's rows at one ``pos`` the least by the other columns,
+    in order of their names, is first: the shuffle brings them in any order.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -56,7 +57,8 @@ class FirstSeen(StatefulProcessor):
         for part in _some(rows):
             known = met.get_indexer(part["item_code"]) >= 0
             fresh = part[~known] if first is None else pd.concat([first, part[~known]], ignore_index=True)
-            fresh = fresh.sort_values("pos", kind="stable")
+            tied = fresh.duplicated(["item_code", "pos"]).any()
+            fresh = fresh.sort_values(["pos", *sorted(fresh.columns.drop("pos"))] if tied else "pos", kind="stable")
             again = fresh.duplicated("item_code")
             first = fresh[~again]
             for others in (part[known], fresh[again]):
@@ -119,8 +121,8 @@ def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
 def stream_arrivals(feed: DataFrame, history: DataFrame, announced: str = signals.ANNOUNCED, collaboration: str = signals.COLLABORATION) -> DataFrame:
     """Over a stream of a feed the signals that :func:`signals.arrivals` gives over all of it, each micro-batch's rows by ``pos``.
 
-    Rows of earlier micro-batches count as earlier. Rows without a code are always new and need no state. ``history`` is
-    read once, when a query begins without a checkpoint.
+    Of a code's rows at one ``pos`` only one is new here. Rows of earlier micro-batches count as earlier. Rows without a code are
+    always new and need no state. ``history`` is read once, when a query begins without a checkpoint.
     """
     use_state(feed.sparkSession)
     code = S.truthy("item_code")

@@ -2,11 +2,13 @@
 
 import random
 
+import duckdb
 import pandas as pd
 import pytest
 
 from fennelmill import schemas
 from fennelmill.operators import signals
+from fennelmill.plans.queries import QUERIES
 from fennelmill.streaming import state
 
 FEED = "pos long, item_code string, title string, url string, image string, price long"
@@ -94,3 +96,30 @@ def test_ranks_go_to_the_state_in_buckets():
     out = lambda *frames: sorted((r, p, int(was)) for f in last.handleInputRows((1,), iter(frames), None) for r, p, _, _, was in f.itertuples(index=False))
     assert out(frame([(1, 0, "a", 50), (1, 1, "b", 60)]), frame([(1, 2, "a", 40), (2, 3, "a", 30)])) == [(1, 0, 101), (1, 1, 101), (1, 2, 101), (2, 3, 40)]
     assert out(frame([(2, 4, "a", 20), (3, 5, "a", 10), (3, 6, "b", 5)])) == [(2, 4, 40), (3, 5, 20), (3, 6, 101)]
+
+
+def test_first_of_rows_at_one_position_does_not_hang_on_their_order():
+    rows = [(4, "a", "t", None, 9), (4, "a", "t", None, 7), (4, "a", None, "u", 8), (5, "a", "s", None, 1), (None, "b", "t", None, 3), (6, "b", "t", None, 4)]
+    for turn in range(40):
+        mixed = random.Random(turn).sample(rows, len(rows))
+        met = state.FirstSeen()
+        met.init(Held())
+        frames = [pd.DataFrame(part, columns=["pos", "item_code", "title", "url", "price"]) for part in (mixed[: turn % 6], mixed[turn % 6 :])]
+        out = pd.concat(met.handleInputRows((1,), iter(frames), None))
+        assert len(out) == len(rows) and sorted(out[out["is_new"]]["price"]) == [4, 7]
+
+
+def test_arrivals_of_odd_lines_are_those_of_the_sql(spark, tmp_path):
+    """Lines whose part the table lacks, and lines without a part, an order or a price."""
+    con, rng = duckdb.connect(), random.Random(5)
+    lines = [(i, rng.choice([None, *range(-4, 160)]), i % 7 + 1, rng.choice([None, 10.5, 99.0])) for i in range(1, 500)]
+    lines += [(None, k, 1, 5.0) for k in (None, None, 50, 4, 5, 6, 300, 301, 303)]
+    con.execute("create table lineitem (l_orderkey bigint, l_partkey bigint, l_linenumber int, l_extendedprice double)")
+    con.execute("create table part as select i as p_partkey, if(i % 7 = 0, null, 'ring ' || i) as p_name, if(i % 5 = 0, 'PROMO', null) as p_type from range(100) t(i)")
+    con.executemany("insert into lineitem values (?, ?, ?, ?)", lines)
+    for t in ("lineitem", "part"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    q = QUERIES["d1_stream_arrivals"]
+    want = con.sql(q.sql)
+    got = [tuple(r) for r in q.run(spark, str(tmp_path)).select(*want.columns).collect()]
+    assert sorted(got, key=repr) == sorted(want.fetchall(), key=repr)
